@@ -126,13 +126,13 @@ def disclosures(pairs: DataFrame, threshold: float = THRESHOLD, support: int = S
     in fewer than `support` contexts are no evidence. An entity in every context has no information content to reveal.
     """
     distinct = pairs.distinct()
-    n = distinct.agg(F.count_distinct("entity", "context").alias("n"))
+    n = F.lit(distinct.agg(F.count_distinct("entity", "context")).first()[0])
     both = distinct.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
     entities = distinct.groupBy("entity").agg(F.count_distinct("context").alias("n_entity"))
     terms = distinct.groupBy("term").agg(F.count("*").alias("n_term"))
-    met = both.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(n))  # n is one row
-    share = F.log(F.col("n") * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log(F.col("n") / F.col("n_entity"))
-    return met.where("n > n_entity").withColumn("share", share).where(F.col("share") >= threshold).select("entity", "term", "share")
+    met = both.join(entities, "entity").join(terms, "term")
+    share = F.log(n * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log(n / F.col("n_entity"))
+    return met.where(F.col("n_entity") < n).withColumn("share", share).where(F.col("share") >= threshold).select("entity", "term", "share")
 
 
 def _flagged(found: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:

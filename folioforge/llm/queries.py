@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from folioforge.llm import html, jaccard, media, mixing, pii, quality
+from folioforge.llm import html, jaccard, licenses, media, mixing, pii, quality
 
 QUERIES = {
+    "op1_license_scan": licenses.query,
     "op2_jaccard_join": jaccard.query,
     "op3_mix_sources": mixing.query,
     "op4_media_columns": media.query,
