@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioforge.llm import html, jaccard, licenses, media, mixing, pii, quality
+from folioforge.llm import html, jaccard, licenses, media, mixing, ngram, pii, quality
 
 QUERIES = {
     "op1_license_scan": licenses.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mix_sources": mixing.query,
     "op4_media_columns": media.query,
     "op5_pii": pii.query,
+    "op6_lm_scores": ngram.query,
     "op9_quality": quality.query,
     "op10_html_extraction": html.query,
 }
