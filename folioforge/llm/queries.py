@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioforge.llm import embeddings, html, jaccard, licenses, media, mixing, ngram, pii, quality
+from folioforge.llm import embeddings, html, jaccard, licenses, media, mixing, ngram, pieces, pii, quality
 
 QUERIES = {
     "op1_license_scan": licenses.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_media_columns": media.query,
     "op5_pii": pii.query,
     "op6_lm_scores": ngram.query,
+    "op7_sentencepiece": pieces.query,
     "op8_embedding_dedup": embeddings.query,
     "op9_quality": quality.query,
     "op10_html_extraction": html.query,
