@@ -28,6 +28,8 @@ SAMPLE_OF, SAMPLE_HITS, ORDER_MOST = 16, 3, 1 << 20
 #: Rows that may be broadcast (under 64 bytes each); a leader's comparisons in one task; leader rounds at most, and the
 #: pairs per index row above which another is run.
 BROADCAST_ROWS, CELL, ROUNDS, DENSE = 1_000_000, 128, 6, 64
+#: Rows of a table of classes for each task, so that small tables are not dealt over more tasks than they need.
+ROWS_A_TASK = 20_000
 
 _RECORD = "doc_id long, th long, n long, cls long, grp long, prefix array<long>, sketch array<long>"
 
@@ -95,25 +97,26 @@ def _near(x: str, y: str):
     return (9 * rest >= 4 * n) & (5 * F.least(F.col(f"{x}.n"), F.col(f"{y}.n")) >= 4 * F.greatest(F.col(f"{x}.n"), F.col(f"{y}.n")))
 
 
-def _sketch_filter(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _sketch_filter(pairs: DataFrame, classes: DataFrame, tasks: int) -> DataFrame:
     """Pairs whose sketches allow similarity 0.8: in no more bits apart than the ninth of both sizes."""
     side = lambda k: classes.select(F.col("cls").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.coalesce(tasks).join(side("a"), "a").coalesce(tasks).join(side("b"), "b").coalesce(tasks)
     half = lambda s, n: F.when(F.size(s) > n, F.zip_with(F.slice(s, 1, n), F.slice(s, n + 1, n), lambda x, y: x.bitwiseXOR(y))).otherwise(s)
     n = F.least(F.size("s_a"), F.size("s_b"))
     apart = F.aggregate(F.zip_with(half(F.col("s_a"), n), half(F.col("s_b"), n), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     return both.where((9 * apart <= F.col("n_a") + F.col("n_b")) & (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b"))).select("a", "b")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, tasks: int) -> DataFrame:
     """The pairs (leader a, member b) whose whole sets have similarity 0.8 or more.
 
     Texts go to their leaders: a task holds the set of one leader and streams the members. A leader with many members
     is sent to several tasks.
     """
-    salted = pairs.withColumn("salt", F.pmod("b", F.ceil(F.count("*").over(W.partitionBy("a")) / CELL)))
-    jobs = salted.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("cls")).unionByName(salted.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("cls")).distinct())
-    jobs = written(jobs.join(classes.select("cls", "rep"), "cls").select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"), "a", "salt", "role", "cls"), "jaccard-jobs")
+    pairs = written(pairs, "jaccard-pairs")
+    salted = pairs.withColumn("salt", F.pmod("b", F.ceil(F.count("*").over(W.partitionBy("a")) / CELL))).coalesce(tasks)
+    jobs = salted.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("cls")).unionByName(salted.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("cls")).distinct().coalesce(tasks))
+    jobs = written(jobs.join(classes.select("cls", "rep"), "cls").select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"), "a", "salt", "role", "cls").coalesce(tasks), "jaccard-jobs")
     small = jobs.count() <= BROADCAST_ROWS
     right = F.broadcast(jobs) if small else jobs
     cells = docs.join(right, (F.col("th") == F.col("rep_th")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("a", "salt", "role", "cls", "text")
@@ -136,16 +139,6 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFram
     return cells.mapInPandas(run, "a long, b long")
 
 
-def _labelled(index: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The index rows with their class's label, of buckets that hold more than one label."""
-    if labels is not None:
-        index = index.join(labels.select(F.col("node").alias("cls"), F.col("component").alias("label")), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    else:
-        index = index.withColumn("label", F.col("cls"))
-    token = W.partitionBy("token")
-    return index.withColumn("lo", F.min("label").over(token)).withColumn("hi", F.max("label").over(token)).where("lo < hi")
-
-
 def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, th, n, cls, component_id), one row per row of docs; th is the text's hash.
 
@@ -157,38 +150,42 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     docs = docs.withColumn("th", F.xxhash64("text"))
     records = written(_records(docs.select("doc_id", "th", "text"), _common(docs)), "jaccard-records")
     full = records.where("n > 0")
-    classes = written(full.groupBy("cls").agg(F.first("n").alias("n"), F.first("grp").alias("grp"), F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch")), "jaccard-classes")
+    tasks = 8 + records.count() // ROWS_A_TASK
+    classes = written(full.groupBy("cls").agg(F.first("n").alias("n"), F.first("grp").alias("grp"), F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch")).coalesce(tasks), "jaccard-classes")
     groups = full.groupBy("grp").agg(F.first("n").alias("n"), F.min("cls").alias("cls"), F.first("prefix").alias("prefix"))
     rows = groups.select("grp", "n", "cls", F.posexplode("prefix").alias("pos", "token"))
-    shared = written(rows.withColumn("k", F.count("*").over(W.partitionBy("token"))).where("k > 1").drop("k"), "jaccard-index")
+    shared = written(rows.withColumn("k", F.count("*").over(W.partitionBy("token"))).where("k > 1").drop("k").coalesce(4 * tasks), "jaccard-index")
     inside = classes.select("grp", "n", "cls", F.lit(0).alias("pos"), F.col("grp").alias("token"))
-    several = inside.withColumn("k", F.count("*").over(W.partitionBy("grp"))).where("k > 1").drop("k")
-    links, labels, at = None, None, 0
+    several = inside.withColumn("k", F.count("*").over(W.partitionBy("grp"))).where("k > 1").drop("k").coalesce(tasks)
+    live, links, at = shared.unionByName(several).withColumn("label", F.col("cls")), None, 0
     while True:
-        # the leader of a bucket is its class of the least hash in this round, among those that are no label's rest
-        live = written(_labelled(shared.unionByName(several), labels), "jaccard-live")
+        # the leader of a bucket is a class of the least label, in the first round its class of the least hash
         token = W.partitionBy("token")
         order = F.xxhash64("label", F.lit(at)) if at else F.col("label")
         led = live.withColumn("lead", F.min(F.struct(order.alias("o"), "cls", "n", "pos", "label")).over(token))
         x, y = F.struct("cls", "n", "pos", "label").alias("x"), F.col("lead").alias("y")
-        star = led.where("cls <> lead.cls AND label <> lead.label").select(x, y).where(_near("x", "y")).select(F.col("y.cls").alias("a"), F.col("x.cls").alias("b")).distinct()
-        new = written(_verified(docs, _sketch_filter(star, classes), classes), "jaccard-links")
+        star = led.where("cls <> lead.cls AND label <> lead.label").select(x, y).where(_near("x", "y")).select(F.col("y.cls").alias("a"), F.col("x.cls").alias("b"))
+        new = written(_verified(docs, _sketch_filter(star.coalesce(4 * tasks).distinct(), classes, tasks), classes, tasks).coalesce(tasks), "jaccard-links")
         links = new if links is None else links.unionByName(new)
-        labels = written(connected(links), "jaccard-labels")
+        nodes = written(connected(links), "jaccard-labels")
         at += 1
         # what is left: pairs of classes with different labels in one bucket, groups expanded to their classes
-        rest = _labelled(shared.drop("cls").join(classes.select("grp", "cls"), "grp").unionByName(several.select("grp", "n", "pos", "token", "cls")), labels)
-        rest = written(rest.select("token", "cls", "n", "pos", "label"), "jaccard-rest")
-        counts = rest.groupBy("token", "label").agg(F.count("*").alias("k")).groupBy("token").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.sum("k").alias("k"))
-        got = counts.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()
+        named = classes.select("cls", "grp").join(nodes.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "grp", F.coalesce("component", "cls").alias("label")).coalesce(tasks)
+        whole = shared.drop("cls").join(named, "grp").unionByName(several.join(named.drop("grp"), "cls").select(*shared.drop("cls").columns, "cls", "label"))
+        live = whole.withColumn("lo", F.min("label").over(token)).withColumn("hi", F.max("label").over(token)).where("lo < hi")
+        live = written(live.select("token", "cls", "n", "pos", "label").coalesce(4 * tasks), "jaccard-live")
+        counts = live.groupBy("token", "label").agg(F.count("*").alias("k")).groupBy("token").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.sum("k").alias("k"))
+        got = counts.coalesce(4 * tasks).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()
         if got["pairs"] <= DENSE * got["k"] or at >= ROUNDS:
             break
-    p, q = rest.alias("p"), rest.alias("q")
+    p, q = live.alias("p"), live.alias("q")
     apart = p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.cls") < F.col("q.cls")) & (F.col("p.label") != F.col("q.label")) & _near("p", "q"))
-    late = _verified(docs, _sketch_filter(apart.select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b")).distinct(), classes), classes)
-    nodes = written(connected(links.unionByName(written(late, "jaccard-links"))), "jaccard-labels")
-    named = classes.join(nodes.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"), "first_id")
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    late = written(_verified(docs, _sketch_filter(apart.select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b")).coalesce(4 * tasks).distinct(), classes, tasks), classes, tasks).coalesce(tasks), "jaccard-links")
+    if not late.isEmpty():
+        known = nodes.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        nodes = written(connected(known.unionByName(late)), "jaccard-labels")
+    named = classes.join(nodes.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"), "first_id").coalesce(tasks)
+    least = named.groupBy("component").agg(F.min("first_id").alias("component_id")).coalesce(tasks)
     known = named.select("cls", "component").join(least, "component").select("cls", "component_id")
     out = records.select("doc_id", "th", "n", "cls").join(known, "cls", "left")
     return out.select("doc_id", "th", "n", "cls", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
