@@ -6,6 +6,8 @@ templates, and the template's shingles are then counted exactly in the text arou
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,28 +45,33 @@ def collision_probability(shared: int, either: int, bands: int = BANDS) -> float
     return 1 - (1 - shared / either) ** bands
 
 
-def _words(text: Column) -> Column:
-    """Lower-case words without ASCII punctuation at their ends; none for null or blank text."""
-    plain = F.trim(F.regexp_replace(F.translate(lower_ascii(F.coalesce(text, F.lit(""))), '.,;:!?()[]"', " "), r"[\x09-\x0D\x20]+", " "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+def _word_hashes(df: DataFrame, text: str) -> DataFrame:
+    """df with wh, the hashes of the lower-case words without ASCII punctuation; none for null or blank text."""
+    cut = df.withColumn("_cut", F.split(lower_ascii(F.coalesce(F.col(text), F.lit(""))), r'[\x09-\x0D\x20.,;:!?()\[\]"]+'))
+    # a text that begins or ends with white space has an empty first or last word
+    some = F.slice("_cut", F.when(F.element_at("_cut", 1) == "", 2).otherwise(1), F.greatest(F.size("_cut") - F.when(F.element_at("_cut", 1) == "", 1).otherwise(0) - F.when((F.element_at("_cut", -1) == "") & (F.size("_cut") > 1), 1).otherwise(0), F.lit(0)))
+    return cut.withColumn("_some", some).withColumn("wh", F.transform("_some", lambda w: F.xxhash64(w))).drop("_cut", "_some")
 
 
-def _shingles(words: Column) -> Column:
-    """64-bit hashes of the word triples; shorter texts have none."""
-    zipped = F.arrays_zip(words.alias("a"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))).alias("b"), F.slice(words, 3, F.greatest(F.size(words), F.lit(1))).alias("c"))
-    return F.transform(F.slice(zipped, 1, F.greatest(F.size(words) - (SHINGLE - 1), F.lit(0))), lambda x: F.xxhash64(x))
+def _windows(hashed: DataFrame, *keep: str, step: int) -> DataFrame:
+    """A row for each window, with the hashes h0, h1, h2 of its word triples; the later ones are null where the text ends."""
+    cut = F.transform(F.sequence(F.lit(0), F.size("wh") - SHINGLE, F.lit(step)), lambda k: F.struct(k.alias("at"), F.slice("wh", k + 1, SPAN + SHINGLE - 1).alias("w")))
+    # no filter on the size: it would be moved below the hashing and hash every word twice
+    rows = hashed.select(*keep, F.explode(F.when(F.size("wh") >= SHINGLE, cut)).alias("c"))
+    get = [F.get(F.col("c.w"), F.lit(k)) for k in range(SPAN + SHINGLE - 1)]
+    h = [F.when(get[k + 2].isNotNull(), F.xxhash64(*get[k : k + SHINGLE])).alias(f"h{k}") for k in range(SPAN)]
+    # exploding one struct keeps the optimiser from putting these hashes into every band
+    return rows.select(*keep, "c.at", F.inline(F.array(F.struct(*h))))
 
 
-def _bands(window: Column) -> list[Column]:
+def _bands() -> list[Column]:
     """Per band the least hash of the window's one to three shingles."""
-    part = [F.get(window, F.lit(k)) for k in range(SPAN)]
-    return [F.least(F.xxhash64(part[0], F.lit(j)), *[F.when(p.isNotNull(), F.xxhash64(p, F.lit(j))) for p in part[1:]]) for j in range(BANDS)]
+    return [F.least(F.xxhash64("h0", F.lit(j)), *[F.when(F.col(h).isNotNull(), F.xxhash64(h, F.lit(j))) for h in ("h1", "h2")]) for j in range(BANDS)]
 
 
-def _template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    rows = spark.createDataFrame(list(templates.items()) or [("", "")], "license_id string, notice string")
-    made = rows.select("license_id", F.array_distinct(_shingles(_words(F.col("notice")))).alias("t_shingles"), _shingles(_words(F.col("notice"))).alias("t_all"))
-    return made.where(F.size("t_all") > 0)
+def _triples(words: Column, start: Column, size: Column) -> Column:
+    """Hashes of the word triples from start on, `size` of them."""
+    return F.transform(F.sequence(start, start + size - 1), lambda k: F.xxhash64(F.get(words, k), F.get(words, k + 1), F.get(words, k + 2)))
 
 
 def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -77,19 +84,18 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "do
     bands are constants of the plan.
     """
     spark = df.sparkSession
-    known = _template_table(spark, templates)
-    windows = known.select("license_id", "t_shingles", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("t_all") - SPAN, F.lit(0))), lambda k: F.slice("t_all", k + 1, SPAN))).alias("win"))
-    bands = windows.select("license_id", F.posexplode(F.array(*_bands(F.col("win")))).alias("band", "value")).distinct()
+    notices = spark.createDataFrame(list(templates.items()) or [("", "")], "license_id string, notice string")
+    notices = _word_hashes(notices, "notice").where(F.size("wh") >= SHINGLE)
+    known = notices.select("license_id", (F.size("wh") - (SHINGLE - 1)).alias("n"), F.array_distinct(_triples(F.col("wh"), F.lit(0), F.size("wh") - (SHINGLE - 1))).alias("t_shingles"))
+    bands = _windows(notices, "license_id", step=1).select("license_id", F.posexplode(F.array(*_bands())).alias("band", "value")).distinct()
     by_band: dict[int, list[int]] = {}
     for r in bands.select("band", "value").distinct().collect():  # bounded by the templates
         by_band.setdefault(r["band"], []).append(r["value"])
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     if not by_band:
         return docs.limit(0).select("doc_id", F.lit("").alias("license_id"), F.lit(0.0).alias("containment"), F.lit(0).alias("first_word"))
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("th"), _shingles(_words(F.col("text"))).alias("hs")).where(F.size("hs") > 0)
-    cut = F.transform(F.sequence(F.lit(0), F.size("hs") - 1, F.lit(STEP)), lambda k: F.struct(k.alias("at"), F.slice("hs", k + 1, SPAN).alias("win")))
-    each = hashed.select("doc_id", "th", F.explode(cut).alias("w")).select("doc_id", "th", F.col("w.at").alias("at"), F.col("w.win").alias("win"))
-    own = _bands(F.col("win"))
+    each = _windows(_word_hashes(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), "text").select("doc_id", "th", "wh"), "doc_id", "th", step=STEP)
+    own = _bands()
     met = own[0].isin(by_band[0])
     for j in range(1, BANDS):
         met = met | own[j].isin(by_band[j])
@@ -98,15 +104,15 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "do
     places = written(hits.groupBy("doc_id", "th").agg(F.collect_set(F.struct("license_id", "at")).alias("places")).withColumnsRenamed({"doc_id": "hit_id", "th": "hit_th"}), "license-places")
     right = F.broadcast(places) if hits.count() <= BROADCAST_ROWS else places
     found = docs.withColumn("th", F.xxhash64("text")).join(right, (F.col("th") == F.col("hit_th")) & F.col("doc_id").eqNullSafe(F.col("hit_id")))
-    found = found.select("doc_id", "th", _shingles(_words(F.col("text"))).alias("hs"), "places")
+    found = _word_hashes(found, "text").select("doc_id", "th", "wh", "places")
     # the places are cut out of the text before they are exploded, so that no row carries the whole text
-    sizes = {r["license_id"]: len(r["t_all"]) for r in known.select("license_id", "t_all").collect()}
-    longest = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])
+    reach = {r["license_id"]: math.ceil(r["n"] * 1.2) for r in known.select("license_id", "n").collect()}
+    longest = F.create_map(*[F.lit(x) for kv in reach.items() for x in kv])
 
     def around(p: Column) -> Column:
-        reach = F.ceil(longest[p["license_id"]] * 1.2).cast("int")
-        start = F.greatest(p["at"] - reach, F.lit(0))
-        return F.struct(p["license_id"].alias("license_id"), p["at"].alias("at"), F.slice("hs", start + 1, p["at"] - start + SPAN + reach).alias("near"))
+        start = F.greatest(p["at"] - longest[p["license_id"]], F.lit(0))
+        size = F.least(p["at"] + SPAN + longest[p["license_id"]], F.size("wh") - (SHINGLE - 1)) - start
+        return F.struct(p["license_id"].alias("license_id"), p["at"].alias("at"), _triples(F.col("wh"), start, size).alias("near"))
 
     spots = found.select("doc_id", "th", F.explode(F.transform("places", around)).alias("p")).select("doc_id", "th", "p.*")
     share = F.size(F.array_intersect("t_shingles", "near")) / F.size("t_shingles")
