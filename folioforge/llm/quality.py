@@ -2,7 +2,9 @@
 
 Two zstandard dictionaries are built from good and bad labelled text. A text is cut into blocks of BLOCK bytes, each
 block is compressed with either dictionary, and the normalised difference of the summed sizes is calibrated to a
-probability by a logistic curve fitted on other labelled rows.
+probability by a logistic curve fitted on other labelled rows. The curve also sees the compressed share of the text and
+the logarithm of its size: the same difference says less of a short text, and repetition compresses under either
+dictionary.
 """
 
 from __future__ import annotations
@@ -22,15 +24,14 @@ from folioforge.llm.common import crc_mod, table
 
 #: Block size; dictionary size; labelled rows of each class that the dictionaries and the calibration are fitted on at
 #: most, taken by hash of the id; bytes of each such row that go into a dictionary. Scoring has no bounds.
-BLOCK, DICT_BYTES, FIT_ROWS, FIT_BYTES, LEVEL = 4096, 65536, 1200, 16384, 3
+BLOCK, DICT_BYTES, FIT_ROWS, FIT_BYTES, LEVEL = 1024, 65536, 1200, 16384, 3
 
 
 @dataclass(frozen=True)
 class Model:
     good: bytes
     bad: bytes
-    slope: float
-    offset: float
+    weights: tuple[float, ...]  # of the measures, then the offset
 
 
 def _blocks(text: str | None) -> list[bytes]:
@@ -44,13 +45,17 @@ def _compressor(words: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False)
 
 
-def difference(text: str | None, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> float:
-    """(bad size - good size) / (bad size + good size) over all blocks; 0 for an empty text."""
-    g = b = 0
+def measures(text: str | None, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> tuple[float, ...]:
+    """(bad size - good size) / (bad size + good size) over all blocks; the compressed share, its root and its square; the size's logarithm. All 0 for an empty text."""
+    g = b = n = 0
     for x in _blocks(text):
         g += len(good.compress(x))
         b += len(bad.compress(x))
-    return (b - g) / (b + g) if g + b else 0.0
+        n += len(x)
+    if not n:
+        return 0.0, 0.0, 0.0, 0.0, 0.0
+    share = (g + b) / (2 * n)
+    return (b - g) / (b + g), share, math.sqrt(share), share * share, math.log(n)
 
 
 def _dictionary(samples: list[bytes]) -> bytes:
@@ -61,21 +66,26 @@ def _dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICT_BYTES:] or b" "
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a ridge logistic curve on standardised x. Without both classes: slope 0, the smoothed share."""
+def _logistic(x: np.ndarray, y: np.ndarray, shift: float) -> tuple[float, ...]:
+    """Weights and offset of a ridge logistic curve on standardised measures. Without both classes: no weights, the smoothed share.
+
+    shift is added to the offset: it takes the curve from the classes' shares in the sample to those among all labels.
+    """
     n = len(y)
     if n == 0 or y.min() == y.max():
         p = (y.sum() + 1) / (n + 2)
-        return 0.0, math.log(p / (1 - p))
-    mid, wide = x.mean(), x.std() or 1.0
-    a, w = np.column_stack([(x - mid) / wide, np.ones(n)]), np.zeros(2)
-    for _ in range(50):
+        return (*[0.0] * x.shape[1], math.log(p / (1 - p)))
+    mid, wide = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
+    a, w = np.column_stack([(x - mid) / wide, np.ones(n)]), np.zeros(x.shape[1] + 1)
+    ridge = np.array([1e-2] * x.shape[1] + [1e-6])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag([1e-2, 1e-6]), a.T @ (y - p) - np.array([1e-2, 1e-6]) * w)
+        step = np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + np.diag(ridge), a.T @ (y - p) - ridge * w)
         w += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / wide), float(w[1] - w[0] * mid / wide)
+    slopes = w[:-1] / wide
+    return (*slopes.tolist(), float(w[-1] - slopes @ mid + shift))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", rows: int = FIT_ROWS) -> Model:
@@ -97,20 +107,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         parts[r["_y"]].append(r["_text"])
     words = {y: _dictionary([b for t in ts[0 : len(ts) : 2] for b in _blocks(t)]) for y, ts in parts.items()}
     good, bad = _compressor(words[1]), _compressor(words[0])
-    rest = [(difference(t, good, bad), y) for y, ts in parts.items() for t in ts[1 : len(ts) : 2]]
-    slope, offset = _logistic(np.array([x for x, _ in rest]), np.array([float(y) for _, y in rest]))
-    return Model(words[1], words[0], slope, offset)
+    rest = [(measures(t, good, bad), y) for y, ts in parts.items() for t in ts[1 : len(ts) : 2]]
+    total = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}  # two rows
+    own = {y: max(1, sum(k == y for _, k in rest)) for y in (0, 1)}
+    shift = math.log(total[1] / own[1]) - math.log(total[0] / own[0]) if total.get(0) and total.get(1) else 0.0
+    x = np.array([m for m, _ in rest]).reshape(-1, len(measures("", good, bad)))
+    return Model(words[1], words[0], _logistic(x, np.array([float(y) for _, y in rest]), shift))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "quality_score") -> DataFrame:
-    """df with the score, 0 to 1, higher for better text. Only the text counts; null is empty, and empty texts get the curve's value at 0."""
+    """df with the score, 0 to 1, higher for better text. Only the text counts; null is empty, and empty texts get the curve's value at 0 for all measures."""
     base = df.drop(out)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         good, bad = _compressor(model.good), _compressor(model.bad)
         for pdf in batches:
-            x = np.array([difference(t, good, bad) for t in pdf[text]], dtype=float)
-            yield pdf.assign(**{out: 1 / (1 + np.exp(-np.clip(model.slope * x + model.offset, -500, 500)))})
+            x = np.array([measures(t, good, bad) for t in pdf[text]], dtype=float).reshape(len(pdf), -1)
+            yield pdf.assign(**{out: 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights[:-1]) + model.weights[-1], -500, 500)))})
 
     return base.mapInPandas(run, T.StructType([*base.schema.fields, T.StructField(out, T.DoubleType())]))
 
