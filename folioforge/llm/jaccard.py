@@ -25,13 +25,14 @@ WORDS = 5
 #: Shingles that SAMPLE_HITS of the rows in one of SAMPLE_OF parts hold are put last in the order, the most frequent
 #: ORDER_MOST of them (8 bytes each). Any order gives the same result; this one only keeps prefix buckets small.
 SAMPLE_OF, SAMPLE_HITS, ORDER_MOST = 16, 3, 1 << 20
-#: Rows that may be broadcast (under 64 bytes each); a leader's comparisons in one task; leader rounds at most, and the
-#: pairs per index row above which another is run.
-BROADCAST_ROWS, CELL, ROUNDS, DENSE = 1_000_000, 128, 6, 64
+#: Rows that may be broadcast (under 64 bytes each); a leader's comparisons in one task.
+BROADCAST_ROWS, CELL = 1_000_000, 128
 #: Rows of a table of classes for each task, so that small tables are not dealt over more tasks than they need.
 ROWS_A_TASK = 20_000
 
-_RECORD = "doc_id long, th long, n long, cls long, grp long, prefix array<long>, sketch array<long>"
+#: The sketch of 256 slots, which the comparison within a bucket sees.
+FOLD = ("f0", "f1", "f2", "f3")
+_RECORD = "doc_id long, th long, n long, cls long, grp long, prefix array<long>, sketch array<long>, " + ", ".join(f"{f} long" for f in FOLD)
 
 
 def _hash64(data: bytes) -> int:
@@ -43,41 +44,42 @@ def _least_shared(n: int) -> int:
     return (4 * n + 4) // 5
 
 
-def odd_sketch(s: np.ndarray) -> np.ndarray:
-    """Parities of the counts of shingles by slot, as 64-bit words. Two sketches differ in no more bits than the sets in shingles."""
-    m = max(64, 1 << max(0, len(s) - 1).bit_length())
+def odd_sketch(s: np.ndarray, m: int = 0) -> np.ndarray:
+    """Parities of the counts of shingles by slot, as 64-bit words; as many slots as shingles if m is 0. Two sketches of one size differ in no more bits than the sets in shingles."""
+    m = m or max(64, 1 << max(0, len(s) - 1).bit_length())
     odd = np.bincount((mix64(s) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _records(docs: DataFrame, common: np.ndarray) -> DataFrame:
+def _records(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """One row per document with words: class, group, prefix and sketch."""
     last = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often = last.value
+        often, place = last.value
         for pdf in batches:
             rows = []
             for doc, th, text in zip(pdf["doc_id"], pdf["th"], pdf["text"], strict=True):
                 s = shingle_set(text, WORDS)
                 n = len(s)
                 if n == 0:
-                    rows.append((doc, th, 0, None, None, None, None))
+                    rows.append((doc, th, 0, None, None, None, None, *[None] * 4))
                     continue
                 ordered = s
                 if len(often):
-                    seen = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
-                    ordered = np.concatenate([s[~seen], s[seen]])
+                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
+                    seen = often[at] == s
+                    ordered = np.concatenate([s[~seen], s[seen][np.argsort(place[at[seen]])]])
                 prefix = ordered[: n - _least_shared(n) + 1]
-                rows.append((doc, th, n, _hash64(s.tobytes()), _hash64(prefix.tobytes() + n.to_bytes(8, "little")), signed(prefix), odd_sketch(s)))
-            made = pd.DataFrame(rows, columns=["doc_id", "th", "n", "cls", "grp", "prefix", "sketch"])
-            yield made.astype({"doc_id": "Int64", "cls": "Int64", "grp": "Int64"})
+                rows.append((doc, th, n, _hash64(s.tobytes()), _hash64(prefix.tobytes() + n.to_bytes(8, "little")), signed(prefix), odd_sketch(s), *odd_sketch(s, 256).tolist()))
+            made = pd.DataFrame(rows, columns=["doc_id", "th", "n", "cls", "grp", "prefix", "sketch", *FOLD])
+            yield made.astype({c: "Int64" for c in ("doc_id", "cls", "grp", *FOLD)})
 
     return docs.mapInPandas(run, _RECORD)
 
 
-def _common(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of the shingles that stand last in the order, from one part in SAMPLE_OF of the rows; copies count once."""
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles that stand last in the order, and their places in it, the most frequent last: from one part in SAMPLE_OF of the rows; copies count once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -87,7 +89,9 @@ def _common(docs: DataFrame) -> np.ndarray:
     part = docs.where(crc_mod(F.col("doc_id"), SAMPLE_OF) == 0).dropDuplicates(["th"]).mapInPandas(run, "cls long, s array<long>")
     counts = part.select(F.explode("s").alias("s")).groupBy("s").count().where(F.col("count") >= SAMPLE_HITS)
     top = counts.orderBy(F.col("count").desc(), "s").limit(ORDER_MOST)
-    return np.sort(unsigned(top.select("s").toPandas()["s"].to_numpy(np.int64)))
+    often = unsigned(top.select("s").toPandas()["s"].to_numpy(np.int64))
+    order = np.argsort(often)
+    return often[order], -order
 
 
 def _near(x: str, y: str):
@@ -151,36 +155,31 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     records = written(_records(docs.select("doc_id", "th", "text"), _common(docs)), "jaccard-records")
     full = records.where("n > 0")
     tasks = 8 + records.count() // ROWS_A_TASK
-    classes = written(full.groupBy("cls").agg(F.first("n").alias("n"), F.first("grp").alias("grp"), F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch")).coalesce(tasks), "jaccard-classes")
+    classes = written(full.groupBy("cls").agg(F.first("n").alias("n"), F.first("grp").alias("grp"), F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch"), *[F.first(f).alias(f) for f in FOLD]).coalesce(tasks), "jaccard-classes")
     groups = full.groupBy("grp").agg(F.first("n").alias("n"), F.min("cls").alias("cls"), F.first("prefix").alias("prefix"))
     rows = groups.select("grp", "n", "cls", F.posexplode("prefix").alias("pos", "token"))
     shared = written(rows.withColumn("k", F.count("*").over(W.partitionBy("token"))).where("k > 1").drop("k").coalesce(4 * tasks), "jaccard-index")
     inside = classes.select("grp", "n", "cls", F.lit(0).alias("pos"), F.col("grp").alias("token"))
     several = inside.withColumn("k", F.count("*").over(W.partitionBy("grp"))).where("k > 1").drop("k").coalesce(tasks)
-    live, links, at = shared.unionByName(several).withColumn("label", F.col("cls")), None, 0
-    while True:
-        # the leader of a bucket is a class of the least label, in the first round its class of the least hash
-        token = W.partitionBy("token")
-        order = F.xxhash64("label", F.lit(at)) if at else F.col("label")
-        led = live.withColumn("lead", F.min(F.struct(order.alias("o"), "cls", "n", "pos", "label")).over(token))
-        x, y = F.struct("cls", "n", "pos", "label").alias("x"), F.col("lead").alias("y")
-        star = led.where("cls <> lead.cls AND label <> lead.label").select(x, y).where(_near("x", "y")).select(F.col("y.cls").alias("a"), F.col("x.cls").alias("b"))
-        new = written(_verified(docs, _sketch_filter(star.coalesce(4 * tasks).distinct(), classes, tasks), classes, tasks).coalesce(tasks), "jaccard-links")
-        links = new if links is None else links.unionByName(new)
-        nodes = written(connected(links), "jaccard-labels")
-        at += 1
-        # what is left: pairs of classes with different labels in one bucket, groups expanded to their classes
-        named = classes.select("cls", "grp").join(nodes.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "grp", F.coalesce("component", "cls").alias("label")).coalesce(tasks)
-        whole = shared.drop("cls").join(named, "grp").unionByName(several.join(named.drop("grp"), "cls").select(*shared.drop("cls").columns, "cls", "label"))
-        live = whole.withColumn("lo", F.min("label").over(token)).withColumn("hi", F.max("label").over(token)).where("lo < hi")
-        live = written(live.select("token", "cls", "n", "pos", "label").coalesce(4 * tasks), "jaccard-live")
-        counts = live.groupBy("token", "label").agg(F.count("*").alias("k")).groupBy("token").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.sum("k").alias("k"))
-        got = counts.coalesce(4 * tasks).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()
-        if got["pairs"] <= DENSE * got["k"] or at >= ROUNDS:
-            break
+    # the leader of a bucket is its class of the least hash: in a group of near copies mostly one and the same
+    token = W.partitionBy("token")
+    led = shared.unionByName(several).withColumn("lead", F.min(F.struct("cls", "n", "pos")).over(token))
+    x, y = F.struct("cls", "n", "pos").alias("x"), F.col("lead").alias("y")
+    star = led.where("cls <> lead.cls").select(x, y).where(_near("x", "y")).select(F.col("y.cls").alias("a"), F.col("x.cls").alias("b"))
+    links = written(_verified(docs, _sketch_filter(star.coalesce(4 * tasks).distinct(), classes, tasks), classes, tasks).coalesce(tasks), "jaccard-links")
+    nodes = written(connected(links), "jaccard-labels")
+    # what is left: pairs of classes with different labels in one bucket, groups expanded to their classes
+    named = classes.select("cls", "grp", *FOLD).join(nodes.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "grp", *FOLD, F.coalesce("component", "cls").alias("label")).coalesce(tasks)
+    whole = shared.drop("cls").join(named, "grp").unionByName(several.join(named.drop("grp"), "cls").select(*shared.drop("cls").columns, "cls", *FOLD, "label"))
+    live = whole.withColumn("lo", F.min("label").over(token)).withColumn("hi", F.max("label").over(token)).where("lo < hi")
+    live = written(live.select("token", "cls", "n", "pos", "label", *FOLD).coalesce(4 * tasks), "jaccard-live")
     p, q = live.alias("p"), live.alias("q")
-    apart = p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.cls") < F.col("q.cls")) & (F.col("p.label") != F.col("q.label")) & _near("p", "q"))
-    late = written(_verified(docs, _sketch_filter(apart.select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b")).coalesce(4 * tasks).distinct(), classes, tasks), classes, tasks).coalesce(tasks), "jaccard-links")
+    bits = F.lit(0)
+    for f in FOLD:
+        bits = bits + F.bit_count(F.col(f"p.{f}").bitwiseXOR(F.col(f"q.{f}")))
+    far = (F.col("p.token") == F.col("q.token")) & (F.col("p.cls") < F.col("q.cls")) & (F.col("p.label") != F.col("q.label"))
+    apart = p.join(q, far & _near("p", "q") & (9 * bits <= F.col("p.n") + F.col("q.n"))).select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b"))
+    late = written(_verified(docs, _sketch_filter(apart.coalesce(4 * tasks).distinct(), classes, tasks), classes, tasks).coalesce(tasks), "jaccard-links")
     if not late.isEmpty():
         known = nodes.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         nodes = written(connected(known.unionByName(late)), "jaccard-labels")
