@@ -153,7 +153,12 @@ class Encoder:
         # the order in which pairs merge: by score, greatest first
         self.rank = np.full(len(p.names) + 1, np.iinfo(np.int64).max)
         self.rank[ids] = np.unique(-real, return_inverse=True)[1]
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """The encodings of words lie in one array; a word has a number, its start and its length there."""
+        self.rows: dict[str, int] = {}
+        self.start, self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
 
     @staticmethod
     def _key(s: str) -> int:
@@ -271,12 +276,23 @@ class Encoder:
         by_size: dict[int, list[str]] = {}
         for w in words:
             by_size.setdefault(len(w), []).append(w)
+        sizes, flats = [], []
+
+        def add(part: list[str], size: np.ndarray, flat_ids: np.ndarray) -> None:
+            n = len(self.rows)
+            self.rows.update(zip(part, range(n, n + len(part)), strict=True))
+            sizes.append(size.astype(np.int64))
+            flats.append(flat_ids.astype(np.int32))
+
+        def one_by_one(part: list[str], encoded: list[tuple[int, ...]]) -> None:
+            add(part, np.fromiter(map(len, encoded), np.int64, len(encoded)), np.fromiter(flat.from_iterable(encoded), np.int32))
+
         for n, group in by_size.items():
             if n == 1:
-                self.cache.update((w, (self.ids[w],) if w in self.ids else self._fallback(w)) for w in group)
+                one_by_one(group, [(self.ids[w],) if w in self.ids else self._fallback(w) for w in group])
                 continue
             if n > ARRAY_CHARS:
-                self.cache.update((w, self._long(w)) for w in group)
+                one_by_one(group, [self._long(w) for w in group])
                 continue
             for lo in range(0, len(group), CHUNK):
                 part = group[lo : lo + CHUNK]
@@ -287,24 +303,34 @@ class Encoder:
                 r, k = np.nonzero(size > 0)
                 s, z = starts[r, k], size[r, k]
                 got = np.where(z <= edges.shape[2], edges[r, s, np.minimum(z, edges.shape[2]) - 1], -1)
-                ends = np.cumsum((size > 0).sum(1)).tolist()
-                ids, begin, odd = got.tolist(), 0, set(r[got < 0].tolist())
-                for w, end in zip(range(len(part)), ends, strict=True):
-                    if w in odd:
-                        self.cache[part[w]] = tuple(flat.from_iterable((ids[q],) if ids[q] >= 0 else self._fallback(part[w][s[q] : s[q] + z[q]]) for q in range(begin, end)))
-                    else:
-                        self.cache[part[w]] = tuple(ids[begin:end])
-                    begin = end
+                odd = np.zeros(len(part), bool)  # words with a character that is no piece
+                odd[r[got < 0]] = True
+                plain = ~odd[r]
+                add([w for w, o in zip(part, odd.tolist(), strict=True) if not o], np.bincount(r[plain], minlength=len(part))[~odd], got[plain])
+                if odd.any():
+                    rest = np.flatnonzero(odd)
+                    ends = np.searchsorted(r, rest, side="right")
+                    begin = np.searchsorted(r, rest)
+                    one_by_one([part[w] for w in rest], [tuple(flat.from_iterable((int(got[q]),) if got[q] >= 0 else self._fallback(part[w][s[q] : s[q] + z[q]]) for q in range(x, y))) for w, x, y in zip(rest.tolist(), begin.tolist(), ends.tolist(), strict=True)])
+        if sizes:
+            new = np.concatenate(sizes)
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(new) - new])
+            self.size, self.flat = np.concatenate([self.size, new]), np.concatenate([self.flat, *flats])
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [self.find(escaped(t)) if t else [] for t in texts]
-        new = set().union(*cut) - self.cache.keys() if cut else set()
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = set().union(*cut)
+        seen = set(flat.from_iterable(cut))
+        new = seen - self.rows.keys()
+        if len(self.rows) + len(new) > CACHE:
+            self._forget()
+            new = seen
         self._learn(list(new))
-        got = self.cache.__getitem__
-        return [np.fromiter(flat.from_iterable(map(got, c)), np.int32) for c in cut]
+        row = np.fromiter(map(self.rows.__getitem__, flat.from_iterable(cut)), np.int64)
+        size = self.size[row]
+        end = np.cumsum(size)
+        out = self.flat[np.repeat(self.start[row] - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)]
+        stops = np.concatenate([[0], end])[np.cumsum([len(c) for c in cut])] if cut else []
+        return np.split(out, stops[:-1]) if len(cut) else []
 
 
 def decode_ids(p: Pieces, names: list[bytes], ids) -> str:
@@ -320,7 +346,7 @@ def piece_bytes(p: Pieces) -> list[bytes]:
     return out
 
 
-def _slices(texts: list[str | None], chars: int = 2_000_000) -> Iterator[slice]:
+def _slices(texts: list[str | None], chars: int = 4_000_000) -> Iterator[slice]:
     lo, n = 0, 0
     for k, t in enumerate(texts):
         n += len(t or "")
@@ -331,19 +357,28 @@ def _slices(texts: list[str | None], chars: int = 2_000_000) -> Iterator[slice]:
         yield slice(lo, len(texts))
 
 
-def encode(df: DataFrame, pieces: Pieces, text: str = "text", out: str = "ids") -> DataFrame:
-    """df with the ids of each text; null and empty texts have none. As the public library encodes: BPE models by merges, unigram models by Viterbi."""
-    base = df.drop(out)
+def encode(df: DataFrame, pieces: Pieces, text: str = "text", out: str = "ids", round_trip: str | None = None) -> DataFrame:
+    """df with the ids of each text; null and empty texts have none. As the public library encodes: BPE models by merges, unigram models by Viterbi.
+
+    round_trip names a column that tells whether decoding gives the text again: false for texts with U+2581, which is
+    how white space is written, true for null texts.
+    """
+    base = df.drop(out, *([round_trip] if round_trip else []))
     shared = df.sparkSession.sparkContext.broadcast(pieces)  # a vocabulary of fixed size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(shared.value)
+        encoder, names = Encoder(shared.value), piece_bytes(shared.value)
         for pdf in batches:
             texts = pdf[text].tolist()
             for part in _slices(texts):
-                yield pdf.iloc[part].assign(**{out: encoder(texts[part])})
+                ids = encoder(texts[part])
+                made = pdf.iloc[part].assign(**{out: ids})
+                if round_trip:
+                    made[round_trip] = [decode_ids(shared.value, names, x.tolist()) == (t or "") for x, t in zip(ids, texts[part], strict=True)]
+                yield made
 
-    return base.mapInPandas(run, T.StructType([*base.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    more = [T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(round_trip, T.BooleanType())] if round_trip else [])]
+    return base.mapInPandas(run, T.StructType([*base.schema.fields, *more]))
 
 
 def decode(df: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -363,5 +398,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and whether decoding them gives the text again."""
     pieces = load()
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = decode(encode(docs, pieces), pieces)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
+    return encode(docs, pieces, round_trip="round_trip").select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
