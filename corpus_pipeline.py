@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm import jaccard, mixing, pieces, pii, quality
-from folioforge.llm.common import table, written
+from folioforge.llm.common import prepared, table, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,11 +17,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of 5-word-shingle similarity 0.8 or more."""
+    prepared(spark)
     return jaccard.keep_one(docs)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without personal data and the terms that disclose it; n_chars is that of the new text."""
+    prepared(spark)
     return pii.sanitise(docs).withColumn("text", F.col("pii_text")).withColumn("n_chars", F.char_length("pii_text").cast("long")).select(*docs.columns)
 
 
@@ -32,6 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens and the piece ids of each row's text."""
+    prepared(spark)
     return pieces.encode(docs, pieces.load()).select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

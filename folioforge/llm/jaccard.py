@@ -71,7 +71,7 @@ def _records(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
                     seen = often[at] == s
                     ordered = np.concatenate([s[~seen], s[seen][np.argsort(place[at[seen]])]])
                 prefix = ordered[: n - _least_shared(n) + 1]
-                rows.append((doc, th, n, _hash64(s.tobytes()), _hash64(prefix.tobytes() + n.to_bytes(8, "little")), signed(prefix), odd_sketch(s), *odd_sketch(s, 256).tolist()))
+                rows.append((doc, th, n, _hash64(s.tobytes()), _hash64(prefix.tobytes() + n.to_bytes(8, "little")), signed(prefix.copy()), odd_sketch(s), *odd_sketch(s, 256).tolist()))
             made = pd.DataFrame(rows, columns=["doc_id", "th", "n", "cls", "grp", "prefix", "sketch", *FOLD])
             yield made.astype({c: "Int64" for c in ("doc_id", "cls", "grp", *FOLD)})
 
