@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,8 +30,11 @@ BROADCAST_ROWS, CELL = 1_000_000, 128
 #: Rows of a table of classes for each task, so that small tables are not dealt over more tasks than they need.
 ROWS_A_TASK = 20_000
 
-#: The sketch of 256 slots, which the comparison within a bucket sees.
-FOLD = ("f0", "f1", "f2", "f3")
+#: What the comparison within a bucket sees: a sketch of 256 slots, and for sets of up to FINE shingles one of 1024, which
+#: tells almost every shingle apart.
+FINE = 256
+COARSE_BITS, FINE_BITS = [f"f{i}" for i in range(4)], [f"g{i}" for i in range(16)]
+FOLD = (*COARSE_BITS, *FINE_BITS)
 _RECORD = "doc_id long, th long, n long, cls long, grp long, prefix array<long>, sketch array<long>, " + ", ".join(f"{f} long" for f in FOLD)
 
 
@@ -63,7 +66,7 @@ def _records(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
                 s = shingle_set(text, WORDS)
                 n = len(s)
                 if n == 0:
-                    rows.append((doc, th, 0, None, None, None, None, *[None] * 4))
+                    rows.append((doc, th, 0, None, None, None, None, *[None] * len(FOLD)))
                     continue
                 ordered = s
                 if len(often):
@@ -71,7 +74,7 @@ def _records(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
                     seen = often[at] == s
                     ordered = np.concatenate([s[~seen], s[seen][np.argsort(place[at[seen]])]])
                 prefix = ordered[: n - _least_shared(n) + 1]
-                rows.append((doc, th, n, _hash64(s.tobytes()), _hash64(prefix.tobytes() + n.to_bytes(8, "little")), signed(prefix.copy()), odd_sketch(s), *odd_sketch(s, 256).tolist()))
+                rows.append((doc, th, n, _hash64(s.tobytes()), _hash64(prefix.tobytes() + n.to_bytes(8, "little")), signed(prefix.copy()), odd_sketch(s), *odd_sketch(s, 256).tolist(), *(odd_sketch(s, 1024).tolist() if n <= FINE else [None] * 16)))
             made = pd.DataFrame(rows, columns=["doc_id", "th", "n", "cls", "grp", "prefix", "sketch", *FOLD])
             yield made.astype({c: "Int64" for c in ("doc_id", "cls", "grp", *FOLD)})
 
@@ -174,11 +177,15 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     live = whole.withColumn("lo", F.min("label").over(token)).withColumn("hi", F.max("label").over(token)).where("lo < hi")
     live = written(live.select("token", "cls", "n", "pos", "label", *FOLD).coalesce(4 * tasks), "jaccard-live")
     p, q = live.alias("p"), live.alias("q")
-    bits = F.lit(0)
-    for f in FOLD:
-        bits = bits + F.bit_count(F.col(f"p.{f}").bitwiseXOR(F.col(f"q.{f}")))
+
+    def close(fields: list[str]) -> Column:
+        bits = F.lit(0)
+        for f in fields:
+            bits = bits + F.bit_count(F.col(f"p.{f}").bitwiseXOR(F.col(f"q.{f}")))
+        return F.coalesce(9 * bits <= F.col("p.n") + F.col("q.n"), F.lit(True))
+
     far = (F.col("p.token") == F.col("q.token")) & (F.col("p.cls") < F.col("q.cls")) & (F.col("p.label") != F.col("q.label"))
-    apart = p.join(q, far & _near("p", "q") & (9 * bits <= F.col("p.n") + F.col("q.n"))).select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b"))
+    apart = p.join(q, far & _near("p", "q") & close(COARSE_BITS) & close(FINE_BITS)).select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b"))
     late = written(_verified(docs, _sketch_filter(apart.coalesce(4 * tasks).distinct(), classes, tasks), classes, tasks).coalesce(tasks), "jaccard-links")
     if not late.isEmpty():
         known = nodes.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))

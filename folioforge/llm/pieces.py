@@ -28,7 +28,7 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Code points of words that are encoded as arrays; longer ones are encoded one by one. Words kept by a worker, and words
 #: encoded at once.
-ARRAY_CHARS, CACHE, CHUNK = 24, 400_000, 20_000
+ARRAY_CHARS, CACHE, CHUNK = 24, 300_000, 8_000
 
 
 @dataclass(frozen=True)
@@ -346,7 +346,7 @@ def piece_bytes(p: Pieces) -> list[bytes]:
     return out
 
 
-def _slices(texts: list[str | None], chars: int = 4_000_000) -> Iterator[slice]:
+def _slices(texts: list[str | None], chars: int = 1_000_000) -> Iterator[slice]:
     lo, n = 0, 0
     for k, t in enumerate(texts):
         n += len(t or "")
