@@ -35,7 +35,7 @@ ROWS_A_TASK = 20_000
 FINE = 256
 COARSE_BITS, FINE_BITS = [f"f{i}" for i in range(4)], [f"g{i}" for i in range(16)]
 FOLD = (*COARSE_BITS, *FINE_BITS)
-_RECORD = "doc_id long, th long, n long, cls long, grp long, prefix array<long>, sketch array<long>, " + ", ".join(f"{f} long" for f in FOLD)
+_RECORD = "doc_id string, th long, n long, cls long, grp long, prefix array<long>, sketch array<long>, " + ", ".join(f"{f} long" for f in FOLD)
 
 
 def _hash64(data: bytes) -> int:
@@ -75,10 +75,14 @@ def _records(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
                     ordered = np.concatenate([s[~seen], s[seen][np.argsort(place[at[seen]])]])
                 prefix = ordered[: n - _least_shared(n) + 1]
                 rows.append((doc, th, n, _hash64(s.tobytes()), _hash64(prefix.tobytes() + n.to_bytes(8, "little")), signed(prefix.copy()), odd_sketch(s), *odd_sketch(s, 256).tolist(), *(odd_sketch(s, 1024).tolist() if n <= FINE else [None] * 16)))
-            made = pd.DataFrame(rows, columns=["doc_id", "th", "n", "cls", "grp", "prefix", "sketch", *FOLD])
-            yield made.astype({c: "Int64" for c in ("doc_id", "cls", "grp", *FOLD)})
-
-    return docs.mapInPandas(run, _RECORD)
+            # column by column: pandas would make floats of 64-bit numbers that stand beside nulls
+            names = ["doc_id", "th", "n", "cls", "grp", "prefix", "sketch", *FOLD]
+            columns = dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {c: [] for c in names}
+            yield pd.DataFrame({c: pd.Series(list(v), dtype="object") if c in ("doc_id", "prefix", "sketch") else pd.array(list(v), dtype="Int64") for c, v in columns.items()})
+
+    # ids travel as text: pandas has no null in its integers
+    made = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, _RECORD)
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
