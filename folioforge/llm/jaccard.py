@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,11 +31,10 @@ BROADCAST_ROWS, CELL = 1_000_000, 128
 ROWS_A_TASK = 20_000
 
 #: What the comparison within a bucket sees: a sketch of 256 slots, and for sets of up to FINE shingles one of 1024, which
-#: tells almost every shingle apart.
-FINE = 256
-COARSE_BITS, FINE_BITS = [f"f{i}" for i in range(4)], [f"g{i}" for i in range(16)]
-FOLD = (*COARSE_BITS, *FINE_BITS)
-_RECORD = "doc_id string, th long, n long, cls long, grp long, prefix array<long>, sketch array<long>, " + ", ".join(f"{f} long" for f in FOLD)
+#: tells almost every shingle apart. Rows of a bucket in one block; pairs of two labels that a bucket offers at first, and
+#: the factor by which that grows while there are more. Rows that a worker compares at once, and the rest of a bucket.
+FINE, BLOCK, OFFER, GROWTH, ROWS_AT_ONCE = 256, 2048, 1, 8, 8192
+_RECORD = "doc_id string, th long, n long, cls long, grp long, prefix array<long>, sketch array<long>, fold binary"
 
 
 def _hash64(data: bytes) -> int:
@@ -66,7 +65,7 @@ def _records(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
                 s = shingle_set(text, WORDS)
                 n = len(s)
                 if n == 0:
-                    rows.append((doc, th, 0, None, None, None, None, *[None] * len(FOLD)))
+                    rows.append((doc, th, 0, None, None, None, None, None))
                     continue
                 ordered = s
                 if len(often):
@@ -74,11 +73,11 @@ def _records(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
                     seen = often[at] == s
                     ordered = np.concatenate([s[~seen], s[seen][np.argsort(place[at[seen]])]])
                 prefix = ordered[: n - _least_shared(n) + 1]
-                rows.append((doc, th, n, _hash64(s.tobytes()), _hash64(prefix.tobytes() + n.to_bytes(8, "little")), signed(prefix.copy()), odd_sketch(s), *odd_sketch(s, 256).tolist(), *(odd_sketch(s, 1024).tolist() if n <= FINE else [None] * 16)))
+                rows.append((doc, th, n, _hash64(s.tobytes()), _hash64(prefix.tobytes() + n.to_bytes(8, "little")), signed(prefix.copy()), odd_sketch(s), odd_sketch(s, 256).tobytes() + (odd_sketch(s, 1024).tobytes() if n <= FINE else b"")))
             # column by column: pandas would make floats of 64-bit numbers that stand beside nulls
-            names = ["doc_id", "th", "n", "cls", "grp", "prefix", "sketch", *FOLD]
+            names = ["doc_id", "th", "n", "cls", "grp", "prefix", "sketch", "fold"]
             columns = dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {c: [] for c in names}
-            yield pd.DataFrame({c: pd.Series(list(v), dtype="object") if c in ("doc_id", "prefix", "sketch") else pd.array(list(v), dtype="Int64") for c, v in columns.items()})
+            yield pd.DataFrame({c: pd.Series(list(v), dtype="object") if c in ("doc_id", "prefix", "sketch", "fold") else pd.array(list(v), dtype="Int64") for c, v in columns.items()})
 
     # ids travel as text: pandas has no null in its integers
     made = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, _RECORD)
@@ -150,6 +149,70 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, tasks: int)
     return cells.mapInPandas(run, "a long, b long")
 
 
+def _pairs_of(rows: pd.DataFrame, offer: int) -> pd.DataFrame:
+    """(a, b, more) of whole buckets, or of pairs of their blocks, one after the other: of each pair of labels in one the nearest pairs that may have similarity 0.8."""
+    n, pos, label, cls, block, blocks, token, cell = (rows[c].to_numpy(np.int64) for c in ("n", "pos", "label", "cls", "block", "blocks", "token", "cell"))
+    bucket = np.cumsum(np.concatenate([[True], (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])]))
+    coarse = np.frombuffer(b"".join(x[:32] for x in rows["fold"]), np.uint64).reshape(-1, 4)
+    has = np.array([len(x) > 32 for x in rows["fold"]])
+    fine = np.zeros((len(n), 16), np.uint64)
+    if has.any():
+        fine[has] = np.frombuffer(b"".join(x[32:] for x in rows["fold"] if len(x) > 32), np.uint64).reshape(-1, 16)
+    across = cell // blocks != cell % blocks  # two blocks of one bucket: pairs within a block belong to another cell
+    got, x, d = [np.empty((3, 0), np.int64)], np.arange(len(n) - 1), 0
+    while len(x):
+        # all rows with the d-th row after them, as long as that is in the same bucket
+        d += 1
+        x = x[x + d < len(n)]
+        x = x[bucket[x] == bucket[x + d]]
+        y = x + d
+        total = n[x] + n[y]
+        ok = (label[x] != label[y]) & (9 * np.minimum(n[x] - pos[x], n[y] - pos[y]) >= 4 * total) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y])) & (~across[x] | (block[x] != block[y]))
+        p, q, most = x[ok], y[ok], total[ok]
+        bits = np.bitwise_count(coarse[p] ^ coarse[q]).sum(1, dtype=np.int64)
+        near = 9 * bits <= most
+        p, q, bits, most = p[near], q[near], bits[near], most[near]
+        both = has[p] & has[q]
+        bits[both] = np.bitwise_count(fine[p[both]] ^ fine[q[both]]).sum(1, dtype=np.int64)
+        near = 9 * bits <= most
+        got.append(np.stack([p[near], q[near], bits[near]]))
+    x, y, bits = np.concatenate(got, axis=1)
+    low, high, at = np.minimum(label[x], label[y]), np.maximum(label[x], label[y]), bucket[x]
+    order = np.lexsort((cls[y], cls[x], bits, high, low, at))
+    x, y, low, high, at = x[order], y[order], low[order], high[order], at[order]
+    first = np.ones(len(x), bool)
+    first[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (at[1:] != at[:-1])
+    start = np.maximum.accumulate(np.where(first, np.arange(len(x)), 0)) if len(x) else np.empty(0, np.int64)
+    keep = np.arange(len(x)) - start < offer
+    more = np.bincount(start[~keep], minlength=len(x))[start[keep]] > 0
+    return pd.DataFrame({"a": np.minimum(cls[x], cls[y])[keep], "b": np.maximum(cls[x], cls[y])[keep], "more": more})
+
+
+def _offered(live: DataFrame, offer: int) -> DataFrame:
+    """(a, b, more) of all buckets. A bucket of several blocks is dealt as pairs of blocks, so a task holds two blocks at most."""
+    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(F.col("block"), k) * F.col("blocks") + F.greatest(F.col("block"), k))
+    dealt = live.withColumn("block", block).withColumn("cell", F.explode(cells))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for pdf in batches:
+            held.append(pdf)
+            size += len(pdf)
+            if size < ROWS_AT_ONCE:
+                continue
+            rows = pd.concat(held, ignore_index=True)
+            token, cell = rows["token"].to_numpy(), rows["cell"].to_numpy()
+            last = int(np.flatnonzero((token != token[-1]) | (cell != cell[-1]))[-1]) + 1 if (token[0], cell[0]) != (token[-1], cell[-1]) else 0
+            if last:
+                yield _pairs_of(rows.iloc[:last], offer)
+            held, size = [rows.iloc[last:]], len(rows) - last
+        if size:
+            yield _pairs_of(pd.concat(held, ignore_index=True), offer)
+
+    return dealt.repartition("token", "cell").sortWithinPartitions("token", "cell").mapInPandas(run, "a long, b long, more boolean")
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, th, n, cls, component_id), one row per row of docs; th is the text's hash.
 
@@ -162,7 +225,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     records = written(_records(docs.select("doc_id", "th", "text"), _common(docs)), "jaccard-records")
     full = records.where("n > 0")
     tasks = 8 + records.count() // ROWS_A_TASK
-    classes = written(full.groupBy("cls").agg(F.first("n").alias("n"), F.first("grp").alias("grp"), F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch"), *[F.first(f).alias(f) for f in FOLD]).coalesce(tasks), "jaccard-classes")
+    classes = written(full.groupBy("cls").agg(F.first("n").alias("n"), F.first("grp").alias("grp"), F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch"), F.first("fold").alias("fold")).coalesce(tasks), "jaccard-classes")
     groups = full.groupBy("grp").agg(F.first("n").alias("n"), F.min("cls").alias("cls"), F.first("prefix").alias("prefix"))
     rows = groups.select("grp", "n", "cls", F.posexplode("prefix").alias("pos", "token"))
     shared = written(rows.withColumn("k", F.count("*").over(W.partitionBy("token"))).where("k > 1").drop("k").coalesce(4 * tasks), "jaccard-index")
@@ -176,24 +239,19 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     links = written(_verified(docs, _sketch_filter(star.coalesce(4 * tasks).distinct(), classes, tasks), classes, tasks).coalesce(tasks), "jaccard-links")
     nodes = written(connected(links), "jaccard-labels")
     # what is left: pairs of classes with different labels in one bucket, groups expanded to their classes
-    named = classes.select("cls", "grp", *FOLD).join(nodes.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "grp", *FOLD, F.coalesce("component", "cls").alias("label")).coalesce(tasks)
-    whole = shared.drop("cls").join(named, "grp").unionByName(several.join(named.drop("grp"), "cls").select(*shared.drop("cls").columns, "cls", *FOLD, "label"))
-    live = whole.withColumn("lo", F.min("label").over(token)).withColumn("hi", F.max("label").over(token)).where("lo < hi")
-    live = written(live.select("token", "cls", "n", "pos", "label", *FOLD).coalesce(4 * tasks), "jaccard-live")
-    p, q = live.alias("p"), live.alias("q")
-
-    def close(fields: list[str]) -> Column:
-        bits = F.lit(0)
-        for f in fields:
-            bits = bits + F.bit_count(F.col(f"p.{f}").bitwiseXOR(F.col(f"q.{f}")))
-        return F.coalesce(9 * bits <= F.col("p.n") + F.col("q.n"), F.lit(True))
-
-    far = (F.col("p.token") == F.col("q.token")) & (F.col("p.cls") < F.col("q.cls")) & (F.col("p.label") != F.col("q.label"))
-    apart = p.join(q, far & _near("p", "q") & close(COARSE_BITS) & close(FINE_BITS)).select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b"))
-    late = written(_verified(docs, _sketch_filter(apart.coalesce(4 * tasks).distinct(), classes, tasks), classes, tasks).coalesce(tasks), "jaccard-links")
-    if not late.isEmpty():
-        known = nodes.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        nodes = written(connected(known.unionByName(late)), "jaccard-labels")
+    offer = OFFER
+    while True:
+        named = classes.select("cls", "grp", "fold").join(nodes.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "grp", "fold", F.coalesce("component", "cls").alias("label")).coalesce(tasks)
+        whole = shared.drop("cls").join(named, "grp").unionByName(several.join(named.drop("grp"), "cls").select(*shared.drop("cls").columns, "cls", "fold", "label"))
+        live = whole.withColumn("lo", F.min("label").over(token)).withColumn("hi", F.max("label").over(token)).where("lo < hi").withColumn("blocks", F.ceil(F.count("*").over(token) / BLOCK).cast("int"))
+        offered = written(_offered(live.select("token", "cls", "n", "pos", "label", "fold", "blocks"), offer).coalesce(4 * tasks), "jaccard-offered")
+        late = written(_verified(docs, _sketch_filter(offered.select("a", "b").distinct(), classes, tasks), classes, tasks).coalesce(tasks), "jaccard-links")
+        if not late.isEmpty():
+            known = nodes.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            nodes = written(connected(known.unionByName(late)), "jaccard-labels")
+        if offered.where("more").isEmpty():  # every pair that is still apart has been offered and verified
+            break
+        offer *= GROWTH
     named = classes.join(nodes.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"), "first_id").coalesce(tasks)
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id")).coalesce(tasks)
     known = named.select("cls", "component").join(least, "component").select("cls", "component_id")
