@@ -28,7 +28,8 @@ def source_targets(sized: DataFrame, source: str = "source", size: str = "size",
     Sources in code-point order, null last, weigh `weights`, repeating. Together they get share[0]/share[1] of all sizes.
     A target stops at `ceiling` times its source's size; the excess is shared again by weight until none is above. In
     closed form: in order of ceiling/weight, the first k sources are full, where k is the least for which the level
-    (total - their ceilings) / (weights of the rest) is at most the next one's ceiling/weight. Sources are aggregated
+    (total - their ceilings) / (weights of the rest) is at most the next one's ceiling/weight; from there on levels fall,
+    so it is the greatest such level. Sources are aggregated
     first, so the windows run over one row per source. No rows give no rows; sources without words have target 0.
     """
     each = sized.groupBy(F.col(source).alias("source")).agg(F.sum(F.col(size)).cast("long").alias("source_size"))
@@ -42,7 +43,7 @@ def source_targets(sized: DataFrame, source: str = "source", size: str = "size",
         .withColumn("rest", F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing)))
         .withColumn("total", F.sum("source_size").over(W.partitionBy()))
         .withColumn("level", level)
-        .withColumn("level", F.min(F.when(F.col("level") <= F.col("most") / F.col("weight"), F.col("level"))).over(W.partitionBy()))
+        .withColumn("level", F.max(F.when(F.col("level") <= F.col("most") / F.col("weight"), F.col("level"))).over(W.partitionBy()))
     )
     target = F.least(F.col("most").cast("double"), F.coalesce(F.col("level"), F.lit(0.0)) * F.col("weight"))
     return found.select("source", "source_size", target.alias("target"))
@@ -95,7 +96,7 @@ WITH sized AS (
       - coalesce(sum(most) OVER (ORDER BY most::DOUBLE / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY most::DOUBLE / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM ranked
 ), targets AS (
-  SELECT source, source_size, least(most::DOUBLE, coalesce(min(CASE WHEN level <= most::DOUBLE / weight THEN level END) OVER (), 0) * weight) AS target FROM levels
+  SELECT source, source_size, least(most::DOUBLE, coalesce(max(CASE WHEN level <= most::DOUBLE / weight THEN level END) OVER (), 0) * weight) AS target FROM levels
 ), rated AS (
   SELECT s.doc_id, s.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
     ('0x' || substr(md5('17:' || coalesce(s.doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
