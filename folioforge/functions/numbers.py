@@ -169,7 +169,7 @@ def amount_words_mismatch(text: Column) -> Column:
     inside = r"(?iu)\(\s*bằng\s*chữ\s*:?\s*([^)]+)\)"
     words = vn_words_to_number(F.regexp_replace(F.regexp_extract(text, inside, 1), r"[\s.]+$", ""))
     before = F.regexp_extract_all(skeleton(F.regexp_replace(text, r"(?isu)\(\s*bằng\s*chữ.*$", "")), F.lit(MONEY), F.lit(1))
-    digits = parse_vn_number(F.element_at(before, -1))
+    digits = parse_vn_number(F.try_element_at(before, F.lit(-1)))
     return F.coalesce(text.rlike(inside) & (F.size(before) > 0) & (words != 0) & (digits != words), F.lit(False))
 
 

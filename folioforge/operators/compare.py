@@ -132,7 +132,7 @@ def identity_conflicts(facts: DataFrame, keys: Sequence[str], unit: str, value:
 
 def installment(before: Column) -> Column:
     """The number of the last "đợt N" before a value."""
-    return F.element_at(F.regexp_extract_all(fold(before), F.lit(r"\bdot (\d+)"), F.lit(1)), -1).cast("int")
+    return F.try_element_at(F.regexp_extract_all(fold(before), F.lit(r"\bdot (\d+)"), F.lit(1)), F.lit(-1)).cast("int")
 
 
 def share_installments(facts: DataFrame, keys: Sequence[str], number: str, value: str) -> DataFrame:

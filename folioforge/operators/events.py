@@ -85,7 +85,7 @@ def write_chain(rows: DataFrame, keys: Sequence[str], order: Sequence[str], payl
     """rows with previous and digest: SHA-256 of the digest before and the payload, folded in order."""
     names = [c for c in rows.columns if c not in keys]
     got = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in names if c not in order]))).alias("_r"))
-    digests = F.aggregate("_r", F.array().cast("array<string>"), lambda acc, r: F.concat(acc, F.array(F.sha2(F.concat(F.coalesce(F.element_at(acc, -1), F.lit("")), F.coalesce(r[payload].cast("string"), F.lit(""))).cast("binary"), 256))))
+    digests = F.aggregate("_r", F.array().cast("array<string>"), lambda acc, r: F.concat(acc, F.array(F.sha2(F.concat(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), F.coalesce(r[payload].cast("string"), F.lit(""))).cast("binary"), 256))))
     z = got.select(*keys, F.explode(F.arrays_zip("_r", digests.alias("d"), F.concat(F.array(F.lit(None).cast("string")), digests).alias("p"))).alias("z")).where("z._r IS NOT NULL")
     return z.select(*keys, *[F.col(f"z._r.{c}").alias(c) for c in names], F.col("z.p").alias("previous"), F.col("z.d").alias("digest"))
 

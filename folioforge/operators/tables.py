@@ -174,8 +174,8 @@ def validate_anchors(rows: DataFrame, keys: Sequence[str], anchor: str, order: s
 
 def markdown_table(text: Column) -> Column:
     """Rows of a pipe table, without the line of dashes: array<array<string>>."""
-    rows = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda r: r.startswith("|") & ~r.rlike(r"^\|[\s:|-]+\|?$"))
-    return F.transform(rows, lambda r: F.transform(F.split(F.regexp_replace(r, r"^\||\|$", ""), r"\|"), F.trim))
+    rows = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda r: r.startswith("|") & ~r.rlike(r"^\|[\s:|-]+\|?$"))
+    return F.transform(rows, lambda r: F.transform(F.split(F.regexp_replace(r, r"^\||\|$", ""), r"\|"), lambda x: F.trim(x)))
 
 
 def rectangular(rows: Column) -> Column:

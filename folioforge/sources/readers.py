@@ -100,7 +100,7 @@ def demo_pages(payloads: DataFrame, payload: str = "payload") -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text, role) of whole files; annexes by their name."""
-    name = F.element_at(F.split(F.col("path"), "/"), -1)
+    name = F.try_element_at(F.split(F.col("path"), "/"), F.lit(-1))
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text")).withColumn("role", F.when(fold(name).rlike(r"phu.?luc|annex|appendix"), "annex").otherwise("body"))
 
 
