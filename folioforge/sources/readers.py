@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import fold, heading_level, is_structural_heading
@@ -168,15 +168,14 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, text string, error string")
 
 
-def split_notes(text):
+def split_notes(text: Column) -> Column:
     """(body, notes): the note block begins at the last line that opens with the least note number."""
-    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^\[(\d+)\]"), F.lit(1)), lambda n: n.cast("int"))
-    head = F.concat(F.lit("["), F.array_min(numbers).cast("string"), F.lit("]"))
-    padded = F.concat(F.lit("\n"), text)
-    mark = F.concat(F.lit("\n"), head)
-    body = F.substring_index(padded, mark, F.size(F.split(padded, F.concat(F.lit(r"\n\["), F.array_min(numbers).cast("string"), F.lit(r"\]")))) - 1)
-    at = F.char_length(body)
-    return F.when(F.size(numbers) > 0, F.struct(F.rtrim(F.substring(body, F.lit(2), at), F.lit("\n")).alias("body"), F.substring(padded, at + 2, F.char_length(padded)).alias("notes"))).otherwise(F.struct(text.alias("body"), F.lit("").alias("notes")))
+    lines = F.split(text, "\n")
+    number = lambda x: F.nullif(F.regexp_extract(x, r"^\[(\d+)\]", 1), F.lit("")).cast("int")
+    first = F.array_min(F.transform(lines, number))
+    at = F.array_max(F.filter(F.transform(lines, lambda x, i: F.when(number(x) == first, i)), lambda i: i.isNotNull()))
+    made = F.struct(F.rtrim(F.array_join(F.slice(lines, 1, at), "\n"), F.lit("\n")).alias("body"), F.array_join(F.slice(lines, at + 1, F.size(lines)), "\n").alias("notes"))
+    return F.when(first.isNotNull(), made).otherwise(F.struct(text.alias("body"), F.lit("").alias("notes")))
 
 
 def latest_snapshot(snapshots: DataFrame, tenant: str, dossier: str) -> DataFrame:
