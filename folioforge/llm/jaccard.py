@@ -30,7 +30,7 @@ BROADCAST_ROWS, CELL = 1_000_000, 128
 #: Rows of a table of classes for each task, so that small tables are not dealt over more tasks than they need.
 ROWS_A_TASK = 20_000
 
-#: What the comparison within a bucket sees: a sketch of 256 slots, and for sets of up to FINE shingles one of 1024, which
+#: What the comparison within a bucket sees: a sketch of 256 slots, or for sets of up to FINE shingles one of 512, which
 #: tells almost every shingle apart. Rows of a bucket in one block; pairs of two labels that a bucket offers at first, and
 #: the factor by which that grows while there are more. Rows that a worker compares at once, and the rest of a bucket.
 FINE, BLOCK, OFFER, GROWTH, ROWS_AT_ONCE = 256, 2048, 1, 8, 8192
@@ -73,7 +73,7 @@ def _records(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
                     seen = often[at] == s
                     ordered = np.concatenate([s[~seen], s[seen][np.argsort(place[at[seen]])]])
                 prefix = ordered[: n - _least_shared(n) + 1]
-                rows.append((doc, th, n, _hash64(s.tobytes()), _hash64(prefix.tobytes() + n.to_bytes(8, "little")), signed(prefix.copy()), odd_sketch(s), odd_sketch(s, 256).tobytes() + (odd_sketch(s, 1024).tobytes() if n <= FINE else b"")))
+                rows.append((doc, th, n, _hash64(s.tobytes()), _hash64(prefix.tobytes() + n.to_bytes(8, "little")), signed(prefix.copy()), odd_sketch(s), odd_sketch(s, 512 if n <= FINE else 256).tobytes()))
             # column by column: pandas would make floats of 64-bit numbers that stand beside nulls
             names = ["doc_id", "th", "n", "cls", "grp", "prefix", "sketch", "fold"]
             columns = dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {c: [] for c in names}
@@ -153,11 +153,11 @@ def _pairs_of(rows: pd.DataFrame, offer: int) -> pd.DataFrame:
     """(a, b, more) of whole buckets, or of pairs of their blocks, one after the other: of each pair of labels in one the nearest pairs that may have similarity 0.8."""
     n, pos, label, cls, block, blocks, token, cell = (rows[c].to_numpy(np.int64) for c in ("n", "pos", "label", "cls", "block", "blocks", "token", "cell"))
     bucket = np.cumsum(np.concatenate([[True], (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])]))
-    coarse = np.frombuffer(b"".join(x[:32] for x in rows["fold"]), np.uint64).reshape(-1, 4)
     has = np.array([len(x) > 32 for x in rows["fold"]])
-    fine = np.zeros((len(n), 16), np.uint64)
-    if has.any():
-        fine[has] = np.frombuffer(b"".join(x[32:] for x in rows["fold"] if len(x) > 32), np.uint64).reshape(-1, 16)
+    fine = np.zeros((len(n), 8), np.uint64)
+    fine[has] = np.frombuffer(b"".join(x for x in rows["fold"] if len(x) > 32), np.uint64).reshape(-1, 8)
+    coarse = fine[:, :4] ^ fine[:, 4:]  # 512 slots modulo 256
+    coarse[~has] = np.frombuffer(b"".join(x for x in rows["fold"] if len(x) <= 32), np.uint64).reshape(-1, 4)
     across = cell // blocks != cell % blocks  # two blocks of one bucket: pairs within a block belong to another cell
     got, x, d = [np.empty((3, 0), np.int64)], np.arange(len(n) - 1), 0
     while len(x):
@@ -190,10 +190,6 @@ def _pairs_of(rows: pd.DataFrame, offer: int) -> pd.DataFrame:
 
 def _offered(live: DataFrame, offer: int) -> DataFrame:
     """(a, b, more) of all buckets. A bucket of several blocks is dealt as pairs of blocks, so a task holds two blocks at most."""
-    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(F.col("block"), k) * F.col("blocks") + F.greatest(F.col("block"), k))
-    dealt = live.withColumn("block", block).withColumn("cell", F.explode(cells))
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for pdf in batches:
@@ -210,7 +206,13 @@ def _offered(live: DataFrame, offer: int) -> DataFrame:
         if size:
             yield _pairs_of(pd.concat(held, ignore_index=True), offer)
 
-    return dealt.repartition("token", "cell").sortWithinPartitions("token", "cell").mapInPandas(run, "a long, b long, more boolean")
+    made = "a long, b long, more boolean"
+    # the windows have dealt and sorted the rows by bucket; only buckets of several blocks are dealt again
+    whole = live.where("blocks = 1").withColumn("block", F.lit(0)).withColumn("cell", F.lit(0)).mapInPandas(run, made)
+    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(F.col("block"), k) * F.col("blocks") + F.greatest(F.col("block"), k))
+    dealt = live.where("blocks > 1").withColumn("block", block).withColumn("cell", F.explode(cells))
+    return whole.unionByName(dealt.repartition("token", "cell").sortWithinPartitions("token", "cell").mapInPandas(run, made))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -249,7 +251,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
         if not late.isEmpty():
             known = nodes.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
             nodes = written(connected(known.unionByName(late)), "jaccard-labels")
-        if offered.where("more").isEmpty():  # every pair that is still apart has been offered and verified
+        # pairs of labels with more pairs to offer, that the verified ones haven't joined
+        at = lambda k: nodes.select(F.col("node").alias(k), F.col("component").alias(f"label_{k}"))
+        rest = offered.where("more").select("a", "b").coalesce(tasks).join(at("a"), "a", "left").coalesce(tasks).join(at("b"), "b", "left").coalesce(tasks)
+        if rest.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).isEmpty():
             break
         offer *= GROWTH
     named = classes.join(nodes.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"), "first_id").coalesce(tasks)
