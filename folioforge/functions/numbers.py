@@ -55,7 +55,7 @@ def percent(value: Column) -> Column:
 
 
 def parse_vn_number(text: Column) -> Column:
-    """Points group, a comma is decimal: `1.234` is 1234, `1,234` is 1.234. Null where the reference would refuse."""
+    """Points group, a comma is decimal: `1.234` is 1234, `1,234` is 1.234. Null for what is no such number."""
     t = _no_space(F.regexp_replace(F.trim(text), r"(?iu)\s*(đồng|vnđ|vnd|đ)\s*$", ""))
     ok = t.rlike(r"^-?(\d{1,3}(\.\d{3})*(,\d+)?|\d+(,\d+)?)$")
     return F.when(ok, _try(F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))))
