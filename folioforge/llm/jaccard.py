@@ -230,11 +230,17 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     classes = written(full.groupBy("cls").agg(F.first("n").alias("n"), F.first("grp").alias("grp"), F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch"), F.first("fold").alias("fold")).coalesce(tasks), "jaccard-classes")
     groups = full.groupBy("grp").agg(F.first("n").alias("n"), F.min("cls").alias("cls"), F.first("prefix").alias("prefix"))
     rows = groups.select("grp", "n", "cls", F.posexplode("prefix").alias("pos", "token"))
-    shared = written(rows.withColumn("k", F.count("*").over(W.partitionBy("token"))).where("k > 1").drop("k").coalesce(4 * tasks), "jaccard-index")
+    # rows that can be near another of their bucket: exact for two rows, by the bucket's sizes for more
+    token = W.partitionBy("token")
+    end = F.struct("cls", "n", "pos")
+    rows = rows.withColumns({"k": F.count("*").over(token), "p": F.min(end).over(token), "q": F.max(end).over(token), "lo": F.min("n").over(token), "hi": F.max("n").over(token)}).where("k > 1")
+    least = F.greatest(F.ceil(0.8 * F.col("n")), F.col("lo"))
+    fits = (9 * (F.col("n") - F.col("pos")) >= 4 * (F.col("n") + least)) & (5 * F.col("hi") >= 4 * F.col("n")) & (4 * F.col("lo") <= 5 * F.col("n"))
+    near = F.when(F.col("k") == 2, _near("p", "q")).otherwise(fits)
+    shared = written(rows.where(near).select("grp", "n", "cls", "pos", "token").coalesce(4 * tasks), "jaccard-index")
     inside = classes.select("grp", "n", "cls", F.lit(0).alias("pos"), F.col("grp").alias("token"))
     several = inside.withColumn("k", F.count("*").over(W.partitionBy("grp"))).where("k > 1").drop("k").coalesce(tasks)
     # the leader of a bucket is its class of the least hash: in a group of near copies mostly one and the same
-    token = W.partitionBy("token")
     led = shared.unionByName(several).withColumn("lead", F.min(F.struct("cls", "n", "pos")).over(token))
     x, y = F.struct("cls", "n", "pos").alias("x"), F.col("lead").alias("y")
     star = led.where("cls <> lead.cls").select(x, y).where(_near("x", "y")).select(F.col("y.cls").alias("a"), F.col("x.cls").alias("b"))
