@@ -216,11 +216,13 @@ def _offered(live: DataFrame, offer: int) -> DataFrame:
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, th, n, cls, component_id), one row per row of docs; th is the text's hash.
+    """(doc_id, th, n, cls, component, component_id), one row per row of docs; th is the text's hash.
 
     Words are runs of anything but ASCII white space after lower-casing A-Z; a set holds the distinct 5-word shingles,
     or the whole sequence where there are fewer words. Sets link at 100 * |both| >= 80 * |either|. component_id is the
-    smallest id reachable, null only if no reachable row has an id. Null and blank texts have n = 0 and link with nothing.
+    smallest id reachable, null only if no reachable row has an id. Ids may be null or repeated, so component_id doesn't
+    tell components apart; component, the least class of each, does. Null and blank texts have n = 0 and a null
+    component, and link with nothing.
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     docs = docs.withColumn("th", F.xxhash64("text"))
@@ -265,9 +267,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
         offer *= GROWTH
     named = classes.join(nodes.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"), "first_id").coalesce(tasks)
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id")).coalesce(tasks)
-    known = named.select("cls", "component").join(least, "component").select("cls", "component_id")
+    known = named.select("cls", "component").join(least, "component").select("cls", "component", "component_id")
     out = records.select("doc_id", "th", "n", "cls").join(known, "cls", "left")
-    return out.select("doc_id", "th", "n", "cls", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "th", "n", "cls", "component", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -276,7 +278,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     Columns are docs'. Rows without words are kept.
     """
     found = written(components(docs, id_col, text), "jaccard-found")
-    best = found.where("n > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("best")).select(F.col("best.doc_id").alias("_id"), F.col("best.th").alias("_th"))
+    best = found.where("n > 0").groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("best")).select(F.col("best.doc_id").alias("_id"), F.col("best.th").alias("_th"))
     kept = written(best.unionByName(found.where("n = 0").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()), "jaccard-kept")
     right = F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
     th = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))

@@ -104,6 +104,13 @@ def test_jaccard_components(spark):
     assert jaccard.components(docs.limit(0)).count() == 0 and jaccard.keep_one(docs.limit(0)).count() == 0
 
 
+def test_keep_one_keeps_unrelated_rows_of_null_or_repeated_ids(spark):
+    clean = [f"unrelated clean text number{i} on topic{i} alone" for i in range(6)]
+    rows = [(None, t) for t in clean[:3]] + [(7, t) for t in clean[3:5]] + [(8, clean[5]), (None, clean[0]), (9, clean[5].upper())]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, TEXT))
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(None, t) for t in clean[:3]] + [(7, t) for t in clean[3:5]] + [(8, clean[5])], key=repr)
+
+
 def test_connected(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51), (60, 60), (51, 50)], "a long, b long")
     assert dict(connected(e).collect()) == {**{i: 0 for i in range(31)}, 50: 50, 51: 50}
