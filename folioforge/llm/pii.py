@@ -1,13 +1,16 @@
 """Operator 5: personal data, with information-theoretic sanitisation.
 
-Patterns find the base spans (e-mail, IP, card, phone). Each found value is a protected entity. The words near its
-occurrences are terms that may disclose it: over the whole corpus, PMI(entity; term) / IC(entity) says which share of
-the entity's information content a term reveals. Terms at or over the disclosure threshold are spans of their own:
+Patterns find the base spans (e-mail, IP, card, phone). Each found value is a protected entity. The words of the texts
+that hold it are terms that may disclose it: over the whole corpus, PMI(entity; term) / IC(entity) says which share of
+the entity's information content a term reveals. Terms at or over the disclosure threshold are spans of their own,
+wherever they stand in such a text:
 generalised where the text keeps a hypernym for them (their kind), removed where they reveal all.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -18,13 +21,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioforge.llm.common import shared_path, table
+from folioforge.llm.common import mix64, shared_path, table, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side that are an entity's context; the share of its information content that a term may reveal; the
-#: distinct contexts in which entity and term must meet before the corpus counts as evidence; from which share a term
-#: is removed and not generalised; flagged pairs that may be broadcast (8 bytes each), above which they are joined.
-WINDOW, THRESHOLD, SUPPORT, REMOVE, BROADCAST_PAIRS = 3, 0.5, 2, 0.95, 4_000_000
+#: The share of an entity's information content that a term may reveal; the distinct texts in which entity and term must
+#: meet before the corpus counts as evidence; from which share a term is removed and not generalised; rows (flagged
+#: pairs, entities, terms) that may be broadcast (8 bytes each), above which they are joined.
+THRESHOLD, SUPPORT, REMOVE, BROADCAST_PAIRS = 0.5, 2, 0.95, 4_000_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -77,87 +80,145 @@ def _entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else ''.join(c for c in value if c.isdigit())}"
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], window: int = WINDOW) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """For each base span its entity and the terms near it with their places; no term lies in a base span."""
-    taken = sorted((a, b) for _, a, b in spans)
-    free = lambda a, b: all(b <= x or a >= y for x, y in taken)
+def terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """All words of the whole text with their places, lower-cased; no term lies in a base span."""
+    starts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if starts and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     out = []
-    for kind, a, b in spans:
-        lo, hi = max(0, a - 40 * window), min(len(text), b + 40 * window)  # words of over 40 letters are no terms
-        before = [(m[0].lower(), m.start(), m.end()) for m in _NEAR.finditer(text, lo, a)][-window:]
-        after = []
-        for m in _NEAR.finditer(text, b, hi):
-            after.append((m[0].lower(), m.start(), m.end()))
-            if len(after) == window:
-                break
-        out.append((_entity(kind, text[a:b]), [t for t in before + after if t[2] - t[1] <= 40 and free(t[1], t[2])]))
+    for m in _NEAR.finditer(text):
+        i = bisect.bisect_left(starts, m.end()) - 1  # the last span that starts before the word ends
+        if i < 0 or ends[i] <= m.start():
+            out.append((m[0].lower(), m.start(), m.end()))
     return out
 
 
-def _key(entity: str, term: str) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{entity}\0{term}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+def _vocabulary(text: str, spans: list[tuple[str, int, int]]) -> set[str]:
+    """The distinct terms."""
+    return {x[0] for x in terms(text, spans)} if spans else {x.lower() for x in set(_NEAR.findall(text))}
 
 
-def corpus_contexts(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(entity, context, term) of every base span of every text, written: what the disclosure counts are made from.
+@functools.lru_cache(1 << 17)
+def _hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
-    context is a hash of the terms around the span, so exact copies of a passage are one piece of evidence, not many.
+
+def _hashes(words) -> np.ndarray:
+    return np.array([_hash(x) for x in words], np.int64)
+
+
+def _keys(entity: int, terms: np.ndarray) -> np.ndarray:
+    """Keys of pairs of one entity with terms, by their hashes."""
+    return mix64(mix64(np.array([entity], np.int64).view(np.uint64)) + terms.view(np.uint64)).view(np.int64)
+
+
+def _within(found: np.ndarray, sought: np.ndarray) -> np.ndarray:
+    """Places of the sought numbers in sorted ones, -1 for those that aren't there."""
+    at = np.minimum(np.searchsorted(found, sought), max(0, len(found) - 1))
+    return np.where(found[at] == sought, at, -1) if len(found) else np.full(len(sought), -1)
+
+
+def corpus_sets(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(h, entities, terms): the hashes of all entities and of all words of every distinct text with a base span, written.
+
+    Exact copies of a whole text are one piece of evidence, not many.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for t in pdf["t"]:
+            for h, t in zip(pdf["h"], pdf["t"], strict=True):
                 if spans := base_spans(t):
-                    for entity, near in contexts(t, spans, window):
-                        c = _key(entity, " ".join(x[0] for x in near))
-                        rows += [(entity, c, x) for x in {x[0] for x in near}]
-            yield pd.DataFrame(rows, columns=["entity", "context", "term"])
+                    rows.append((h, _hashes({_entity(k, t[a:b]) for k, a, b in spans}), _hashes(_vocabulary(t, spans))))
+            yield pd.DataFrame(rows, columns=["h", "entities", "terms"])
+
+    t = F.col(f"`{text}`")
+    found = docs.select(F.xxhash64(F.coalesce(t, F.lit(""))).alias("h"), t.alias("t")).where("t rlike '[0-9@]'").mapInPandas(run, "h long, entities array<long>, terms array<long>")
+    return written(found.dropDuplicates(["h"]), "pii-sets")
 
-    path = shared_path(docs.sparkSession, "pii-contexts")
-    docs.select(F.col(f"`{text}`").alias("t")).where("t rlike '[0-9@]'").mapInPandas(run, "entity string, context long, term string").write.parquet(path)
-    return docs.sparkSession.read.schema("entity string, context long, term string").parquet(path)
 
+def _few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_PAIRS else df
 
-def disclosures(pairs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, share) for terms that reveal at least `threshold` of an entity's information content.
 
-    Over distinct contexts: PMI = log(n * n(e,t) / (n(e) * n(t))), IC = log(n / n(e)), share = PMI / IC. Pairs that meet
-    in fewer than `support` contexts are no evidence. An entity in every context has no information content to reveal.
+def _term_counts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """(t, n_term) of the wanted terms (a column t): the distinct texts of the whole corpus that hold each, with or without a base span."""
+    few = wanted.count() <= BROADCAST_PAIRS
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toPandas()["t"].to_numpy(np.int64)) if few else None)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for h, t in zip(pdf["h"], pdf["t"], strict=True):
+                x = _hashes(_vocabulary(t, base_spans(t)))
+                if shared.value is not None:
+                    x = x[_within(shared.value, x) >= 0]
+                if len(x):
+                    rows.append((h, x))
+            yield pd.DataFrame(rows, columns=["h", "terms"])
+
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    held = docs.select(F.xxhash64(t).alias("h"), t.alias("t")).mapInPandas(run, "h long, terms array<long>").dropDuplicates(["h"])
+    return held.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n_term"))
+
+
+def disclosures(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
+    """(e, t, share), hashes of entity and term, for terms that reveal at least `threshold` of an entity's information content; written.
+
+    Over the distinct texts of the corpus: PMI = log(n * n(e,t) / (n(e) * n(t))), IC = log(n / n(e)), share = PMI / IC.
+    Pairs that meet in fewer than `support` texts are no evidence. An entity in every text has no information content to
+    reveal.
     """
-    distinct = pairs.distinct()
-    n = F.lit(distinct.agg(F.count_distinct("entity", "context")).first()[0])
-    both = distinct.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    entities = distinct.groupBy("entity").agg(F.count_distinct("context").alias("n_entity"))
-    terms = distinct.groupBy("term").agg(F.count("*").alias("n_term"))
-    met = both.join(entities, "entity").join(terms, "term")
-    share = F.log(n * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log(n / F.col("n_entity"))
-    return met.where(F.col("n_entity") < n).withColumn("share", share).where(F.col("share") >= threshold).select("entity", "term", "share")
+    n = docs.select(F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))).distinct().count()
+    sets = corpus_sets(docs, text)
+    entities = sets.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_entity"))
+    # an entity of fewer texts than support meets no term often enough
+    several = written(entities.where((F.col("n_entity") >= support) & (F.col("n_entity") < n)), "pii-entities")
+    of = sets.select("h", F.explode("entities").alias("e")).join(_few(several.select("e")), "e").groupBy("h").agg(F.collect_list("e").alias("es"))
+    pairs = sets.join(of, "h").select(F.explode("es").alias("e"), "terms").select("e", F.explode("terms").alias("t"))
+    both = pairs.groupBy("e", "t").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    share = lambda k: F.log(n * F.col("n_both") / (F.col("n_entity") * F.col(k))) / F.log(n / F.col("n_entity"))
+    # a term is in no fewer texts of the corpus than of those with base spans: what falls short by the latter count does so by both
+    least = sets.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n_least"))
+    met = written(both.join(_few(several), "e").join(least, "t").where(share("n_least") >= threshold).drop("n_least"), "pii-met")
+    total = _term_counts(docs, text, written(met.select("t").distinct(), "pii-terms"))
+    return written(met.join(total, "t").withColumn("share", share("n_term")).where(F.col("share") >= threshold).select("e", "t", "share"), "pii-flags")
 
 
 def _flagged(found: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
     """Sorted keys of the flagged pairs and whether each is to be removed, if they are few enough to broadcast."""
     if found.count() > BROADCAST_PAIRS:
         return None
-    got = found.select("entity", "term", (F.col("share") >= REMOVE).alias("remove")).toPandas()
-    keys = np.array([_key(e, t) for e, t in zip(got["entity"], got["term"], strict=True)], np.int64)
+    got = found.select(_pair_key("e", "t").alias("k"), (F.col("share") >= REMOVE).alias("remove")).toPandas()
+    keys = got["k"].to_numpy(np.int64)
     order = np.argsort(keys)
     return keys[order], got["remove"].to_numpy(bool)[order]
 
 
+def _pair_key(e: str, t: str) -> Column:
+    return F.pandas_udf(lambda e, t: pd.Series([int(_keys(a, np.array([b], np.int64))[0]) for a, b in zip(e, t, strict=True)], dtype="int64"), "long")(e, t)
+
+
 def _all_spans(text: str, flagged) -> list[tuple[str, int, int]]:
+    """Base spans, and every occurrence in the text of the terms that are flagged for one of its entities."""
     base = base_spans(text)
     if not base or not len(flagged[0]):
         return base
-    more = set()
-    for entity, near in contexts(text, base):
-        for term, a, b in near:
-            k = _key(entity, term)
-            i = int(np.searchsorted(flagged[0], k))
-            if i < len(flagged[0]) and flagged[0][i] == k:
-                more.add(("gone" if flagged[1][i] else "term", a, b))
-    gone = {(a, b) for kind, a, b in more if kind == "gone"}
-    return base + sorted(x for x in more if x[0] == "gone") + sorted(x for x in more if x[0] == "term" and (x[1], x[2]) not in gone)
+    found = terms(text, base)
+    words = sorted({x[0] for x in found})
+    hashes, remove, marked = _hashes(words), np.zeros(len(words), bool), np.zeros(len(words), bool)
+    for entity in {_entity(k, text[a:b]) for k, a, b in base}:
+        at = _within(flagged[0], _keys(_hash(entity), hashes))
+        marked |= at >= 0
+        remove |= (at >= 0) & flagged[1][at]
+    kinds = {w: "gone" if gone else "term" for w, gone, m in zip(words, remove, marked, strict=True) if m}
+    more = [(kinds[w], a, b) for w, a, b in found if w in kinds]
+    return base + sorted(more)
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -185,10 +246,10 @@ def sanitise(df: DataFrame, text: str = "text", with_text: bool = True) -> DataF
     """
     schema = T._parse_datatype_string(MADE if with_text else MADE.rpartition(",")[0])
     base = df.drop(*schema.names)
-    found = disclosures(corpus_contexts(base, text))
+    found = disclosures(base, text)
     flagged = _flagged(found)
     if flagged is None:
-        # too many pairs for each worker: every text gets its own pairs by a join on the keys that its contexts ask for
+        # too many pairs for each worker: every text gets its own pairs by a join on the keys that it asks for
         return _joined_flags(base, text, found, schema, with_text)
     shared = df.sparkSession.sparkContext.broadcast(flagged)
 
@@ -210,10 +271,15 @@ def _row(t: str | None, spans: list[tuple[str, int, int]], with_text: bool) -> l
 
 
 def _joined_flags(base: DataFrame, text: str, found: DataFrame, schema: T.StructType, with_text: bool) -> DataFrame:
-    """The same by a shuffle: each text asks for the keys of its contexts, and gets those that are flagged."""
-    keyed = F.pandas_udf(lambda e, t: pd.Series([_key(a, b) for a, b in zip(e, t, strict=True)], dtype="int64"), "long")
-    asked_of = F.pandas_udf(lambda s: pd.Series([sorted({_key(e, x[0]) for e, near in contexts(t, base_spans(t)) for x in near}) if t else [] for t in s]), "array<long>")
-    flags = found.select(keyed("entity", "term").alias("_k"), (F.col("share") >= REMOVE).alias("_gone"))
+    """The same by a shuffle: each text asks for the keys of its entities with its terms, and gets those that are flagged."""
+
+    def asked(t: str | None) -> list[int]:
+        base = base_spans(t)
+        words = _hashes(_vocabulary(t, base)) if base else np.empty(0, np.int64)
+        return [k for e in {_entity(k, t[a:b]) for k, a, b in base} for k in _keys(_hash(e), words).tolist()]
+
+    asked_of = F.pandas_udf(lambda s: pd.Series([asked(t) for t in s]), "array<long>")
+    flags = found.select(_pair_key("e", "t").alias("_k"), (F.col("share") >= REMOVE).alias("_gone"))
     rows = base.withColumn("_pii_row", F.struct(F.monotonically_increasing_id().alias("i"), F.xxhash64(F.col(f"`{text}`")).alias("h")))
     path = shared_path(base.sparkSession, "pii-rows")
     rows.withColumn("_asked", asked_of(F.col(f"`{text}`"))).write.parquet(path)

@@ -223,6 +223,16 @@ def test_pii_join_route_agrees(spark, monkeypatch):
     assert sorted(map(tuple, pii.sanitise(d).collect()), key=repr) == one
 
 
+def test_pii_sees_the_whole_text(spark):
+    far = " ".join(["so", "it", "was", "with", "many", "other", "words", "in", "between"] * 20)
+    rows = [(i, f"Jane Zorblatt {x} {far} zor@blatt.example {far} {y} Zorblatt") for i, (x, y) in enumerate([("today", "again"), ("later", "often")])]
+    rows += [(10 + i, f"{far} x{i}@y{i}.example") for i in range(30)] + [(50, "Zorblatt alone")]
+    d = spark.createDataFrame(rows, TEXT)
+    got = {r["doc_id"]: r["pii_text"] for r in pii.sanitise(d).collect()}
+    assert all("Zorblatt" not in got[i] and "Jane" not in got[i] and "between" in got[i] for i in (0, 1))
+    assert got[50] == "Zorblatt alone" and all(got[10 + i] == f"{far} [EMAIL]" for i in range(30))
+
+
 # ---- 6 ----------------------------------------------------------------------------------------------------------------
 
 
