@@ -146,25 +146,42 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_PAIRS else df
 
 
-def _term_counts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(t, n_term) of the wanted terms (a column t): the distinct texts of the whole corpus that hold each, with or without a base span."""
+def _term_counts(docs: DataFrame, text: str, wanted: DataFrame, copied: DataFrame) -> DataFrame:
+    """(t, n_term) of the wanted terms (a column t): the distinct texts of the whole corpus that hold each, with or without a base span.
+
+    Texts that occur once are summed in their task; the terms of those that are copied (hashes h) meet by their hash.
+    """
     few = wanted.count() <= BROADCAST_PAIRS
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toPandas()["t"].to_numpy(np.int64)) if few else None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sought = shared.value
+        sums = np.zeros(0 if sought is None else len(sought), np.int64)
         for pdf in batches:
             rows = []
-            for h, t in zip(pdf["h"], pdf["t"], strict=True):
+            for h, t, once in zip(pdf["h"], pdf["t"], pdf["once"], strict=True):
                 x = _hashes(_vocabulary(t, base_spans(t)))
-                if shared.value is not None:
-                    x = x[_within(shared.value, x) >= 0]
+                if sought is not None:
+                    at = _within(sought, x)
+                    if once:
+                        sums[at[at >= 0]] += 1
+                        continue
+                    x = x[at >= 0]
                 if len(x):
-                    rows.append((h, x))
-            yield pd.DataFrame(rows, columns=["h", "terms"])
+                    rows.append((False, h, x, np.ones(len(x), np.int64)))
+            yield pd.DataFrame(rows, columns=["summed", "h", "terms", "counts"])
+        held = np.flatnonzero(sums)
+        for k in range(0, len(held), 10_000):
+            i = held[k : k + 10_000]
+            yield pd.DataFrame([(True, 0, sought[i], sums[i])], columns=["summed", "h", "terms", "counts"])
 
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    held = docs.select(F.xxhash64(t).alias("h"), t.alias("t")).mapInPandas(run, "h long, terms array<long>").dropDuplicates(["h"])
-    return held.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n_term"))
+    rows = docs.select(F.xxhash64(t).alias("h"), t.alias("t")).join(_few(copied.withColumn("again", F.lit(True))), "h", "left")
+    made = rows.select("h", "t", F.col("again").isNull().alias("once")).mapInPandas(run, "summed boolean, h long, terms array<long>, counts array<long>")
+    made = written(made, "pii-terms-held")
+    each = made.where("summed").select("terms", "counts").unionByName(made.where("NOT summed").dropDuplicates(["h"]).select("terms", "counts"))
+    pairs = each.select(F.explode(F.arrays_zip("terms", "counts")).alias("x"))
+    return pairs.groupBy(F.col("x.terms").alias("t")).agg(F.sum("x.counts").alias("n_term"))
 
 
 def disclosures(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
@@ -174,7 +191,8 @@ def disclosures(docs: DataFrame, text: str = "text", threshold: float = THRESHOL
     Pairs that meet in fewer than `support` texts are no evidence. An entity in every text has no information content to
     reveal.
     """
-    n = docs.select(F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))).distinct().count()
+    texts = written(docs.groupBy(F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("h")).agg(F.count("*").alias("k")), "pii-texts")
+    n, copied = texts.count(), texts.where("k > 1").select("h")
     sets = corpus_sets(docs, text)
     entities = sets.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_entity"))
     # an entity of fewer texts than support meets no term often enough
@@ -186,7 +204,7 @@ def disclosures(docs: DataFrame, text: str = "text", threshold: float = THRESHOL
     # a term is in no fewer texts of the corpus than of those with base spans: what falls short by the latter count does so by both
     least = sets.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n_least"))
     met = written(both.join(_few(several), "e").join(least, "t").where(share("n_least") >= threshold).drop("n_least"), "pii-met")
-    total = _term_counts(docs, text, written(met.select("t").distinct(), "pii-terms"))
+    total = _term_counts(docs, text, written(met.select("t").distinct(), "pii-terms"), copied)
     return written(met.join(total, "t").withColumn("share", share("n_term")).where(F.col("share") >= threshold).select("e", "t", "share"), "pii-flags")
 
 

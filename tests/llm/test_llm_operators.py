@@ -233,6 +233,20 @@ def test_pii_sees_the_whole_text(spark):
     assert got[50] == "Zorblatt alone" and all(got[10 + i] == f"{far} [EMAIL]" for i in range(30))
 
 
+def test_pii_counts_documents(spark):
+    """Fixed words around an entity in otherwise different documents are evidence; exact copies of one document are one."""
+    rows = [(i, f"report{'abcdef'[i]}x\nsigned by contact Jane Zorblatt at zor@blatt.example") for i in range(6)]
+    rows += [(20 + i, "one copied note by Quux quux@corp.example") for i in range(5)] + [(40 + i, f"see user{i}@v.example") for i in range(9)]
+    got = {r["doc_id"]: r for r in pii.sanitise(spark.createDataFrame(rows, TEXT).repartition(3)).collect()}
+    assert all("Zorblatt" not in got[i]["pii_text"] and f"report{'abcdef'[i]}x" in got[i]["pii_text"] for i in range(6))
+    assert all(got[20 + i]["pii_text"] == "one copied note by Quux [EMAIL]" for i in range(5))
+    terms = {pii._hash(x): x for x in ("jane", "zorblatt", "quux", "see")}
+    found = pii.disclosures(spark.createDataFrame(rows + [(60, "Zorblatt elsewhere"), (61, "Zorblatt elsewhere")], TEXT).repartition(3)).collect()
+    share = {terms[r["t"]]: r["share"] for r in found if r["t"] in terms}
+    assert share.keys() == {"jane", "zorblatt"} and abs(share["jane"] - 1) < 1e-9
+    assert abs(share["zorblatt"] - math.log(17 * 6 / (6 * 7)) / math.log(17 / 6)) < 1e-9  # of 17 distinct texts
+
+
 # ---- 6 ----------------------------------------------------------------------------------------------------------------
 
 
