@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from folioforge.llm.common import crc_mod, table
 
 #: Block size; dictionary size; labelled rows of each class that the dictionaries and the calibration are fitted on at
-#: most, taken by hash of the id; bytes of each such row that go into a dictionary. Scoring has no bounds.
+#: most, taken by hash of the id; characters of each such row that go into a dictionary. Calibration and scoring see whole texts.
 BLOCK, DICT_BYTES, FIT_ROWS, FIT_BYTES, LEVEL = 1024, 65536, 1200, 16384, 3
 
 
@@ -99,19 +99,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     picked = [known.where(F.col("_y") == y).orderBy(order).limit(2 * rows) for y in (0, 1)]
     ids = picked[0].unionByName(picked[1]).where("_id IS NOT NULL")  # at most 4 * rows ids: a fixed bound
     found = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")).join(F.broadcast(ids), "_id")
-    # whole texts stay out of the driver: at most FIT_BYTES characters of each of the bounded rows come
-    got = found.groupBy("_id", "_y").agg(F.min(F.substring("_text", 1, FIT_BYTES)).alias("_text")).withColumn("_rank", order).collect()
+    held = found.select("_id", "_y", order.alias("_rank")).distinct().collect()
+    held.sort(key=lambda r: r["_rank"])
+    role = [(r["_id"], k % 2 == 0) for y in (0, 1) for k, r in enumerate(r for r in held if r["_y"] == y)]
+    roles = docs.sparkSession.createDataFrame(role, T.StructType([T.StructField("_id", found.schema["_id"].dataType), T.StructField("_words", T.BooleanType())]))
+    dealt = found.join(F.broadcast(roles), "_id")
+    # whole texts stay out of the driver: of the dictionaries' rows FIT_BYTES characters each come, of the others the measures
+    got = dealt.where("_words").groupBy("_id", "_y").agg(F.min(F.substring("_text", 1, FIT_BYTES)).alias("_text")).withColumn("_rank", order).collect()
     got.sort(key=lambda r: r["_rank"])
-    parts: dict[int, list[str]] = {0: [], 1: []}
-    for r in got:
-        parts[r["_y"]].append(r["_text"])
-    words = {y: _dictionary([b for t in ts[0 : len(ts) : 2] for b in _blocks(t)]) for y, ts in parts.items()}
-    good, bad = _compressor(words[1]), _compressor(words[0])
-    rest = [(measures(t, good, bad), y) for y, ts in parts.items() for t in ts[1 : len(ts) : 2]]
+    words = {y: _dictionary([b for r in got if r["_y"] == y for b in _blocks(r["_text"])]) for y in (0, 1)}
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        good, bad = _compressor(words[1]), _compressor(words[0])
+        for pdf in batches:
+            yield pd.DataFrame({"y": pdf["_y"], "m": [list(measures(t, good, bad)) for t in pdf["_text"]], "r": pdf["_rank"]})
+
+    whole = dealt.where("NOT _words").groupBy("_id", "_y").agg(F.min("_text").alias("_text")).select("_y", "_text", order.alias("_rank"))
+    rest = sorted((r["r"], r["y"], r["m"]) for r in whole.mapInPandas(measured, "y int, m array<double>, r string").collect())  # five numbers a row
+    rest = [(m, y) for _, y, m in rest]
     total = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}  # two rows
     own = {y: max(1, sum(k == y for _, k in rest)) for y in (0, 1)}
     shift = math.log(total[1] / own[1]) - math.log(total[0] / own[0]) if total.get(0) and total.get(1) else 0.0
-    x = np.array([m for m, _ in rest]).reshape(-1, len(measures("", good, bad)))
+    x = np.array([m for m, _ in rest]).reshape(len(rest), 5)
     return Model(words[1], words[0], _logistic(x, np.array([float(y) for _, y in rest]), shift))
 
 

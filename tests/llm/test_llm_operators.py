@@ -390,6 +390,19 @@ def test_quality(spark):
     assert 0 < quality.score(docs, quality.fit(docs, labels.limit(0))).first()["quality_score"] < 1
 
 
+def test_quality_calibrates_on_whole_texts(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = "the of and contract payment goods party shall deliver price term law".split()
+    head = [" ".join(rng.choice(vocabulary, 4000))[: quality.FIT_BYTES].ljust(quality.FIT_BYTES, "x") for _ in range(30)]
+    rows = [(i, t + (" ".join(rng.choice(vocabulary, 3000)) if i % 2 else "$#" * 20000)) for i, t in enumerate(head)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    whole = quality.fit(spark.createDataFrame(rows, TEXT), labels)
+    cut = quality.fit(spark.createDataFrame([(i, t[: quality.FIT_BYTES]) for i, t in rows], TEXT), labels)
+    assert (whole.good, whole.bad) == (cut.good, cut.bad) and whole.weights != cut.weights
+    got = {r["doc_id"]: r["quality_score"] for r in quality.score(spark.createDataFrame(rows, TEXT), whole).collect()}
+    assert all((got[i] >= 0.5) == (i % 2 == 1) for i, _ in rows)
+
+
 # ---- 10 ---------------------------------------------------------------------------------------------------------------
 
 
