@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import urllib.parse
 import uuid
+from collections import OrderedDict
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from folioforge.llm.common import local_path, shared_path
 
 ROW = "name string, data binary"
-_open: dict[tuple[str, str], np.ndarray] = {}
+#: Maps that a worker keeps open; each holds an open file.
+OPEN_MAPS = 256
+_open: OrderedDict[tuple[str, str], np.ndarray] = OrderedDict()
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -77,10 +80,14 @@ class Store:
         return name, None
 
     def get(self, name: str) -> np.ndarray:
-        """In a worker: the array, mapped into memory."""
-        if (self.path, name) not in _open:
-            _open[self.path, name] = np.load(f"{self.folder or self._unpacked()}/{name}.npy", mmap_mode="r")
-        return _open[self.path, name]
+        """In a worker: the array, mapped into memory. The maps used last stay open."""
+        key = (self.path, name)
+        if key not in _open:
+            _open[key] = np.load(f"{self.folder or self._unpacked()}/{name}.npy", mmap_mode="r")
+            if len(_open) > OPEN_MAPS:
+                _open.popitem(last=False)
+        _open.move_to_end(key)
+        return _open[key]
 
     def _unpacked(self) -> str:
         import pyarrow.parquet as pq

@@ -6,10 +6,14 @@ import os
 import tempfile
 import urllib.parse
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from folioforge.sources.shipping import ship
 
@@ -22,10 +26,10 @@ BATCH_ROWS = 1000
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """The session with this package on its workers and, unless the user has chosen a size, small Arrow batches."""
+    """The session with this package on its workers and, unless its configuration names a size, small Arrow batches."""
     ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
+    if spark.conf.get(key) == "10000" and not spark.sparkContext.getConf().contains(key):
         spark.conf.set(key, str(BATCH_ROWS))
     return spark
 
@@ -35,12 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, the warehouse, or in local mode a temporary folder."""
     sc = spark.sparkContext
     if found := sc.getConf().get("spark.checkpoint.dir"):
         return found.rstrip("/")
     if sc.applicationId not in _own_dir:
-        _own_dir[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="folioforge-")
+        local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+        _own_dir[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="folioforge-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/folioforge-" + sc.applicationId
     return _own_dir[sc.applicationId]
 
 
@@ -55,6 +60,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+            path.getFileSystem(conf).delete(path, True)
+
+
+def with_columns(df: DataFrame, source: str, make: Callable[[], Callable[[list], list[list]]], fields: str) -> DataFrame:
+    """df with new columns computed from one column, batch by batch in workers; columns of these names are replaced.
+
+    make() gives a worker the function from a batch's values to the values of each field (a DDL string). All other
+    columns stay the Arrow columns that they are, so 64-bit numbers beside nulls stay exact.
+    """
+    more = T._parse_datatype_string(fields)
+    base = df.drop(*more.names)
+    kinds = [f.type for f in to_arrow_schema(more)]
+    names = base.columns + more.names
+    at = base.columns.index(source)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = make()
+        for b in batches:
+            made = step(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, k) for v, k in zip(made, kinds, strict=True))], names=names)
+
+    return base.mapInArrow(run, T.StructType([*base.schema.fields, *more.fields]))
+
+
 def local_path(path: str) -> str | None:
     """The path that open() takes, if the shared folder is mounted everywhere; None for an object store."""
     parts = urllib.parse.urlparse(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import written
+from folioforge.llm.common import discard, written
 
 
 #: Links for each task: small sets of links are not dealt over more tasks than they need.
@@ -31,7 +31,8 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(_mins(both).coalesce(tasks), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").coalesce(tasks)
         least = _mins(large).coalesce(tasks)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").coalesce(tasks).distinct()
-        edges = written(small.coalesce(tasks), "cc")
+        before, edges = edges, written(small.coalesce(tasks), "cc")
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break

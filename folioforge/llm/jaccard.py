@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import crc_mod, mix64, shingle_set, signed, table, unsigned, written
+from folioforge.llm.arrays import Store, filled, pack_sorted, store, unpack_sorted
+from folioforge.llm.common import crc_mod, discard, mix64, shingle_set, signed, table, unsigned, written
 from folioforge.llm.components import connected
 
 WORDS = 5
@@ -29,6 +29,10 @@ SAMPLE_OF, SAMPLE_HITS, ORDER_MOST = 16, 3, 1 << 20
 BROADCAST_ROWS, CELL = 1_000_000, 128
 #: Rows of a table of classes for each task, so that small tables are not dealt over more tasks than they need.
 ROWS_A_TASK = 20_000
+#: Fingerprints of prefix shingles: a shard holds about so many, a fingerprint has so many bits more than their number
+#: needs (2 to the minus of which is the share of lone shingles that stay in the index), a task sorts so many at once.
+#: Above so many shingles the index is made without them.
+SHARD_TOKENS, SPARE_BITS, TOKENS_AT_ONCE, MOST_TOKENS = 1 << 22, 5, 1 << 21, 1 << 36
 
 #: What the comparison within a bucket sees: a sketch of 256 slots, or for sets of up to FINE shingles one of 512, which
 #: tells almost every shingle apart. Rows of a bucket in one block; pairs of two labels that a bucket offers at first, and
@@ -100,6 +104,109 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return often[order], -order
 
 
+class _Fingerprints:
+    """Short hashes of shingles: a shard and the bits within it."""
+
+    def __init__(self, tokens: int):
+        self.shards = 1 << max(0, (tokens // SHARD_TOKENS).bit_length())
+        self.bits = max(8, tokens.bit_length()) + SPARE_BITS - (self.shards.bit_length() - 1)
+
+    def __call__(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = mix64(unsigned(tokens) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+        shard_bits = self.shards.bit_length() - 1
+        shard = (h >> np.uint64(64 - shard_bits)).astype(np.int64) if shard_bits else np.zeros(len(h), np.int64)
+        return shard, ((h << np.uint64(shard_bits)) >> np.uint64(64 - self.bits)).astype(np.uint64)
+
+
+def _flat(arrays) -> np.ndarray:
+    return np.concatenate([np.asarray(x, np.int64) for x in arrays]) if len(arrays) else np.empty(0, np.int64)
+
+
+def _repeated(groups: DataFrame, prints: _Fingerprints) -> Store:
+    """For each shard the sorted fingerprints that stand in the prefixes of two groups at least, or in one by chance twice.
+
+    Fingerprints travel sorted and packed, two or three bytes each: most shingles of a prefix are alone, and this finds
+    them without a shuffle of their rows.
+    """
+    spark = groups.sparkSession
+    twice = store(spark, "jaccard-twice")
+
+    def sorted_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows(held: list) -> pd.DataFrame:
+            shard, low = prints(_flat(held))
+            order = np.lexsort((low, shard))
+            shard, low = shard[order], low[order]
+            ends = np.searchsorted(shard, np.arange(prints.shards + 1))
+            return pd.DataFrame([(s, pack_sorted(low[ends[s] : ends[s + 1]])) for s in range(prints.shards) if ends[s] < ends[s + 1]], columns=["shard", "k"])
+
+        held, n = [], 0
+        for pdf in batches:
+            for x in pdf["prefix"]:
+                held.append(x)
+                n += len(x)
+                if n >= TOKENS_AT_ONCE:
+                    yield rows(held)
+                    held, n = [], 0
+        if held:
+            yield rows(held)
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def put(shard: int, held: list) -> pd.DataFrame:
+            k = np.sort(np.concatenate(held))
+            same = k[1:][k[1:] == k[:-1]]
+            return pd.DataFrame([twice.put(f"twice-{shard}", np.unique(same))], columns=["name", "data"])
+
+        now, held = None, []
+        for pdf in batches:
+            for shard, k in zip(pdf["shard"].tolist(), pdf["k"], strict=True):
+                if held and shard != now:
+                    yield put(now, held)
+                    held = []
+                now = shard
+                held.append(unpack_sorted(k, np.uint64))
+        if held:
+            yield put(now, held)
+
+    runs = groups.select("prefix").mapInPandas(sorted_runs, "shard int, k binary")
+    dealt = runs.repartition(prints.shards, "shard").sortWithinPartitions("shard")
+    return filled(spark, dealt.mapInPandas(met, "name string, data binary"), twice, "jaccard-twice-rows")[1]
+
+
+def _index(groups: DataFrame) -> DataFrame:
+    """(grp, n, cls, pos, token): a row for each prefix shingle that another group may hold as well, written."""
+    tokens = groups.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    if tokens > MOST_TOKENS:
+        return written(groups.select("grp", "n", "cls", F.posexplode("prefix").alias("pos", "token")), "jaccard-index")
+    prints = _Fingerprints(tokens)
+    twice = _repeated(groups, prints)
+
+    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sizes = np.array([len(x) for x in pdf["prefix"]], np.int64)
+            token = _flat(list(pdf["prefix"]))
+            shard, low = prints(token)
+            keep = np.zeros(len(token), bool)
+            order = np.lexsort((low, shard))
+            ends = np.searchsorted(shard[order], np.arange(prints.shards + 1))
+            for s in range(prints.shards):
+                part = order[ends[s] : ends[s + 1]]
+                if len(part):
+                    known = twice.get(f"twice-{s}")
+                    at = np.minimum(np.searchsorted(known, low[part]), max(0, len(known) - 1))
+                    keep[part] = known[at] == low[part] if len(known) else False
+            row = np.repeat(np.arange(len(pdf)), sizes)
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            row, pos, token = row[keep], pos[keep], token[keep]
+            yield pd.DataFrame({"grp": pdf["grp"].to_numpy()[row], "n": pdf["n"].to_numpy()[row], "cls": pdf["cls"].to_numpy()[row], "pos": pos.astype(np.int32), "token": token})
+
+    return written(groups.select("grp", "n", "cls", "prefix").mapInPandas(some, "grp long, n long, cls long, pos int, token long"), "jaccard-index")
+
+
+def _with_sums(rows: DataFrame, key: str, **sums) -> DataFrame:
+    """rows with aggregates of their key: combined in tasks and joined, so that no task gets all rows of a frequent key."""
+    return rows.join(rows.groupBy(key).agg(*[c.alias(k) for k, c in sums.items()]), key)
+
+
 def _near(x: str, y: str):
     """Length and position filters of a bucket's pair: enough shingles can follow the shared one."""
     n = F.col(f"{x}.n") + F.col(f"{y}.n")
@@ -124,7 +231,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, tasks: int)
     is sent to several tasks.
     """
     pairs = written(pairs, "jaccard-pairs")
-    salted = pairs.withColumn("salt", F.pmod("b", F.ceil(F.count("*").over(W.partitionBy("a")) / CELL))).coalesce(tasks)
+    # leaders of more than CELL pairs, at most a row for each CELL pairs
+    wide = pairs.groupBy("a").agg(F.ceil(F.count("*") / CELL).alias("cells")).where("cells > 1")
+    salted = pairs.join(wide, "a", "left").withColumn("salt", F.pmod("b", F.coalesce("cells", F.lit(1)))).coalesce(tasks)
     jobs = salted.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("cls")).unionByName(salted.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("cls")).distinct().coalesce(tasks))
     jobs = written(jobs.join(classes.select("cls", "rep"), "cls").select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"), "a", "salt", "role", "cls").coalesce(tasks), "jaccard-jobs")
     small = jobs.count() <= BROADCAST_ROWS
@@ -207,12 +316,10 @@ def _offered(live: DataFrame, offer: int) -> DataFrame:
             yield _pairs_of(pd.concat(held, ignore_index=True), offer)
 
     made = "a long, b long, more boolean"
-    # the windows have dealt and sorted the rows by bucket; only buckets of several blocks are dealt again
-    whole = live.where("blocks = 1").withColumn("block", F.lit(0)).withColumn("cell", F.lit(0)).mapInPandas(run, made)
     block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(F.col("block"), k) * F.col("blocks") + F.greatest(F.col("block"), k))
-    dealt = live.where("blocks > 1").withColumn("block", block).withColumn("cell", F.explode(cells))
-    return whole.unionByName(dealt.repartition("token", "cell").sortWithinPartitions("token", "cell").mapInPandas(run, made))
+    dealt = live.withColumn("block", block).withColumn("cell", F.explode(cells))
+    return dealt.repartition("token", "cell").sortWithinPartitions("token", "cell").mapInPandas(run, made)
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -230,20 +337,21 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     full = records.where("n > 0")
     tasks = 8 + records.count() // ROWS_A_TASK
     classes = written(full.groupBy("cls").agg(F.first("n").alias("n"), F.first("grp").alias("grp"), F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch"), F.first("fold").alias("fold")).coalesce(tasks), "jaccard-classes")
-    groups = full.groupBy("grp").agg(F.first("n").alias("n"), F.min("cls").alias("cls"), F.first("prefix").alias("prefix"))
-    rows = groups.select("grp", "n", "cls", F.posexplode("prefix").alias("pos", "token"))
+    groups = written(full.groupBy("grp").agg(F.first("n").alias("n"), F.min("cls").alias("cls"), F.first("prefix").alias("prefix")), "jaccard-groups")
+    index = _index(groups)
+    discard(groups)
     # rows that can be near another of their bucket: exact for two rows, by the bucket's sizes for more
-    token = W.partitionBy("token")
     end = F.struct("cls", "n", "pos")
-    rows = rows.withColumns({"k": F.count("*").over(token), "p": F.min(end).over(token), "q": F.max(end).over(token), "lo": F.min("n").over(token), "hi": F.max("n").over(token)}).where("k > 1")
+    rows = _with_sums(index, "token", k=F.count("*"), p=F.min(end), q=F.max(end), lo=F.min("n"), hi=F.max("n")).where("k > 1")
     least = F.greatest(F.ceil(0.8 * F.col("n")), F.col("lo"))
     fits = (9 * (F.col("n") - F.col("pos")) >= 4 * (F.col("n") + least)) & (5 * F.col("hi") >= 4 * F.col("n")) & (4 * F.col("lo") <= 5 * F.col("n"))
     near = F.when(F.col("k") == 2, _near("p", "q")).otherwise(fits)
-    shared = written(rows.where(near).select("grp", "n", "cls", "pos", "token").coalesce(4 * tasks), "jaccard-index")
+    shared = written(rows.where(near).select("grp", "n", "cls", "pos", "token").coalesce(4 * tasks), "jaccard-buckets")
+    discard(index)
     inside = classes.select("grp", "n", "cls", F.lit(0).alias("pos"), F.col("grp").alias("token"))
-    several = inside.withColumn("k", F.count("*").over(W.partitionBy("grp"))).where("k > 1").drop("k").coalesce(tasks)
+    several = written(_with_sums(inside, "grp", k=F.count("*")).where("k > 1").select(*inside.columns).coalesce(tasks), "jaccard-several")
     # the leader of a bucket is its class of the least hash: in a group of near copies mostly one and the same
-    led = shared.unionByName(several).withColumn("lead", F.min(F.struct("cls", "n", "pos")).over(token))
+    led = _with_sums(shared.unionByName(several.select(*shared.columns)), "token", lead=F.min(end))
     x, y = F.struct("cls", "n", "pos").alias("x"), F.col("lead").alias("y")
     star = led.where("cls <> lead.cls").select(x, y).where(_near("x", "y")).select(F.col("y.cls").alias("a"), F.col("x.cls").alias("b"))
     links = written(_verified(docs, _sketch_filter(star.coalesce(4 * tasks).distinct(), classes, tasks), classes, tasks).coalesce(tasks), "jaccard-links")
@@ -251,10 +359,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     # what is left: pairs of classes with different labels in one bucket, groups expanded to their classes
     offer = OFFER
     while True:
-        named = classes.select("cls", "grp", "fold").join(nodes.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "grp", "fold", F.coalesce("component", "cls").alias("label")).coalesce(tasks)
-        whole = shared.drop("cls").join(named, "grp").unionByName(several.join(named.drop("grp"), "cls").select(*shared.drop("cls").columns, "cls", "fold", "label"))
-        live = whole.withColumn("lo", F.min("label").over(token)).withColumn("hi", F.max("label").over(token)).where("lo < hi").withColumn("blocks", F.ceil(F.count("*").over(token) / BLOCK).cast("int"))
+        named = classes.select("cls", "grp").join(nodes.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "grp", F.coalesce("component", "cls").alias("label")).coalesce(tasks)
+        whole = shared.drop("cls").join(named, "grp").unionByName(several.join(named.drop("grp"), "cls").select(*shared.drop("cls").columns, "cls", "label")).drop("grp")
+        whole = written(whole.coalesce(4 * tasks), "jaccard-labelled")
+        mixed = whole.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo < hi")
+        live = whole.join(mixed, "token").join(classes.select("cls", "fold"), "cls")
         offered = written(_offered(live.select("token", "cls", "n", "pos", "label", "fold", "blocks"), offer).coalesce(4 * tasks), "jaccard-offered")
+        discard(whole)
         late = written(_verified(docs, _sketch_filter(offered.select("a", "b").distinct(), classes, tasks), classes, tasks).coalesce(tasks), "jaccard-links")
         if not late.isEmpty():
             known = nodes.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -275,22 +386,24 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest id stays (null first), repeated rows once.
 
-    Columns are docs'. Rows without words are kept.
+    Columns are docs', whatever their names. Rows without words are kept, repeated ones once. Of rows of one id and text
+    that differ in other columns the one whose JSON is least stays.
     """
     found = written(components(docs, id_col, text), "jaccard-found")
-    best = found.where("n > 0").groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("best")).select(F.col("best.doc_id").alias("_id"), F.col("best.th").alias("_th"))
-    kept = written(best.unionByName(found.where("n = 0").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()), "jaccard-kept")
+    best = found.where("n > 0").groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("best")).select("best.doc_id", "best.th")
+    again = found.groupBy("doc_id", "th").agg((F.count("*") > 1).alias("again"))
+    kept = best.unionByName(found.where("n = 0").select("doc_id", "th").distinct())
+    kept = kept.alias("x").join(again.alias("y"), F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.th") == F.col("y.th"))).select("x.doc_id", "x.th", "again")
+    kept = written(kept, "jaccard-kept")
     right = F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
-    th = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    rows = docs.withColumn("_text_hash", th).join(right, (F.col("_text_hash") == F.col("_th")) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    again = found.groupBy("doc_id", "th").agg(F.count("*").alias("k")).where("k > 1").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-    again = written(again, "jaccard-again")
-    if again.isEmpty():
-        return rows.drop("_text_hash")
-    right = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
-    same = (F.col("_text_hash") == F.col("_th")) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id"))
-    once = rows.join(right, same, "left_semi").withColumn("_zero", F.col("_text_hash")).dropDuplicates([id_col, "_text_hash"]).drop("_zero")
-    return rows.join(right, same, "left_anti").unionByName(once).drop("_text_hash")
+    # the rows travel whole under an alias, so that no column of docs can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own = rows.withColumns({"own_id": F.col(f"row.`{id_col}`").cast("long"), "own_th": F.xxhash64(F.coalesce(F.col(f"row.`{text}`"), F.lit("")))})
+    stay = own.join(right, (F.col("own_th") == F.col("th")) & F.col("own_id").eqNullSafe(F.col("doc_id"))).select("row", "own_id", "own_th", "again")
+    if kept.where("again").isEmpty():
+        return stay.select("row.*")
+    once = stay.where("again").groupBy("own_id", "own_th").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return stay.where("NOT again").select("row.*").unionByName(once.select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

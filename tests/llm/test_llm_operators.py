@@ -104,6 +104,25 @@ def test_jaccard_components(spark):
     assert jaccard.components(docs.limit(0)).count() == 0 and jaccard.keep_one(docs.limit(0)).count() == 0
 
 
+def test_jaccard_routes_agree(spark, sf, monkeypatch):
+    """Shuffle joins for broadcasts, many shards of fingerprints, small blocks and cells, and the index without fingerprints."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = lambda: sorted(map(tuple, jaccard.components(docs).select("doc_id", "n", "component_id").collect()))
+    one = rows()
+    assert one == brute_components([tuple(r) for r in docs.collect()]) or sorted(one, key=repr) == brute_components([tuple(r) for r in docs.collect()])
+    for name, value in (("BROADCAST_ROWS", -1), ("SHARD_TOKENS", 1000), ("BLOCK", 2), ("CELL", 1), ("TOKENS_AT_ONCE", 500)):
+        monkeypatch.setattr(jaccard, name, value)
+    assert rows() == one
+    monkeypatch.setattr(jaccard, "MOST_TOKENS", 0)
+    assert rows() == one
+
+
+def test_keep_one_has_no_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "a b c", "x", 1), (1, "a b c", "w", 1), (2, "A b c", "y", 2), (3, "other", "z", 3)], "doc_id long, text string, th string, _id int").withColumns({"_text_hash": F.lit(1), "row": F.lit("r"), "again": F.lit(0), "own_id": F.lit(5)})
+    got = jaccard.keep_one(d)
+    assert got.columns == d.columns and sorted((r["doc_id"], r["th"]) for r in got.collect()) == [(1, "w"), (3, "z")]
+
+
 def test_keep_one_keeps_unrelated_rows_of_null_or_repeated_ids(spark):
     clean = [f"unrelated clean text number{i} on topic{i} alone" for i in range(6)]
     rows = [(None, t) for t in clean[:3]] + [(7, t) for t in clean[3:5]] + [(8, clean[5]), (None, clean[0]), (9, clean[5].upper())]
