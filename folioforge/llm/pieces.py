@@ -1,16 +1,15 @@
 """Operator 7: SentencePiece encoding and decoding over a lattice of words.
 
-A text is cut into words at the places that no piece crosses. The lattice of a word is relational: all substrings up to
-the longest piece, equi-joined to the piece table, grouped by word. A fold over its edges gives the encoding: Viterbi
-for unigram models, the merge order for BPE models, whose ranks are no probabilities.
-
-`lattice` and `viterbi` state this with DataFrames and the higher-order aggregate. `encode` runs the same join, grouping
-and fold in workers, over the distinct words of each batch as arrays, because the rows of all substrings of all
-distinct words are hundreds of times the text.
+A text is cut into words at the places that no piece crosses. The lattice of the distinct words is relational: all
+substrings up to the longest piece are exploded, equi-joined to the piece table and grouped by word, all under one
+exchange of the words. A fold over the edges by the higher-order aggregate gives a word's ids: Viterbi for unigram
+models, the merge order for BPE models, whose ranks are no probabilities. The encodings are kept as sorted arrays that
+workers map to turn texts into ids, so that no row is made for each word of each text.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -18,17 +17,20 @@ from itertools import chain as flat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from folioforge.llm.common import mix64, table
+from folioforge.llm.arrays import Store, filled, store
+from folioforge.llm.common import table, with_columns
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Code points of words that are encoded as arrays; longer ones are encoded one by one. Words kept by a worker, and words
-#: encoded at once.
-ARRAY_CHARS, CACHE, CHUNK = 24, 300_000, 8_000
+#: Code points of words that the lattice takes, whose cuts are bits of a 64-bit number; longer ones are encoded one by
+#: one in workers. Words kept by a worker. Characters of text for each shard of words, and shards at most; words of a
+#: task that are grouped in memory, beyond which Spark sorts them.
+LATTICE_CHARS, CACHE, SHARD_CHARS, SHARDS, GROUPED = 60, 300_000, 4_000_000, 4096, 60_000
 
 
 @dataclass(frozen=True)
@@ -42,6 +44,15 @@ class Pieces:
     unigram: bool
     joined: str = field(default="", compare=False)  # characters of pieces of two or more
 
+    @property
+    def unknown_score(self) -> float:
+        return min((s for n, s in zip(self.names, self.scores, strict=True) if n), default=0.0) - 10
+
+    def ranks(self) -> dict[int, int]:
+        """The place of each piece in the merge order: by score, the greatest first."""
+        order = {x: k for k, x in enumerate(sorted({-s for n, s in zip(self.names, self.scores, strict=True) if n}))}
+        return {i: order[-s] for i, (n, s) in enumerate(zip(self.names, self.scores, strict=True)) if n}
+
     @property
     def longest(self) -> int:
         return max((len(n) for n in self.names), default=1)
@@ -86,30 +97,80 @@ def escaped(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-# ---- the lattice as DataFrames -------------------------------------------------------------------------------------
+# ---- the lattice of the distinct words -------------------------------------------------------------------------------
 
 
 def piece_table(spark: SparkSession, p: Pieces) -> DataFrame:
-    """(piece, id, score): one row per piece that text can match."""
-    return spark.createDataFrame([(n, i, float(s)) for i, (n, s) in enumerate(zip(p.names, p.scores, strict=True)) if n], "piece string, id int, score double")
+    """(piece, id, score, rank): one row per piece that text can match."""
+    ranks = p.ranks()
+    return spark.createDataFrame([(n, i, float(s), ranks[i]) for i, (n, s) in enumerate(zip(p.names, p.scores, strict=True)) if n], "piece string, id int, score double, rank int")
+
+
+def distinct_words(texts: DataFrame, p: Pieces, text: str, shards: int) -> DataFrame:
+    """(shard, word): the distinct words of 2 to LATTICE_CHARS code points, dealt by shard. Workers drop repeats before the exchange."""
+    pattern = word_pattern(p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, seen = re.compile(pattern).findall, set()
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([w for w in seen if 1 < len(w) <= LATTICE_CHARS], pa.string())], names=["word"])
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                seen.update(find(escaped(t or "")))
+                if len(seen) > CACHE:
+                    yield batch()
+                    seen = set()
+        if seen:
+            yield batch()
+
+    found = texts.select(text).mapInArrow(run, "word string")
+    return found.withColumn("shard", F.xxhash64("word").bitwiseAND(F.lit(shards - 1)).cast("int")).repartition(shards, "shard").select("shard", "word").distinct()
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(word, n_chars, edges): for each distinct word its edges (end, start, id, score), in that order; none for words without a piece.
+def lattice(words: DataFrame, pieces: DataFrame, longest: int, unknown_score: float) -> DataFrame:
+    """(shard, word, n_chars, edges): the edges (rank, start, size, id, score) of each word, by rank and start.
 
-    The piece table is a vocabulary of fixed size and is broadcast.
+    A character that is no piece has an edge too, of the id -1 - code point, the unknown score and the last rank. The
+    piece table is a vocabulary of fixed size and is broadcast; words are dealt by shard, so nothing else is exchanged.
     """
-    each = words.select("word").where("word <> ''").distinct().withColumn("n_chars", F.char_length("word"))
+    each = words.withColumn("n_chars", F.char_length("word"))
     starts = each.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("n_chars") - 1)))
     spans = starts.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n_chars") - F.col("start")))))
     cut = spans.withColumn("piece", F.substring(F.col("word"), F.col("start") + 1, F.col("size")))
-    met = cut.join(F.broadcast(pieces), "piece").groupBy("word").agg(F.array_sort(F.collect_list(F.struct((F.col("start") + F.col("size")).alias("end"), "start", "id", "score"))).alias("edges"))
-    return each.join(met, "word", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<end:int,start:int,id:int,score:double>>")))
+    met = cut.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR size = 1")
+    edge = F.struct(F.coalesce("rank", F.lit(2**31 - 1)).alias("rank"), "start", "size", F.coalesce("id", -1 - F.ascii("piece")).alias("id"), F.coalesce("score", F.lit(unknown_score)).alias("score"))
+    return met.groupBy("shard", "word").agg(F.first("n_chars").alias("n_chars"), F.array_sort(F.collect_list(edge)).alias("edges"))
 
 
-def viterbi(edges: DataFrame, unknown_id: int, unknown_score: float) -> DataFrame:
-    """(word, ids, score): the path of the greatest sum of scores; a character without an edge is the unknown piece."""
+def _power(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k)
+
+
+def merge_order(edges: DataFrame) -> DataFrame:
+    """(shard, word, ids) by merges: two neighbours that make a piece become one, the best-ranked piece first, the leftmost of equals.
+
+    The cuts of a word are the bits of a number. An edge with both ends cut and one cut within is a merge; edges come by
+    rank and start, so the first is the next.
+    """
+    mask = F.transform("edges", lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id"), (_power(e["start"]).bitwiseOR(_power(e["start"] + e["size"]))).alias("ends"), (_power(e["start"] + e["size"]) - _power(e["start"] + 1)).alias("within")))
+    masked = edges.withColumn("m", mask).withColumn("merges", F.filter("m", lambda e: e["within"] != 0))
+
+    def step(cuts: Column, _: Column) -> Column:
+        ready = F.filter("merges", lambda e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(cuts.bitwiseAND(e["within"])) == 1))
+        return cuts.bitwiseAND(F.bitwise_not(F.coalesce(F.get(ready, F.lit(0))["within"], F.lit(0).cast("long"))))
+
+    cuts = F.aggregate(F.sequence(F.lit(2), F.col("n_chars")), _power(F.col("n_chars") + 1) - 1, step)
+    done = masked.withColumn("cuts", cuts)
+    last = F.filter("m", lambda e: (F.col("cuts").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("cuts").bitwiseAND(e["within"]) == 0))
+    return done.select("shard", "word", F.transform(F.array_sort(F.transform(last, lambda e: F.struct(e["start"], e["id"].alias("id")))), lambda x: x["id"]).alias("ids"))
+
+
+def viterbi(edges: DataFrame) -> DataFrame:
+    """(shard, word, ids) on the path of the greatest sum of scores, of equal sums the one with the longest last piece."""
     state = "array<struct<score:double,ids:array<int>>>"
+    by_start = edges.withColumn("edges", F.array_sort(F.transform("edges", lambda e: F.struct(e["start"].alias("start"), (e["start"] + e["size"]).alias("end"), e["id"].alias("id"), e["score"].alias("score")))))
     best = F.aggregate(
         F.sequence(F.lit(1), F.col("n_chars")),
         F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids"))).cast(state),
@@ -118,41 +179,68 @@ def viterbi(edges: DataFrame, unknown_id: int, unknown_score: float) -> DataFram
             F.array(
                 F.aggregate(
                     F.filter("edges", lambda e: e["end"] == end),
-                    F.struct((F.get(acc, end - 1)["score"] + unknown_score).alias("score"), F.concat(F.get(acc, end - 1)["ids"], F.array(F.lit(unknown_id))).alias("ids")),
+                    F.struct(F.lit(float("-inf")).alias("score"), F.array().cast("array<int>").alias("ids")),
                     lambda top, e: F.when(F.get(acc, e["start"])["score"] + e["score"] > top["score"], F.struct((F.get(acc, e["start"])["score"] + e["score"]).alias("score"), F.concat(F.get(acc, e["start"])["ids"], F.array(e["id"])).alias("ids"))).otherwise(top),
                 )
             ),
         ),
     )
-    return edges.withColumn("_end", F.element_at(best, -1)).select("word", F.col("_end.ids").alias("ids"), F.col("_end.score").alias("score"))
+    return by_start.select("shard", "word", F.element_at(best, -1)["ids"].alias("ids"))
 
 
-# ---- the same over the distinct words of a batch -------------------------------------------------------------------
+def encoded_words(words: DataFrame, p: Pieces) -> DataFrame:
+    """(shard, word, ids) of distinct words; id -1 - c stands for a character c that is no piece."""
+    edges = lattice(words, piece_table(words.sparkSession, p), p.longest, p.unknown_score)
+    return viterbi(edges) if p.unigram else merge_order(edges)
 
-_MUL = np.uint64(0x9E3779B97F4A7C15)
+
+def _kept(words: DataFrame, p: Pieces, shards: int) -> Store:
+    """The encodings as arrays: for each shard the sorted hashes of its words, where their ids end, and all ids."""
+    spark = words.sparkSession
+    at = store(spark, "piece-words")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def put(shard: int, held: list[pd.DataFrame]) -> pd.DataFrame:
+            rows = pd.concat(held)
+            h = rows["h"].to_numpy(np.int64).view(np.uint64)
+            order = np.argsort(h)
+            ids = [rows["ids"].iloc[k] for k in order]
+            ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))).astype(np.uint32)
+            made = [at.put(f"hash-{shard}", h[order]), at.put(f"end-{shard}", ends), at.put(f"ids-{shard}", np.concatenate(ids).astype(np.int32))]
+            return pd.DataFrame(made, columns=["name", "data"])
+
+        now, held = None, []
+        for pdf in batches:
+            for shard, rows in pdf.groupby("shard", sort=True):
+                if held and shard != now:
+                    yield put(now, held)
+                    held = []
+                now = shard
+                held.append(rows)
+        if held:
+            yield put(now, held)
+
+    found = encoded_words(words, p).select("shard", F.xxhash64("word").alias("h"), "ids").sortWithinPartitions("shard")
+    key = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(int(before), GROUPED)))
+    try:
+        return filled(spark, found.mapInPandas(run, "name string, data binary"), at, "piece-words-rows")[1]
+    finally:
+        spark.conf.set(key, before)
+
+
+# ---- texts to ids ----------------------------------------------------------------------------------------------------
 
 
 class Encoder:
-    """Encodes words in a worker, and keeps the encodings of recent ones."""
+    """Encodes texts in a worker: looks words up in the kept encodings, and keeps those of recent words."""
 
-    def __init__(self, p: Pieces):
-        self.p, self.longest = p, p.longest
+    def __init__(self, p: Pieces, kept: Store | None = None, shards: int = 1):
+        self.p, self.kept, self.shards, self.longest = p, kept, shards, p.longest
         self.find = re.compile(word_pattern(p)).findall
-        ids = np.array([i for i, n in enumerate(p.names) if n], np.int32)
         self.ids = {n: i for i, n in enumerate(p.names) if n}
-        keys = np.array([self._key(p.names[i]) for i in ids], np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.key_ids = keys[order], ids[order]
-        if len(np.unique(keys)) < len(keys):
-            raise ValueError("two pieces have one hash")
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[keys >> np.uint64(42)] = True
-        self.scores = np.array(p.scores)
-        real = self.scores[ids] if len(ids) else np.zeros(1)
-        self.unknown_score = float(real.min()) - 10
-        # the order in which pairs merge: by score, greatest first
-        self.rank = np.full(len(p.names) + 1, np.iinfo(np.int64).max)
-        self.rank[ids] = np.unique(-real, return_inverse=True)[1]
+        self.names, self.rank = p.names, p.ranks()
         self._forget()
 
     def _forget(self) -> None:
@@ -160,85 +248,18 @@ class Encoder:
         self.rows: dict[str, int] = {}
         self.start, self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
 
-    @staticmethod
-    def _key(s: str) -> int:
-        h = np.zeros(1, np.uint64)
-        for c in s:
-            h = h * _MUL + np.uint64(ord(c) + 1)
-        return int(mix64(h + np.uint64(len(s)))[0])
-
-    def _edges(self, codes: np.ndarray) -> np.ndarray:
-        """Piece ids by word, start and length - 1; -1 where a substring is no piece."""
-        m, n = codes.shape
-        width = min(self.longest, n)
-        out = np.full((m, n, width), -1, np.int32)
-        h = np.zeros((m, n), np.uint64)
-        for size in range(1, width + 1):
-            k = n - size + 1
-            h[:, :k] = h[:, :k] * _MUL + codes[:, size - 1 :] + np.uint64(1)
-            key = mix64(h[:, :k] + np.uint64(size))
-            r, s = np.nonzero(self.maybe[key >> np.uint64(42)])
-            q = key[r, s]
-            at = np.minimum(np.searchsorted(self.keys, q), len(self.keys) - 1)
-            hit = self.keys[at] == q if len(self.keys) else np.zeros(len(q), bool)
-            out[r[hit], s[hit], size - 1] = self.key_ids[at[hit]]
-        return out
-
-    def _merged(self, edges: np.ndarray) -> np.ndarray:
-        """Starts of the segments of each word, then n: adjacent segments merge, the best-ranked pair first, the leftmost of equals."""
-        m, n, width = edges.shape
-        final = np.full((m, n + 1), n)
-        starts = np.tile(np.arange(n + 1), (m, 1))
-        left = np.arange(m)
-        while len(left) and starts.shape[1] > 2:
-            size = starts[:, 2:] - starts[:, :-2]
-            ok = (size > 0) & (size <= width) & (starts[:, 1:-1] < n)
-            e = edges[left[:, None], np.minimum(starts[:, :-2], n - 1), np.clip(size, 1, width) - 1]
-            rank = np.where(ok & (e >= 0), self.rank[e], np.iinfo(np.int64).max)
-            j = rank.argmin(1)
-            go = rank[np.arange(len(left)), j] < np.iinfo(np.int64).max
-            final[left[~go], : starts.shape[1]] = starts[~go]
-            left, starts, j = left[go], starts[go], j[go]
-            starts = np.where(np.arange(starts.shape[1] - 1)[None] <= j[:, None], starts[:, :-1], starts[:, 1:])
-        if len(left):
-            final[left, : starts.shape[1]] = starts
-        return final
-
-    def _viterbi(self, edges: np.ndarray) -> np.ndarray:
-        """Starts of the segments on the path of the greatest sum of scores, then n."""
-        m, n, width = edges.shape
-        best = np.full((m, n + 1), -np.inf)
-        best[:, 0] = 0
-        back = np.zeros((m, n + 1), np.int64)
-        for end in range(1, n + 1):
-            for size in range(min(width, end), 0, -1):  # of equal sums the longest last piece
-                e = edges[:, end - size, size - 1]
-                s = best[:, end - size] + np.where(e >= 0, self.scores[e], self.unknown_score if size == 1 else -np.inf)
-                up = s > best[:, end]
-                best[up, end], back[up, end] = s[up], end - size
-        final = np.full((m, n + 1), n)
-        at, rows, cuts = np.full(m, n), np.arange(m), np.zeros((m, n + 1), bool)
-        while (at > 0).any():
-            at = back[rows, at]
-            cuts[rows, at] = True
-        k = cuts.sum(1)
-        final[np.arange(n + 1)[None] < k[:, None]] = np.nonzero(cuts)[1]
-        return final
-
     def _fallback(self, c: str) -> tuple[int, ...]:
         return tuple(self.p.bytes_at[b] for b in c.encode("utf-8", "surrogatepass")) if self.p.bytes_at else (self.p.unknown,)
 
-    def _long(self, word: str) -> tuple[int, ...]:
-        """One long word, exactly: a heap of merges, or Viterbi with a window of the longest piece."""
-        import heapq
-
+    def one(self, word: str) -> tuple[int, ...]:
+        """One word of any length, exactly: a heap of merges, or Viterbi with a window of the longest piece."""
         n = len(word)
         if self.p.unigram:
             best, back = [0.0] + [float("-inf")] * n, [0] * (n + 1)
             for end in range(1, n + 1):
                 for start in range(max(0, end - self.longest), end):
                     i = self.ids.get(word[start:end])
-                    s = best[start] + (self.p.scores[i] if i is not None else self.unknown_score if end - start == 1 else float("-inf"))
+                    s = best[start] + (self.p.scores[i] if i is not None else self.p.unknown_score if end - start == 1 else float("-inf"))
                     if s > best[end]:
                         best[end], back[end] = s, start
             cuts = [n]
@@ -255,7 +276,7 @@ class Encoder:
                     end = after[b]
                     i = self.ids.get(word[a:end]) if end - a <= self.longest else None
                     if i is not None:
-                        heapq.heappush(heap, (int(self.rank[i]), a, b, end))
+                        heapq.heappush(heap, (self.rank[i], a, b, end))
 
             for a in range(n - 1):
                 offer(a)
@@ -272,50 +293,46 @@ class Encoder:
             cuts = [a for a in range(n) if alive[a]] + [n]
         return tuple(flat.from_iterable((self.ids[word[a:b]],) if word[a:b] in self.ids else self._fallback(word[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)))
 
+    def _spelled(self, ids: list[int]) -> str:
+        return "".join([self.names[i] if i >= 0 else chr(-1 - i) for i in ids])
+
+    def _looked_up(self, words: list[str]) -> list[tuple[int, ...]]:
+        """The kept encodings; a word that they lack, or whose hash another word has, is encoded here."""
+        h = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in words), np.uint64, len(words))
+        shard = (h & np.uint64(self.shards - 1)).astype(np.int64)
+        order = np.lexsort((h, shard))
+        ends = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        out: list[tuple[int, ...]] = [()] * len(words)
+        for s in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+            part = order[ends[s] : ends[s + 1]]
+            try:
+                known, stop, ids = (self.kept.get(f"{k}-{s}") for k in ("hash", "end", "ids"))
+            except FileNotFoundError:
+                known, stop, ids = np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int32)
+            at = np.minimum(np.searchsorted(known, h[part]), max(0, len(known) - 1))
+            hit = known[at] == h[part] if len(known) else np.zeros(len(part), bool)
+            hi = np.where(hit, stop[at], 0) if len(known) else np.zeros(len(part), int)
+            lo = np.where(hit & (at > 0), stop[at - 1], 0) if len(known) else hi
+            for w, a, b in zip(part.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                got = ids[a:b].tolist()
+                if self._spelled(got) != words[w]:
+                    out[w] = self.one(words[w])
+                elif min(got) < 0:
+                    out[w] = tuple(flat.from_iterable((i,) if i >= 0 else self._fallback(chr(-1 - i)) for i in got))
+                else:
+                    out[w] = got
+        return out
+
     def _learn(self, words: list[str]) -> None:
-        by_size: dict[int, list[str]] = {}
-        for w in words:
-            by_size.setdefault(len(w), []).append(w)
-        sizes, flats = [], []
-
-        def add(part: list[str], size: np.ndarray, flat_ids: np.ndarray) -> None:
-            n = len(self.rows)
-            self.rows.update(zip(part, range(n, n + len(part)), strict=True))
-            sizes.append(size.astype(np.int64))
-            flats.append(flat_ids.astype(np.int32))
-
-        def one_by_one(part: list[str], encoded: list[tuple[int, ...]]) -> None:
-            add(part, np.fromiter(map(len, encoded), np.int64, len(encoded)), np.fromiter(flat.from_iterable(encoded), np.int32))
-
-        for n, group in by_size.items():
-            if n == 1:
-                one_by_one(group, [(self.ids[w],) if w in self.ids else self._fallback(w) for w in group])
-                continue
-            if n > ARRAY_CHARS:
-                one_by_one(group, [self._long(w) for w in group])
-                continue
-            for lo in range(0, len(group), CHUNK):
-                part = group[lo : lo + CHUNK]
-                codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), n).astype(np.uint64)
-                edges = self._edges(codes)
-                starts = self._viterbi(edges) if self.p.unigram else self._merged(edges)
-                size = np.diff(starts, axis=1)
-                r, k = np.nonzero(size > 0)
-                s, z = starts[r, k], size[r, k]
-                got = np.where(z <= edges.shape[2], edges[r, s, np.minimum(z, edges.shape[2]) - 1], -1)
-                odd = np.zeros(len(part), bool)  # words with a character that is no piece
-                odd[r[got < 0]] = True
-                plain = ~odd[r]
-                add([w for w, o in zip(part, odd.tolist(), strict=True) if not o], np.bincount(r[plain], minlength=len(part))[~odd], got[plain])
-                if odd.any():
-                    rest = np.flatnonzero(odd)
-                    ends = np.searchsorted(r, rest, side="right")
-                    begin = np.searchsorted(r, rest)
-                    one_by_one([part[w] for w in rest], [tuple(flat.from_iterable((int(got[q]),) if got[q] >= 0 else self._fallback(part[w][s[q] : s[q] + z[q]]) for q in range(x, y))) for w, x, y in zip(rest.tolist(), begin.tolist(), ends.tolist(), strict=True)])
-        if sizes:
-            new = np.concatenate(sizes)
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(new) - new])
-            self.size, self.flat = np.concatenate([self.size, new]), np.concatenate([self.flat, *flats])
+        short = [w for w in words if len(w) == 1]
+        middle = [w for w in words if 1 < len(w) <= LATTICE_CHARS and self.kept is not None]
+        rest = [w for w in words if len(w) > 1 and (len(w) > LATTICE_CHARS or self.kept is None)]
+        made = [(self.ids[w],) if w in self.ids else self._fallback(w) for w in short] + (self._looked_up(middle) if middle else []) + [self.one(w) for w in rest]
+        n = len(self.rows)
+        self.rows.update(zip(short + middle + rest, range(n, n + len(made)), strict=True))
+        size = np.fromiter(map(len, made), np.int64, len(made))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, np.fromiter(flat.from_iterable(made), np.int32)])
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [self.find(escaped(t)) if t else [] for t in texts]
@@ -361,37 +378,38 @@ def encode(df: DataFrame, pieces: Pieces, text: str = "text", out: str = "ids",
     """df with the ids of each text; null and empty texts have none. As the public library encodes: BPE models by merges, unigram models by Viterbi.
 
     round_trip names a column that tells whether decoding gives the text again: false for texts with U+2581, which is
-    how white space is written, true for null texts.
+    how white space is written, true for null texts. Columns of these names are replaced. The distinct words are encoded
+    by a job of their own; words of over LATTICE_CHARS code points are encoded in the texts' workers.
     """
-    base = df.drop(out, *([round_trip] if round_trip else []))
-    shared = df.sparkSession.sparkContext.broadcast(pieces)  # a vocabulary of fixed size
+    spark = df.sparkSession
+    chars = df.agg(F.coalesce(F.sum(F.length(f"`{text}`")), F.lit(0))).first()[0]
+    shards = min(SHARDS, 1 << max(2, (chars // SHARD_CHARS).bit_length()))
+    kept = _kept(distinct_words(df, pieces, f"`{text}`", shards), pieces, shards)
+    shared = spark.sparkContext.broadcast(pieces)  # a vocabulary of fixed size
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, names = Encoder(shared.value), piece_bytes(shared.value)
-        for pdf in batches:
-            texts = pdf[text].tolist()
-            for part in _slices(texts):
-                ids = encoder(texts[part])
-                made = pdf.iloc[part].assign(**{out: ids})
-                if round_trip:
-                    made[round_trip] = [decode_ids(shared.value, names, x.tolist()) == (t or "") for x, t in zip(ids, texts[part], strict=True)]
-                yield made
+    def make():
+        encoder, names = Encoder(shared.value, kept, shards), piece_bytes(shared.value)
 
-    more = [T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(round_trip, T.BooleanType())] if round_trip else [])]
-    return base.mapInPandas(run, T.StructType([*base.schema.fields, *more]))
+        def step(texts: list) -> list[list]:
+            ids = [x for part in _slices(texts) for x in encoder(texts[part])]
+            if not round_trip:
+                return [ids]
+            return [ids, [decode_ids(shared.value, names, x.tolist()) == (t or "") for x, t in zip(ids, texts, strict=True)]]
+
+        return step
+
+    return with_columns(df, text, make, f"{out} array<int>" + (f", {round_trip} boolean" if round_trip else ""))
 
 
 def decode(df: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the text of each array of ids; null ids give null, no ids ""."""
-    base = df.drop(out)
     shared = df.sparkSession.sparkContext.broadcast(pieces)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         names = piece_bytes(shared.value)
-        for pdf in batches:
-            yield pdf.assign(**{out: [None if x is None else decode_ids(shared.value, names, x) for x in pdf[ids]]})
+        return lambda values: [[None if x is None else decode_ids(shared.value, names, x) for x in values]]
 
-    return base.mapInPandas(run, T.StructType([*base.schema.fields, T.StructField(out, T.StringType())]))
+    return with_columns(df, ids, make, f"{out} string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -320,18 +320,42 @@ def table():
     return pieces.from_table(rows, 0, True)
 
 
-def test_viterbi_in_three_ways(spark, table):
-    texts = ["ab", "a b", "abab bab ba", "ab" * 30, "é b", "", "  ab"]
-    e = pieces.Encoder(table)
-    w = sorted({x for t in texts for x in e.find(pieces.escaped(t))})
-    single = lambda x: x.count("▁") == 1 and x[0] == "▁" and len(x) > 1
-    got = {r["word"]: (r["ids"], r["score"]) for r in pieces.viterbi(pieces.lattice(spark.createDataFrame([(x,) for x in w], "word string"), pieces.piece_table(spark, table), table.longest), 0, e.unknown_score).collect()}
-    assert {x: e([x.lstrip("▁")])[0].tolist() for x in w if single(x)} == {x: ids for x, (ids, _) in got.items() if single(x)}
-    for x in w:
-        if len(x) > 1:
-            e._forget()
-            e._learn([x])
-            assert e.flat.tolist() == got[x][0] == list(e._long(x))
+def encoded(spark, p, texts):
+    """Ids of each text through the lattice, the fold and the mapped arrays."""
+    d = spark.createDataFrame(list(enumerate(texts)), TEXT)
+    return [r["ids"] for r in pieces.encode(d, p).orderBy("doc_id").collect()]
+
+
+def test_viterbi_in_two_ways(spark, table):
+    texts = ["ab", "a b", "abab bab ba", "ab" * 25, "ab" * 40, "é b", "", "  ab", "aé𝒳b"]
+    plain = pieces.Encoder(table)
+    assert encoded(spark, table, texts) == [x.tolist() for x in plain(texts)]
+    words = sorted({w for t in texts for w in plain.find(pieces.escaped(t)) if 1 < len(w) <= pieces.LATTICE_CHARS})
+    rows = pieces.encoded_words(spark.createDataFrame([(0, w) for w in words], "shard int, word string"), table).collect()
+    assert {r["word"]: "".join(table.names[i] if i >= 0 else chr(-1 - i) for i in r["ids"]) for r in rows} == {w: w for w in words}
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.text(st.sampled_from("abcd"), min_size=2, max_size=5), min_size=1, max_size=12, unique=True), st.lists(st.text(st.sampled_from("abcd"), min_size=2, max_size=14), min_size=1, max_size=6))
+def test_merges_of_any_table(spark, names, words):
+    """Merge order against merging plainly, for tables whose pieces need not come from merges."""
+    rows = [("<unk>", 0.0, "other")] + [(c, -100.0, "piece") for c in "abc"] + [(n, -float(k), "piece") for k, n in enumerate(names)]
+    p = pieces.from_table(rows, 0, False)
+    rank = {n: k for k, n in enumerate(names)}
+
+    def plain(w):
+        parts = list(w)
+        while True:
+            ready = [(rank[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in rank]
+            if not ready:
+                return [p.names.index(x) if x in p.names else -1 - ord(x) for x in parts]
+            k = min(ready)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+    words = sorted(set(words))
+    got = pieces.encoded_words(spark.createDataFrame([(0, w) for w in words], "shard int, word string").coalesce(1), p)
+    assert {r["word"]: r["ids"] for r in got.collect()} == {w: plain(w) for w in words}
+    assert all(pieces.Encoder(p).one(w) == tuple(i if i >= 0 else 0 for i in plain(w)) for w in words)
 
 
 def test_like_the_library(spark):
@@ -341,7 +365,7 @@ def test_like_the_library(spark):
     p, path = pieces.load(), pieces.MODEL_FILE
     texts = ["The quick brown fox, 1234!", " leading  and   trailing ", "línea\n\nnueva\ttab", "日本語 𝒳 text", "x" * 500, "", "<s> </s> <0x41>", "ab" * 300 + " end"]
     library = sentencepiece.SentencePieceProcessor(model_file=path)
-    assert [x.tolist() for x in pieces.Encoder(p)(texts)] == [library.encode(t) for t in texts]
+    assert [x.tolist() for x in pieces.Encoder(p)(texts)] == [library.encode(t) for t in texts] == encoded(spark, p, texts)
     spec = proto.ModelProto()
     spec.ParseFromString(open(path, "rb").read())
     spec.trainer_spec.model_type = 1
@@ -349,11 +373,14 @@ def test_like_the_library(spark):
         x.score = max(x.score, -40000.0)
     unigram = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
     u = replace(p, unigram=True, scores=tuple(max(s, -40000.0) for s in p.scores))
-    assert [x.tolist() for x in pieces.Encoder(u)(texts)] == [unigram.encode(t) for t in texts]
+    assert [x.tolist() for x in pieces.Encoder(u)(texts)] == [unigram.encode(t) for t in texts] == encoded(spark, u, texts)
     d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(90, None), (91, "▁")], TEXT + "").withColumn("ids", F.lit("clash"))
     got = {r["doc_id"]: r for r in pieces.decode(pieces.encode(d, p, round_trip="ok"), p).collect()}
     assert all(got[i]["decoded"] == t and got[i]["ok"] for i, t in enumerate(texts))
     assert got[90]["ids"] == [] and got[90]["ok"] and not got[91]["ok"] and got[91]["decoded"] == " "
+    assert pieces.encode(d.limit(0), p).count() == 0
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    assert all(r["ids"] == library.encode(r["text"] or "") for r in pieces.encode(docs, p).collect())
 
 
 # ---- 8 ----------------------------------------------------------------------------------------------------------------
