@@ -1,78 +1,111 @@
 """Operator 10: main text of web pages by tree scoring.
 
-Paragraphs pass points for their length and commas to their ancestors, containers are discounted by link density, and
-the best container and the siblings that belong to it are kept.
+Paragraphs pass points for their length and commas to their ancestors, less with each level; a container's points are
+discounted by link density and weighed by its tag and names; the best container and the siblings that read like it are
+kept. Names never remove what holds the best container; below and beside it they mark what is not the article.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from folioforge.llm.common import table
+from folioforge.llm.common import table, with_columns
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title iframe svg math select object canvas".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_DROP = frozenset("nav footer aside form button dialog menu head input fieldset".split())
-_PARAGRAPH = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 figcaption".split())
+_RAW = frozenset("script style noscript template textarea title iframe svg object canvas".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow msub msup mtext q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_DROP = frozenset("nav footer aside form button dialog menu head input fieldset select".split())
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+_PARAGRAPH = _HEADING | frozenset("p pre td blockquote li dd figcaption".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: The open element that a start tag ends, and the elements that keep it open.
+_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|</[^>]*(?:>|$)", re.S)
-_ATTR = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_P_SCOPE = ("article", "body", "button", "td", "th", "table", "main", "section", "div", "blockquote", "li")
+# an attribute's value is quoted only if the quote follows the equals sign
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|$)|</[^>]*(?:>|$)", re.S)
+_ATTR = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _NAME = re.compile(r"[a-z]+")
-#: Words of class and id names that mark what is not the article, and those that mark it.
-_AWAY = frozenset(
+#: Words of class and id names that speak against an element, those that speak for it, and first words
+#: that say nothing of the element itself.
+_AGAINST = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs "
     "header masthead footer foot comment comments commentlist disqus reply replies respond cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe "
     "subscription signup login share sharing social related recommended recommendations widget pagination pager tags tagcloud toolbar skip search".split()
 )
-_HERE = frozenset("article content entry main post story text body hentry".split())
+_FOR = frozenset("article content entry main post story text body hentry".split())
+_OF_OTHERS = frozenset("no not has have with without hide show is".split())
 _AWAY_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+#: Weights of the score: the share that each level passes on; articles and mains; elements with names for and against
+#: them; the share of the best score that a sibling needs; link density of a menu.
+PASSED, ARTICLE, NAMED, DOUBTED, SIBLING, MENU = 0.8, 1.6, 1.25, 0.1, 0.2, 0.8
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "items", "points", "away", "here", "size", "linked")
+    __slots__ = ("tag", "parent", "block", "open", "items", "points", "away", "weight", "trust", "size", "linked", "links")
 
-    def __init__(self, tag: str, parent: "_Node | None", away: bool, here: int):
-        self.tag, self.parent, self.items, self.points, self.away, self.here, self.size, self.linked = tag, parent, [], 0.0, away, here, 0, 0
+    def __init__(self, tag: str, parent: "_Node | None", away: bool, weight: float):
+        self.tag, self.parent, self.items, self.points, self.away, self.weight = tag, parent, [], 0.0, away, weight
+        self.size = self.linked = self.links = 0
+        self.trust = 1.0
+        # inline elements that are open are counted by the block that they are in
+        self.block = parent.block if tag in _INLINE else self
+        self.open: dict[str, int] = {}
 
 
-def _marks(tag: str, attrs: str, inside: bool) -> tuple[bool, int]:
-    """Whether an element is no part of the article, and how much its names speak for it. inside: of an article or main."""
+def _marks(tag: str, attrs: str, inside: bool) -> tuple[bool, float]:
+    """Whether an element reads as no part of an article, and the weight of its score. inside: of an article or main."""
     away = tag in _DROP or (tag == "header" and not inside)
-    here = 25 if tag in ("article", "main") else 0
+    weight = ARTICLE if tag in ("article", "main") else 1.0
     if not attrs or attrs.isspace() or tag in ("html", "body"):
-        return away, here
+        return away, weight
+    good = bad = False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
-            words = set(_NAME.findall(value))
-            if tag not in ("article", "main") and words & _AWAY and not (inside and words & {"header", "text"} and not words & (_AWAY - {"header", "text"})):
-                away = True
-            elif words & _HERE:
-                here += 10
+            for token in value.split():
+                words = _NAME.findall(token)
+                if words and words[0] not in _OF_OTHERS:
+                    good = good or not _FOR.isdisjoint(words)
+                    bad = bad or not _AGAINST.isdisjoint(words) and not (inside and "header" in words)
         elif name == "role":
             away = away or value in _AWAY_ROLES
-            here += 25 * (value in ("main", "article"))
+            weight = max(weight, ARTICLE if value in ("main", "article") else 1.0)
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
             away = True
-    return away, here
+    # names that contradict each other say nothing, and no name speaks against an article
+    if bad and not good and tag not in ("article", "main"):
+        away = True
+    elif good and not bad:
+        weight = max(weight, NAMED)
+    return away, weight
 
 
 def parse(page: str) -> _Node:
-    """A lenient tree: unclosed paragraphs, items and cells end as in browsers; a stray end tag is ignored."""
-    root = node = _Node("#root", None, False, 0)
+    """A lenient tree in time linear in the page: unclosed paragraphs, items and cells end as in browsers; a stray end tag is ignored."""
+    root = node = _Node("#root", None, False, 1.0)
     at, n, inside = 0, len(page), 0
+    open_: dict[str, int] = {}
     lower = None
+
+    def close(to: _Node) -> _Node:
+        """Ends the open elements up to `to`; the one that is then current."""
+        nonlocal inside
+        y = node
+        while True:
+            open_[y.tag] -= 1
+            inside -= y.tag in ("article", "main")
+            if y.block is not y:
+                y.block.open[y.tag] -= 1
+            if y is to:
+                return to.parent
+            y = y.parent
+
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -91,22 +124,12 @@ def parse(page: str) -> _Node:
         tag = m[2].lower()
         if m[1]:
             if tag == "br":
-                node.items.append(_Node("br", node, False, 0))
-                continue
-            x = node
-            while x is not None and x.tag != tag:
-                if tag in _INLINE and x.tag not in _INLINE:  # an inline end tag doesn't close a block
-                    x = None
-                    break
-                x = x.parent
-            if x is not None and x.parent is not None:
-                y = node
-                while True:
-                    inside -= y.tag in ("article", "main")
-                    if y is x:
-                        break
-                    y = y.parent
-                node = x.parent
+                node.items.append(_Node("br", node, False, 1.0))
+            elif tag in _INLINE and node.block.open.get(tag, 0) or tag not in _INLINE and open_.get(tag, 0):  # an inline end tag doesn't close a block
+                x = node
+                while x.tag != tag:
+                    x = x.parent
+                node = close(x)
             continue
         if tag in _RAW:
             if not m[3].rstrip().endswith("/"):
@@ -124,38 +147,41 @@ def parse(page: str) -> _Node:
                 at = n if gt < 0 else gt + 1
             continue
         if tag in _CLOSES_P or tag in _SAME:
-            same, scope = (_SAME[tag], _SCOPE[tag]) if tag in _SAME else (("p",), ("article", "body", "button", "td", "th", "table", "main", "section", "div", "blockquote", "li"))
-            x, found = node, None
-            while x is not None and x.tag not in scope:
+            same, scope = (_SAME[tag], _SCOPE[tag]) if tag in _SAME else (("p",), _P_SCOPE)
+            if any(open_.get(t, 0) for t in same):
+                x = node.block
+                while x.parent is not None and x.tag not in scope and x.tag not in same:
+                    x = x.parent.block
                 if x.tag in same:
-                    found = x
-                x = x.parent
-            if found is not None:
-                node = found.parent
-        away, here = _marks(tag, m[3], inside > 0)
-        child = _Node(tag, node, away, here)
+                    node = close(x)
+        child = _Node(tag, node, *_marks(tag, m[3], inside > 0))
         node.items.append(child)
         if tag not in _VOID:
+            if child.block is not child:
+                child.block.open[tag] = child.block.open.get(tag, 0) + 1
+            open_[tag] = open_.get(tag, 0) + 1
             node = child
             inside += tag in ("article", "main")
     return root
 
 
 def _measure(root: _Node) -> list[_Node]:
-    """Sizes of all and of linked text, bottom up without recursion; what isn't the article has none. Returns the nodes that count."""
+    """All nodes, outer ones first, with the sizes of all and of linked text: without what lies in away nodes below."""
     order, stack = [], [root]
     while stack:
         x = stack.pop()
         order.append(x)
-        stack.extend(y for y in x.items if isinstance(y, _Node) and not y.away)
+        if x.parent is not None:
+            x.trust = x.parent.trust * (DOUBTED if x.away else 1.0)
+        stack.extend(y for y in x.items if isinstance(y, _Node))
     for x in reversed(order):
-        own = sum(len(y) - y.count(" ") // 2 for y in x.items if isinstance(y, str) and not y.isspace())
-        x.size += own
+        x.size += sum(len(y) - y.count(" ") // 2 for y in x.items if isinstance(y, str) and not y.isspace())
         if x.tag == "a":
-            x.linked = x.size
-        if x.parent is not None:
+            x.linked, x.links = x.size, 1
+        if x.parent is not None and not x.away:
             x.parent.size += x.size
             x.parent.linked += x.linked
+            x.parent.links += x.links
     return order
 
 
@@ -179,7 +205,7 @@ def _density(x: _Node) -> float:
 
 
 def _score(order: list[_Node]) -> dict[int, tuple[float, _Node]]:
-    held: dict[int, _Node] = {}
+    """The score of each container: the points of its paragraphs by level, without its share of links, by its weight."""
     for x in order:
         if x.tag in _INLINE or x.tag == "br":
             continue
@@ -187,25 +213,23 @@ def _score(order: list[_Node]) -> dict[int, tuple[float, _Node]]:
         size = len(own.strip())
         if not size or (x.tag not in _PARAGRAPH and size < 25):
             continue
-        points = (1 + min(size / 100, 3) + own.count(",") + own.count("，")) * (1 - _density(x))
-        up, share = (x.parent, 1.0) if x.tag in _PARAGRAPH else (x, 1.0)
-        while up is not None and share > 0.2:
-            if up.tag not in _INLINE:
-                up.points += points * share
-                held[id(up)] = up
-                share /= 2
-            up = up.parent
-    return {k: ((x.points + x.here) * (1 - _density(x)), x) for k, x in held.items() if x.tag not in ("#root", "html") or True}
+        points = (1 + min(size / 100, 3) + own.count(",") + own.count("，")) * (1 - _density(x)) * x.trust
+        (x.parent if x.tag in _PARAGRAPH else x).block.points += points
+    # inner ones first: what a container has, its own paragraphs and what came from below, goes up by a share
+    for x in reversed(order):
+        if x.points and x.parent is not None and x.block is x:
+            x.parent.block.points += x.points * PASSED
+    return {id(x): (x.points * (1 - _density(x)) * x.weight, x) for x in order if x.points}
 
 
 def _texts(x: _Node) -> str:
-    """Text below a node: blocks and line breaks part it, inline elements don't; character references are decoded."""
+    """Text below a node: blocks and line breaks part it, inline elements don't; character references are decoded; away nodes and menus are left out."""
     out, stack = [], [iter((x,))]
     while stack:
         for y in stack[-1]:
             if isinstance(y, str):
                 out.append(entities.unescape(y) if "&" in y else y)
-            elif not y.away:
+            elif y is x or not (y.away or _menu(y)):
                 if y.tag not in _INLINE:
                     out.append(" ")
                     stack.append(iter((*y.items, " ")))
@@ -217,47 +241,54 @@ def _texts(x: _Node) -> str:
     return " ".join("".join(out).split())
 
 
+def _menu(x: _Node) -> bool:
+    """A list of links and nothing else."""
+    return x.tag in ("ul", "ol", "div", "table") and x.links >= 3 and _density(x) > MENU
+
+
+def _reads_on(x: _Node, scores: dict[int, tuple[float, _Node]], top: float, weight: float) -> bool:
+    """Whether a sibling of the best container, which has that score and weight, belongs to the article."""
+    if x.away or _menu(x):
+        return False
+    if x.tag in _HEADING or (x.weight >= weight and scores.get(id(x), (0.0, x))[0] >= SIBLING * top):
+        return True
+    if x.tag in ("p", "blockquote", "pre", "figure", "ul", "ol", "dl", "table"):
+        return _density(x) < 0.25 if x.size > 80 else x.linked == 0 and x.size > 0
+    return False
+
+
 def main_text(page: str | None) -> str:
     """The article of a page, blocks joined by one space; "" for null, empty or text-free pages."""
     if not page:
         return ""
     root = parse(page)
-    scores = _score(_measure(root))
+    order = _measure(root)
+    scores = _score(order)
     if not scores:
         return _texts(root)
     top, best = max(scores.values(), key=lambda s: s[0])
-    x = best
-    while x is not None and x.tag not in ("article", "main"):
-        x = x.parent
-    if x is not None:
-        best = x
-    else:
-        while best.parent is not None and best.parent.parent is not None and best.parent.tag not in ("body", "html") and _density(best.parent) < 0.25:
-            best = best.parent
-    keep = [best]
-    if best.parent is not None:
-        need = max(10.0, 0.2 * top)
-        keep = []
-        for y in best.parent.items:
-            if y is best:
-                keep.append(y)
-            elif isinstance(y, _Node) and not y.away and best.tag != "main":
-                if y.tag == best.tag == "article" or scores.get(id(y), (0, y))[0] >= need and y.tag != "article":
-                    keep.append(y)
-                elif y.tag in ("p", "blockquote", "pre") and y.size and best.tag not in ("article", "body") and (_density(y) < 0.25 if y.size > 80 else y.linked == 0 and y.size > 20):
-                    keep.append(y)
-    return " ".join(t for t in map(_texts, keep) if t)
+    if best.tag in ("html", "body", "#root"):
+        return _texts(best)
+    weight = best.weight
+    while True:
+        parts = [best]
+        around = best.parent
+        while around.block is not around:
+            around = around.parent
+        others = [y for y in around.items if isinstance(y, _Node) and y is not best and y.size and y.tag not in _INLINE]
+        near = [y for y in others if _reads_on(y, scores, top, weight)]
+        if around.tag not in ("html", "body", "#root") and len(near) == sum(not y.away and not _menu(y) for y in others):
+            best = around  # nothing but the article is in it
+            continue
+        if near:
+            kept = {id(best), *map(id, near)}
+            parts = [y for y in around.items if id(y) in kept]
+        return " ".join(t for t in map(_texts, parts) if t)
 
 
 def extract(df: DataFrame, html: str = "html", out: str = "main_text") -> DataFrame:
-    """df with the main text of each row's page. Null and empty pages give ""; other columns pass through."""
-    base = df.drop(out)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(**{out: [main_text(x) for x in pdf[html]]})
-
-    return base.mapInPandas(run, T.StructType([*base.schema.fields, T.StructField(out, T.StringType())]))
+    """df with the main text of each row's page. Null and empty pages give ""; other columns pass through, one of this name is replaced."""
+    return with_columns(df, html, lambda: lambda pages: [[main_text(x) for x in pages]], f"{out} string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -452,6 +452,10 @@ def test_quality_calibrates_on_whole_texts(spark):
 # ---- 10 ---------------------------------------------------------------------------------------------------------------
 
 
+WORDS = "Words of the article, one after the other, go on and on in this part"
+SIDE = "<p>Other words that no reader of the page asked for, in some length</p>"
+
+
 @pytest.mark.parametrize(
     "page, want",
     [
@@ -462,12 +466,54 @@ def test_quality_calibrates_on_whole_texts(spark):
         ("<header>Site</header><div class=sidebar><p>side words, many of them, and more</p></div><main><section><p>First part, with words.</p></section><section><p>Second.</p></section><form>f<input></form><aside>x</aside></main>", "First part, with words. Second."),
         ("<div id=content><p>" + "word, " * 30 + "</p><div class='cookie-notice'>we use cookies</div><script>var t='</p>';</script><p>end</p></div><div><a href=a>l</a><a href=b>m</a></div>", ("word, " * 30).strip() + " end"),
         ("<article><p>cut off <b>he", "cut off he"),
+        # names that speak of others, contradict each other, or stand on what holds the article
+        (f'<div class="content no-sidebar"><p>{WORDS}</p><p>{WORDS}</p></div><div>{SIDE}</div>', f"{WORDS} {WORDS}"),
+        (f'<div class="post tags-news share-open"><p>{WORDS}</p></div>', WORDS),
+        (f'<div class="has-sidebar"><div class="sidebar">{SIDE}</div><div class="entry"><p>{WORDS}</p></div></div>', WORDS),
+        (f'<form id="aspnet"><div id="main"><p>{WORDS}</p></div></form>', WORDS),
+        (f"<div class=sidebar><p>{WORDS}</p></div>", WORDS),
+        # text in odd places
+        (f"<article><p title=don't>{WORDS}</article>", WORDS),
+        (f'<article><p title="a > b">{WORDS}</p></article>', WORDS),
+        (f"<article><p>{WORDS} <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p></article>", f"{WORDS} x=2"),
+        (f"<article><p>{WORDS}</p><pre>a  b\nc</pre><ul><li>one<li>two</ul><table><tr><td>k<td>v</table><figure><figcaption>cap</figcaption></figure></article>", f"{WORDS} a b c one two k v cap"),
+        (f"<main><header><h1>Title</h1></header><div><p>{WORDS}</p></div></main>", f"Title {WORDS}"),
+        (f"<div><h2>Title</h2><div><p>{WORDS}</p><p>{WORDS}</p></div></div><div><ul><li><a>a</a><li><a>b</a><li><a>c</a></ul></div>", f"Title {WORDS} {WORDS}"),
+        (f"<div>{WORDS}<br>{WORDS}</div><div><a>l</a></div>", f"{WORDS} {WORDS}"),
+        (f"<body>{WORDS}</body>", WORDS),
+        # what is not the article
+        (f"<article><p>{WORDS}</p><div class=advert>{SIDE}</div><div class='related posts-related'><a>x</a></div><section id=comments>{SIDE * 9}</section></article>", WORDS),
+        (f"<div id=page><div id=content><p>{WORDS}</p></div><div class=comment-list>{SIDE * 20}</div></div>", WORDS),
+        (f"<article><p>{WORDS}</p><div role=complementary>{SIDE}</div><p style='display: none'>x</p><p hidden>y</p><noscript>z</noscript><select><option>o</select></article>", WORDS),
+        (f"<div><ul><li><a>one</a><li><a>two</a><li><a>three</a></ul><p>{WORDS}</p></div>", WORDS),
+        (f"<article><p>{WORDS}</p></article><article><p>{WORDS}</p></article><aside>{SIDE}</aside>", f"{WORDS} {WORDS}"),
+        ("<nav><a>only</a><a>links</a></nav>", ""),
+        ("no markup at all &lt;here", "no markup at all <here"),
+        ("<!-- c --><p>x < y</p></i></div>", "x < y"),
     ],
 )
 def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+def test_main_text_is_what_a_plain_reading_of_the_article_gives(spark, sf):
+    import html as entities
+
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        inner = re.search(r"<article>(.*?)(?:</article>|$)", r["html"], re.S)[1]
+        text = re.sub(r"<[^>]*>", "", re.sub(r"</?(?:p|h1|br|ul|li|div)\b[^>]*>", " ", re.sub(r"<script.*?</script>", "", inner, flags=re.S)))
+        assert html.main_text(r["html"]) == " ".join(entities.unescape(text).split())
+
+
+@pytest.mark.parametrize("page", ["<b>" * 30000 + "</i>" * 30000, "<i><div>" + "<b>" * 30000 + "</i>" * 30000, "<p><div>" + "<b>" * 20000 + "<p></p>" * 20000, "<div>" * 30000 + "x", "<a title='" * 3000])
+def test_parsing_is_linear(page):
+    import time
+
+    begun = time.time()
+    html.main_text(page)
+    assert time.time() - begun < 5
+
+
 def test_extract_keeps_columns(spark):
     d = spark.createDataFrame([(1, "<p>x</p>", "clash"), (2, None, "y")], "page_id int, html string, main_text string")
     assert [tuple(r) for r in html.extract(d).orderBy("page_id").collect()] == [(1, "<p>x</p>", "x"), (2, None, "")]
