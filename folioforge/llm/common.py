@@ -75,6 +75,7 @@ def with_columns(df: DataFrame, source: str, make: Callable[[], Callable[[list],
     make() gives a worker the function from a batch's values to the values of each field (a DDL string). All other
     columns stay the Arrow columns that they are, so 64-bit numbers beside nulls stay exact.
     """
+    prepared(df.sparkSession)
     more = T._parse_datatype_string(fields)
     base = df.drop(*more.names)
     kinds = [f.type for f in to_arrow_schema(more)]

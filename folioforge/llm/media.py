@@ -6,13 +6,11 @@ import hashlib
 import io
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm.common import table
+from folioforge.llm.common import table, with_columns
 
 UNIT, WIDTH, FILL = 576, 24, 255
 
@@ -149,8 +147,6 @@ def media_tiles(df: DataFrame, image: str = "image", size: int = 24) -> DataFram
     Null or undecodable bytes give nulls and the reason in media_error; the row stays. Other columns pass through;
     columns of these names are replaced. Equal bytes give equal values.
     """
-    own = {"media_height": "int", "media_width": "int", "media_channels": "int", "media_tile": "binary", "media_hash": "string", "media_error": "string"}
-    base = df.drop(*own)
 
     def one(data) -> tuple:
         if data is None:
@@ -161,17 +157,12 @@ def media_tiles(df: DataFrame, image: str = "image", size: int = 24) -> DataFram
             return None, None, None, None, None, str(e) or "undecodable"
         return (*a.shape, tile(a, size), f"{difference_hash(a):016x}", None)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            made = pd.DataFrame([one(x) for x in pdf[image]], columns=list(own), index=pdf.index)
-            for c in ("media_height", "media_width", "media_channels"):
-                made[c] = made[c].astype("Int32")
-            yield pd.concat([pdf, made], axis=1)
+    fields = "media_height int, media_width int, media_channels int, media_tile binary, media_hash string, media_error string"
+    return with_columns(df, image, lambda: lambda images: _columns([one(x) for x in images], 6), fields)
 
-    from pyspark.sql import types as T
 
-    schema = T.StructType([*base.schema.fields, *[T.StructField(k, T._parse_datatype_string(v)) for k, v in own.items()]])
-    return base.mapInPandas(run, schema)
+def _columns(rows: list[tuple], width: int) -> list[list]:
+    return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in range(width)]
 
 
 def payload(text: str | None) -> bytes:
@@ -191,21 +182,11 @@ def digest(text: str | None) -> tuple:
     return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
 
 
-COLUMNS = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-
-
 def text_media(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of df: the id and the digest of the text's stored form. A null text is an empty one."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            made = pd.DataFrame([digest(x) for x in pdf["t"]], columns=COLUMNS)
-            made.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield made
-
-    rows = df.selectExpr(f"`{id_col}` AS doc_id", f"coalesce(`{text}`, '') AS t")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    rows = df.selectExpr(f"`{id_col}` AS doc_id", f"coalesce(`{text}`, '') AS media_text")
+    fields = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return with_columns(rows, "media_text", lambda: lambda texts: _columns([digest(x) for x in texts], 7), fields).drop("media_text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

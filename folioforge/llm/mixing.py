@@ -49,43 +49,43 @@ def source_targets(sized: DataFrame, source: str = "source", size: str = "size",
     return found.select("source", "source_size", target.alias("target"))
 
 
-def with_copies(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", source: str = "source", seed: int = SEED) -> DataFrame:
-    """df with mix_source_size, mix_target and mix_copies: floor(rate), and one more with the fraction's probability.
+def copies(df: DataFrame, targets: DataFrame, key: list[Column], source: str = "source", seed: int = SEED) -> DataFrame:
+    """(row, t, copies) for each row of df: the row as a struct, its source's target and size, and the copies it gets: floor(rate), and one more with the fraction's probability.
 
-    The draw is a hash of the id, so reruns agree and equal ids fare alike. The targets, a row per source, are a written
+    The draw is a hash of the key, so reruns agree and equal keys fare alike. The targets, a row per source, are a written
     table: Spark broadcasts it only if its files are under the session's threshold and joins by shuffle otherwise.
     """
-    t = targets.select(F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))).alias("_mix_key"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    key = F.struct(F.col(source).isNull(), F.coalesce(F.col(source), F.lit("")))
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(0.0)
+    named = lambda c: F.struct(c.isNull(), F.coalesce(c.cast("string"), F.lit("")))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), uniform(F.concat_ws("\x1f", *[F.coalesce(k.cast("string"), F.lit("")) for k in key]), seed).alias("draw"), named(F.col(f"`{source}`")).alias("source_key"))
+    t = targets.select(named(F.col("source")).alias("source_key"), F.struct("source_size", "target").alias("t"))
+    rate = F.when(F.col("t.source_size") > 0, F.col("t.target") / F.col("t.source_size")).otherwise(0.0)
     whole = F.floor(rate)
-    copies = whole + F.when(uniform(F.col(id_col), seed) < rate - whole, 1).otherwise(0)
-    return df.withColumn("_mix_key", key).join(t, "_mix_key", "left").withColumn("mix_copies", copies.cast("int")).drop("_mix_key")
+    return rows.join(t, "source_key", "left").select("row", "t", (whole + F.when(F.col("draw") < rate - whole, 1).otherwise(0)).cast("int").alias("copies"))
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, seed: int = SEED) -> DataFrame:
     """The mixed corpus: each row of df floor(rate) times, and once more with the fraction's probability.
 
-    Columns are df's. Null texts have size 0 and are drawn like others; rows of a source without words have rate 0 and
-    do not appear; repeated rows count each; a null source is a source of its own, last in order.
+    Columns are df's, whatever their names. Null texts have size 0 and are drawn like others; rows of a source without
+    words have rate 0 and do not appear; repeated rows count each; a null source is a source of its own, last in order.
+    The draw is over id and text, so rows of one id, or of none, fare apart if their texts do; equal rows fare alike.
     """
-    targets = written(source_targets(df.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size")), weights=weights), "mix-targets")
-    counted = with_copies(df, targets, id_col, source, seed)
-    times = F.explode(F.array_repeat(F.lit(1), F.col("mix_copies")))
-    return counted.where("mix_copies > 0").withColumn("_mix_time", times).select(*[F.col(f"`{c}`") for c in df.columns])
+    targets = written(source_targets(df.select(F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size")), weights=weights), "mix-targets")
+    drawn = copies(df, targets, [F.col(f"`{id_col}`"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))], source, seed)
+    return drawn.where("copies > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    out = with_copies(sized, written(source_targets(sized), "mix-targets"))
-    return out.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("size") * F.col("mix_copies")).cast("long").alias("taken"))
+    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest")), "mix-sizes")
+    out = copies(sized, written(source_targets(sized), "mix-targets"), [F.col("doc_id"), F.col("digest")])
+    return out.select("row.doc_id", "row.size", "t.source_size", "t.target", (F.col("row.size") * F.col("copies")).cast("long").alias("taken"))
 
 
 #: {docs} is the table to mix.
 SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM {docs}
+  SELECT doc_id, source, md5(coalesce(text, '')) AS digest, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM {docs}
 ), each AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), ranked AS (
@@ -99,7 +99,7 @@ WITH sized AS (
   SELECT source, source_size, least(most::DOUBLE, coalesce(max(CASE WHEN level <= most::DOUBLE / weight THEN level END) OVER (), 0) * weight) AS target FROM levels
 ), rated AS (
   SELECT s.doc_id, s.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-    ('0x' || substr(md5('17:' || coalesce(s.doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+    ('0x' || substr(md5('17:' || coalesce(s.doc_id::VARCHAR, '') || chr(31) || s.digest), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 )
 """

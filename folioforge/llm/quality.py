@@ -10,7 +10,6 @@ dictionary.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,11 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioforge.llm.common import crc_mod, table
+from folioforge.llm.common import crc_mod, prepared, table, with_columns
 
-#: Block size; dictionary size; labelled rows of each class that the dictionaries and the calibration are fitted on at
-#: most, taken by hash of the id; characters of each such row that go into a dictionary. Calibration and scoring see whole texts.
-BLOCK, DICT_BYTES, FIT_ROWS, FIT_BYTES, LEVEL = 1024, 65536, 1200, 16384, 3
+#: Block size; dictionary size; labelled rows of each class that the dictionaries are fitted on at most, and as many
+#: others for the calibration, taken by hash of the id; the curve's ridge. Dictionaries, calibration and scores see whole texts.
+BLOCK, DICT_BYTES, FIT_ROWS, LEVEL, RIDGE = 512, 65536, 1200, 3, 0.1
 
 
 @dataclass(frozen=True)
@@ -58,6 +57,12 @@ def measures(text: str | None, good: zstandard.ZstdCompressor, bad: zstandard.Zs
     return (b - g) / (b + g), share, math.sqrt(share), share * share, math.log(n)
 
 
+def _measurer(good: bytes, bad: bytes):
+    """The measures of a batch of texts, as the values of one column."""
+    g, b = _compressor(good), _compressor(bad)
+    return lambda texts: [[list(measures(t, g, b)) for t in texts]]
+
+
 def _dictionary(samples: list[bytes]) -> bytes:
     """Trained from the samples, or their own text where they are too few for training; never empty."""
     try:
@@ -77,11 +82,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, shift: float) -> tuple[float, ...]:
         return (*[0.0] * x.shape[1], math.log(p / (1 - p)))
     mid, wide = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
     a, w = np.column_stack([(x - mid) / wide, np.ones(n)]), np.zeros(x.shape[1] + 1)
-    ridge = np.array([1e-2] * x.shape[1] + [1e-6])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + np.diag(ridge), a.T @ (y - p) - ridge * w)
-        w += np.clip(step, -4, 4)
+    ridge = np.array([RIDGE] * x.shape[1] + [1e-6])
+    loss = lambda w: (np.logaddexp(0, a @ w) - y * (a @ w)).sum() + 0.5 * ridge @ (w * w)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge), a.T @ (y - p) - ridge * w)
+        # shorter steps where the classes are nearly apart
+        while np.abs(step).max() > 1e-10 and loss(w + step) > loss(w):
+            step /= 2
+        w += step
         if np.abs(step).max() < 1e-9:
             break
     slopes = w[:-1] / wide
@@ -91,9 +100,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, shift: float) -> tuple[float, ...]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", rows: int = FIT_ROWS) -> Model:
     """A model from the labels outside the held-out fold (crc32 of the id as text, modulo 3, equal to 1).
 
-    Null labels and labels without a document are left out; of several labels of an id the smallest counts. Of each
-    class, `rows` rows make the dictionaries and `rows` others the calibration, picked by the hash of their ids.
+    Null labels and labels without a document are left out; of several labels of an id the smallest counts, and of
+    several texts of an id the least. Of each class, `rows` rows make the dictionaries and `rows` others the
+    calibration, picked by the hash of their ids.
     """
+    prepared(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & (crc_mod(F.col(id_col), 3) != 1)).groupBy(F.col(id_col).alias("_id")).agg(F.min(label).cast("int").alias("_y"))
     order = F.md5(F.concat(F.lit("quality:"), F.col("_id").cast("string")).cast("binary"))
     picked = [known.where(F.col("_y") == y).orderBy(order).limit(2 * rows) for y in (0, 1)]
@@ -104,19 +115,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     role = [(r["_id"], k % 2 == 0) for y in (0, 1) for k, r in enumerate(r for r in held if r["_y"] == y)]
     roles = docs.sparkSession.createDataFrame(role, T.StructType([T.StructField("_id", found.schema["_id"].dataType), T.StructField("_words", T.BooleanType())]))
     dealt = found.join(F.broadcast(roles), "_id")
-    # whole texts stay out of the driver: of the dictionaries' rows FIT_BYTES characters each come, of the others the measures
-    got = dealt.where("_words").groupBy("_id", "_y").agg(F.min(F.substring("_text", 1, FIT_BYTES)).alias("_text")).withColumn("_rank", order).collect()
-    got.sort(key=lambda r: r["_rank"])
-    words = {y: _dictionary([b for r in got if r["_y"] == y for b in _blocks(r["_text"])]) for y in (0, 1)}
-
-    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        good, bad = _compressor(words[1]), _compressor(words[0])
-        for pdf in batches:
-            yield pd.DataFrame({"y": pdf["_y"], "m": [list(measures(t, good, bad)) for t in pdf["_text"]], "r": pdf["_rank"]})
-
-    whole = dealt.where("NOT _words").groupBy("_id", "_y").agg(F.min("_text").alias("_text")).select("_y", "_text", order.alias("_rank"))
-    rest = sorted((r["r"], r["y"], r["m"]) for r in whole.mapInPandas(measured, "y int, m array<double>, r string").collect())  # five numbers a row
-    rest = [(m, y) for _, y, m in rest]
+    # whole texts stay out of the driver: a dictionary is built in a task, and of the calibration's rows the measures come
+    def trained(rows: pd.DataFrame) -> pd.DataFrame:
+        texts = rows.sort_values("_rank")["_text"]
+        return pd.DataFrame({"y": rows["_y"].iloc[:1].to_numpy(), "words": [_dictionary([b for t in texts for b in _blocks(t)])]})
+
+    once = dealt.groupBy("_id", "_y", "_words").agg(F.min("_text").alias("_text")).withColumn("_rank", order)
+    made = once.where("_words").groupBy("_y").applyInPandas(trained, "y int, words binary").collect()  # two rows of DICT_BYTES
+    words = {0: b" ", 1: b" "} | {r["y"]: bytes(r["words"]) for r in made}
+    whole = with_columns(once.where("NOT _words").select("_y", "_rank", "_text"), "_text", lambda: _measurer(words[1], words[0]), "_m array<double>")
+    rest = [(r["_m"], r["_y"]) for r in sorted(whole.select("_y", "_rank", "_m").collect(), key=lambda r: r["_rank"])]  # five numbers a row
     total = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}  # two rows
     own = {y: max(1, sum(k == y for _, k in rest)) for y in (0, 1)}
     shift = math.log(total[1] / own[1]) - math.log(total[0] / own[0]) if total.get(0) and total.get(1) else 0.0
@@ -126,15 +134,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "quality_score") -> DataFrame:
     """df with the score, 0 to 1, higher for better text. Only the text counts; null is empty, and empty texts get the curve's value at 0 for all measures."""
-    base = df.drop(out)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        good, bad = _compressor(model.good), _compressor(model.bad)
-        for pdf in batches:
-            x = np.array([measures(t, good, bad) for t in pdf[text]], dtype=float).reshape(len(pdf), -1)
-            yield pdf.assign(**{out: 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights[:-1]) + model.weights[-1], -500, 500)))})
+    def make():
+        measured, weights = _measurer(model.good, model.bad), np.array(model.weights)
+
+        def step(texts: list) -> list[list]:
+            x = np.array(measured(texts)[0], dtype=float).reshape(len(texts), len(weights) - 1)
+            return [1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -500, 500)))]
+
+        return step
 
-    return base.mapInPandas(run, T.StructType([*base.schema.fields, T.StructField(out, T.DoubleType())]))
+    return with_columns(df, text, make, f"{out} double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

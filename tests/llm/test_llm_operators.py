@@ -436,15 +436,51 @@ def test_quality(spark):
     assert 0 < quality.score(docs, quality.fit(docs, labels.limit(0))).first()["quality_score"] < 1
 
 
-def test_quality_calibrates_on_whole_texts(spark):
+def test_quality_by_brute_force(spark, sf):
+    """Sizes by the library itself, the curve's optimum, and held-out accuracy and calibration on the labelled documents."""
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{sf.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text")
+    model = quality.fit(docs, labels)
+    text = dict(docs.collect())
+    size = lambda t, words: sum(len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(words), write_content_size=False, write_dict_id=False).compress(t[k : k + quality.BLOCK])) for k in range(0, len(t), quality.BLOCK))
+    got = {r["doc_id"]: r["quality_score"] for r in quality.score(docs, model).collect()}
+    for d in sorted(text)[:60]:
+        t = (text[d] or "").encode()
+        g, b = size(t, model.good), size(t, model.bad)
+        m = [(b - g) / (b + g), (b + g) / 2 / len(t)] if t else [0, 0]
+        x = [m[0], m[1], m[1] ** 0.5, m[1] ** 2, math.log(len(t) or 1)]
+        assert abs(got[d] - 1 / (1 + math.exp(-sum(a * w for a, w in zip(x, model.weights, strict=False)) - model.weights[-1]))) < 1e-9
+    known = {}
+    for r in labels.where("quality IS NOT NULL").collect():
+        known[r["doc_id"]] = min(known.get(r["doc_id"], 1), r["quality"])
+    held = [d for d in known if d in text and zlib.crc32(str(d).encode()) % 3 == 1]
+    assert sum((got[d] >= 0.5) == (known[d] == 1) for d in held) >= 0.95 * len(held)
+    assert abs(sum(got[d] for d in held) - sum(known[d] for d in held)) <= 0.05 * len(held)
+
+
+def test_logistic_is_the_optimum():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((400, 2)) * [1, 30] + [5, 0]
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x[:, 0] - 5 + x[:, 1] / 30)))).astype(float)
+    w = np.array(quality._logistic(x, y, 0.0))
+    z, wide = (x - x.mean(0)) / x.std(0), x.std(0)
+    slope, at = w[:-1] * wide, w[-1] + w[:-1] @ x.mean(0)
+    loss = lambda s, c: -(y * (z @ s + c) - np.logaddexp(0, z @ s + c)).sum() + 0.5 * (quality.RIDGE * s @ s + 1e-6 * c * c)
+    best = loss(slope, at)
+    assert all(loss(slope + d, at + e) >= best - 1e-9 for d in np.eye(2) * 1e-3 for e in (-1e-3, 0, 1e-3)) and all(loss(slope - d, at) >= best - 1e-9 for d in np.eye(2) * 1e-3)
+
+
+def test_quality_is_fitted_on_whole_texts(spark):
     rng = np.random.default_rng(3)
     vocabulary = "the of and contract payment goods party shall deliver price term law".split()
-    head = [" ".join(rng.choice(vocabulary, 4000))[: quality.FIT_BYTES].ljust(quality.FIT_BYTES, "x") for _ in range(30)]
+    head = [" ".join(rng.choice(vocabulary, 4000))[:16384].ljust(16384, "x") for _ in range(30)]
     rows = [(i, t + (" ".join(rng.choice(vocabulary, 3000)) if i % 2 else "$#" * 20000)) for i, t in enumerate(head)]
     labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
     whole = quality.fit(spark.createDataFrame(rows, TEXT), labels)
-    cut = quality.fit(spark.createDataFrame([(i, t[: quality.FIT_BYTES]) for i, t in rows], TEXT), labels)
-    assert (whole.good, whole.bad) == (cut.good, cut.bad) and whole.weights != cut.weights
+    cut = quality.fit(spark.createDataFrame([(i, t[:16384]) for i, t in rows], TEXT), labels)
+    assert whole.bad != cut.bad and whole.weights != cut.weights
     got = {r["doc_id"]: r["quality_score"] for r in quality.score(spark.createDataFrame(rows, TEXT), whole).collect()}
     assert all((got[i] >= 0.5) == (i % 2 == 1) for i, _ in rows)
 
@@ -520,6 +556,27 @@ def test_extract_keeps_columns(spark):
     assert html.extract(d.limit(0)).count() == 0
 
 
+# ---- ids ----------------------------------------------------------------------------------------------------------------
+
+
+def test_ids_and_other_columns_stay_exact(spark):
+    """64-bit numbers beside nulls, in the id and in a column that only passes through."""
+    big = 2**60 + 1
+    d = spark.createDataFrame([(big, "a b c a@b.example", None), (None, "a b c", big + 2), (3, None, 5)], TEXT + ", other long")
+    want = {(big, None), (None, big + 2), (3, 5)}
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    p = pieces.load()
+    for out in (pii.sanitise(d), html.extract(d, html="text"), pieces.encode(d, p), pieces.decode(pieces.encode(d, p), p), quality.score(d, quality.fit(d, labels)), jaccard.keep_one(d), mixing.mix(d.withColumn("source", F.lit("s")), weights=(1,)), ngram.score(d, ngram.fit(d))):
+        assert {(r["doc_id"], r["other"]) for r in out.collect()} <= want and {r["doc_id"] for r in out.collect()} >= {big}
+    assert {r["doc_id"] for r in media.text_media(d).collect()} == {big, None, 3}
+
+
+def test_mixing_has_no_clashing_columns(spark):
+    d = spark.createDataFrame([(i, "w w", "s", "x") for i in range(20)], TEXT + ", source string, mix_target string").withColumns({c: F.lit("y") for c in ("_mix_key", "mix_copies", "mix_source_size", "row", "t", "copies", "draw", "source_key")})
+    got = mixing.mix(d)
+    assert got.columns == d.columns and got.count() > 0
+
+
 # ---- all --------------------------------------------------------------------------------------------------------------
 
 
