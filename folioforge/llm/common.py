@@ -69,6 +69,14 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as make it none of df's."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def with_columns(df: DataFrame, source: str, make: Callable[[], Callable[[list], list[list]]], fields: str) -> DataFrame:
     """df with new columns computed from one column, batch by batch in workers; columns of these names are replaced.
 

@@ -3,8 +3,8 @@
 Patterns find the base spans (e-mail, IP, card, phone). Each found value is a protected entity. The words of the texts
 that hold it are terms that may disclose it: over the whole corpus, PMI(entity; term) / IC(entity) says which share of
 the entity's information content a term reveals. Terms at or over the disclosure threshold are spans of their own,
-wherever they stand in such a text:
-generalised where the text keeps a hypernym for them (their kind), removed where they reveal all.
+wherever they stand in such a text: generalised to their kind (a name, an acronym, a word; no taxonomy is at hand from
+which nearer hypernyms could come), or removed where they reveal nearly all.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioforge.llm.common import mix64, shared_path, table, written
+from folioforge.llm.common import fresh, mix64, table, with_columns, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The share of an entity's information content that a term may reveal; the distinct texts in which entity and term must
@@ -111,9 +111,9 @@ def _hashes(words) -> np.ndarray:
     return np.array([_hash(x) for x in words], np.int64)
 
 
-def _keys(entity: int, terms: np.ndarray) -> np.ndarray:
-    """Keys of pairs of one entity with terms, by their hashes."""
-    return mix64(mix64(np.array([entity], np.int64).view(np.uint64)) + terms.view(np.uint64)).view(np.int64)
+def _keys(entities: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """Keys of pairs of entities with terms, by their hashes; one entity may stand for all."""
+    return mix64(mix64(entities.view(np.uint64)) + terms.view(np.uint64)).view(np.int64)
 
 
 def _within(found: np.ndarray, sought: np.ndarray) -> np.ndarray:
@@ -219,7 +219,7 @@ def _flagged(found: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
 
 
 def _pair_key(e: str, t: str) -> Column:
-    return F.pandas_udf(lambda e, t: pd.Series([int(_keys(a, np.array([b], np.int64))[0]) for a, b in zip(e, t, strict=True)], dtype="int64"), "long")(e, t)
+    return F.pandas_udf(lambda e, t: pd.Series(_keys(e.to_numpy(np.int64), t.to_numpy(np.int64))), "long")(e, t)
 
 
 def _all_spans(text: str, flagged) -> list[tuple[str, int, int]]:
@@ -231,7 +231,7 @@ def _all_spans(text: str, flagged) -> list[tuple[str, int, int]]:
     words = sorted({x[0] for x in found})
     hashes, remove, marked = _hashes(words), np.zeros(len(words), bool), np.zeros(len(words), bool)
     for entity in {_entity(k, text[a:b]) for k, a, b in base}:
-        at = _within(flagged[0], _keys(_hash(entity), hashes))
+        at = _within(flagged[0], _keys(_hashes([entity]), hashes))
         marked |= at >= 0
         remove |= (at >= 0) & flagged[1][at]
     kinds = {w: "gone" if gone else "term" for w, gone, m in zip(words, remove, marked, strict=True) if m}
@@ -239,12 +239,17 @@ def _all_spans(text: str, flagged) -> list[tuple[str, int, int]]:
     return base + sorted(more)
 
 
+def general(term: str) -> str:
+    """The kind of a term, by its form."""
+    return "ACRONYM" if len(term) > 1 and term.isupper() else "NAME" if term[:1].isupper() else "WORD"
+
+
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
-    """The text with base spans as [KIND], terms as [TERM], and terms that reveal all left out. Overlapping spans merge, the first kind wins."""
+    """The text with base spans as [KIND], terms as their general form, and terms that reveal all left out. Overlapping spans merge, the first kind wins."""
     out, at = [], 0
     for a, b, kind in sorted((a, b, kind) for kind, a, b in spans):
         if a >= at:
-            out += [text[at:a], "" if kind == "gone" else f"[{kind.upper()}]"]
+            out += [text[at:a], "" if kind == "gone" else f"[{general(text[a:b]) if kind == 'term' else kind.upper()}]"]
         at = max(at, b)
     return "".join(out) + text[at:]
 
@@ -262,22 +267,19 @@ def sanitise(df: DataFrame, text: str = "text", with_text: bool = True) -> DataF
     Null texts count as empty and stay null in pii_text. Other columns pass through; columns of these names are replaced.
     Corpus counts cover all rows of df. Without evidence (SUPPORT) there are base spans only.
     """
-    schema = T._parse_datatype_string(MADE if with_text else MADE.rpartition(",")[0])
-    base = df.drop(*schema.names)
+    base = df.drop(*T._parse_datatype_string(MADE).names)
     found = disclosures(base, text)
     flagged = _flagged(found)
     if flagged is None:
         # too many pairs for each worker: every text gets its own pairs by a join on the keys that it asks for
-        return _joined_flags(base, text, found, schema, with_text)
+        return _joined_flags(base, text, found, with_text)
     shared = df.sparkSession.sparkContext.broadcast(flagged)
+    make = lambda: lambda texts: _columns([_row(t, _all_spans(t or "", shared.value), with_text) for t in texts], with_text)
+    return with_columns(base, text, make, MADE if with_text else MADE.rpartition(",")[0])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [_row(t, _all_spans(t or "", shared.value), with_text) for t in pdf[text]]
-            made = pd.DataFrame(rows, columns=schema.names, index=pdf.index)
-            yield pd.concat([pdf, made], axis=1)
 
-    return base.mapInPandas(run, T.StructType([*base.schema.fields, *schema.fields]))
+def _columns(rows: list[list], with_text: bool) -> list[list]:
+    return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in range(6 + with_text)]
 
 
 def _row(t: str | None, spans: list[tuple[str, int, int]], with_text: bool) -> list:
@@ -288,32 +290,29 @@ def _row(t: str | None, spans: list[tuple[str, int, int]], with_text: bool) -> l
     return [*counts.values(), _joined([s for s in spans if s[0] in counts]), _joined(spans), *([redacted(t, spans) if t is not None else None] if with_text else [])]
 
 
-def _joined_flags(base: DataFrame, text: str, found: DataFrame, schema: T.StructType, with_text: bool) -> DataFrame:
+def _joined_flags(base: DataFrame, text: str, found: DataFrame, with_text: bool) -> DataFrame:
     """The same by a shuffle: each text asks for the keys of its entities with its terms, and gets those that are flagged."""
 
     def asked(t: str | None) -> list[int]:
-        base = base_spans(t)
-        words = _hashes(_vocabulary(t, base)) if base else np.empty(0, np.int64)
-        return [k for e in {_entity(k, t[a:b]) for k, a, b in base} for k in _keys(_hash(e), words).tolist()]
-
-    asked_of = F.pandas_udf(lambda s: pd.Series([asked(t) for t in s]), "array<long>")
-    flags = found.select(_pair_key("e", "t").alias("_k"), (F.col("share") >= REMOVE).alias("_gone"))
-    rows = base.withColumn("_pii_row", F.struct(F.monotonically_increasing_id().alias("i"), F.xxhash64(F.col(f"`{text}`")).alias("h")))
-    path = shared_path(base.sparkSession, "pii-rows")
-    rows.withColumn("_asked", asked_of(F.col(f"`{text}`"))).write.parquet(path)
-    rows = base.sparkSession.read.parquet(path)
-    got = rows.select("_pii_row", F.explode("_asked").alias("_k")).join(flags, "_k").groupBy("_pii_row").agg(F.collect_list(F.struct("_k", "_gone")).alias("_got"))
-    full = rows.drop("_asked").join(got, "_pii_row", "left").drop("_pii_row")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            made = []
-            for t, g in zip(pdf[text], pdf["_got"], strict=True):
-                pairs = sorted((x["_k"], x["_gone"]) for x in g) if g is not None else []
-                made.append(_row(t, _all_spans(t or "", (np.array([k for k, _ in pairs], np.int64), np.array([x for _, x in pairs], bool))), with_text))
-            yield pd.concat([pdf.drop(columns="_got"), pd.DataFrame(made, columns=schema.names, index=pdf.index)], axis=1)
-
-    return full.mapInPandas(run, T.StructType([*base.schema.fields, *schema.fields]))
+        spans = base_spans(t)
+        words = _hashes(_vocabulary(t, spans)) if spans else np.empty(0, np.int64)
+        return [k for e in {_entity(k, t[a:b]) for k, a, b in spans} for k in _keys(_hashes([e]), words).tolist()]
+
+    flags = found.select(_pair_key("e", "t").alias("k"), (F.col("share") >= REMOVE).alias("gone"))
+    # rows travel whole, so that no column can clash; numbers of rows are written before they are used twice
+    rows = base.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("row"), F.monotonically_increasing_id().alias("i"), F.col(f"`{text}`").alias("t"))
+    rows = written(with_columns(rows, "t", lambda: lambda texts: [[asked(t) for t in texts]], "asked array<long>").drop("t"), "pii-rows")
+    got = rows.select("i", F.explode("asked").alias("k")).join(flags, "k").groupBy("i").agg(F.collect_list(F.struct("k", "gone")).alias("got"))
+    own = fresh(base, "pii_in")
+    full = rows.join(got, "i", "left").select("row.*", F.struct(F.col(f"row.`{text}`").alias("t"), "got").alias(own))
+
+    def one(x: dict) -> list:
+        pairs = sorted((g["k"], g["gone"]) for g in x["got"] or [])
+        flagged = (np.array([k for k, _ in pairs], np.int64), np.array([gone for _, gone in pairs], bool))
+        return _row(x["t"], _all_spans(x["t"] or "", flagged), with_text)
+
+    make = lambda: lambda values: _columns([one(x) for x in values], with_text)
+    return with_columns(full, own, make, MADE if with_text else MADE.rpartition(",")[0]).drop(own)
 
 
 def base_digest(spans: Column) -> Column:

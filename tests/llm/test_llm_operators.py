@@ -238,10 +238,51 @@ def test_pii_join_route_agrees(spark, monkeypatch):
     rows = [(i, f"Zorblatt {x} zor@blatt.example") for i, x in enumerate("abc")] + [(9, None)] + [(20 + i, f"see u{i}@v.example") for i in range(9)]
     d = spark.createDataFrame(rows, TEXT)
     one = sorted(map(tuple, pii.sanitise(d).collect()), key=repr)
+    d = d.withColumns({c: F.lit(7) for c in ("row", "i", "t", "got", "asked", "pii_in", "k")})
+    one = sorted(map(tuple, pii.sanitise(d).collect()), key=repr)
+    assert any("term:" in r[-2] or "gone:" in r[-2] for r in one)
     monkeypatch.setattr(pii, "BROADCAST_PAIRS", -1)
     assert sorted(map(tuple, pii.sanitise(d).collect()), key=repr) == one
 
 
+def test_pii_flags_by_brute_force(spark):
+    """Which words are spans, with which kind, by counting over distinct texts as the docstring says; general forms in the text."""
+    rng = np.random.default_rng(6)
+    people = [("Ann", "ann@one.example", "ACME"), ("Bob", "+84 912 345 678", "zeta"), ("Cem", "10.1.2.3", "Quux")]
+    common = [c * 3 for c in "abcdefghijklm"]
+    rows = []
+    for i in range(60):
+        w = rng.choice(common, 12).tolist()
+        if i % 2:
+            name, value, other = people[int(rng.integers(3))]
+            w = w[:4] + ([name] if rng.random() < 0.8 else []) + w[4:8] + [value] + w[8:] + ([other] if rng.random() < 0.6 else [])
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, rows[1][1]) for i in range(5)] + [(200, "Ann and zeta met"), (201, None)]
+    texts = {t or "" for _, t in rows}
+    sets = {t: ({pii._entity(k, t[a:b]) for k, a, b in plain_spans(t)}, {w for w, _, _ in pii.terms(t, plain_spans(t))}) for t in texts}
+    n, n_e, n_t, n_b = len(texts), Counter(), Counter(), Counter()
+    for e, w in sets.values():
+        n_e.update(e)
+        n_t.update(w)
+        n_b.update((x, y) for x in e for y in w)
+    share = {(x, y): math.log(n * c / (n_e[x] * n_t[y])) / math.log(n / n_e[x]) for (x, y), c in n_b.items() if c >= 2 and 2 <= n_e[x] < n}
+    assert any(0.5 <= s < 0.95 for s in share.values())
+    for r in pii.sanitise(spark.createDataFrame(rows, TEXT).repartition(3)).collect():
+        t = dict(rows)[r["doc_id"]] or ""
+        top = {w: max([share.get((e, w), 0) for e in sets[t][0]], default=0) for w in sets[t][1]}
+        more = sorted(("gone" if top[w] >= 0.95 else "term", a, b) for w, a, b in pii.terms(t, plain_spans(t)) if top[w] >= 0.5)
+        assert r["pii_spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b in plain_spans(t) + more)
+    assert pii.redacted("Jane MET ann", [("term", 0, 4), ("term", 5, 8), ("term", 9, 12)]) == "[NAME] [ACRONYM] [WORD]"
+    assert pii.sanitise(spark.createDataFrame([], TEXT)).count() == 0
+
+
+def test_pii_of_many_spans_is_linear():
+    import time
+
+    text, begun = " ".join(f"user{i}@host{i}.example and more" for i in range(40000)), time.time()
+    assert len(pii.terms(text, pii.base_spans(text))) == 80000 and time.time() - begun < 10
+
+
 def test_pii_sees_the_whole_text(spark):
     far = " ".join(["so", "it", "was", "with", "many", "other", "words", "in", "between"] * 20)
     rows = [(i, f"Jane Zorblatt {x} {far} zor@blatt.example {far} {y} Zorblatt") for i, (x, y) in enumerate([("today", "again"), ("later", "often")])]
@@ -562,13 +603,15 @@ def test_extract_keeps_columns(spark):
 def test_ids_and_other_columns_stay_exact(spark):
     """64-bit numbers beside nulls, in the id and in a column that only passes through."""
     big = 2**60 + 1
-    d = spark.createDataFrame([(big, "a b c a@b.example", None), (None, "a b c", big + 2), (3, None, 5)], TEXT + ", other long")
+    d = spark.createDataFrame([(big, "a b c a@b.example", None), (None, "a b c", big + 2), (3, None, 5)], TEXT + ", other long").coalesce(1)
     want = {(big, None), (None, big + 2), (3, 5)}
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
     p = pieces.load()
-    for out in (pii.sanitise(d), html.extract(d, html="text"), pieces.encode(d, p), pieces.decode(pieces.encode(d, p), p), quality.score(d, quality.fit(d, labels)), jaccard.keep_one(d), mixing.mix(d.withColumn("source", F.lit("s")), weights=(1,)), ngram.score(d, ngram.fit(d))):
+    for out in (pii.sanitise(d), html.extract(d, html="text"), pieces.encode(d, p), pieces.decode(pieces.encode(d, p), p), quality.score(d, quality.fit(d, labels)), jaccard.keep_one(d), mixing.mix(d.withColumn("source", F.lit("s")), weights=(1,))):
         assert {(r["doc_id"], r["other"]) for r in out.collect()} <= want and {r["doc_id"] for r in out.collect()} >= {big}
-    assert {r["doc_id"] for r in media.text_media(d).collect()} == {big, None, 3}
+    for out in (media.text_media(d), ngram.score(d, ngram.fit(d))):
+        assert {r["doc_id"] for r in out.collect()} == {big, None, 3}
+    assert media.media_tiles(d.withColumn("image", F.lit(None).cast("binary"))).where(f"doc_id = {big} OR other = {big + 2}").count() == 2
 
 
 def test_mixing_has_no_clashing_columns(spark):
