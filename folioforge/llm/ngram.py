@@ -1,14 +1,16 @@
-"""Operator 6: an interpolated modified Kneser-Ney bigram model.
+"""Operator 6: an interpolated modified Kneser-Ney model of words, of order 3 or 2.
 
-Words and bigrams are counted by Spark jobs whose rows are packed, sorted arrays of one shard. The model is a set of
-sorted arrays: 64-bit word hashes with their counts, and 64-bit bigram keys (the ids of both words) with their counts.
-Workers map these arrays into memory and look up whole batches by binary search.
+Words and trigrams are counted by Spark jobs whose rows are packed, sorted arrays of one shard. Trigrams are dealt by
+their middle word: then a shard holds, for each of its words v, all trigrams u v w, so the counts of the contexts (u, v),
+the words that come before each (v, w) and all facts of v are found where they lie. Middle words that would fill half a
+shard are dealt by (u, v), and only their pairs (v, w) are summed by a second exchange. The model is a set of sorted
+arrays, 64-bit hashes of words and 32-bit ids in n-grams, that workers map into memory and search for whole batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -16,30 +18,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm.arrays import Store, filled, merge, pack, pack_sorted, store, unpack, unpack_sorted
-from folioforge.llm.common import crc_mod, mix64, table, word_hashes
+from folioforge.llm.common import crc_mod, mix64, prepared, table, with_columns, word_hashes
 
 #: Hashes that stand for the text's end and its start. No word has these but by a collision of 64 bits.
 END, START = np.uint64(0x0E0D0E0D0E0D0E0D), np.uint64(0x57A2757A2757A275)
-#: Tokens that a task gathers before it sorts them; characters of text for each shard; the share of all tokens from
-#: which a word's bigrams are dealt over all shards by their second word too.
-GATHER, SHARD_CHARS, HOT = 4_000_000, 16_000_000, 0.001
+#: Tokens that a task gathers before it sorts them; characters of text for each shard, and shards at most (shards grow
+#: from there); parts over which the pairs of frequent words are dealt at most; the least count of such words.
+GATHER, SHARD_CHARS, SHARDS, PARTS, HOT_LEAST = 4_000_000, 16_000_000, 4096, 256, 1000
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 @dataclass(frozen=True)
 class Model:
+    order: int
     words: Store  # per shard: hashes, counts
-    facts: Store  # per shard: for each word the bigrams that it begins, by count 1, 2, 3 or more; the words before it
-    pairs: Store  # per shard: keys, counts
+    grams: Store  # per shard and per part of the frequent words: the arrays of _bundle
     starts: np.ndarray  # id of the first word of each word shard, and of the end
-    hot: np.ndarray  # sorted ids whose bigrams are dealt by both words
+    hot: np.ndarray  # sorted ids of the words whose trigrams are dealt by their first two words
+    hot_facts: np.ndarray  # for each of these what FACTS names
+    parts: int
     tokens: int
     distinct: int
-    discounts: np.ndarray  # of bigrams with count 1, 2, 3 or more
-    lower: np.ndarray  # the same of continuation counts
+    end_before: int  # distinct words before the end of a text
     kinds: int  # distinct bigrams
+    discounts: np.ndarray  # by level, 1 to 3, and by count 0, 1, 2, 3 or more
     spare: float  # share of the unigram level that goes to the uniform distribution
 
 
+#: Columns of a word's facts: the sum of its pairs' values, its pairs of value 1, 2, 3 or more, the words before it.
+FACTS = 5
+
+
 def _shard_bits(shards: int) -> int:
     return shards.bit_length() - 1
 
@@ -48,12 +57,15 @@ def _word_shard(h: np.ndarray, shards: int) -> np.ndarray:
     return (h >> np.uint64(64 - _shard_bits(shards))).astype(np.int64) if shards > 1 else np.zeros(len(h), np.int64)
 
 
-def _pair_shard(keys: np.ndarray, shards: int, hot: np.ndarray) -> np.ndarray:
-    first = keys >> np.uint64(32)
-    by = np.where(np.isin(first, hot), keys, first) if len(hot) else first
+def _gram_shard(v: np.ndarray, u: np.ndarray, shards: int, hot: np.ndarray) -> np.ndarray:
+    by = np.where(np.isin(v, hot), (v.astype(np.uint64) << np.uint64(32)) | u.astype(np.uint64), v.astype(np.uint64)) if len(hot) else v.astype(np.uint64)
     return (mix64(by + np.uint64(1)) & np.uint64(shards - 1)).astype(np.int64)
 
 
+def _pair_part(v: np.ndarray, w: np.ndarray, parts: int) -> np.ndarray:
+    return (mix64((v.astype(np.uint64) << np.uint64(32)) ^ w.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
 def _split(part: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
     order = np.argsort(part, kind="stable")
     ends = np.searchsorted(part[order], np.arange(shards + 1))
@@ -78,18 +90,141 @@ class _Lookup:
                 out[lo:hi] = np.where(known[at] == u[lo:hi], at + self.starts[s], -1)
         return out[back]
 
-    def rows(self, held: Store, name: str, ids: np.ndarray, width: int = 1) -> np.ndarray:
-        """Entries of a per-word array for ids; zeros for -1."""
-        out = np.zeros((len(ids), width), np.int64)
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        """The counts of ids; 0 for -1."""
+        out = np.zeros(len(ids), np.int64)
         order = np.argsort(ids, kind="stable")
         ends = np.searchsorted(ids[order], self.starts)
         for s in range(self.shards):
             part = order[ends[s] : ends[s + 1]]
             if len(part):
-                out[part] = np.asarray(held.get(f"{name}-{s}")).reshape(-1, width)[ids[part] - self.starts[s]]
+                out[part] = self.words.get(f"count-{s}")[ids[part] - self.starts[s]]
         return out
 
 
+# ---- arrays of a shard -----------------------------------------------------------------------------------------------
+
+
+def _bundle(arrays: list[np.ndarray]) -> np.ndarray:
+    """Unsigned arrays as one: their item sizes and lengths, then each from a place divisible by 8."""
+    head = np.array([len(arrays), *[x for a in arrays for x in (a.itemsize, len(a))]], np.uint64).view(np.uint8)
+    parts = [head]
+    for a in arrays:
+        raw = np.ascontiguousarray(a).view(np.uint8)
+        parts += [raw, np.zeros(-len(raw) % 8, np.uint8)]
+    return np.concatenate(parts)
+
+
+def _unbundled(raw: np.ndarray) -> list[np.ndarray]:
+    n = int(raw[:8].view(np.uint64)[0])
+    at, out = 8 + 16 * n, []
+    for size, length in raw[8:at].view(np.uint64).reshape(n, 2).astype(np.int64).tolist():
+        out.append(raw[at : at + size * length].view(f"u{size}"))
+        at += -(-size * length // 8) * 8
+    return out
+
+
+def _small(x: np.ndarray) -> list[np.ndarray]:
+    """Counts as bytes; 255 stands for those that are listed with their places."""
+    over = np.flatnonzero(x >= 255)
+    return [np.minimum(x, 255).astype(np.uint8), over.astype(np.uint32), x[over].astype(np.uint64)]
+
+
+def _counts_at(small: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    out = small[0][at].astype(np.int64)
+    over = out == 255
+    if over.any():
+        out[over] = small[2][np.searchsorted(small[1], at[over])]
+    return out
+
+
+def _lower(a: np.ndarray, lo: np.ndarray, hi: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each number sought its place in the sorted a[lo:hi], and whether it is there."""
+    lo, hi, end = lo.astype(np.int64), hi.astype(np.int64), hi
+    open_ = np.flatnonzero(lo < hi)
+    while len(open_):
+        mid = (lo[open_] + hi[open_]) >> 1
+        less = a[mid] < sought[open_]
+        lo[open_[less]], hi[open_[~less]] = mid[less] + 1, mid[~less]
+        open_ = open_[lo[open_] < hi[open_]]
+    hit = lo < end
+    hit[hit] = a[lo[hit]] == sought[hit]
+    return lo, hit
+
+
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Where a new run of equal keys begins."""
+    new = np.zeros(max(0, len(keys[0]) - 1), bool)
+    for k in keys:
+        new |= k[1:] != k[:-1]
+    return np.flatnonzero(np.concatenate([[True], new])) if len(keys[0]) else np.empty(0, np.int64)
+
+
+def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x.astype(np.int64), first) if len(first) else np.empty(0, np.int64)
+
+
+def _trigrams(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct (v << 32 | u, w) and the sums of their counts."""
+    key, w, c = (np.concatenate(x) for x in zip(*runs, strict=True))
+    order = np.lexsort((w, key))
+    key, w, c = key[order], w[order], c[order]
+    first = _firsts(key, w)
+    return key[first], w[first], _sums(c, first)
+
+
+def _pairs(v: np.ndarray, w: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((w, v))
+    v, w, x = v[order], w[order], x[order]
+    first = _firsts(v, w)
+    return v[first], w[first], _sums(x, first)
+
+
+def _pair_arrays(of: np.ndarray, v: np.ndarray, w: np.ndarray, x: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The arrays of sorted pairs, with their ends for each word of `of`, and the sums and kinds of those words."""
+    ends = np.searchsorted(v, of, side="right")
+    starts = np.searchsorted(v, of)
+    total = np.concatenate([[0], np.cumsum(x)])
+    facts = np.zeros((len(of), FACTS), np.int64)
+    facts[:, 0] = total[ends] - total[starts]
+    for k, mask in enumerate((x == 1, x == 2, x >= 3), 1):
+        sums = np.concatenate([[0], np.cumsum(mask)])
+        facts[:, k] = sums[ends] - sums[starts]
+    return [np.concatenate([[0], ends]).astype(np.uint32), w.astype(np.uint32), *_small(x)], facts
+
+
+def _shard_arrays(key: np.ndarray, w: np.ndarray, c: np.ndarray, hot: np.ndarray, order: int):
+    """The arrays of a shard's trigrams, the facts of its words, and the pairs of hot words, which other shards have too.
+
+    Arrays: words; ends of their contexts; ends of their pairs, pairs' second words, values (3); facts; first words of
+    contexts; places of contexts seen more than once; their starts, sums, kinds 1, kinds 2; the word after each context
+    seen once; the words after the others; their counts (3). For order 2 the arrays of contexts are empty.
+    """
+    v, u = (key >> np.uint64(32)).astype(np.int64), (key & _LOW).astype(np.int64)
+    first = _firsts(key)
+    size, total = np.diff(np.append(first, len(key))), _sums(c, first)
+    own = first[_firsts(v[first])] if len(first) else first
+    of = v[own]
+    ends = np.searchsorted(v[first], of, side="right")
+    pv, pw, px = _pairs(v, w.astype(np.int64), np.ones(len(v), np.int64) if order == 3 else c)
+    shared = np.isin(pv, hot)
+    pairs, facts = _pair_arrays(of, pv[~shared], pw[~shared], px[~shared])
+    facts[:, 4] = np.diff(np.concatenate([[0], ends]))
+    big = total > 1
+    of_big = np.repeat(big, size)
+    starts = np.concatenate([[0], np.cumsum(size[big])])
+    contexts = [u[first], np.flatnonzero(big), starts, total[big], _sums(c == 1, first)[big], _sums(c == 2, first)[big], w[~of_big], w[of_big]]
+    if order == 2:
+        contexts, of_big = [x[:0] for x in contexts], of_big[:0]
+    many = c[of_big] if order == 3 else c[:0]
+    arrays = [of.astype(np.uint32), np.concatenate([[0], ends]).astype(np.uint32), *pairs, facts.reshape(-1).astype(np.uint64), *[x.astype(np.uint32) for x in contexts[:3]], contexts[3].astype(np.uint64), *[x.astype(np.uint32) for x in contexts[4:]], *_small(many)]
+    return arrays, of, facts, (pv[~shared], pw[~shared], px[~shared]), (pv[shared], pw[shared], px[shared])
+
+
+def _kinds(x: np.ndarray) -> list[int]:
+    return [int((x == k).sum()) for k in (1, 2, 3, 4)]
+
+
 def _gathered(texts, size: int = GATHER) -> Iterator[tuple[list[int], np.ndarray]]:
     """Token hashes of many texts at a time: the number of tokens of each text, its words and one end, and all of them."""
     lengths, parts, n = [], [], 0
@@ -112,6 +247,7 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[str]:
 
 
 def _before(ids: np.ndarray, lengths: list[int], start: int) -> np.ndarray:
+    """The id before each token of its text; the start before the first."""
     prev = np.concatenate([[start], ids[:-1]])
     prev[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = start
     return prev
@@ -142,13 +278,18 @@ def _discounts(n: list[int]) -> np.ndarray:
     return np.array([0.0] + [min(max(x, 0.05), k + 0.95) for k, x in enumerate(d)])
 
 
-def fit(docs: DataFrame, text: str = "text") -> Model:
-    """The model of all rows' texts: lower-cased words and one end for each text; null texts are empty."""
-    spark = docs.sparkSession
+def fit(docs: DataFrame, text: str = "text", order: int = 3) -> Model:
+    """The model of all rows' texts: lower-cased words and one end for each text, after order - 1 starts; null texts are empty.
+
+    The highest order counts n-grams, the lower ones the distinct words before them.
+    """
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
+    spark = prepared(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    shards = 1 << max(2, (chars // SHARD_CHARS).bit_length())
-    words, facts, pairs = store(spark, "lm-words"), store(spark, "lm-facts"), store(spark, "lm-pairs")
+    shards = min(SHARDS, 1 << max(2, (chars // SHARD_CHARS).bit_length()))
+    words, grams = store(spark, "lm-words"), store(spark, "lm-grams")
 
     def count_words(batches):
         for _, h in _gathered(_texts(batches)):
@@ -178,72 +319,75 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
         for pdf in batches:
             for s in pdf["shard"]:
                 c = words.get(f"count-{s}")
-                i = np.flatnonzero(c > max(1000, HOT * tokens))
+                i = np.flatnonzero(c > max(HOT_LEAST, tokens // (2 * shards)))
                 yield pd.DataFrame({"id": i + starts[s]})
 
     present = sorted(by)
     hot = spark.createDataFrame([(s,) for s in present] or [(0,)], "shard int").where("shard >= 0").repartition(len(present) or 1).mapInPandas(frequent, "id long") if present else None
-    hot = np.sort(np.array([r["id"] for r in hot.collect()], np.uint64)) if hot is not None else np.empty(0, np.uint64)  # at most 1/HOT words
-    # the start precedes every text: its bigrams are dealt by both words as well
+    hot = [r["id"] for r in hot.collect()] if hot is not None else []  # at most 2 * shards words
+    hot = np.union1d(np.array(hot, np.int64), find.ids(np.array([START])))  # the start precedes every text
+    parts = min(shards, PARTS)
 
-    def count_pairs(batches):
+    def count_grams(batches):
         start = int(find.ids(np.array([START]))[0])
-        always = np.union1d(hot, np.array([start], np.uint64))
         for lengths, h in _gathered(_texts(batches)):
             ids = find.ids(h)
-            keys = (_before(ids, lengths, start).astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)
-            k, c = np.unique(keys, return_counts=True)
-            rows = [(s, pack_sorted(k[i] >> np.uint64(32)), pack((k[i] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), pack(c[i].astype(np.uint32))) for s, i in _split(_pair_shard(k, shards, always), shards)]
+            prev = _before(ids, lengths, start)
+            key, w, c = _trigrams([((prev.astype(np.uint64) << np.uint64(32)) | _before(prev, lengths, start).astype(np.uint64), ids.astype(np.uint32), np.ones(len(ids), np.int64))])
+            shard = _gram_shard((key >> np.uint64(32)).astype(np.int64), (key & _LOW).astype(np.int64), shards, hot)
+            rows = [(s, pack_sorted(key[i]), pack(w[i]), pack(c[i].astype(np.uint32))) for s, i in _split(shard, shards)]
             yield pd.DataFrame(rows, columns=["shard", "a", "b", "c"])
 
-    def merge_pairs(batches):
-        for shard, rows in _grouped(batches):
-            keys = [(unpack_sorted(a, np.uint64) << np.uint64(32)) | unpack(b, np.uint32).astype(np.uint64) for a, b in zip(rows["a"], rows["b"], strict=True)]
-            k, c = merge(keys, [unpack(x, np.uint32).astype(np.int64) for x in rows["c"]])
-            del keys
-            made = [pairs.put(f"key-{shard}", k), pairs.put(f"count-{shard}", np.minimum(c, (1 << 32) - 1).astype(np.uint32))]
-            a, b = (k >> np.uint64(32)).astype(np.int64), (k & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            out = []
-            for kind, ids in ((0, a), (1, b)):  # partial sums for each word, packed for the word's shard
-                order = np.argsort(ids, kind="stable")
-                ids, cc = ids[order], c[order]
-                first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.empty(0, int)
-                sums = [np.add.reduceat(m.astype(np.int64), first) for m in ((cc == 1, cc == 2, cc >= 3) if kind == 0 else (cc > 0,))] if len(first) else []
-                u = ids[first]
-                ends = np.searchsorted(u, starts)
-                for s in range(shards):
-                    lo, hi = ends[s], ends[s + 1]
-                    if lo < hi:
-                        out.append((None, None, s, kind, pack_sorted((u[lo:hi] - starts[s]).astype(np.uint32)), pack(np.concatenate([x[lo:hi] for x in sums]).astype(np.uint32)), *[0] * 5))
-            hist = [int((c == j).sum()) for j in (1, 2, 3, 4)]
-            out += [(n, d, -1, -1, None, None, *(hist + [len(k)] if j == 0 else [0] * 5)) for j, (n, d) in enumerate(made)]
-            yield pd.DataFrame(out, columns=["name", "data", "shard", "kind", "i", "v", "n1", "n2", "n3", "n4", "kinds"])
-
-    counted = docs.mapInPandas(count_pairs, "shard int, a binary, b binary, c binary")
-    form = "name string, data binary, shard int, kind int, i binary, v binary, n1 long, n2 long, n3 long, n4 long, kinds long"
-    rows, pairs = filled(spark, _by_shard(counted, shards).mapInPandas(merge_pairs, form), pairs, "lm-pairs-rows")
-    total = rows.where("kind = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4", "kinds")]).first()
-
-    def merge_facts(batches):
+    columns = ["name", "data", "part", "a", "b", "v", "facts", "kinds"]
+
+    def merge_grams(batches):
+        ends = int(find.ids(np.array([END]))[0])
         for shard, rows in _grouped(batches):
-            size = int(starts[shard + 1] - starts[shard])
-            v = np.zeros((size, 4), np.uint32)
-            for kind, i, x in zip(rows["kind"], rows["i"], rows["v"], strict=True):
-                i, x = unpack_sorted(i, np.uint32), unpack(x, np.uint32)
-                if kind == 0:
-                    v[i, :3] += x.reshape(3, -1).T
-                else:
-                    v[i, 3] += x
-            name, data = facts.put(f"facts-{shard}", v.reshape(-1))
-            yield pd.DataFrame([(name, data, *[int((v[:, 3] == j).sum()) for j in (1, 2, 3, 4)], int((v[:, 3] >= 3).sum()))], columns=["name", "data", "n1", "n2", "n3", "n4", "more"])
-
-    merged = _by_shard(rows.where("kind >= 0").select("shard", "kind", "i", "v"), shards).mapInPandas(merge_facts, "name string, data binary, n1 long, n2 long, n3 long, n4 long, more long")
-    rows, facts = filled(spark, merged, facts, "lm-facts-rows")
-    low = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4", "more")]).first()
-    lower = _discounts([low["n1"], low["n2"], low["n3"], low["n4"]])
-    kinds = int(total["kinds"])
-    spare = float(lower[1:] @ np.array([low["n1"], low["n2"], low["more"]], float)) / kinds if kinds else 1.0
-    return Model(words, facts, pairs, starts, hot, int(tokens), int(distinct), _discounts([total[c] for c in ("n1", "n2", "n3", "n4")]), lower, kinds, spare)
+            key, w, c = _trigrams([(unpack_sorted(a, np.uint64), unpack(b, np.uint32), unpack(x, np.uint32).astype(np.int64)) for a, b, x in zip(rows["a"], rows["b"], rows["c"], strict=True)])
+            arrays, of, facts, plain, shared = _shard_arrays(key, w, c, hot, order)
+            name, data = grams.put(f"grams-{shard}", _bundle(arrays))
+            own = ~np.isin(of, hot)
+            came = facts[own, 4]
+            out = [(name, data, -1, None, None, None, None, [*_kinds(c), *_kinds(plain[2]), *_kinds(came), int((came >= 3).sum()), int(came.sum()), int((plain[1] == ends).sum())])]
+            out += [(None, None, -1, None, None, int(v), [0, 0, 0, 0, int(n)], None) for v, n in zip(of[~own], facts[~own, 4], strict=True)]
+            pv, pw, px = shared
+            for p, i in _split(_pair_part(pv, pw, parts), parts):
+                out.append((None, None, p, pack_sorted((pv[i].astype(np.uint64) << np.uint64(32)) | pw[i].astype(np.uint64)), pack(px[i].astype(np.uint32)), None, None, None))
+            yield pd.DataFrame(out, columns=columns).astype({"v": "Int64"})
+
+    def merge_shared(batches):
+        ends = int(find.ids(np.array([END]))[0])
+        for part, rows in _grouped(batches):
+            keys = [unpack_sorted(a, np.uint64) for a in rows["a"]]
+            key, x = merge(keys, [unpack(b, np.uint32).astype(np.int64) for b in rows["b"]])
+            v, w = (key >> np.uint64(32)).astype(np.int64), (key & _LOW).astype(np.int64)
+            arrays, facts = _pair_arrays(hot, v, w, x)
+            name, data = grams.put(f"shared-{part}", _bundle(arrays))
+            out = [(name, data, -1, None, None, None, None, [0, 0, 0, 0, *_kinds(x), 0, 0, 0, 0, 0, 0, int((w == ends).sum())])]
+            out += [(None, None, -1, None, None, int(h), [int(k) for k in f], None) for h, f in zip(hot, facts, strict=True) if f[0]]
+            yield pd.DataFrame(out, columns=columns).astype({"v": "Int64"})
+
+    form = "name string, data binary, part int, a binary, b binary, v long, facts array<long>, kinds array<long>"
+    counted = docs.mapInPandas(count_grams, "shard int, a binary, b binary, c binary")
+    one, at = filled(spark, _by_shard(counted, shards).mapInPandas(merge_grams, form), grams, "lm-grams-rows")
+    passed = one.where("part >= 0").select(F.col("part").alias("shard"), "a", "b")
+    two, at_two = filled(spark, _by_shard(passed, parts).mapInPandas(merge_shared, form), grams, "lm-shared-rows")
+    grams = replace(at, shipped=(*at.shipped, *at_two.shipped))
+    rows = one.unionByName(two)
+    kinds = np.array(rows.where("kinds IS NOT NULL").select(*[F.coalesce(F.sum(F.col("kinds")[k]), F.lit(0)) for k in range(15)]).first(), np.int64)
+    sums = rows.where("v IS NOT NULL").groupBy("v").agg(*[F.sum(F.col("facts")[k]).alias(f"f{k}") for k in range(FACTS)]).collect()  # one row for each hot word
+    hot_facts = np.zeros((len(hot), FACTS), np.int64)
+    for r in sums:
+        hot_facts[np.searchsorted(hot, r["v"])] = [r[f"f{k}"] for k in range(FACTS)]
+    # the unigram level: the words before each word, those of hot words and of the end added; the start is none
+    start = int(find.ids(np.array([START]))[0])
+    end_before = int(kinds[14])
+    more = np.array([*hot_facts[hot != start, 4], end_before], np.int64)
+    more = more[more > 0]
+    uni, three, total = kinds[8:12] + np.array(_kinds(more)), int(kinds[12] + (more >= 3).sum()), int(kinds[13] + more.sum())
+    discounts = np.stack([_discounts(uni.tolist()), _discounts(kinds[4:8].tolist()), _discounts(kinds[0:4].tolist())])
+    spare = float(discounts[0, 1:] @ np.array([uni[0], uni[1], three], float)) / total if total else 1.0
+    return Model(order, words, grams, starts, hot, hot_facts, parts, int(tokens), int(distinct), end_before, total, discounts, spare)
 
 
 class Scorer:
@@ -251,50 +395,105 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.m, self.find = model, _Lookup(model.words, model.starts)
-        start, end = self.find.ids(np.array([START, END]))
-        self.start, self.ends = int(start), int(self.find.rows(model.words, "count", np.array([end]))[0, 0])
-        self.always = np.union1d(model.hot, np.array([self.start], np.uint64)) if self.start >= 0 else model.hot
+        self.start, self.end = (int(i) for i in self.find.ids(np.array([START, END])))
+
+    def _arrays(self, name: str) -> list[np.ndarray] | None:
+        try:
+            return _unbundled(self.m.grams.get(name))
+        except FileNotFoundError:  # a shard without n-grams
+            return None
+
+    def _facts(self, ids: np.ndarray) -> np.ndarray:
+        """The facts of sorted distinct ids; zeros for those that precede nothing."""
+        m, out = self.m, np.zeros((len(ids), FACTS), np.int64)
+        for s, i in _split(_gram_shard(ids, np.zeros(len(ids), np.int64), self.find.shards, np.empty(0, np.int64)), self.find.shards):
+            g = self._arrays(f"grams-{s}")
+            if g is not None and len(g[0]):
+                at = np.minimum(np.searchsorted(g[0], ids[i]), len(g[0]) - 1)
+                hit = g[0][at] == ids[i]
+                out[i[hit]] = g[7].reshape(-1, FACTS)[at[hit]]
+        at = np.minimum(np.searchsorted(m.hot, ids), max(0, len(m.hot) - 1))
+        hit = m.hot[at] == ids if len(m.hot) else np.zeros(len(ids), bool)
+        out[hit] = m.hot_facts[at[hit]]
+        out[ids == self.end, 4] = m.end_before
+        return out
 
-    def _pair_counts(self, prev: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(ids), np.int64)
-        both = np.flatnonzero((prev >= 0) & (ids >= 0))
-        keys = (prev[both].astype(np.uint64) << np.uint64(32)) | ids[both].astype(np.uint64)
-        shards = self.find.shards
-        for s, i in _split(_pair_shard(keys, shards, self.always), shards):
-            try:
-                known = self.m.pairs.get(f"key-{s}")
-            except FileNotFoundError:  # a shard without bigrams
-                continue
-            q = keys[i]
-            order = np.argsort(q)
-            at = np.empty(len(q), np.int64)
-            at[order] = np.searchsorted(known, q[order])
-            at[at == len(known)] = 0
-            out[both[i]] = np.where(known[at] == q, self.m.pairs.get(f"count-{s}")[at], 0)
+    def _pair_values(self, v: np.ndarray, w: np.ndarray, g: list[np.ndarray], row: np.ndarray, ends: int) -> np.ndarray:
+        """Values of pairs (v, w): `row` is v's place among the words of the arrays, `ends` where their ends are in g."""
+        at, hit = _lower(g[ends + 1], g[ends][row].astype(np.int64), g[ends][row + 1].astype(np.int64), w)
+        out = np.zeros(len(v), np.int64)
+        out[hit] = _counts_at(g[ends + 2 : ends + 5], at[hit])
         return out
 
+    def _found(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For tokens whose words before them are known: values of pairs (v, w); counts of trigrams, sums and kinds 1, 2, 3 of contexts. w may be -1."""
+        m = self.m
+        pair, tri = np.zeros(len(w), np.int64), np.zeros((len(w), 5), np.int64)
+        for s, i in _split(_gram_shard(v, u, self.find.shards, m.hot), self.find.shards):
+            g = self._arrays(f"grams-{s}")
+            if g is None or not len(g[0]):
+                continue
+            row = np.minimum(np.searchsorted(g[0], v[i]), len(g[0]) - 1)
+            own = g[0][row] == v[i]
+            i, row = i[own], row[own]
+            pair[i] = self._pair_values(v[i], w[i], g, row, 2)
+            if m.order == 2:
+                continue
+            at, hit = _lower(g[8], g[1][row].astype(np.int64), g[1][row + 1].astype(np.int64), u[i])
+            i, at = i[hit], at[hit]
+            b = np.searchsorted(g[9], at)
+            big = np.zeros(len(at), bool)
+            inside = b < len(g[9])
+            big[inside] = g[9][b[inside]] == at[inside]
+            once, many = i[~big], i[big]
+            tri[once, 0] = g[14][at[~big] - b[~big]] == w[once]
+            tri[once, 1:3] = 1
+            b = b[big]
+            lo, hi = g[10][b].astype(np.int64), g[10][b + 1].astype(np.int64)
+            place, there = _lower(g[15], lo, hi, w[many])
+            tri[many[there], 0] = _counts_at(g[16:19], place[there])
+            tri[many, 1], tri[many, 2], tri[many, 3] = g[11][b], g[12][b], g[13][b]
+            tri[many, 4] = hi - lo - tri[many, 2] - tri[many, 3]
+        hot = np.flatnonzero(np.isin(v, m.hot))
+        for p, i in _split(_pair_part(v[hot], w[hot], m.parts), m.parts):
+            g = self._arrays(f"shared-{p}")
+            if g is not None:
+                i = hot[i]
+                pair[i] = self._pair_values(v[i], w[i], g, np.searchsorted(m.hot, v[i]), 0)
+        return pair, tri
+
     def __call__(self, lengths: list[int], h: np.ndarray) -> np.ndarray:
         """For each text: tokens, known tokens, base score, score."""
         m = self.m
         ids = self.find.ids(h)
-        count = self.find.rows(m.words, "count", ids)[:, 0]
-        base = np.log10((count + 0.5) / (m.tokens + 0.5 * (m.distinct + 1)))
+        distinct, back = np.unique(np.append(ids, self.start), return_inverse=True)
+        count = self.find.counts(distinct)
+        base = np.log10((count + 0.5) / (m.tokens + 0.5 * (m.distinct + 1)))[back[:-1]]
+        known = (count > 0)[back[:-1]]
         if m.kinds:
-            fact = self.find.rows(m.facts, "facts", ids, 4)
-            came = fact[:, 3]
-            low = np.maximum(came - m.lower[np.minimum(came, 3)], 0) / m.kinds + m.spare / (m.distinct + 1)
-            prev = _before(ids, lengths, self.start)
-            held = np.where(prev == self.start, self.ends, np.concatenate([[0], count[:-1]]))
-            begun = np.concatenate([np.zeros((1, 4), np.int64), fact[:-1]])
-            first = np.flatnonzero(prev == self.start)
-            begun[first] = self.find.rows(m.facts, "facts", np.array([self.start]), 4)[0]
-            c = self._pair_counts(prev, ids)
-            safe = np.maximum(held, 1)
-            p = np.where(held > 0, np.maximum(c - m.discounts[np.minimum(c, 3)], 0) / safe + (begun[:, :3] @ m.discounts[1:]) / safe * low, low)
+            facts = self._facts(distinct)
+            before = facts[:, 4]
+            uni = np.maximum(before - m.discounts[0][np.minimum(before, 3)], 0) / m.kinds + m.spare / (m.distinct + 1)
+            mass = facts[:, 1:4] @ m.discounts[1][1:]
+            row = _before(back[:-1], lengths, int(back[-1]))
+            v = _before(ids, lengths, self.start)
+            u = _before(v, lengths, self.start)
+            seen = np.flatnonzero((v >= 0) & (u >= 0)) if m.order == 3 else np.flatnonzero(v >= 0)
+            pair, tri = np.zeros(len(ids), np.int64), np.zeros((len(ids), 5), np.int64)
+            pair[seen], tri[seen] = self._found(u[seen], v[seen], ids[seen])
+            if m.order == 3:  # an unknown word two places before: the pair alone
+                rest = np.flatnonzero((v >= 0) & (u < 0))
+                pair[rest] = self._found(np.full(len(rest), -1), v[rest], ids[rest])[0]
+            total = facts[row, 0]
+            p = uni[back[:-1]]
+            p = np.where(total > 0, (np.maximum(pair - m.discounts[1][np.minimum(pair, 3)], 0) + mass[row] * p) / np.maximum(total, 1), p)
+            if m.order == 3:
+                held = np.maximum(tri[:, 1], 1)
+                p = np.where(tri[:, 1] > 0, (np.maximum(tri[:, 0] - m.discounts[2][np.minimum(tri[:, 0], 3)], 0) + (tri[:, 2:5] @ m.discounts[2][1:]) * p) / held, p)
         else:
             p = np.full(len(ids), 1 / (m.distinct + 1))
         at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        return np.column_stack([lengths, np.add.reduceat((count > 0).astype(float), at), np.add.reduceat(base, at), np.add.reduceat(np.log10(p), at)])
+        return np.column_stack([lengths, np.add.reduceat(known.astype(float), at), np.add.reduceat(base, at), np.add.reduceat(np.log10(p), at)])
 
 
 MADE = "n_tokens long, n_known long, base_score double, score double"
@@ -303,21 +502,22 @@ MADE = "n_tokens long, n_known long, base_score double, score double"
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) for each row of df; a null text is an empty one: its end alone is scored.
 
-    score is the log10 probability of the text: of every word given the word before it, the first given the start, and
-    of the end. Perplexity is 10 ** (-score / n_tokens). Unknown words get the uniform share of the unigram level.
+    score is the log10 probability of the text: of every word given those before it, the first given the start, and of
+    the end. Perplexity is 10 ** (-score / n_tokens). Unknown words get the uniform share of the unigram level.
     """
-    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("lm_text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = None
-        for pdf in batches:
-            scorer = scorer or Scorer(model)
-            got = [scorer(lengths, h) for lengths, h in _gathered(pdf["text"], GATHER // 4)]
-            made = pd.DataFrame(np.concatenate(got) if got else np.empty((0, 4)), columns=["n_tokens", "n_known", "base_score", "score"])
-            made.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield made.astype({"n_tokens": "int64", "n_known": "int64"})
+    def make():
+        scorer = Scorer(model)
+
+        def step(texts: list) -> list[list]:
+            got = [scorer(lengths, h) for lengths, h in _gathered(texts, GATHER // 4)]
+            made = np.concatenate(got) if got else np.empty((0, 4))
+            return [made[:, 0].astype(np.int64), made[:, 1].astype(np.int64), made[:, 2], made[:, 3]]
+
+        return step
 
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {MADE}")
+    return with_columns(rows, "lm_text", make, MADE).drop("lm_text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

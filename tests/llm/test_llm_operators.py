@@ -310,31 +310,57 @@ def test_pii_counts_documents(spark):
 # ---- 6 ----------------------------------------------------------------------------------------------------------------
 
 
-def test_kneser_ney(spark):
-    rows = [(1, "a b a b c"), (2, "A b c d"), (3, "a b"), (4, None), (5, "e f a b"), (6, "a b c")]
-    model = ngram.fit(spark.createDataFrame(rows, TEXT))
-    toks = [words(t) + ["</s>"] for _, t in rows]
-    c, bi = Counter(w for t in toks for w in t), Counter(p for t in toks for p in zip(["<s>"] + t, t, strict=False))
-    assert (model.tokens, model.distinct, model.kinds) == (sum(c.values()), len(c), len(bi))
-    cont, low, high, k = Counter(b for _, b in bi), model.lower, model.discounts, len(bi)
-    uni = lambda w: (max(cont[w] - low[min(cont[w], 3)], 0) if w in cont else 0) / k + model.spare / (len(c) + 1)
-
-    def p(h, w):
-        n = sum(v for (a, _), v in bi.items() if a == h)
-        if not n:
-            return uni(w)
-        gamma = sum(high[min(v, 3)] for (a, _), v in bi.items() if a == h) / n
-        return max(bi[h, w] - high[min(bi[h, w], 3)], 0) / n + gamma * uni(w)
-
-    assert abs(sum(uni(w) for w in c) + uni("?") - 1) < 1e-9 and abs(sum(p("a", w) for w in c) + p("a", "?") - 1) < 1e-9
-    new = rows + [(7, "zz a zz"), (8, "b " * 5000)]
+def kneser_ney(texts, order):
+    """Interpolated modified Kneser-Ney by its definition, over dictionaries: log10 of each token's probability in a text."""
+    toks = [words(t) + ["</s>"] for t in texts]
+    level = {order: Counter(g for t in toks for p in [["<s>"] * (order - 1) + t] for g in zip(*[p[k:] for k in range(order)], strict=False))}
+    for n in range(order - 1, 0, -1):
+        level[n] = Counter(g[1:] for g in level[n + 1])
+    level[1] = Counter({g: c for g, c in level[1].items() if g != ("<s>",)})
+    distinct = len({w for t in toks for w in t})
+    discount = {n: ngram._discounts([sum(c == k for c in level[n].values()) for k in (1, 2, 3, 4)]) for n in level}
+
+    def p(history, w):
+        n = len(history) + 1
+        lower = p(history[1:], w) if n > 1 else 1 / (distinct + 1)
+        begun = [c for g, c in level[n].items() if g[:-1] == history]
+        if not begun:
+            return lower
+        c, d = level[n][(*history, w)], discount[n]
+        return (max(c - d[min(c, 3)], 0) + sum(d[min(x, 3)] for x in begun) * lower) / sum(begun)
+
+    def score(text):
+        t = ["<s>"] * (order - 1) + words(text) + ["</s>"]
+        return [math.log10(p(tuple(t[k - order + 1 : k]), t[k])) for k in range(order - 1, len(t))]
+
+    return score, p, distinct, Counter(w for t in toks for w in t)
+
+
+@pytest.mark.parametrize("order, least", [(3, 1000), (3, 0), (2, 1000), (2, 2)])
+def test_kneser_ney(spark, monkeypatch, order, least):
+    """least: how often a word must come to be dealt as a frequent one."""
+    monkeypatch.setattr(ngram, "HOT_LEAST", least)
+    monkeypatch.setattr(ngram, "GATHER", 40)
+    rng = np.random.default_rng(7)
+    rows = [(1, "a b a b c"), (2, "A b c d"), (3, "a b"), (4, None), (5, "e f a b"), (6, "a b c")] + [(10 + i, " ".join(rng.choice(list("abcdefgh"), 12, p=[0.3, 0.2, 0.15, 0.1, 0.1, 0.05, 0.05, 0.05]))) for i in range(12)]
+    model = ngram.fit(spark.createDataFrame(rows, TEXT).repartition(3), order=order)
+    plain, p, distinct, c = kneser_ney([t for _, t in rows], order)
+    assert (model.order, model.tokens, model.distinct) == (order, sum(c.values()), len(c)) and (least < 1000) == (len(model.hot) > 1)
+    for history in [("a", "b"), ("<s>", "<s>"), ("c", "zz"), ("zz", "a")]:
+        assert abs(sum(p(history[1 - order :], w) for w in [*c, "?"]) - 1) < 1e-9
+    new = rows + [(70, "zz a zz"), (80, "b " * 500), (81, "a zz b c zz zz a b"), (82, "h g f e d c b a")]
     for r in ngram.score(spark.createDataFrame(new, TEXT), model).collect():
         t = words(dict(new)[r["doc_id"]]) + ["</s>"]
-        assert abs(r["score"] - sum(math.log10(p(h, w)) for h, w in zip(["<s>"] + t, t, strict=False))) < 1e-6
+        assert abs(r["score"] - sum(plain(dict(new)[r["doc_id"]]))) < 1e-6
         assert abs(r["base_score"] - sum(math.log10((c[w] + 0.5) / (model.tokens + 0.5 * (model.distinct + 1))) for w in t)) < 1e-6
         assert (r["n_tokens"], r["n_known"]) == (len(t), sum(w in c for w in t))
 
 
+def test_counts_over_a_byte_stay_exact():
+    x = np.array([1, 254, 255, 3, 70_000, 2**33])
+    assert ngram._counts_at(ngram._small(x), np.array([5, 0, 2, 4, 1, 3])).tolist() == [2**33, 1, 255, 70_000, 254, 3]
+
+
 def test_language_model_of_nothing(spark):
     d = spark.createDataFrame([(1, "a b")], TEXT)
     model = ngram.fit(d.limit(0))
