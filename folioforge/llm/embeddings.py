@@ -38,14 +38,38 @@ class Books:
 
 
 def _borders(x: np.ndarray, book: np.ndarray) -> np.ndarray:
-    d = ((x[:, None, :] - book[None]) ** 2).sum(2) if len(x) * book.size < 4_000_000 else np.maximum((x**2).sum(1)[:, None] - 2 * x @ book.T + (book**2).sum(1), 0)
+    """By row and code, from the distances of the rows to the codes and of the codes to each other: no array is larger than rows by codes or codes by codes.
+
+    einsum sums each entry by itself, so a row has the same result in every batch.
+    """
+    norms = (book**2).sum(1)
+    d = np.maximum((x**2).sum(1)[:, None] - 2 * np.einsum("nd,kd->nk", x, book) + norms, 0)
     own = d.argmin(1)
-    apart = np.sqrt(np.maximum(((book[own][:, None, :] - book[None]) ** 2).sum(2), 1e-300))
-    out = np.square(np.maximum(d - d[np.arange(len(x)), own][:, None], 0) / (2 * apart))
+    pair = np.sqrt(np.maximum(norms[:, None] - 2 * np.einsum("jd,kd->jk", book, book) + norms, 1e-300))
+    out = np.square((d - d[np.arange(len(x)), own][:, None]) / (2 * pair[own]))
     out[np.arange(len(x)), own] = 0
     return out
 
 
+def _visits(a: np.ndarray, b: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, codes of one half and codes of the other whose border distances add up to no more than the bound.
+
+    Multi-sequence traversal: codes of either half in the order of their distances; each row goes through those of the
+    first half as long as they are within the bound, and through those of the second that the rest allows.
+    """
+    p, q = np.argsort(a, 1, kind="stable"), np.argsort(b, 1, kind="stable")
+    a, b = np.take_along_axis(a, p, 1), np.take_along_axis(b, q, 1)
+    b = b[:, : int((b <= bound).sum(1).max(initial=0))]
+    out, live = [], np.arange(len(a))
+    for i in range(a.shape[1]):
+        live = live[a[live, i] <= bound]
+        if not len(live):
+            break
+        r, j = np.nonzero(a[live, i][:, None] + b[live] <= bound)
+        out.append((live[r], p[live[r], i], q[live[r], j]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
+
+
 def _codebook(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """k-means of a bounded sample; empty codes are dropped."""
     book = np.unique(x[rng.permutation(len(x))[:k]], axis=0)
@@ -108,13 +132,10 @@ def _cells(classes: DataFrame, books: Books) -> DataFrame:
                     one, two, bound = books.by_dim[dim]
                     for lo in range(0, n, 512):
                         a, b = books.near(_unit(rows["embedding"].iloc[lo : lo + 512]))
-                        # multi-sequence: codes of either half in the order of their borders, sums until the bound
-                        p, q = np.argsort(a, 1), np.argsort(b, 1)
-                        sums = np.take_along_axis(a, p, 1)[:, :, None] + np.take_along_axis(b, q, 1)[:, None, :]
-                        r, i, j = np.nonzero(sums <= bound)
+                        r, i, j = _visits(a, b, bound)
                         home = a.argmin(1) * len(two) + b.argmin(1)
                         parts.append((np.arange(len(a)) + lo, home, np.zeros(len(a), int)))
-                        parts.append((r + lo, p[r, i] * len(two) + q[r, j], np.ones(len(r), int)))
+                        parts.append((r + lo, i * len(two) + j, np.ones(len(r), int)))
                     at, cell, role = (np.concatenate(x) for x in zip(*parts, strict=True))
                 yield pd.DataFrame({"cls": ids[at], "label": rows["label"].to_numpy()[at], "dim": dim, "cell": cell, "role": role, "k": rows["k"].to_numpy()[at], "embedding": rows["embedding"].to_numpy()[at]})
 

@@ -487,6 +487,35 @@ def test_embeddings(spark):
     assert all(got[d] == [(0, d, True)] for d in (902, 903, 904, 905, 906, 907)) and got[908] == [(1, 908, True)]
 
 
+def test_multi_index_of_many_cells(spark, monkeypatch):
+    """Grids of 8 x 8 cells and more: recall against brute force, no link below the threshold, blocks of split cells."""
+    monkeypatch.setattr(embeddings, "PER_CELL", 4)
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    fitted = []
+    monkeypatch.setattr(embeddings, "_fit", lambda c, fit=embeddings._fit: fitted.append(fit(c)) or fitted[-1])
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((700, 32))
+    x = np.concatenate([base, base[:300] + 0.1 * rng.standard_normal((300, 32)), base[:200] + 0.17 * rng.standard_normal((200, 32)), base[:40]])
+    rows = [(i, [float(v) for v in e], 1) for i, e in enumerate(x)]
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)).collect()}
+    assert min(len(b) for b in fitted[0].by_dim[32][:2]) >= 8
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.98).sum(1) - 1
+    assert links.sum() > 500 and all(got[i] <= n for i, n in enumerate(links)) and sum(got.values()) >= 0.97 * links.sum()
+
+
+def test_visits_are_all_sums_within_the_bound():
+    rng = np.random.default_rng(1)
+    a, b = rng.random((50, 9)), rng.random((50, 7))
+    got = set(zip(*(x.tolist() for x in embeddings._visits(a, b, 0.4)), strict=True))
+    assert got == {(r, i, j) for r in range(50) for i in range(9) for j in range(7) if a[r, i] + b[r, j] <= 0.4}
+    x, book = rng.standard_normal((30, 6)), rng.standard_normal((5, 6))
+    d = ((x[:, None] - book[None]) ** 2).sum(2)
+    own = d.argmin(1)
+    want = ((d - d[np.arange(30), own][:, None]) / (2 * np.maximum(np.sqrt(((book[own][:, None] - book[None]) ** 2).sum(2)), 1e-150))) ** 2
+    assert np.allclose(embeddings._borders(x, book), want)
+
+
 # ---- 9 ----------------------------------------------------------------------------------------------------------------
 
 
