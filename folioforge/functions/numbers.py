@@ -68,24 +68,30 @@ SILENT_WORDS = ("đồng", "chẵn", "chẳn")
 
 
 def vn_words_to_number(text: Column) -> Column:
-    """Number words as a number, by one fold over the words: the open group, its open digit, and the total. Null for a word that is none."""
+    """Number words as a number, by one fold over the words: the open group, its open digit (-1 for none), and the total.
+
+    Null for a word that is none, for two digits in a row, for a digit before "mười" or "linh", for no digit before
+    "trăm" or "mươi", and for a scale without a number before it.
+    """
     words = F.filter(F.split(F.lower(F.trim(text)), r"[\s,]+"), lambda w: (w != "") & ~w.isin(*SILENT_WORDS))
     digit = F.create_map(*[F.lit(x) for k, v in DIGIT_WORDS.items() for x in (k, v)])
     scale = F.create_map(*[F.lit(x) for k, v in SCALE_WORDS.items() for x in (k, v)])
     state = lambda total, group, open_, ok: F.struct(total.cast("decimal(38,0)").alias("total"), group.cast("long").alias("group"), open_.cast("long").alias("open"), ok.alias("ok"))
 
     def step(s: Column, w: Column) -> Column:
+        none, has = F.lit(-1), s["open"] >= 0
+        now = s["group"] + F.greatest(s["open"], F.lit(0))
         return (
-            F.when(scale[w].isNotNull(), state(s["total"] + (s["group"] + s["open"]) * scale[w], F.lit(0), F.lit(0), s["ok"]))
-            .when(w == "trăm", state(s["total"], s["group"] + s["open"] * 100, F.lit(0), s["ok"]))
-            .when(w == "mươi", state(s["total"], s["group"] + s["open"] * 10, F.lit(0), s["ok"]))
-            .when(w == "mười", state(s["total"], s["group"] + 10, F.lit(0), s["ok"]))
-            .when(w.isin("linh", "lẻ"), state(s["total"], s["group"], F.lit(0), s["ok"]))
-            .when(digit[w].isNotNull(), state(s["total"], s["group"], digit[w], s["ok"] & (s["open"] == 0)))
+            F.when(scale[w].isNotNull(), state(s["total"] + now * scale[w], F.lit(0), none, s["ok"] & (has | (s["group"] > 0))))
+            .when(w == "trăm", state(s["total"], s["group"] + s["open"] * 100, none, s["ok"] & has))
+            .when(w == "mươi", state(s["total"], s["group"] + s["open"] * 10, none, s["ok"] & has))
+            .when(w == "mười", state(s["total"], s["group"] + 10, none, s["ok"] & ~has))
+            .when(w.isin("linh", "lẻ"), state(s["total"], s["group"], none, s["ok"] & ~has))
+            .when(digit[w].isNotNull(), state(s["total"], s["group"], digit[w], s["ok"] & ~has))
             .otherwise(state(s["total"], s["group"], s["open"], F.lit(False)))
         )
 
-    end = F.aggregate(words, state(F.lit(0), F.lit(0), F.lit(0), F.lit(True)), step, lambda s: F.when(s["ok"], s["total"] + s["group"] + s["open"]))
+    end = F.aggregate(words, state(F.lit(0), F.lit(0), F.lit(-1), F.lit(True)), step, lambda s: F.when(s["ok"], s["total"] + s["group"] + F.greatest(s["open"], F.lit(0))))
     return F.when(F.size(words) > 0, end)
 
 

@@ -114,6 +114,14 @@ def two_source_pairs(facts: DataFrame, items: Sequence[str] = ("item_key",), ord
     return cross.unionByName(first_two(body)).unionByName(annexes)
 
 
+def pairing_coverage(facts: DataFrame, items: Sequence[str] = ("item_key",), most: int = MAX_PAIRS_PER_ITEM) -> DataFrame:
+    """(items, n_pairs, missing): items of which `two_source_pairs` leaves annex pairs out, told as PAIRING_COVERAGE_CAPPED."""
+    value = F.coalesce("normalized_value", "raw_value")
+    annex = facts.where("source_role = 'annex'").select(*items, F.coalesce("validity", F.lit("PL")).alias("_pl"), value.alias("_v")).distinct()
+    n = annex.groupBy(*items).agg(F.count("*").alias("n_pairs")).where(F.col("n_pairs") > most)
+    return n.join(facts.where("source_role <> 'annex'").select(*items).distinct(), list(items), "left_semi").withColumn("missing", F.lit("PAIRING_COVERAGE_CAPPED"))
+
+
 def missing_relations(pairs: DataFrame, relations: DataFrame, items: Sequence[str], left: str, right: str, order: str) -> DataFrame:
     """The first pair of each item whose nodes no relation joins, in either direction."""
     known = relations.select(pair_key(F.col("node_a"), F.col("node_b")).alias("_k")).distinct()
@@ -396,6 +404,25 @@ def group_hits(hits: DataFrame, keys: Sequence[str], raw: str, node: str, order:
     return hits.withColumn("canonical", F.coalesce(digits, F.nullif(F.trim(raw), F.lit("")), F.col(node).cast("string"))).groupBy(*keys, "canonical").agg(F.min(order).alias("first_seen"), F.array_sort(F.collect_list(F.struct(order, node))).alias("evidence"))
 
 
+def identity_answers(entities: DataFrame, hits: DataFrame, keys: Sequence[str], raw: str, node: str, order: str) -> DataFrame:
+    """(keys, n, state, values): for each entity its distinct identities by their digits, and the state that their number gives."""
+    n = group_hits(hits, keys, raw, node, order).groupBy(*keys).agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("first_seen", "canonical"))), lambda x: x["canonical"]).alias("values"))
+    return entities.select(*keys).distinct().join(n, list(keys), "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("values", F.coalesce("values", F.array().cast("array<string>"))).withColumn("state", identity_state(F.col("n")))
+
+
+def article_key(part: Column, dieu_nearest: Column) -> Column:
+    """What nodes of one article share: a whole annex, or a part's article; null, never grouped, without either."""
+    key = lambda a, b: F.struct(a.alias("part"), b.alias("dieu"))
+    return F.when(part.startswith("annex:"), key(part, F.lit(""))).when(part.isNotNull() & dieu_nearest.isNotNull(), key(part, dieu_nearest))
+
+
+def mapped_fields(raw: DataFrame, aliases: DataFrame, scope: Sequence[str], raw_key: str = "raw_key") -> DataFrame:
+    """raw with field and review_state: the field whose alias, folded, is the raw key in this scope; the first field in the profile's order (ord). aliases: scope, field, alias, ord."""
+    known = aliases.select(*scope, "field", "ord", fold(F.col("alias")).alias("_k")).groupBy(*scope, "_k").agg(F.min_by("field", F.struct("ord", "field")).alias("field"))
+    got = raw.withColumn("_k", fold(F.col(raw_key))).join(known, [*scope, "_k"], "left").drop("_k")
+    return got.withColumn("review_state", F.when(F.col("field").isNull(), "NEEDS_REVIEW").otherwise("PASS"))
+
+
 def identity_state(n: Column) -> Column:
     """No identity: no evidence; one: answered; more: to be reviewed."""
     return F.when(n == 0, "INSUFFICIENT_EVIDENCE").when(n == 1, "ANSWERED").otherwise("NEEDS_REVIEW")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections import deque
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def once(events: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -25,25 +29,48 @@ def dead_letters(records: DataFrame, bad: Column, value: str, longest: int = 655
     return records.where(bad).withColumn("value_sha256", F.sha2(F.col(value).cast("binary"), 256)).withColumn("value_pointer", F.when(long_, F.concat(F.lit("sha256:"), F.col("value_sha256")))).withColumn(value, F.when(~long_, F.col(value)))
 
 
-def classify_deliveries(events: DataFrame, keys: Sequence[str], arrival: str, sequence: str) -> DataFrame:
-    """events with delivery: ACCEPTED for the next number, DUPLICATE for the last accepted, GAP beyond the next, OUT_OF_ORDER below or for no number.
+def _folded(df: DataFrame, keys: Sequence[str], order: Sequence[str], reads: Sequence[str], out: str, kind: T.DataType, begin: Callable[[], Callable]) -> DataFrame:
+    """df with a column folded over each key's rows in order: begin() gives a key's step, a function from the columns read to the new value.
 
-    The last accepted number moves on ACCEPTED alone: it is the count of accepted events, found by one fold over each
-    run in arrival order.
+    Rows are dealt and sorted by Spark and streamed, so a task keeps one key's state and no group. Ties of the order go
+    by all other columns. Other columns stay the Arrow columns that they are.
     """
-    row = F.struct(F.col(arrival).alias("_a"), *[c for c in events.columns if c not in keys])
-    names = [c for c in events.columns if c not in keys]
-    got = events.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    state = "struct<last:bigint,out:array<string>>"
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    placed = df.repartition(*keys).sortWithinPartitions(*keys, *order, *rest)
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, step = None, None
+        for b in batches:
+            get = lambda cs, b=b: list(zip(*(b.column(names.index(c)).to_pylist() for c in cs), strict=True))
+            made = []
+            for key, row in zip(get(keys), get(reads), strict=True):
+                if step is None or key != now:
+                    now, step = key, begin()
+                made.append(step(*row))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, to_arrow_type(kind))], names=[*names, out])
+
+    return placed.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, kind)]))
+
+
+def classify_deliveries(events: DataFrame, keys: Sequence[str], arrival: str, sequence: str) -> DataFrame:
+    """events with delivery: ACCEPTED for the next number, DUPLICATE for the last accepted, GAP beyond the next, OUT_OF_ORDER below or for no number. The last accepted number moves on ACCEPTED alone."""
+
+    def begin() -> Callable:
+        last = 0
+
+        def step(n: int | None) -> str:
+            nonlocal last
+            if n is None or n <= 0:
+                return "OUT_OF_ORDER"
+            if n == last + 1:
+                last = n
+                return "ACCEPTED"
+            return "DUPLICATE" if n == last else "GAP" if n > last else "OUT_OF_ORDER"
 
-    def step(acc: Column, r: Column) -> Column:
-        n = r[sequence].cast("long")
-        kind = F.when(n.isNull() | (n <= 0), "OUT_OF_ORDER").when(n == acc["last"] + 1, "ACCEPTED").when(n == acc["last"], "DUPLICATE").when(n > acc["last"], "GAP").otherwise("OUT_OF_ORDER")
-        return F.struct(F.when(kind == "ACCEPTED", n).otherwise(acc["last"]).alias("last"), F.concat(acc["out"], F.array(kind)).alias("out"))
+        return step
 
-    folded = F.aggregate("_rows", F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<string>").alias("out")).cast(state), step, lambda acc: acc["out"])
-    zipped = got.select(*keys, F.explode(F.arrays_zip("_rows", folded.alias("delivery"))).alias("_z"))
-    return zipped.select(*keys, *[F.col(f"_z._rows.{c}").alias(c) for c in names], F.col("_z.delivery").alias("delivery"))
+    return _folded(events, keys, [arrival], [sequence], "delivery", T.StringType(), begin)
 
 
 def sequence_gaps(events: DataFrame, keys: Sequence[str], sequence: str) -> DataFrame:
@@ -113,25 +140,26 @@ def submit_once(known: DataFrame, records: DataFrame, key: str, digest: str) ->
     return fresh, conflicts
 
 
-def sliding_limit(hits: DataFrame, key: str, ts: str, limit: int, seconds: int) -> DataFrame:
-    """hits with allowed: fewer than `limit` allowed hits of the key in the span before; a refused hit leaves no trace. One key's hits are folded in order, in batches of one task's group."""
-    from pyspark.sql import types as T
+def sliding_limit(hits: DataFrame, key: str, ts: str, limit: int, seconds: int, tie: Sequence[str] = ()) -> DataFrame:
+    """hits with allowed: fewer than `limit` allowed hits of the key in the span before; a refused hit leaves no trace. Equal times go by `tie`, then by all other columns; a hit without a time gets null."""
 
-    schema = T.StructType([*hits.schema.fields, T.StructField("allowed", T.BooleanType())])
+    def begin() -> Callable:
+        kept: deque = deque()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts, kind="stable")
-        kept: list[float] = []
-        out = []
-        for t in pdf[ts].astype("int64") / 1e9 if str(pdf[ts].dtype).startswith("datetime") else pdf[ts]:
-            kept = [x for x in kept if x > t - seconds]
+        def step(t) -> bool | None:
+            if t is None:
+                return None
+            at = t.timestamp() if hasattr(t, "timestamp") else t
+            while kept and kept[0] <= at - seconds:
+                kept.popleft()
             ok = len(kept) < limit
             if ok:
-                kept.append(t)
-            out.append(ok)
-        return pdf.assign(allowed=out)
+                kept.append(at)
+            return ok
+
+        return step
 
-    return hits.groupBy(key).applyInPandas(run, schema)
+    return _folded(hits, [key], [ts, *tie], [ts], "allowed", T.BooleanType(), begin)
 
 
 def progress_events(events: DataFrame, keys: Sequence[str], ts: str, done: str, total: str, seconds: float = 1.0) -> DataFrame:

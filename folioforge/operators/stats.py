@@ -311,6 +311,54 @@ def citations_complete(records: DataFrame, keys: Sequence[str], fields: Sequence
     return records.groupBy(*keys).agg(F.when(F.bool_and(full), "PASS").otherwise("FAIL").alias("state"))
 
 
+# The field outcomes that close a release, by rule number.
+RELEASE_RULES = (
+    (0, ("state",), ("MISS", "MISMATCH"), "malformed_snapshot"),
+    (1, ("citations", "citation"), ("MISS", "MISMATCH", "EXTRA"), None),
+    (2, ("state", "review_state"), ("MISS", "MISMATCH"), None),
+    (3, ("no_legal_winner", "no_winner", "prompt_not_authority"), ("MISS", "MISMATCH"), None),
+    (4, ("no_unsupported_conversion",), ("MISS", "MISMATCH"), None),
+    (5, ("no_leakage",), ("MISS", "MISMATCH"), None),
+    (6, ("relations", "relation_edges"), ("MISS", "MISMATCH", "EXTRA"), None),
+    (6, ("two_sided_evidence",), ("MISS", "MISMATCH"), None),
+    (7, ("blocked",), ("MISMATCH",), None),
+)
+
+
+def release_failures(outcomes: DataFrame, errors: DataFrame, case: str = "case", field: str = "field", status: str = "status") -> DataFrame:
+    """(case, rule_index, field): every outcome that a rule forbids; a case with an error fails rule 0 and is judged no further. No rows: the gates are passed."""
+    failed = errors.select(case).distinct()
+    rows = outcomes.join(failed, case, "left_anti")
+    hits = [F.when(F.col(field).isin(*names) & F.col(status).isin(*bad) & (F.col(case) == only if only else F.lit(True)), F.lit(rule)) for rule, names, bad, only in RELEASE_RULES]
+    got = rows.select(case, F.explode(F.array_compact(F.array(*hits))).alias("rule_index"), field)
+    return got.unionByName(failed.select(case, F.lit(0).alias("rule_index"), F.lit(None).cast("string").alias(field)))
+
+
+def line_text_confidence(verified: Column, arbitrated: Column, review: Column, readers: dict[str, float], doubts: dict[str, float], unknown: float = 0.5) -> Column:
+    """The readers' confidence (keys arbitrated, verified, single), or the least of the line's doubts if that is less; an unknown doubt counts `unknown`."""
+    base = F.when(arbitrated, readers["arbitrated"]).when(verified, readers["verified"]).otherwise(readers["single"])
+    known = F.create_map(*[F.lit(x) for kv in doubts.items() for x in kv])
+    return F.least(base, F.array_min(F.transform(review, lambda r: F.coalesce(known[r], F.lit(unknown)))))
+
+
+def disputed_spans(pairs: DataFrame, first: str, second: str, out: str = "disputes") -> DataFrame:
+    """pairs with an array of (start, end, first, second): the spans where two readings, arrays of words, name different words; accents don't count. Each pair of lines is aligned in its worker."""
+    from difflib import SequenceMatcher
+
+    from pyspark.sql import types as T
+
+    kind = T._parse_datatype_string("array<struct<start:int,end:int,first:array<string>,second:array<string>>>")
+
+    def one(a: list, b: list, fa: list, fb: list) -> list:
+        return [(i, j, a[i:j], b[k:m]) for tag, i, j, k, m in SequenceMatcher(None, fa, fb, autojunk=False).get_opcodes() if tag != "equal"]
+
+    from folioforge.functions.text import fold
+
+    folded = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), fold)
+    align = F.udf(lambda a, b, fa, fb: one(a or [], b or [], fa, fb), kind, useArrow=True)
+    return pairs.withColumn(out, align(first, second, folded(F.col(first)), folded(F.col(second))))
+
+
 def quality_gate(n: Column, k: Column, least: int, floor: float) -> Column:
     """Closed unless there are enough cases and the Wilson bound reaches the floor."""
     return F.when(n < least, "UNDERPOWERED").when(wilson(k, n)["low"] >= floor, "OPEN").otherwise("CLOSED")
