@@ -50,12 +50,6 @@ def orders_visible(spark: SparkSession, sf: str) -> DataFrame:
     return R.without(read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), gone, ["o_custkey"])
 
 
-@query("SELECT user_id, arg_max(event_id, ts) event_id, arg_max(event_type, ts) event_type, max(ts) ts, count(*) n_actions FROM events GROUP BY user_id")
-def last_action_with_count(spark: SparkSession, sf: str) -> DataFrame:
-    e = read(spark, sf, "events").select("user_id", "event_id", "event_type", "ts")
-    return e.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type", "ts"), F.struct("ts", "event_id")).alias("r"), F.count("*").alias("n_actions")).select("user_id", "r.*", "n_actions")
-
-
 @query("SELECT event_id, ts, user_id, event_type FROM events WHERE event_id > 1000 ORDER BY event_id LIMIT 100")
 def events_keyset_page(spark: SparkSession, sf: str) -> DataFrame:
     return R.keyset_page(read(spark, sf, "events").select("event_id", "ts", "user_id", "event_type"), "event_id", 1000, 100)
@@ -94,25 +88,6 @@ def lateral_largest_order(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "customer").select("c_custkey").join(best, F.col("c_custkey") == F.col("o_custkey"), "left").drop("o_custkey")
 
 
-@query(
-    "WITH a AS (SELECT o_custkey, max(o_orderdate) last_at, count(*) n FROM orders GROUP BY 1) SELECT c_custkey, c_acctbal, coalesce(n, 0)::BIGINT AS version, last_at FROM customer LEFT JOIN a ON o_custkey = c_custkey"
-)
-def effective_versions(spark: SparkSession, sf: str) -> DataFrame:
-    """Facts with the count and time of their reviews, 0 where there are none."""
-    a = read(spark, sf, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("last_at"), F.count("*").alias("n"))
-    return read(spark, sf, "customer").select("c_custkey", "c_acctbal").join(a, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "c_acctbal", F.coalesce("n", F.lit(0)).cast("long").alias("version"), "last_at")
-
-
-@query(
-    "WITH m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, role ORDER BY text) rn FROM conversations) WHERE rn = 1) SELECT conv_id, bool_or(length(text) > 200) AS withheld, CASE WHEN bool_or(length(text) > 200) THEN NULL ELSE min(CASE WHEN role = 'assistant' THEN text END) END AS answer FROM m GROUP BY conv_id"
-)
-def answers_withheld(spark: SparkSession, sf: str) -> DataFrame:
-    """A conversation's answer is withheld if any of its parts is beyond the limit."""
-    m = R.latest_per_group(read(spark, sf, "conversations"), ["conv_id", "turn", "role"], ["text"])
-    held = F.bool_or(F.char_length("text") > 200)
-    return m.groupBy("conv_id").agg(held.alias("withheld"), F.when(~held, F.min(F.when(F.col("role") == "assistant", F.col("text")))).alias("answer"))
-
-
 @query(
     "WITH p AS (SELECT l_orderkey, sum(l_linenumber)::BIGINT pages FROM lineitem GROUP BY 1) SELECT o_orderkey, o_orderdate FROM orders LEFT JOIN p ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' AND epoch(TIMESTAMP '1998-09-01') - epoch(o_orderdate) > 86400 * 30 + 86400 * coalesce(pages, 0)"
 )
@@ -151,18 +126,6 @@ def readable_dossiers(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("c_custkey", ok.alias("readable"))
 
 
-@query(
-    "WITH e AS (SELECT user_id, event_id, ts, event_type FROM events), l AS (SELECT user_id, event_type, arg_max(event_id, ts) last_id FROM e GROUP BY 1, 2), f AS (SELECT user_id, arg_min(event_type, ts) first_type FROM e GROUP BY 1) "
-    "SELECT l.user_id, l.event_type AS stage, last_id, CASE WHEN event_type = first_type AND event_type = 'click' THEN 'INCOMPLETE_UNKNOWN' ELSE event_type END AS status FROM l JOIN f USING (user_id)"
-)
-def processing_trace(spark: SparkSession, sf: str) -> DataFrame:
-    e = read(spark, sf, "events").select("user_id", "event_id", "ts", "event_type")
-    last = e.groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last_id"))
-    first = e.groupBy("user_id").agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("first_type"))
-    state = F.when((F.col("event_type") == F.col("first_type")) & (F.col("event_type") == "click"), "INCOMPLETE_UNKNOWN").otherwise(F.col("event_type"))
-    return last.join(first, "user_id").select("user_id", F.col("event_type").alias("stage"), "last_id", state.alias("status"))
-
-
 @query("SELECT conv_id, bool_and(turn = rn - 1) AS ok FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) rn FROM conversations) GROUP BY 1")
 def conversation_ordering(spark: SparkSession, sf: str) -> DataFrame:
     c = read(spark, sf, "conversations").select("conv_id", (F.col("turn") + 1).alias("n"), F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")).alias("arrival"))
@@ -194,11 +157,6 @@ def idempotent_insert(spark: SparkSession, sf: str) -> DataFrame:
     return fresh.withColumn("is_new", F.lit(True))
 
 
-@query("SELECT o_custkey, count(*) n_orders, count(DISTINCT o_orderpriority) n_priorities FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1")
-def legal_identities(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n_orders"), F.count_distinct("o_orderpriority").alias("n_priorities")).where("n_priorities > 1")
-
-
 @query(None)
 def sequence_deliveries(spark: SparkSession, sf: str) -> DataFrame:
     """Each event against the highest accepted number of its user: a fold, which SQL has no word for."""
@@ -209,4 +167,4 @@ def sequence_deliveries(spark: SparkSession, sf: str) -> DataFrame:
 @query(None)
 def sliding_limit(spark: SparkSession, sf: str) -> DataFrame:
     """At most 3 allowed hits of a user in an hour; refused hits leave no trace."""
-    return E.sliding_limit(read(spark, sf, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 3, 3600)
+    return E.sliding_limit(read(spark, sf, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 3, 3600, ["event_id"])

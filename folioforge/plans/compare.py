@@ -31,14 +31,6 @@ def banded_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return C.banded_pairs(read(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], "o_orderdate", "o_orderkey")
 
 
-@query("SELECT min(doc_id) OVER (PARTITION BY text) AS node_a, doc_id AS node_b FROM documents QUALIFY node_a <> node_b")
-def verbatim_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Copies with their first: exact texts here, as the star schema's texts have no numbering to strip."""
-    from folioforge.operators.documents import exact_duplicates
-
-    return exact_duplicates(read(spark, sf, "documents").select("doc_id", "text"), "doc_id", F.col("text")).select(F.col("duplicate_of").alias("node_a"), F.col("doc_id").alias("node_b"))
-
-
 @query("WITH s AS (SELECT o_custkey, min(o_orderpriority) v FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) = 1) SELECT a.o_custkey % 10 AS g, a.o_custkey AS unit_a, b.o_custkey AS unit_b, a.v AS value_a, b.v AS value_b FROM s a JOIN s b ON a.o_custkey % 10 = b.o_custkey % 10 AND a.o_custkey < b.o_custkey AND a.v <> b.v")
 def identity_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     o = read(spark, sf, "orders").select((F.col("o_custkey") % 10).alias("g"), "o_custkey", "o_orderpriority")
@@ -64,16 +56,17 @@ def identity_states(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) x, generate_subscripts(string_split(text, chr(10)), 1) n FROM documents), o AS (SELECT *, (sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY n) - 1)::BIGINT e FROM l) SELECT doc_id AS citation_id, trim(substr(text, 21, 300), chr(10)) AS span_text FROM documents WHERE doc_id % 50 = 0 AND length(text) > 20"
+    "WITH c AS (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 500)) s FROM documents), t AS (SELECT doc_id || ':' || s AS citation_id, trim(substr(text, s::BIGINT + 1, 500), chr(10)) AS span_text FROM c) SELECT * FROM t WHERE span_text <> ''"
 )
 def rebuilt_spans(spark: SparkSession, sf: str) -> DataFrame:
-    """The text from 20 to 320 of a stated set of documents, put together from their lines."""
+    """Every text of every document in citations of 500 characters, put together from its lines."""
     from folioforge.operators import documents as D
 
-    d = read(spark, sf, "documents")
+    d = read(spark, sf, "documents").select("doc_id", "text")
     rows = D.line_offsets(D.lines(d, ["doc_id"]), ["doc_id"])
-    cites = d.where("doc_id % 50 = 0 AND char_length(text) > 20").select("doc_id", F.col("doc_id").alias("citation_id"), F.lit(20).alias("span_start"), F.least(F.lit(320), F.char_length("text")).alias("span_end"))
-    return C.rebuild_span(rows, cites, "doc_id").withColumn("span_text", F.trim("span_text", F.lit("\n")))
+    start = F.explode(F.sequence(F.lit(0), F.greatest(F.char_length("text") - 1, F.lit(0)), F.lit(500)))
+    cites = d.withColumn("span_start", start).select("doc_id", F.concat_ws(":", "doc_id", "span_start").alias("citation_id"), "span_start", F.least(F.col("span_start") + 500, F.char_length("text")).alias("span_end"))
+    return C.rebuild_span(rows, cites, "doc_id").withColumn("span_text", F.trim("span_text", F.lit("\n"))).where("span_text <> ''")
 
 
 @query(None)

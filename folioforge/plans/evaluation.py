@@ -41,30 +41,6 @@ def p50_p90_amount(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.round(S.linear_quantile("l_extendedprice", 0.5), 6).alias("p50"), S.nearest_rank("l_extendedprice", 0.9).alias("p90"), F.round(F.median("l_quantity"), 6).alias("q50"))
 
 
-@query(
-    "SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(median(o_totalprice), 4) AS median, round(sum(o_totalprice) / count(DISTINCT o_custkey), 4) AS pooled FROM orders GROUP BY 1, 2"
-)
-def grouped_report(spark: SparkSession, sf: str) -> DataFrame:
-    o = read(spark, sf, "orders")
-    return o.groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"), F.round(F.median("o_totalprice"), 4).alias("median"), F.round(F.sum("o_totalprice") / F.count_distinct("o_custkey"), 4).alias("pooled"))
-
-
-@query(
-    "WITH g AS (SELECT l_orderkey o, l_partkey i, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) rn FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'R')), p AS (SELECT l_orderkey o, l_partkey i, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) rn FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'A')) SELECT g.o AS o, g.i AS gold_id, p.i AS pred_id FROM g JOIN p USING (o, rn)"
-)
-def greedy_match_rank(spark: SparkSession, sf: str) -> DataFrame:
-    """The k-th returned part of an order with its k-th accepted one."""
-    return _ranked(read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), "l_partkey", "l_returnflag").distinct())
-
-
-def _ranked(li: DataFrame) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    rank = F.row_number().over(W.partitionBy("o").orderBy("l_partkey"))
-    side = lambda f, name: li.where(F.col("l_returnflag") == f).withColumn("rn", rank).select("o", "rn", F.col("l_partkey").alias(name))
-    return side("R", "gold_id").join(side("A", "pred_id"), ["o", "rn"]).select("o", "gold_id", "pred_id")
-
-
 @query(
     "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('7:' || doc_id), doc_id) rn FROM documents) WHERE rn <= 5"
 )
@@ -75,12 +51,6 @@ def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
     return S.stratified_sample(d, quotas, "source", "doc_id").select("doc_id", "source")
 
 
-@query(f"SELECT lang, source, grouping(lang, source)::BIGINT AS level, count(*) AS n, count(*) FILTER (quality = 1)::BIGINT AS n_good {_JOINED} GROUP BY GROUPING SETS ((lang), (source), ())")
-def relation_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    d = _labelled(spark, sf)
-    return d.groupingSets([[F.col("lang")], [F.col("source")], []], F.col("lang"), F.col("source")).agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.count_if(F.expr("quality = 1")).alias("n_good")).select("lang", "source", "level", "n", "n_good")
-
-
 @query(
     "WITH d AS (SELECT doc_id, string_split(source, '')  s, string_split(lang, '') l FROM documents) SELECT doc_id, CASE WHEN len(list_distinct(s)) = 0 AND len(list_distinct(l)) = 0 THEN 1.0 ELSE round(len(list_intersect(list_distinct(s), list_distinct(l)))::DOUBLE / len(list_distinct(s)), 9) END AS precision FROM d"
 )
@@ -96,13 +66,6 @@ def character_error_rates(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, "n_regionkey").where("a < b").select("a", "b", F.round(S.char_error_rate(F.col("x"), F.col("y")), 9).alias("cer"))
 
 
-@query("SELECT event_type, user_id, 'NEW_FAILURE' AS kind FROM (SELECT DISTINCT event_type, user_id FROM events WHERE value > 90) WHERE (event_type, user_id) NOT IN (SELECT (event_type, user_id) FROM events WHERE event_id % 2 = 0)")
-def new_failures(spark: SparkSession, sf: str) -> DataFrame:
-    e = read(spark, sf, "events")
-    k = ["event_type", "user_id"]
-    return e.where("value > 90").select(*k).distinct().join(e.where("event_id % 2 = 0").select(*k).distinct(), k, "left_anti").withColumn("kind", F.lit("NEW_FAILURE"))
-
-
 @query(None)
 def cluster_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     """Intervals of the quality rate by language, sources drawn again 200 times: our own deterministic draw."""

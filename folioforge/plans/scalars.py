@@ -48,13 +48,6 @@ def number_readings(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("p_partkey", N.parse_amount(F.col("t")).cast("long").alias("amount"), N.money_decimal(F.col("t")).cast("long").alias("money"), N.parse_vn_number(F.col("t")).cast("double").alias("vn"))
 
 
-@query("SELECT doc_id, round(CASE WHEN length(text) = 0 THEN 0 ELSE length(regexp_replace(text, '[a-zA-Z0-9\\s.,;:!?()\\-/%\"''@]', '', 'g'))::DOUBLE / length(text) END, 9) AS odd_share FROM documents")
-def odd_character_share(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.char_length("text")
-    share = F.when(n == 0, 0.0).otherwise(F.char_length(F.regexp_replace("text", r"""[a-zA-Z0-9\s.,;:!?()\-/%"'@]""", "")) / n)
-    return read(spark, sf, "documents").select("doc_id", F.round(share, 9).alias("odd_share"))
-
-
 @query("SELECT doc_id, len(regexp_extract_all(text, '[0-9]{1,5}'))::BIGINT AS n_numbers, len(regexp_extract_all(text, '[0-9]{9,16}'))::BIGINT AS n_long FROM documents")
 def number_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit("[0-9]{1,5}")).cast("long").alias("n_numbers"), F.regexp_count("text", F.lit("[0-9]{9,16}")).cast("long").alias("n_long"))
@@ -77,3 +70,8 @@ def reading_issues(spark: SparkSession, sf: str) -> DataFrame:
 def critical_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Money, percent, date, contract and id tokens of each text, by patterns with lookaround."""
     return read(spark, sf, "documents").select("doc_id", N.critical_tokens(F.col("text")).alias("tokens"))
+
+
+@query(f"SELECT doc_id, round(CASE WHEN length(text) = 0 THEN 0 ELSE length(regexp_replace(text, '{T._ALLOWED.replace(chr(39), chr(39) * 2)}', '', 'g'))::DOUBLE / length(text) END, 9) AS odd_share FROM documents")
+def odd_character_share(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents").select("doc_id", F.round(T.garbage_char_ratio(F.col("text")), 9).alias("odd_share"))

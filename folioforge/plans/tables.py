@@ -7,26 +7,6 @@ from folioforge.operators import tables as T
 from folioforge.plans.catalog import query, read
 
 
-@query(
-    "WITH l AS (SELECT l_orderkey k, sum(l_extendedprice::DECIMAL(18,2)) s, count(*) FILTER (l_quantity::DECIMAL(18,2) * (l_extendedprice / l_quantity)::DECIMAL(18,2) <> l_extendedprice::DECIMAL(18,2)) w FROM lineitem GROUP BY 1) "
-    "SELECT k AS o_orderkey, s = o_totalprice::DECIMAL(18,2) AS sum_ok, w::BIGINT AS wrong_lines FROM l JOIN orders ON o_orderkey = k"
-)
-def boq_check(spark: SparkSession, sf: str) -> DataFrame:
-    d = lambda c: F.col(c).cast("decimal(18,2)")
-    li = read(spark, sf, "lineitem")
-    got = li.groupBy("l_orderkey").agg(F.sum(d("l_extendedprice")).alias("s"), F.count_if(d("l_quantity") * (F.col("l_extendedprice") / F.col("l_quantity")).cast("decimal(18,2)") != d("l_extendedprice")).alias("wrong_lines"))
-    o = read(spark, sf, "orders").select("o_orderkey", d("o_totalprice").alias("t"))
-    return got.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", (F.col("s") == F.col("t")).alias("sum_ok"), "wrong_lines")
-
-
-@query(
-    "SELECT l_orderkey, count(*) AS n, sum((l_tax * 100)::DECIMAL(9,2))::DOUBLE AS total, count(*) FILTER (l_tax <= 0)::BIGINT AS n_invalid, (sum((l_tax * 100)::DECIMAL(9,2)) = 100) AS is_full FROM lineitem GROUP BY 1"
-)
-def payment_schedules(spark: SparkSession, sf: str) -> DataFrame:
-    li = read(spark, sf, "lineitem").select("l_orderkey", (F.col("l_tax") * 100).cast("decimal(9,2)").alias("p"))
-    return li.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("p").cast("double").alias("total"), F.count_if(F.col("p") <= 0).alias("n_invalid"), (F.sum("p") == 100).alias("is_full"))
-
-
 @query(
     "WITH r AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_shipdate, CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END f FROM lineitem), d AS (SELECT DISTINCT * FROM r) SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_shipdate, coalesce(last_value(nullif(f, '') IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, f ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f) AS flag FROM d"
 )

@@ -74,9 +74,3 @@ def html_to_text(spark: SparkSession, sf: str) -> DataFrame:
 def numbering_gaps(spark: SparkSession, sf: str) -> DataFrame:
     d = read(spark, sf, "documents").select("source", (F.col("n_chars") % 40).alias("n"))
     return D.number_gaps(d, ["source"], "n").withColumn("missing", F.array_sort("missing"))
-
-
-@query(None)
-def clause_segments(spark: SparkSession, sf: str) -> DataFrame:
-    """Articles, clauses and points of every text, by windows; the automaton has no short SQL."""
-    return D.segment_clauses(D.lines(read(spark, sf, "documents"), ["doc_id"]))
