@@ -18,7 +18,8 @@ import zstandard
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm.common import local_path, shared_path
+from folioforge.llm.common import local_path
+from folioforge.sources.shared import shared_path
 
 ROW = "name string, data binary"
 #: Maps that a worker keeps open; each holds an open file.
@@ -57,6 +58,25 @@ def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return k[first], np.add.reduceat(c, first)
 
 
+def bundle(arrays: list[np.ndarray]) -> np.ndarray:
+    """Arrays of unsigned numbers as one: their item sizes and lengths, then each from a place divisible by 8."""
+    head = np.array([len(arrays), *[x for a in arrays for x in (a.itemsize, len(a))]], np.uint64).view(np.uint8)
+    parts = [head]
+    for a in arrays:
+        raw = np.ascontiguousarray(a).view(np.uint8)
+        parts += [raw, np.zeros(-len(raw) % 8, np.uint8)]
+    return np.concatenate(parts)
+
+
+def unbundled(raw: np.ndarray) -> list[np.ndarray]:
+    n = int(raw[:8].view(np.uint64)[0])
+    at, out = 8 + 16 * n, []
+    for size, length in raw[8:at].view(np.uint64).reshape(n, 2).astype(np.int64).tolist():
+        out.append(raw[at : at + size * length].view(f"u{size}"))
+        at += -(-size * length // 8) * 8
+    return out
+
+
 @dataclass(frozen=True)
 class Store:
     """Where a set of arrays is: a folder, and the shipped files if the folder can't be opened as one."""
@@ -83,7 +103,7 @@ class Store:
         """In a worker: the array, mapped into memory. The maps used last stay open."""
         key = (self.path, name)
         if key not in _open:
-            _open[key] = np.load(f"{self.folder or self._unpacked()}/{name}.npy", mmap_mode="r")
+            _open[key] = np.asarray(np.load(f"{self.folder or self._unpacked()}/{name}.npy", mmap_mode="r"))
             if len(_open) > OPEN_MAPS:
                 _open.popitem(last=False)
         _open.move_to_end(key)

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import urllib.parse
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,12 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from folioforge.sources import shared
 from folioforge.sources.shipping import ship
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-_own_dir: dict[str, str] = {}
 #: Rows of an Arrow batch: texts are large rows, of which Spark's 10,000 would fill a worker's memory.
 BATCH_ROWS = 1000
 
@@ -38,35 +35,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, the warehouse, or in local mode a temporary folder."""
-    sc = spark.sparkContext
-    if found := sc.getConf().get("spark.checkpoint.dir"):
-        return found.rstrip("/")
-    if sc.applicationId not in _own_dir:
-        local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
-        _own_dir[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="folioforge-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/folioforge-" + sc.applicationId
-    return _own_dir[sc.applicationId]
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut, and lost executors cost no recomputation."""
-    spark, path = prepared(df.sparkSession), shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more."""
-    for df in tables:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
-            path.getFileSystem(conf).delete(path, True)
+    prepared(df.sparkSession)
+    return shared.written(df, name)
 
 
 def fresh(df: DataFrame, name: str) -> str:

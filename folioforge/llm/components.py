@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import discard, written
+from folioforge.llm.common import written
+from folioforge.sources.shared import discard
 
 
 #: Links for each task: small sets of links are not dealt over more tasks than they need.

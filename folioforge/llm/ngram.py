@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.arrays import Store, filled, merge, pack, pack_sorted, store, unpack, unpack_sorted
+from folioforge.llm.arrays import Store, bundle, filled, merge, pack, pack_sorted, store, unbundled, unpack, unpack_sorted
 from folioforge.llm.common import crc_mod, mix64, prepared, table, with_columns, word_hashes
 
 #: Hashes that stand for the text's end and its start. No word has these but by a collision of 64 bits.
@@ -32,7 +32,7 @@ _LOW = np.uint64(0xFFFFFFFF)
 class Model:
     order: int
     words: Store  # per shard: hashes, counts
-    grams: Store  # per shard and per part of the frequent words: the arrays of _bundle
+    grams: Store  # per shard and per part of the frequent words: the arrays of a bundle
     starts: np.ndarray  # id of the first word of each word shard, and of the end
     hot: np.ndarray  # sorted ids of the words whose trigrams are dealt by their first two words
     hot_facts: np.ndarray  # for each of these what FACTS names
@@ -79,6 +79,10 @@ class _Lookup:
     def ids(self, h: np.ndarray) -> np.ndarray:
         """Ids of hashes, -1 for words that the training rows don't have."""
         u, back = np.unique(h, return_inverse=True)
+        return self.of_sorted(u)[back]
+
+    def of_sorted(self, u: np.ndarray) -> np.ndarray:
+        """Ids of sorted distinct hashes: ids rise with hashes."""
         out = np.full(len(u), -1, np.int64)
         ends = np.searchsorted(_word_shard(u, self.shards), np.arange(self.shards + 1))
         for s in range(self.shards):
@@ -88,7 +92,7 @@ class _Lookup:
                 at = np.searchsorted(known, u[lo:hi])
                 at[at == len(known)] = 0
                 out[lo:hi] = np.where(known[at] == u[lo:hi], at + self.starts[s], -1)
-        return out[back]
+        return out
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         """The counts of ids; 0 for -1."""
@@ -105,25 +109,6 @@ class _Lookup:
 # ---- arrays of a shard -----------------------------------------------------------------------------------------------
 
 
-def _bundle(arrays: list[np.ndarray]) -> np.ndarray:
-    """Unsigned arrays as one: their item sizes and lengths, then each from a place divisible by 8."""
-    head = np.array([len(arrays), *[x for a in arrays for x in (a.itemsize, len(a))]], np.uint64).view(np.uint8)
-    parts = [head]
-    for a in arrays:
-        raw = np.ascontiguousarray(a).view(np.uint8)
-        parts += [raw, np.zeros(-len(raw) % 8, np.uint8)]
-    return np.concatenate(parts)
-
-
-def _unbundled(raw: np.ndarray) -> list[np.ndarray]:
-    n = int(raw[:8].view(np.uint64)[0])
-    at, out = 8 + 16 * n, []
-    for size, length in raw[8:at].view(np.uint64).reshape(n, 2).astype(np.int64).tolist():
-        out.append(raw[at : at + size * length].view(f"u{size}"))
-        at += -(-size * length // 8) * 8
-    return out
-
-
 def _small(x: np.ndarray) -> list[np.ndarray]:
     """Counts as bytes; 255 stands for those that are listed with their places."""
     over = np.flatnonzero(x >= 255)
@@ -164,6 +149,26 @@ def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x.astype(np.int64), first) if len(first) else np.empty(0, np.int64)
 
 
+#: Bits for a word's number within a batch, so that three make one number.
+_CODE_BITS = 21
+
+
+def _counted(h: np.ndarray, lengths: list[int], find: "_Lookup") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct (v << 32 | u, w) of a batch of token hashes, and their counts. Ids rise with hashes, so numbers within the batch sort as ids do."""
+    u, code = np.unique(np.append(h, START), return_inverse=True)
+    ids = find.of_sorted(u).astype(np.uint64)
+    one, start = code[:-1], int(code[-1])
+    two = _before(one, lengths, start)
+    three = _before(two, lengths, start)
+    if len(u) >= 1 << _CODE_BITS:
+        return _trigrams([((ids[two] << np.uint64(32)) | ids[three], ids[one].astype(np.uint32), np.ones(len(one), np.int64))])
+    b, mask = np.uint64(_CODE_BITS), np.uint64((1 << _CODE_BITS) - 1)
+    x = np.sort((two.astype(np.uint64) << (b + b)) | (three.astype(np.uint64) << b) | one.astype(np.uint64))
+    first = _firsts(x)
+    c, x = np.diff(np.append(first, len(x))), x[first]
+    return (ids[x >> (b + b)] << np.uint64(32)) | ids[(x >> b) & mask], ids[x & mask].astype(np.uint32), c
+
+
 def _trigrams(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct (v << 32 | u, w) and the sums of their counts."""
     key, w, c = (np.concatenate(x) for x in zip(*runs, strict=True))
@@ -181,7 +186,7 @@ def _pairs(v: np.ndarray, w: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _pair_arrays(of: np.ndarray, v: np.ndarray, w: np.ndarray, x: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """The arrays of sorted pairs, with their ends for each word of `of`, and the sums and kinds of those words."""
+    """The arrays of sorted pairs: v's place in `of` and w as one number, and values; and the sums and kinds of those words."""
     ends = np.searchsorted(v, of, side="right")
     starts = np.searchsorted(v, of)
     total = np.concatenate([[0], np.cumsum(x)])
@@ -190,15 +195,25 @@ def _pair_arrays(of: np.ndarray, v: np.ndarray, w: np.ndarray, x: np.ndarray) ->
     for k, mask in enumerate((x == 1, x == 2, x >= 3), 1):
         sums = np.concatenate([[0], np.cumsum(mask)])
         facts[:, k] = sums[ends] - sums[starts]
-    return [np.concatenate([[0], ends]).astype(np.uint32), w.astype(np.uint32), *_small(x)], facts
+    return [_joined(np.repeat(np.arange(len(of)), ends - starts), w), *_small(x)], facts
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
+
+
+def _found_in(keys: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sorted keys, and whether the number is there."""
+    at = np.minimum(np.searchsorted(keys, sought), max(0, len(keys) - 1))
+    return at, keys[at] == sought if len(keys) else np.zeros(len(sought), bool)
 
 
 def _shard_arrays(key: np.ndarray, w: np.ndarray, c: np.ndarray, hot: np.ndarray, order: int):
     """The arrays of a shard's trigrams, the facts of its words, and the pairs of hot words, which other shards have too.
 
-    Arrays: words; ends of their contexts; ends of their pairs, pairs' second words, values (3); facts; first words of
-    contexts; places of contexts seen more than once; their starts, sums, kinds 1, kinds 2; the word after each context
-    seen once; the words after the others; their counts (3). For order 2 the arrays of contexts are empty.
+    Arrays: words; pairs (the first word's place and the second word), values (3); facts; contexts (the second word's
+    place and the first word); places of contexts seen more than once; their starts, sums, kinds 1, kinds 2; the word
+    after each context seen once; the words after the others; their counts (3). For order 2 those of contexts are empty.
     """
     v, u = (key >> np.uint64(32)).astype(np.int64), (key & _LOW).astype(np.int64)
     first = _firsts(key)
@@ -213,11 +228,12 @@ def _shard_arrays(key: np.ndarray, w: np.ndarray, c: np.ndarray, hot: np.ndarray
     big = total > 1
     of_big = np.repeat(big, size)
     starts = np.concatenate([[0], np.cumsum(size[big])])
-    contexts = [u[first], np.flatnonzero(big), starts, total[big], _sums(c == 1, first)[big], _sums(c == 2, first)[big], w[~of_big], w[of_big]]
+    contexts = [_joined(np.repeat(np.arange(len(of)), facts[:, 4]), u[first]), np.flatnonzero(big), starts, total[big], _sums(c == 1, first)[big], _sums(c == 2, first)[big], w[~of_big], w[of_big]]
     if order == 2:
         contexts, of_big = [x[:0] for x in contexts], of_big[:0]
     many = c[of_big] if order == 3 else c[:0]
-    arrays = [of.astype(np.uint32), np.concatenate([[0], ends]).astype(np.uint32), *pairs, facts.reshape(-1).astype(np.uint64), *[x.astype(np.uint32) for x in contexts[:3]], contexts[3].astype(np.uint64), *[x.astype(np.uint32) for x in contexts[4:]], *_small(many)]
+    # facts are of words that don't fill a shard, so 32 bits hold them; those of hot words are kept apart
+    arrays = [of.astype(np.uint32), *pairs, np.minimum(facts, _LOW).reshape(-1).astype(np.uint32), contexts[0], *[x.astype(np.uint32) for x in contexts[1:3]], contexts[3].astype(np.uint64), *[x.astype(np.uint32) for x in contexts[4:]], *_small(many)]
     return arrays, of, facts, (pv[~shared], pw[~shared], px[~shared]), (pv[shared], pw[shared], px[shared])
 
 
@@ -329,11 +345,8 @@ def fit(docs: DataFrame, text: str = "text", order: int = 3) -> Model:
     parts = min(shards, PARTS)
 
     def count_grams(batches):
-        start = int(find.ids(np.array([START]))[0])
         for lengths, h in _gathered(_texts(batches)):
-            ids = find.ids(h)
-            prev = _before(ids, lengths, start)
-            key, w, c = _trigrams([((prev.astype(np.uint64) << np.uint64(32)) | _before(prev, lengths, start).astype(np.uint64), ids.astype(np.uint32), np.ones(len(ids), np.int64))])
+            key, w, c = _counted(h, lengths, find)
             shard = _gram_shard((key >> np.uint64(32)).astype(np.int64), (key & _LOW).astype(np.int64), shards, hot)
             rows = [(s, pack_sorted(key[i]), pack(w[i]), pack(c[i].astype(np.uint32))) for s, i in _split(shard, shards)]
             yield pd.DataFrame(rows, columns=["shard", "a", "b", "c"])
@@ -345,7 +358,7 @@ def fit(docs: DataFrame, text: str = "text", order: int = 3) -> Model:
         for shard, rows in _grouped(batches):
             key, w, c = _trigrams([(unpack_sorted(a, np.uint64), unpack(b, np.uint32), unpack(x, np.uint32).astype(np.int64)) for a, b, x in zip(rows["a"], rows["b"], rows["c"], strict=True)])
             arrays, of, facts, plain, shared = _shard_arrays(key, w, c, hot, order)
-            name, data = grams.put(f"grams-{shard}", _bundle(arrays))
+            name, data = grams.put(f"grams-{shard}", bundle(arrays))
             own = ~np.isin(of, hot)
             came = facts[own, 4]
             out = [(name, data, -1, None, None, None, None, [*_kinds(c), *_kinds(plain[2]), *_kinds(came), int((came >= 3).sum()), int(came.sum()), int((plain[1] == ends).sum())])]
@@ -362,7 +375,7 @@ def fit(docs: DataFrame, text: str = "text", order: int = 3) -> Model:
             key, x = merge(keys, [unpack(b, np.uint32).astype(np.int64) for b in rows["b"]])
             v, w = (key >> np.uint64(32)).astype(np.int64), (key & _LOW).astype(np.int64)
             arrays, facts = _pair_arrays(hot, v, w, x)
-            name, data = grams.put(f"shared-{part}", _bundle(arrays))
+            name, data = grams.put(f"shared-{part}", bundle(arrays))
             out = [(name, data, -1, None, None, None, None, [0, 0, 0, 0, *_kinds(x), 0, 0, 0, 0, 0, 0, int((w == ends).sum())])]
             out += [(None, None, -1, None, None, int(h), [int(k) for k in f], None) for h, f in zip(hot, facts, strict=True) if f[0]]
             yield pd.DataFrame(out, columns=columns).astype({"v": "Int64"})
@@ -399,99 +412,102 @@ class Scorer:
 
     def _arrays(self, name: str) -> list[np.ndarray] | None:
         try:
-            return _unbundled(self.m.grams.get(name))
+            return unbundled(self.m.grams.get(name))
         except FileNotFoundError:  # a shard without n-grams
             return None
 
-    def _facts(self, ids: np.ndarray) -> np.ndarray:
-        """The facts of sorted distinct ids; zeros for those that precede nothing."""
-        m, out = self.m, np.zeros((len(ids), FACTS), np.int64)
-        for s, i in _split(_gram_shard(ids, np.zeros(len(ids), np.int64), self.find.shards, np.empty(0, np.int64)), self.find.shards):
+    def _placed(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct ids: their facts, zeros for those that precede nothing; whether they are hot; their shard and their place in it, -1 for none."""
+        m, shards = self.m, self.find.shards
+        facts, place = np.zeros((len(ids), FACTS), np.int64), np.full(len(ids), -1, np.int64)
+        hot = np.isin(ids, m.hot)
+        shard = _gram_shard(ids, np.zeros(len(ids), np.int64), shards, np.empty(0, np.int64))
+        for s, i in _split(shard, shards):
             g = self._arrays(f"grams-{s}")
             if g is not None and len(g[0]):
-                at = np.minimum(np.searchsorted(g[0], ids[i]), len(g[0]) - 1)
-                hit = g[0][at] == ids[i]
-                out[i[hit]] = g[7].reshape(-1, FACTS)[at[hit]]
-        at = np.minimum(np.searchsorted(m.hot, ids), max(0, len(m.hot) - 1))
-        hit = m.hot[at] == ids if len(m.hot) else np.zeros(len(ids), bool)
-        out[hit] = m.hot_facts[at[hit]]
-        out[ids == self.end, 4] = m.end_before
-        return out
-
-    def _pair_values(self, v: np.ndarray, w: np.ndarray, g: list[np.ndarray], row: np.ndarray, ends: int) -> np.ndarray:
-        """Values of pairs (v, w): `row` is v's place among the words of the arrays, `ends` where their ends are in g."""
-        at, hit = _lower(g[ends + 1], g[ends][row].astype(np.int64), g[ends][row + 1].astype(np.int64), w)
-        out = np.zeros(len(v), np.int64)
-        out[hit] = _counts_at(g[ends + 2 : ends + 5], at[hit])
+                at, hit = _found_in(g[0], ids[i])
+                facts[i[hit]] = g[5].reshape(-1, FACTS)[at[hit]]
+                place[i[hit]] = at[hit]
+        facts[hot] = m.hot_facts[np.searchsorted(m.hot, ids[hot])]
+        facts[ids == self.end, 4] = m.end_before
+        return facts, hot, shard, place
+
+    def _pair_values(self, keys: np.ndarray, g: list[np.ndarray], first: int) -> np.ndarray:
+        at, hit = _found_in(g[first], keys)
+        out = np.zeros(len(keys), np.int64)
+        out[hit] = _counts_at(g[first + 1 : first + 4], at[hit])
         return out
 
-    def _found(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For tokens whose words before them are known: values of pairs (v, w); counts of trigrams, sums and kinds 1, 2, 3 of contexts. w may be -1."""
+    def _found(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, hot: np.ndarray, shard: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For tokens w after known words u, v: values of pairs (v, w); counts of trigrams, sums and kinds 1, 2, 3 of contexts. u and w may be -1. hot, shard and place are v's."""
         m = self.m
         pair, tri = np.zeros(len(w), np.int64), np.zeros((len(w), 5), np.int64)
-        for s, i in _split(_gram_shard(v, u, self.find.shards, m.hot), self.find.shards):
+        some = np.flatnonzero(hot)
+        if len(some):
+            shard, place = shard.copy(), place.copy()
+            shard[some] = _gram_shard(v[some], u[some], self.find.shards, m.hot)
+            for p, i in _split(_pair_part(v[some], w[some], m.parts), m.parts):
+                g = self._arrays(f"shared-{p}")
+                if g is not None:
+                    i = some[i]
+                    pair[i] = self._pair_values(_joined(np.searchsorted(m.hot, v[i]), w[i]), g, 0)
+        for s, i in _split(shard, self.find.shards):
             g = self._arrays(f"grams-{s}")
             if g is None or not len(g[0]):
                 continue
-            row = np.minimum(np.searchsorted(g[0], v[i]), len(g[0]) - 1)
-            own = g[0][row] == v[i]
-            i, row = i[own], row[own]
-            pair[i] = self._pair_values(v[i], w[i], g, row, 2)
+            mine = i[hot[i]]
+            at, hit = _found_in(g[0], v[mine])
+            place[mine] = np.where(hit, at, -1)
+            i = i[place[i] >= 0]
+            plain = i[~hot[i]]
+            pair[plain] = self._pair_values(_joined(place[plain], w[plain]), g, 1)
             if m.order == 2:
                 continue
-            at, hit = _lower(g[8], g[1][row].astype(np.int64), g[1][row + 1].astype(np.int64), u[i])
+            at, hit = _found_in(g[6], _joined(place[i], u[i]))
+            hit &= u[i] >= 0
             i, at = i[hit], at[hit]
-            b = np.searchsorted(g[9], at)
+            b = np.searchsorted(g[7], at)
             big = np.zeros(len(at), bool)
-            inside = b < len(g[9])
-            big[inside] = g[9][b[inside]] == at[inside]
+            inside = b < len(g[7])
+            big[inside] = g[7][b[inside]] == at[inside]
             once, many = i[~big], i[big]
-            tri[once, 0] = g[14][at[~big] - b[~big]] == w[once]
+            tri[once, 0] = g[12][at[~big] - b[~big]] == w[once]
             tri[once, 1:3] = 1
             b = b[big]
-            lo, hi = g[10][b].astype(np.int64), g[10][b + 1].astype(np.int64)
-            place, there = _lower(g[15], lo, hi, w[many])
-            tri[many[there], 0] = _counts_at(g[16:19], place[there])
-            tri[many, 1], tri[many, 2], tri[many, 3] = g[11][b], g[12][b], g[13][b]
+            lo, hi = g[8][b].astype(np.int64), g[8][b + 1].astype(np.int64)
+            spot, there = _lower(g[13], lo, hi, w[many])
+            tri[many[there], 0] = _counts_at(g[14:17], spot[there])
+            tri[many, 1], tri[many, 2], tri[many, 3] = g[9][b], g[10][b], g[11][b]
             tri[many, 4] = hi - lo - tri[many, 2] - tri[many, 3]
-        hot = np.flatnonzero(np.isin(v, m.hot))
-        for p, i in _split(_pair_part(v[hot], w[hot], m.parts), m.parts):
-            g = self._arrays(f"shared-{p}")
-            if g is not None:
-                i = hot[i]
-                pair[i] = self._pair_values(v[i], w[i], g, np.searchsorted(m.hot, v[i]), 0)
         return pair, tri
 
     def __call__(self, lengths: list[int], h: np.ndarray) -> np.ndarray:
         """For each text: tokens, known tokens, base score, score."""
         m = self.m
-        ids = self.find.ids(h)
-        distinct, back = np.unique(np.append(ids, self.start), return_inverse=True)
+        words, back = np.unique(np.append(h, START), return_inverse=True)
+        distinct = self.find.of_sorted(words)
+        back, start = back[:-1], int(back[-1])
         count = self.find.counts(distinct)
-        base = np.log10((count + 0.5) / (m.tokens + 0.5 * (m.distinct + 1)))[back[:-1]]
-        known = (count > 0)[back[:-1]]
+        base = np.log10((count + 0.5) / (m.tokens + 0.5 * (m.distinct + 1)))[back]
+        known = (count > 0)[back]
         if m.kinds:
-            facts = self._facts(distinct)
+            facts, hot, shard, place = self._placed(distinct)
             before = facts[:, 4]
             uni = np.maximum(before - m.discounts[0][np.minimum(before, 3)], 0) / m.kinds + m.spare / (m.distinct + 1)
             mass = facts[:, 1:4] @ m.discounts[1][1:]
-            row = _before(back[:-1], lengths, int(back[-1]))
-            v = _before(ids, lengths, self.start)
-            u = _before(v, lengths, self.start)
-            seen = np.flatnonzero((v >= 0) & (u >= 0)) if m.order == 3 else np.flatnonzero(v >= 0)
+            row = _before(back, lengths, start)
+            ids, v, u = distinct[back], distinct[row], distinct[_before(row, lengths, start)]
+            seen = np.flatnonzero(v >= 0)
             pair, tri = np.zeros(len(ids), np.int64), np.zeros((len(ids), 5), np.int64)
-            pair[seen], tri[seen] = self._found(u[seen], v[seen], ids[seen])
-            if m.order == 3:  # an unknown word two places before: the pair alone
-                rest = np.flatnonzero((v >= 0) & (u < 0))
-                pair[rest] = self._found(np.full(len(rest), -1), v[rest], ids[rest])[0]
+            pair[seen], tri[seen] = self._found(u[seen], v[seen], ids[seen], hot[row[seen]], shard[row[seen]], place[row[seen]])
             total = facts[row, 0]
-            p = uni[back[:-1]]
+            p = uni[back]
             p = np.where(total > 0, (np.maximum(pair - m.discounts[1][np.minimum(pair, 3)], 0) + mass[row] * p) / np.maximum(total, 1), p)
             if m.order == 3:
                 held = np.maximum(tri[:, 1], 1)
                 p = np.where(tri[:, 1] > 0, (np.maximum(tri[:, 0] - m.discounts[2][np.minimum(tri[:, 0], 3)], 0) + (tri[:, 2:5] @ m.discounts[2][1:]) * p) / held, p)
         else:
-            p = np.full(len(ids), 1 / (m.distinct + 1))
+            p = np.full(len(h), 1 / (m.distinct + 1))
         at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         return np.column_stack([lengths, np.add.reduceat(known.astype(float), at), np.add.reduceat(base, at), np.add.reduceat(np.log10(p), at)])
 
