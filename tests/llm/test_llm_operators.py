@@ -56,6 +56,35 @@ def test_license_scan(spark):
     assert licenses.collision_probability(1, 3) > 0.998
 
 
+def test_license_scan_by_brute_force(spark, sf):
+    """Every place of every text against every template, exactly; on documents with planted notices, whole, cut and edited."""
+    rng = np.random.default_rng(11)
+    cut = lambda t: [w for w in re.split(r'[\x09-\x0D\x20.,;:!?()\[\]"]+', t.translate(LOWER)) if w]
+    triples = lambda w: [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    notices = {k: triples(cut(t)) for k, t in licenses.TEMPLATES.items()}
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    for i in range(120):
+        w = list(licenses.TEMPLATES.values())[i % len(licenses.TEMPLATES)].split()
+        if i % 3 == 1 and len(w) > 14:
+            w[int(rng.integers(len(w)))] = "edited"
+        if i % 3 == 2:
+            w = w[: max(3, len(w) - int(rng.integers(3)))]
+        noise = [f"n{int(x)}" for x in rng.integers(0, 50, 40)]
+        at = int(rng.integers(40))
+        docs.append((10_000 + i, " ".join(noise[:at] + w + noise[at:])))
+    want = set()
+    for d, text in docs:
+        t = triples(cut(text or ""))
+        near = {k: math.ceil(1.2 * len(n)) for k, n in notices.items()}
+        for at in range(len(t)):
+            met = {k for k, n in notices.items() if set(n) & set(t[at : at + 3])}
+            share = {k: len(set(notices[k]) & set(t[max(0, at - near[k]) : at + 3 + near[k]])) / len(set(notices[k])) for k in met}
+            best = max(share.values(), default=0)
+            want |= {(d, k) for k, s in share.items() if s >= 0.8 and s == best}
+    got = {(r["doc_id"], r["license_id"]) for r in licenses.scan(spark.createDataFrame(docs, TEXT).repartition(3)).collect()}
+    assert len(want) > 100 and got <= want and len(got) >= 0.99 * len(want)
+
+
 # ---- 2 ----------------------------------------------------------------------------------------------------------------
 
 
@@ -421,7 +450,8 @@ def test_merges_of_any_table(spark, names, words):
 
     words = sorted(set(words))
     got = pieces.encoded_words(spark.createDataFrame([(0, w) for w in words], "shard int, word string").coalesce(1), p)
-    assert {r["word"]: r["ids"] for r in got.collect()} == {w: plain(w) for w in words}
+    known = {r["word"]: [p.names.index(chr(-1 - i)) if i < 0 and chr(-1 - i) in p.names else i for i in r["ids"]] for r in got.collect()}
+    assert known == {w: plain(w) for w in words if w in known} and all(len(plain(w)) == len(w) for w in words if w not in known)
     assert all(pieces.Encoder(p).one(w) == tuple(i if i >= 0 else 0 for i in plain(w)) for w in words)
 
 
@@ -678,13 +708,43 @@ def test_mixing_has_no_clashing_columns(spark):
 # ---- all --------------------------------------------------------------------------------------------------------------
 
 
-def test_pipeline_stages(spark, sf):
+def test_pipeline_stages_by_brute_force(spark, sf):
+    """Each stage on what the one before kept: scores, components, spans, copies and the library's ids."""
     import corpus_pipeline
+    import sentencepiece
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    got = docs
+    kept, good, unique, clean, mixed = [], docs, None, None, None
     for name, stage in corpus_pipeline.STAGES[:4]:
-        got = stage(spark, got, sf)
-        assert got.columns == docs.columns, name
+        good = stage(spark, good, sf)
+        assert good.columns == docs.columns, name
+        good = spark.createDataFrame(good.collect(), docs.schema)
+        kept.append([tuple(r) for r in good.collect()])
+    good, unique, clean, mixed = kept
+    score = {r["doc_id"]: r["quality_score"] for r in quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))).collect()}
+    assert sorted(r[0] for r in good) == sorted(d for d, s in score.items() if s >= 0.5)
+    comp = brute_components([(r[0], r[1]) for r in good])
+    assert sorted(r[0] for r in unique) == sorted({c for _, n, c in comp if n} | {d for d, n, _ in comp if not n})
+    spans = {r["doc_id"]: r["pii_spans"] for r in pii.sanitise(spark.createDataFrame(unique, docs.schema)).collect()}
+    text = {r[0]: r[1] for r in unique}
+    for r in clean:
+        parts = [x.split(":") for x in spans[r[0]].split(",") if x]
+        assert r[1] == pii.redacted(text[r[0]], [(k, int(a), int(b)) for k, a, b in parts]) and r[4] == len(r[1])
+    size, total = Counter(r[0] for r in mixed), Counter()
+    for r in clean:
+        total[r[3]] += len(words(r[1]))
+    targets = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame([(r[3], len(words(r[1]))) for r in clean], "source string, size long")).collect()}
+    for r in clean:
+        rate = targets[r[3]] / total[r[3]] if total[r[3]] else 0
+        assert size[r[0]] in (math.floor(rate), math.floor(rate) + 1)
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_FILE)
+    out = corpus_pipeline.STAGES[4][1](spark, spark.createDataFrame(mixed, docs.schema), sf)
+    want = Counter((r[0], tuple(library.encode(r[1]))) for r in mixed)
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in out.collect()) == want
+
+
+def test_pipeline_runs(spark, sf):
+    import corpus_pipeline
+
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "source", "lang", "n_tokens", "ids"] and out.count() > 0
