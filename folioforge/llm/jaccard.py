@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm.arrays import Store, filled, pack_sorted, store, unpack_sorted
-from folioforge.llm.common import crc_mod, discard, mix64, shingle_set, signed, table, unsigned, written
+from folioforge.llm.common import crc_mod, mix64, shingle_set, signed, table, unsigned, written
 from folioforge.llm.components import connected
+from folioforge.sources.shared import discard
 
 WORDS = 5
 #: Shingles that SAMPLE_HITS of the rows in one of SAMPLE_OF parts hold are put last in the order, the most frequent
@@ -32,7 +33,7 @@ ROWS_A_TASK = 20_000
 #: Fingerprints of prefix shingles: a shard holds about so many, a fingerprint has so many bits more than their number
 #: needs (2 to the minus of which is the share of lone shingles that stay in the index), a task sorts so many at once.
 #: Above so many shingles the index is made without them.
-SHARD_TOKENS, SPARE_BITS, TOKENS_AT_ONCE, MOST_TOKENS = 1 << 22, 5, 1 << 21, 1 << 36
+SHARD_TOKENS, SPARE_BITS, TOKENS_AT_ONCE, MOST_TOKENS = 1 << 20, 5, 1 << 19, 1 << 36
 
 #: What the comparison within a bucket sees: a sketch of 256 slots, or for sets of up to FINE shingles one of 512, which
 #: tells almost every shingle apart. Rows of a bucket in one block; pairs of two labels that a bucket offers at first, and
@@ -259,7 +260,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, tasks: int)
 
 
 def _pairs_of(rows: pd.DataFrame, offer: int) -> pd.DataFrame:
-    """(a, b, more) of whole buckets, or of pairs of their blocks, one after the other: of each pair of labels in one the nearest pairs that may have similarity 0.8."""
+    """(a, b, more, token) of whole buckets, or of pairs of their blocks, one after the other: of each pair of labels in one the nearest pairs that may have similarity 0.8."""
     n, pos, label, cls, block, blocks, token, cell = (rows[c].to_numpy(np.int64) for c in ("n", "pos", "label", "cls", "block", "blocks", "token", "cell"))
     bucket = np.cumsum(np.concatenate([[True], (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])]))
     has = np.array([len(x) > 32 for x in rows["fold"]])
@@ -294,11 +295,11 @@ def _pairs_of(rows: pd.DataFrame, offer: int) -> pd.DataFrame:
     start = np.maximum.accumulate(np.where(first, np.arange(len(x)), 0)) if len(x) else np.empty(0, np.int64)
     keep = np.arange(len(x)) - start < offer
     more = np.bincount(start[~keep], minlength=len(x))[start[keep]] > 0
-    return pd.DataFrame({"a": np.minimum(cls[x], cls[y])[keep], "b": np.maximum(cls[x], cls[y])[keep], "more": more})
+    return pd.DataFrame({"a": np.minimum(cls[x], cls[y])[keep], "b": np.maximum(cls[x], cls[y])[keep], "more": more, "token": token[x][keep]})
 
 
 def _offered(live: DataFrame, offer: int) -> DataFrame:
-    """(a, b, more) of all buckets. A bucket of several blocks is dealt as pairs of blocks, so a task holds two blocks at most."""
+    """(a, b, more, token) of all buckets. A bucket of several blocks is dealt as pairs of blocks, so a task holds two blocks at most."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for pdf in batches:
@@ -315,7 +316,7 @@ def _offered(live: DataFrame, offer: int) -> DataFrame:
         if size:
             yield _pairs_of(pd.concat(held, ignore_index=True), offer)
 
-    made = "a long, b long, more boolean"
+    made = "a long, b long, more boolean, token long"
     block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(F.col("block"), k) * F.col("blocks") + F.greatest(F.col("block"), k))
     dealt = live.withColumn("block", block).withColumn("cell", F.explode(cells))
@@ -372,9 +373,17 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
             nodes = written(connected(known.unionByName(late)), "jaccard-labels")
         # pairs of labels with more pairs to offer, that the verified ones haven't joined
         at = lambda k: nodes.select(F.col("node").alias(k), F.col("component").alias(f"label_{k}"))
-        rest = offered.where("more").select("a", "b").coalesce(tasks).join(at("a"), "a", "left").coalesce(tasks).join(at("b"), "b", "left").coalesce(tasks)
-        if rest.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).isEmpty():
+        rest = offered.where("more").select("a", "b", "token").coalesce(tasks).join(at("a"), "a", "left").coalesce(tasks).join(at("b"), "b", "left").coalesce(tasks)
+        # a bucket without such a pair has offered all that can change a component
+        open_ = written(rest.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("token").distinct().coalesce(tasks), "jaccard-open")
+        n = open_.count()
+        if not n:
             break
+        few = F.broadcast(open_) if n <= BROADCAST_ROWS else open_
+        before = shared, several, offered
+        shared = written(shared.join(few, "token", "left_semi").coalesce(4 * tasks), "jaccard-buckets")
+        several = written(several.join(few, "token", "left_semi").select(*several.columns).coalesce(tasks), "jaccard-several")
+        discard(*before)
         offer *= GROWTH
     named = classes.join(nodes.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"), "first_id").coalesce(tasks)
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id")).coalesce(tasks)
