@@ -56,12 +56,11 @@ def edge_ids(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "nation").select("n_nationkey", G.edge_id(F.col("n_regionkey"), F.col("n_name"), F.lit(None)).alias("edge_id"))
 
 
-@query(None)
+@query(
+    "WITH n AS (SELECT DISTINCT l_orderkey // 4 d, l_orderkey f, l_linenumber k FROM lineitem) SELECT d AS dossier_id, a.f || ':' || a.k AS from_node, b.f || ':' || b.k AS to_node, 'SAME_CLAUSE' AS type FROM n a JOIN n b USING (d, k) WHERE a.f < b.f UNION ALL SELECT a.d, a.f || ':' || a.k, a.f || ':' || b.k, CASE WHEN a.k % 2 = 0 THEN 'AMENDS' ELSE 'REFERENCES' END FROM n a JOIN n b ON a.f = b.f AND b.k = a.k - 1"
+)
 def relation_graph(spark: SparkSession, sf: str) -> DataFrame:
-    """Typed edges over the clause segments of every text."""
-    from folioforge.operators import documents as D
-
-    seg = D.segment_clauses(D.lines(read(spark, sf, "documents"), ["doc_id"]))
-    nodes = seg.select(F.col("doc_id").alias("dossier_id"), F.col("doc_id").alias("file_id"), "node_no", F.col("parent_no").alias("p"), "label", "text")
-    name = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws(":", "dossier_id", F.col(c).cast("string")))
-    return G.relation_graph(nodes.select("dossier_id", "file_id", name("node_no").alias("node_id"), name("p").alias("parent_id"), F.lit("CLAUSE").alias("node_type"), "label", "text"))[0]
+    """Typed edges over the articles of four contracts to a dossier, each of which names the article before it."""
+    n = read(spark, sf, "lineitem").selectExpr("l_orderkey DIV 4 AS dossier_id", "l_orderkey AS file_id", "l_linenumber AS k").distinct()
+    nodes = n.selectExpr("dossier_id", "file_id", "concat_ws(':', file_id, k) AS node_id", "CAST(NULL AS STRING) AS parent_id", "'CLAUSE' AS node_type", "concat('Điều ', k) AS label", "concat(CASE WHEN k % 2 = 0 THEN 'Sửa đổi Điều ' ELSE 'theo Điều ' END, k - 1) AS text")
+    return G.relation_graph(nodes)[0]
