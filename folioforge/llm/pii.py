@@ -29,6 +29,9 @@ KINDS = ("email", "ip", "card", "phone")
 #: pairs, entities, terms) that may be broadcast (8 bytes each), above which they are joined.
 THRESHOLD, SUPPORT, REMOVE, BROADCAST_PAIRS = 0.5, 2, 0.95, 4_000_000
 
+#: Terms whose counts one task merges.
+TERMS_A_TASK = 200_000
+
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -151,7 +154,8 @@ def _term_counts(docs: DataFrame, text: str, wanted: DataFrame, copied: DataFram
 
     Texts that occur once are summed in their task; the terms of those that are copied (hashes h) meet by their hash.
     """
-    few = wanted.count() <= BROADCAST_PAIRS
+    n_wanted = wanted.count()
+    few, parts = n_wanted <= BROADCAST_PAIRS, 1 + max(0, min(n_wanted, BROADCAST_PAIRS)) // TERMS_A_TASK
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toPandas()["t"].to_numpy(np.int64)) if few else None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,17 +175,34 @@ def _term_counts(docs: DataFrame, text: str, wanted: DataFrame, copied: DataFram
                     rows.append((False, h, x, np.ones(len(x), np.int64)))
             yield pd.DataFrame(rows, columns=["summed", "h", "terms", "counts"])
         held = np.flatnonzero(sums)
-        for k in range(0, len(held), 10_000):
-            i = held[k : k + 10_000]
-            yield pd.DataFrame([(True, 0, sought[i], sums[i])], columns=["summed", "h", "terms", "counts"])
+        part = held * parts // max(1, len(sums))  # ranges of the sorted terms
+        for p in np.unique(part).tolist():
+            i = held[part == p]
+            yield pd.DataFrame([(True, p, sought[i], sums[i])], columns=["summed", "h", "terms", "counts"])
 
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(F.xxhash64(t).alias("h"), t.alias("t")).join(_few(copied.withColumn("again", F.lit(True))), "h", "left")
     made = rows.select("h", "t", F.col("again").isNull().alias("once")).mapInPandas(run, "summed boolean, h long, terms array<long>, counts array<long>")
     made = written(made, "pii-terms-held")
-    each = made.where("summed").select("terms", "counts").unionByName(made.where("NOT summed").dropDuplicates(["h"]).select("terms", "counts"))
-    pairs = each.select(F.explode(F.arrays_zip("terms", "counts")).alias("x"))
-    return pairs.groupBy(F.col("x.terms").alias("t")).agg(F.sum("x.counts").alias("n_term"))
+
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The sums of a range of terms over all tasks; its rows come one after the other."""
+        now, t, n = None, np.empty(0, np.int64), np.empty(0, np.int64)
+        for pdf in batches:
+            for p, terms_, counts in zip(pdf["h"].tolist(), pdf["terms"], pdf["counts"], strict=True):
+                if p != now:
+                    if len(t):
+                        yield pd.DataFrame({"t": t, "n": n})
+                    now, t, n = p, np.empty(0, np.int64), np.empty(0, np.int64)
+                u, back = np.unique(np.concatenate([t, terms_]), return_inverse=True)
+                t, n = u, np.bincount(back, np.concatenate([n, counts])).astype(np.int64)
+        if len(t):
+            yield pd.DataFrame({"t": t, "n": n})
+
+    # sums of tasks meet as arrays: as rows they would be tasks times terms
+    summed = made.where("summed").repartition(parts, "h").sortWithinPartitions("h").mapInPandas(merged, "t long, n long")
+    copies = made.where("NOT summed").dropDuplicates(["h"]).select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).select(F.col("x.terms").alias("t"), F.col("x.counts").alias("n"))
+    return summed.unionByName(copies).groupBy("t").agg(F.sum("n").alias("n_term"))
 
 
 def disclosures(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
