@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain as flat
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.arrays import Store, filled, store
+from folioforge.llm.arrays import Store, bundle, filled, store, unbundled
 from folioforge.llm.common import table, with_columns
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -30,7 +31,7 @@ SPACE = "▁"
 #: Code points of words that the lattice takes, whose cuts are bits of a 64-bit number; longer ones are encoded one by
 #: one in workers. Words kept by a worker. Characters of text for each shard of words, and shards at most; words of a
 #: task that are grouped in memory, beyond which Spark sorts them.
-LATTICE_CHARS, CACHE, SHARD_CHARS, SHARDS, GROUPED = 60, 300_000, 4_000_000, 4096, 60_000
+LATTICE_CHARS, CACHE, SHARD_CHARS, SHARDS, GROUPED = 60, 300_000, 4_000_000, 4096, 100_000
 
 
 @dataclass(frozen=True)
@@ -129,48 +130,69 @@ def distinct_words(texts: DataFrame, p: Pieces, text: str, shards: int) -> DataF
     return found.withColumn("shard", F.xxhash64("word").bitwiseAND(F.lit(shards - 1)).cast("int")).repartition(shards, "shard").select("shard", "word").distinct()
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int, unknown_score: float) -> DataFrame:
-    """(shard, word, n_chars, edges): the edges (rank, start, size, id, score) of each word, by rank and start.
+def lattice(words: DataFrame, pieces: DataFrame, longest: int, edge: Column, least: int = 1) -> DataFrame:
+    """(shard, word, n_chars, edges): the sorted edges of each word of `least` characters or more, none for words without one.
 
-    A character that is no piece has an edge too, of the id -1 - code point, the unknown score and the last rank. The
-    piece table is a vocabulary of fixed size and is broadcast; words are dealt by shard, so nothing else is exchanged.
+    An edge is made of word, start, size, span, id, score and rank. Edges of one character are there for every
+    character, with a null id if it is no piece. The piece table is a vocabulary of fixed size and is broadcast; it is
+    joined by hash and text, as Spark finds numbers faster than texts. Words are dealt by shard, so nothing else is exchanged.
     """
     each = words.withColumn("n_chars", F.char_length("word"))
-    starts = each.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("n_chars") - 1)))
-    spans = starts.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n_chars") - F.col("start")))))
-    cut = spans.withColumn("piece", F.substring(F.col("word"), F.col("start") + 1, F.col("size")))
-    met = cut.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR size = 1")
-    edge = F.struct(F.coalesce("rank", F.lit(2**31 - 1)).alias("rank"), "start", "size", F.coalesce("id", -1 - F.ascii("piece")).alias("id"), F.coalesce("score", F.lit(unknown_score)).alias("score"))
-    return met.groupBy("shard", "word").agg(F.first("n_chars").alias("n_chars"), F.array_sort(F.collect_list(edge)).alias("edges"))
+    starts = each.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("n_chars") - least)))
+    spans = starts.withColumn("size", F.explode(F.sequence(F.lit(least), F.least(F.lit(max(longest, least)), F.col("n_chars") - F.col("start")))))
+    cut = spans.withColumn("span", F.substring(F.col("word"), F.col("start") + 1, F.col("size"))).withColumn("h", F.xxhash64("span"))
+    known = F.broadcast(pieces.where(F.char_length("piece") >= least).withColumn("piece_h", F.xxhash64("piece")))
+    met = cut.join(known, (F.col("h") == F.col("piece_h")) & (F.col("span") == F.col("piece")), "left" if least == 1 else "inner")
+    if least == 1:
+        met = met.where("id IS NOT NULL OR size = 1")
+    return met.groupBy("shard", "word").agg(F.first("n_chars").alias("n_chars"), F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def _power(k: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), k)
 
 
-def merge_order(edges: DataFrame) -> DataFrame:
-    """(shard, word, ids) by merges: two neighbours that make a piece become one, the best-ranked piece first, the leftmost of equals.
+def merge_order(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """(shard, word, ids) by merges: two neighbours that make a piece become one, the best-ranked piece first, the leftmost of equals; -1 - c for a character c that stays alone.
 
-    The cuts of a word are the bits of a number. An edge with both ends cut and one cut within is a merge; edges come by
-    rank and start, so the first is the next.
+    The cuts of a word are the bits of a number. An edge of two characters or more with both ends cut and one cut within
+    is a merge; edges come by rank and start, so the first is the next. Edges that a merge has made impossible leave the
+    state. Words without such edges are left out.
     """
-    mask = F.transform("edges", lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id"), (_power(e["start"]).bitwiseOR(_power(e["start"] + e["size"]))).alias("ends"), (_power(e["start"] + e["size"]) - _power(e["start"] + 1)).alias("within")))
-    masked = edges.withColumn("m", mask).withColumn("merges", F.filter("m", lambda e: e["within"] != 0))
+    shift = lambda c, n: F.shiftleft(c.cast("long"), n)
+    # an edge as one number that sorts by rank and start: rank, 6 bits of start, 6 of size, 21 of the id
+    number = shift(F.col("rank"), 33).bitwiseOR(shift(F.col("start"), 27)).bitwiseOR(shift(F.col("size"), 21)).bitwiseOR(F.col("id").cast("long"))
+    bits = lambda e, at, n: F.shiftright(e, at).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
 
-    def step(cuts: Column, _: Column) -> Column:
-        ready = F.filter("merges", lambda e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(cuts.bitwiseAND(e["within"])) == 1))
-        return cuts.bitwiseAND(F.bitwise_not(F.coalesce(F.get(ready, F.lit(0))["within"], F.lit(0).cast("long"))))
+    def unpacked(e: Column) -> Column:
+        start, end = bits(e, 27, 6), bits(e, 27, 6) + bits(e, 21, 6)
+        return F.struct(e.alias("e"), _power(start).bitwiseOR(_power(end)).alias("ends"), (_power(end) - _power(start + 1)).alias("within"))
 
-    cuts = F.aggregate(F.sequence(F.lit(2), F.col("n_chars")), _power(F.col("n_chars") + 1) - 1, step)
-    done = masked.withColumn("cuts", cuts)
-    last = F.filter("m", lambda e: (F.col("cuts").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("cuts").bitwiseAND(e["within"]) == 0))
-    return done.select("shard", "word", F.transform(F.array_sort(F.transform(last, lambda e: F.struct(e["start"], e["id"].alias("id")))), lambda x: x["id"]).alias("ids"))
+    edges = lattice(words, pieces, longest, number, 2).withColumn("edges", F.transform("edges", unpacked))
+    none = F.array().cast("array<struct<e:bigint,ends:bigint,within:bigint>>")
 
+    def step(acc: Column, _: Column) -> Column:
+        within = F.get(F.filter(acc["left"], lambda e: F.bit_count(acc["cuts"].bitwiseAND(e["within"])) == 1), F.lit(0))["within"]
+        # one-element transforms name the next merge and the new cuts, so that they are found once
+        return F.get(F.transform(F.array(within), lambda w: F.when(w.isNull(), F.struct(acc["cuts"].alias("cuts"), none.alias("left"))).otherwise(merged(acc, acc["cuts"].bitwiseAND(F.bitwise_not(w))))), F.lit(0))
 
-def viterbi(edges: DataFrame) -> DataFrame:
+    def merged(acc: Column, now: Column) -> Column:
+        return F.get(F.transform(F.array(now), lambda c: F.struct(c.alias("cuts"), F.filter(acc["left"], lambda e: (c.bitwiseAND(e["ends"]) == e["ends"]) & (c.bitwiseAND(e["within"]) != 0)).alias("left"))), F.lit(0))
+
+    begin = F.struct((_power(F.col("n_chars") + 1) - 1).alias("cuts"), F.col("edges").alias("left"))
+    done = edges.withColumn("cuts", F.aggregate(F.sequence(F.lit(2), F.col("n_chars")), begin, step, lambda acc: acc["cuts"]))
+    cuts = F.col("cuts")
+    # by start: the edges that no cut parts, and the characters between two cuts
+    pieces_ = F.transform(F.filter("edges", lambda e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (cuts.bitwiseAND(e["within"]) == 0)), lambda e: F.struct(bits(e["e"], 27, 6).alias("at"), bits(e["e"], 0, 21).alias("id")))
+    alone = F.filter(F.sequence(F.lit(0), F.col("n_chars") - 1), lambda k: cuts.bitwiseAND(_power(k) * 3) == _power(k) * 3)
+    chars = F.transform(alone, lambda k: F.struct(k.alias("at"), (-1 - F.ascii(F.substring(F.col("word"), k + 1, F.lit(1)))).alias("id")))
+    return done.select("shard", "word", F.transform(F.sort_array(F.concat(pieces_, chars)), lambda x: x["id"]).alias("ids"))
+
+
+def viterbi(words: DataFrame, pieces: DataFrame, longest: int, unknown_score: float) -> DataFrame:
     """(shard, word, ids) on the path of the greatest sum of scores, of equal sums the one with the longest last piece."""
+    edge = F.struct("start", (F.col("start") + F.col("size")).alias("end"), F.coalesce("id", -1 - F.ascii("span")).alias("id"), F.coalesce("score", F.lit(unknown_score)).alias("score"))
     state = "array<struct<score:double,ids:array<int>>>"
-    by_start = edges.withColumn("edges", F.array_sort(F.transform("edges", lambda e: F.struct(e["start"].alias("start"), (e["start"] + e["size"]).alias("end"), e["id"].alias("id"), e["score"].alias("score")))))
     best = F.aggregate(
         F.sequence(F.lit(1), F.col("n_chars")),
         F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids"))).cast(state),
@@ -185,17 +207,17 @@ def viterbi(edges: DataFrame) -> DataFrame:
             ),
         ),
     )
-    return by_start.select("shard", "word", F.element_at(best, -1)["ids"].alias("ids"))
+    return lattice(words, pieces, longest, edge).select("shard", "word", F.element_at(best, -1)["ids"].alias("ids"))
 
 
 def encoded_words(words: DataFrame, p: Pieces) -> DataFrame:
-    """(shard, word, ids) of distinct words; id -1 - c stands for a character c that is no piece."""
-    edges = lattice(words, piece_table(words.sparkSession, p), p.longest, p.unknown_score)
-    return viterbi(edges) if p.unigram else merge_order(edges)
+    """(shard, word, ids) of distinct words; id -1 - c stands for the character c. BPE words that no two characters of make a piece are left out."""
+    table_ = piece_table(words.sparkSession, p)
+    return viterbi(words, table_, p.longest, p.unknown_score) if p.unigram else merge_order(words, table_, p.longest)
 
 
 def _kept(words: DataFrame, p: Pieces, shards: int) -> Store:
-    """The encodings as arrays: for each shard the sorted hashes of its words, where their ids end, and all ids."""
+    """The encodings as arrays: for each shard the sorted hashes of its words, a second hash of each, where their ids end, and all ids."""
     spark = words.sparkSession
     at = store(spark, "piece-words")
 
@@ -204,10 +226,11 @@ def _kept(words: DataFrame, p: Pieces, shards: int) -> Store:
             rows = pd.concat(held)
             h = rows["h"].to_numpy(np.int64).view(np.uint64)
             order = np.argsort(h)
-            ids = [rows["ids"].iloc[k] for k in order]
+            ids = rows["ids"].tolist()
+            ids = [ids[k] for k in order.tolist()]
             ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))).astype(np.uint32)
-            made = [at.put(f"hash-{shard}", h[order]), at.put(f"end-{shard}", ends), at.put(f"ids-{shard}", np.concatenate(ids).astype(np.int32))]
-            return pd.DataFrame(made, columns=["name", "data"])
+            arrays = [h[order], rows["c"].to_numpy(np.int64)[order].astype(np.uint32), ends, np.concatenate(ids).astype(np.int32).view(np.uint32)]
+            return pd.DataFrame([at.put(f"words-{shard}", bundle(arrays))], columns=["name", "data"])
 
         now, held = None, []
         for pdf in batches:
@@ -220,7 +243,7 @@ def _kept(words: DataFrame, p: Pieces, shards: int) -> Store:
         if held:
             yield put(now, held)
 
-    found = encoded_words(words, p).select("shard", F.xxhash64("word").alias("h"), "ids").sortWithinPartitions("shard")
+    found = encoded_words(words, p).select("shard", F.xxhash64("word").alias("h"), F.crc32(F.encode("word", "UTF-8")).alias("c"), "ids").sortWithinPartitions("shard")
     key = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = spark.conf.get(key)
     spark.conf.set(key, str(max(int(before), GROUPED)))
@@ -240,7 +263,11 @@ class Encoder:
         self.p, self.kept, self.shards, self.longest = p, kept, shards, p.longest
         self.find = re.compile(word_pattern(p)).findall
         self.ids = {n: i for i, n in enumerate(p.names) if n}
-        self.names, self.rank = p.names, p.ranks()
+        self.rank = p.ranks()
+        self.chars = np.full(0x110000, -1, np.int32)
+        for n, i in self.ids.items():
+            if len(n) == 1:
+                self.chars[ord(n)] = i
         self._forget()
 
     def _forget(self) -> None:
@@ -293,46 +320,61 @@ class Encoder:
             cuts = [a for a in range(n) if alive[a]] + [n]
         return tuple(flat.from_iterable((self.ids[word[a:b]],) if word[a:b] in self.ids else self._fallback(word[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)))
 
-    def _spelled(self, ids: list[int]) -> str:
-        return "".join([self.names[i] if i >= 0 else chr(-1 - i) for i in ids])
+    def _looked_up(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, list[str]]:
+        """The words that have kept encodings, the sizes of these and all their ids; and the words that have none.
 
-    def _looked_up(self, words: list[str]) -> list[tuple[int, ...]]:
-        """The kept encodings; a word that they lack, or whose hash another word has, is encoded here."""
-        h = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in words), np.uint64, len(words))
+        Words are found by 64 bits of one hash and 32 of another. Kept ids that stand for characters become their bytes.
+        """
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in raw), np.uint64, len(raw))
+        c = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw))
         shard = (h & np.uint64(self.shards - 1)).astype(np.int64)
         order = np.lexsort((h, shard))
         ends = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        out: list[tuple[int, ...]] = [()] * len(words)
+        found, sizes, flats, odd = [], [], [], []
         for s in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
             part = order[ends[s] : ends[s + 1]]
             try:
-                known, stop, ids = (self.kept.get(f"{k}-{s}") for k in ("hash", "end", "ids"))
-            except FileNotFoundError:
-                known, stop, ids = np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int32)
-            at = np.minimum(np.searchsorted(known, h[part]), max(0, len(known) - 1))
-            hit = known[at] == h[part] if len(known) else np.zeros(len(part), bool)
-            hi = np.where(hit, stop[at], 0) if len(known) else np.zeros(len(part), int)
-            lo = np.where(hit & (at > 0), stop[at - 1], 0) if len(known) else hi
-            for w, a, b in zip(part.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                got = ids[a:b].tolist()
-                if self._spelled(got) != words[w]:
-                    out[w] = self.one(words[w])
-                elif min(got) < 0:
-                    out[w] = tuple(flat.from_iterable((i,) if i >= 0 else self._fallback(chr(-1 - i)) for i in got))
-                else:
-                    out[w] = got
-        return out
+                known, check, stop, ids = unbundled(self.kept.get(f"words-{s}"))
+            except FileNotFoundError:  # a shard without words
+                odd += [words[k] for k in part]
+                continue
+            at = np.minimum(np.searchsorted(known, h[part]), len(known) - 1)
+            hit = (known[at] == h[part]) & (check[at] == c[part])
+            hi = stop[at].astype(np.int64)
+            lo = np.where(at > 0, stop[at - 1], 0).astype(np.int64)
+            size = (hi - lo)[hit]
+            own = ids.view(np.int32)[np.repeat(lo[hit] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+            alone = np.flatnonzero(own < 0)
+            own[alone] = np.where(self.chars[-1 - own[alone]] >= 0, self.chars[-1 - own[alone]], own[alone])
+            row = np.repeat(np.arange(len(size)), size)
+            plain = np.ones(len(size), bool)
+            plain[row[own < 0]] = False
+            names = [words[k] for k in part[hit].tolist()]
+            stops = np.cumsum(size)
+            for k in np.flatnonzero(~plain).tolist():
+                ids_k = tuple(flat.from_iterable((i,) if i >= 0 else self._fallback(chr(-1 - i)) for i in own[stops[k] - size[k] : stops[k]].tolist()))
+                found.append(names[k])
+                sizes.append(np.array([len(ids_k)]))
+                flats.append(np.array(ids_k))
+            found += [n for n, ok in zip(names, plain.tolist(), strict=True) if ok]
+            sizes.append(size[plain])
+            flats.append(own[plain[row]])
+            odd += [words[k] for k in part[~hit].tolist()]
+        return found, np.concatenate(sizes) if sizes else np.empty(0, np.int64), np.concatenate(flats) if flats else np.empty(0, np.int32), odd
 
     def _learn(self, words: list[str]) -> None:
-        short = [w for w in words if len(w) == 1]
-        middle = [w for w in words if 1 < len(w) <= LATTICE_CHARS and self.kept is not None]
-        rest = [w for w in words if len(w) > 1 and (len(w) > LATTICE_CHARS or self.kept is None)]
-        made = [(self.ids[w],) if w in self.ids else self._fallback(w) for w in short] + (self._looked_up(middle) if middle else []) + [self.one(w) for w in rest]
+        short, middle, rest = [], [], []
+        for w in words:
+            (short if len(w) == 1 else middle if self.kept is not None and len(w) <= LATTICE_CHARS else rest).append(w)
+        found, size, ids, odd = self._looked_up(middle) if middle else ([], np.empty(0, np.int64), np.empty(0, np.int32), [])
+        rest += odd
+        made = [(self.ids[w],) if w in self.ids else self._fallback(w) for w in short] + [self.one(w) for w in rest]
+        size = np.concatenate([size, np.fromiter(map(len, made), np.int64, len(made))])
         n = len(self.rows)
-        self.rows.update(zip(short + middle + rest, range(n, n + len(made)), strict=True))
-        size = np.fromiter(map(len, made), np.int64, len(made))
+        self.rows.update(zip(found + short + rest, range(n, n + len(size)), strict=True))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, np.fromiter(flat.from_iterable(made), np.int32)])
+        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, ids.astype(np.int32), np.fromiter(flat.from_iterable(made), np.int32)])
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [self.find(escaped(t)) if t else [] for t in texts]
@@ -363,7 +405,7 @@ def piece_bytes(p: Pieces) -> list[bytes]:
     return out
 
 
-def _slices(texts: list[str | None], chars: int = 1_000_000) -> Iterator[slice]:
+def _slices(texts: list[str | None], chars: int = 4_000_000) -> Iterator[slice]:
     lo, n = 0, 0
     for k, t in enumerate(texts):
         n += len(t or "")
