@@ -515,6 +515,7 @@ def test_embeddings(spark):
     assert found >= 0.9 * sum(links) and all(got[d][0][0] <= links[i] for i, (d, _, _) in enumerate(good))
     assert sum(got[d][0][1] == least[top(i)] for i, (d, _, _) in enumerate(good)) >= 0.95 * len(good)
     assert all(got[d] == [(0, d, True)] for d in (902, 903, 904, 905, 906, 907)) and got[908] == [(1, 908, True)]
+    assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
 def test_multi_index_of_many_cells(spark, monkeypatch):
@@ -560,6 +561,7 @@ def test_quality(spark):
     assert sum((got[i] >= 0.5) == (rows[i][2] == 1) for i in held) >= 0.97 * len(held)
     assert got[900] == got[901] and 0 <= got[902] <= 1
     assert 0 < quality.score(docs, quality.fit(docs, labels.limit(0))).first()["quality_score"] < 1
+    assert quality.score(docs.limit(0), quality.fit(docs.limit(0), labels)).count() == 0
 
 
 def test_quality_by_brute_force(spark, sf):
