@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioforge.llm import embeddings, html, jaccard, licenses, media, mixing, ngram, pieces, pii, quality
+from folioforge.llm import embeddings, filters, html, jaccard, licenses, media, mixing, ngram, pieces, pii, quality, topk, whitening
 
 QUERIES = {
     "op1_license_scan": licenses.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_embedding_dedup": embeddings.query,
     "op9_quality": quality.query,
     "op10_html_extraction": html.query,
+    "op11_exact_topk": topk.query,
+    "op12_whitening": whitening.query,
+    "op13_filter_audit": filters.query,
 }
-ORACLES = {"op3_mix_sources": mixing.ORACLE}
+ORACLES = {"op3_mix_sources": mixing.ORACLE, "op11_exact_topk": topk.ORACLE, "op13_filter_audit": filters.ORACLE}
