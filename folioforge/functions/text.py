@@ -233,10 +233,17 @@ def scale_phrase(raw: Column) -> Column:
     return F.concat(digit, zeros)
 
 
+def is_hyphenated_break(before: Column, after: Column) -> Column:
+    """Whether a hyphen at a break only divides a word: it stands behind at least two characters with a letter, and a small letter follows."""
+    word = F.regexp_extract(F.regexp_replace(before, r"(?U)\s+$", ""), r"(?U)(\S+)\s*[-\u2010\u00AD]$", 1)
+    return F.coalesce((F.char_length(word) >= 2) & word.rlike(r"\p{L}") & F.regexp_replace(after, r"(?U)^\s+", "").rlike(r"^\p{Ll}"), F.lit(False))
+
+
 def merge_texts(before: Column, after: Column) -> Column:
-    """Two parts of a paragraph: a hyphen at the break goes with the space, else one space stands between."""
-    hyphen = F.rtrim(before).rlike(r"\p{L}-$")
-    return F.when(hyphen, F.concat(F.regexp_replace(F.rtrim(before), "-$", ""), F.ltrim(after))).otherwise(F.concat_ws(" ", F.nullif(F.rtrim(before), F.lit("")), F.nullif(F.ltrim(after), F.lit(""))))
+    """Two parts of a paragraph: a hyphen that divides a word goes with the break, else one space stands between."""
+    left, right = F.regexp_replace(F.coalesce(before, F.lit("")), r"(?U)\s+$", ""), F.regexp_replace(F.coalesce(after, F.lit("")), r"(?U)^\s+", "")
+    joined = F.concat(F.substring(left, F.lit(1), F.char_length(left) - 1), right)
+    return F.when(is_hyphenated_break(left, right), joined).otherwise(F.concat_ws(" ", F.nullif(left, F.lit("")), F.nullif(right, F.lit(""))))
 
 
 # ---- masking ----------------------------------------------------------------------------------------------------------

@@ -29,7 +29,7 @@ def dead_letters(records: DataFrame, bad: Column, value: str, longest: int = 655
     return records.where(bad).withColumn("value_sha256", F.sha2(F.col(value).cast("binary"), 256)).withColumn("value_pointer", F.when(long_, F.concat(F.lit("sha256:"), F.col("value_sha256")))).withColumn(value, F.when(~long_, F.col(value)))
 
 
-def _folded(df: DataFrame, keys: Sequence[str], order: Sequence[str], reads: Sequence[str], out: str, kind: T.DataType, begin: Callable[[], Callable]) -> DataFrame:
+def folded(df: DataFrame, keys: Sequence[str], order: Sequence[str], reads: Sequence[str], out: str, kind: T.DataType, begin: Callable[[], Callable]) -> DataFrame:
     """df with a column folded over each key's rows in order: begin() gives a key's step, a function from the columns read to the new value.
 
     Rows are dealt and sorted by Spark and streamed, so a task keeps one key's state and no group. Ties of the order go
@@ -70,7 +70,7 @@ def classify_deliveries(events: DataFrame, keys: Sequence[str], arrival: str, se
 
         return step
 
-    return _folded(events, keys, [arrival], [sequence], "delivery", T.StringType(), begin)
+    return folded(events, keys, [arrival], [sequence], "delivery", T.StringType(), begin)
 
 
 def sequence_gaps(events: DataFrame, keys: Sequence[str], sequence: str) -> DataFrame:
@@ -159,7 +159,7 @@ def sliding_limit(hits: DataFrame, key: str, ts: str, limit: int, seconds: int,
 
         return step
 
-    return _folded(hits, [key], [ts, *tie], [ts], "allowed", T.BooleanType(), begin)
+    return folded(hits, [key], [ts, *tie], [ts], "allowed", T.BooleanType(), begin)
 
 
 def progress_events(events: DataFrame, keys: Sequence[str], ts: str, done: str, total: str, seconds: float = 1.0) -> DataFrame:
