@@ -2,7 +2,8 @@
 
 Paragraphs pass points for their length and commas to their ancestors, less with each level; a container's points are
 discounted by link density and weighed by its tag and names; the best container and the siblings that read like it are
-kept. Names never remove what holds the best container; below and beside it they mark what is not the article.
+kept. A name of a class or id is a doubt and never a proof: what it names is left out only if the name says nothing
+else and a second sign agrees (links, form controls, names within, or a small share of the page's text).
 """
 
 from __future__ import annotations
@@ -39,51 +40,65 @@ _AGAINST = frozenset(
 )
 _FOR = frozenset("article content entry main post story text body hentry".split())
 _OF_OTHERS = frozenset("no not has have with without hide show is".split())
+#: Words that say no more of an element than its shape or place; a name of these and of words against it is a whole one.
+_SHAPES = frozenset(
+    "area bar block bottom box btn button buttons card center column container content div element footer form global group header holder icons inner inline item items left link links list main module "
+    "outer page panel placeholder post posts primary region right row secondary section site slot sticky thread top unit wrap wrapper x y".split()
+)
+_CONTROLS = frozenset("input button textarea select form".split())
 _AWAY_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 #: Weights of the score: the share that each level passes on; articles and mains; elements with names for and against
-#: them; the share of the best score that a sibling needs; link density of a menu.
-PASSED, ARTICLE, NAMED, DOUBTED, SIBLING, MENU = 0.8, 1.6, 1.25, 0.1, 0.2, 0.8
-
+#: them; what is left out; the share of the best score that a sibling needs; link density of a menu and of what a name
+#: doubts; the share of the page's unlinked text that is much.
+PASSED, ARTICLE, NAMED, UNNAMED, DOUBTED, SIBLING, MENU, LINKED, MUCH = 0.8, 1.6, 1.25, 0.9, 0.1, 0.2, 0.8, 0.3, 1 / 3
+#: Doubts: a word within a longer name, a whole id, a whole class.
+NONE, WORD, ID, CLASS = 0, 1, 2, 3
+#: Characters of a link beyond which a list of links in an article reads as references, on average.
+REFERENCE = 25
 
 class _Node:
-    __slots__ = ("tag", "parent", "block", "open", "items", "points", "away", "weight", "trust", "size", "linked", "links")
+    __slots__ = ("tag", "parent", "block", "open", "items", "points", "away", "weight", "trust", "size", "linked", "links", "doubt", "inside", "controls", "doubted", "around", "within", "titled")
 
-    def __init__(self, tag: str, parent: "_Node | None", away: bool, weight: float):
+    def __init__(self, tag: str, parent: "_Node | None", away: bool, weight: float, doubt: int = NONE, inside: bool = False):
         self.tag, self.parent, self.items, self.points, self.away, self.weight = tag, parent, [], 0.0, away, weight
-        self.size = self.linked = self.links = 0
+        self.doubt, self.inside, self.around, self.within, self.titled = doubt, inside, None, 0, 0
+        self.size = self.linked = self.links = self.controls = self.doubted = 0
         self.trust = 1.0
         # inline elements that are open are counted by the block that they are in
         self.block = parent.block if tag in _INLINE else self
         self.open: dict[str, int] = {}
 
 
-def _marks(tag: str, attrs: str, inside: bool) -> tuple[bool, float]:
-    """Whether an element reads as no part of an article, and the weight of its score. inside: of an article or main."""
+def _marks(tag: str, attrs: str, inside: bool) -> tuple[bool, float, int]:
+    """Whether an element can be no part of an article, the weight of its score, and what its names say against it. inside: of an article or main."""
     away = tag in _DROP or (tag == "header" and not inside)
     weight = ARTICLE if tag in ("article", "main") else 1.0
     if not attrs or attrs.isspace() or tag in ("html", "body"):
-        return away, weight
-    good = bad = False
+        return away, weight, NONE
+    good, doubt = False, NONE
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
             for token in value.split():
                 words = _NAME.findall(token)
                 if words and words[0] not in _OF_OTHERS:
+                    against = _AGAINST.intersection(words)
                     good = good or not _FOR.isdisjoint(words)
-                    bad = bad or not _AGAINST.isdisjoint(words) and not (inside and "header" in words)
+                    if against and not (inside and "header" in words):
+                        whole = all(w in against or w in _SHAPES for w in words)
+                        doubt = max(doubt, (CLASS if name == "class" else ID) if whole else WORD)
         elif name == "role":
             away = away or value in _AWAY_ROLES
             weight = max(weight, ARTICLE if value in ("main", "article") else 1.0)
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
             away = True
     # names that contradict each other say nothing, and no name speaks against an article
-    if bad and not good and tag not in ("article", "main"):
-        away = True
-    elif good and not bad:
-        weight = max(weight, NAMED)
-    return away, weight
+    if good or tag in ("article", "main"):
+        if good and not doubt:
+            weight = max(weight, NAMED)
+        return away, weight, NONE
+    return away, weight * (UNNAMED if doubt else 1.0), doubt
 
 
 def parse(page: str) -> _Node:
@@ -154,7 +169,7 @@ def parse(page: str) -> _Node:
                     x = x.parent.block
                 if x.tag in same:
                     node = close(x)
-        child = _Node(tag, node, *_marks(tag, m[3], inside > 0))
+        child = _Node(tag, node, *_marks(tag, m[3], inside > 0), inside > 0)
         node.items.append(child)
         if tag not in _VOID:
             if child.block is not child:
@@ -165,23 +180,66 @@ def parse(page: str) -> _Node:
     return root
 
 
+def _summed(order: list[_Node]) -> None:
+    """By node the sizes of all and of linked text, links, form controls and whole class names that doubt: without what lies in away nodes below."""
+    for x in order:
+        x.size = x.linked = x.links = x.controls = x.doubted = x.titled = 0
+    for x in reversed(order):
+        x.size += sum(len(y) - y.count(" ") // 2 for y in x.items if isinstance(y, str) and not y.isspace())
+        if x.tag == "a":
+            x.linked, x.links = x.size, 1
+        if x.tag in _HEADING:
+            x.titled = x.size - x.linked
+        if x.parent is not None:
+            x.parent.controls += x.controls + (x.tag in _CONTROLS)
+            x.parent.doubted += x.doubted + (x.doubt == CLASS)
+            if not x.away:
+                x.parent.size += x.size
+                x.parent.linked += x.linked
+                x.parent.links += x.links
+                x.parent.titled += x.titled
+
+
+def _left_out(x: _Node, total: int, elsewhere: int) -> bool:
+    """Whether what the names of an element say against it is borne out. total: unlinked text of the page; elsewhere: that of the article around or beside it, without its titles.
+
+    A word within a name needs a sign: links, form controls, or whole names within. A whole name needs none, unless it
+    is an id over a heading, as sections of articles have, or unless it holds much of the page and no other article is there.
+    """
+    if x.doubt == WORD or (x.doubt == ID and x.titled):
+        return (_density(x) > LINKED or x.controls > 0 or x.doubted > 0) and x.size - x.linked < MUCH * total
+    return x.size - x.linked < MUCH * total or (elsewhere > 0 and not x.within)
+
+
 def _measure(root: _Node) -> list[_Node]:
-    """All nodes, outer ones first, with the sizes of all and of linked text: without what lies in away nodes below."""
+    """All nodes, outer ones first, with their sizes, after the doubts were settled."""
     order, stack = [], [root]
     while stack:
         x = stack.pop()
         order.append(x)
+        stack.extend(y for y in x.items if isinstance(y, _Node))
+    _summed(order)
+    doubts = [x for x in order if x.doubt and not x.away]
+    if doubts:
+        total = root.size - root.linked
+        for x in order:  # the nearest article around
+            if x.parent is not None:
+                x.around = x.parent if x.parent.weight > 1 else x.parent.around
+        for x in reversed(order):  # the text of articles within
+            if x.weight > 1 and not x.doubt:
+                x.within = x.size - x.linked
+            if x.parent is not None and not x.away:
+                x.parent.within += x.within
+        settled = []
+        for x in doubts:
+            plain = lambda y: y.size - y.linked - y.titled
+            settled.append(_left_out(x, total, plain(x.around) - plain(x) if x.around is not None else root.within - x.within))
+        for x, away in zip(doubts, settled, strict=True):
+            x.away = away
+        _summed(order)
+    for x in order:
         if x.parent is not None:
             x.trust = x.parent.trust * (DOUBTED if x.away else 1.0)
-        stack.extend(y for y in x.items if isinstance(y, _Node))
-    for x in reversed(order):
-        x.size += sum(len(y) - y.count(" ") // 2 for y in x.items if isinstance(y, str) and not y.isspace())
-        if x.tag == "a":
-            x.linked, x.links = x.size, 1
-        if x.parent is not None and not x.away:
-            x.parent.size += x.size
-            x.parent.linked += x.linked
-            x.parent.links += x.links
     return order
 
 
@@ -242,8 +300,18 @@ def _texts(x: _Node) -> str:
 
 
 def _menu(x: _Node) -> bool:
-    """A list of links and nothing else."""
-    return x.tag in ("ul", "ol", "div", "table") and x.links >= 3 and _density(x) > MENU
+    """A list of links and nothing else; in an article only if its links are short and no heading stands right before it."""
+    if not (x.tag in ("ul", "ol", "div", "table") and x.links >= 3 and _density(x) > MENU):
+        return False
+    if not x.inside or x.parent is None:
+        return True
+    before = None
+    for y in x.parent.items:
+        if y is x:
+            break
+        if isinstance(y, _Node) and y.tag not in ("br", "hr") or isinstance(y, str) and not y.isspace():
+            before = y
+    return x.linked < REFERENCE * x.links and not (isinstance(before, _Node) and before.tag in _HEADING)
 
 
 def _reads_on(x: _Node, scores: dict[int, tuple[float, _Node]], top: float, weight: float) -> bool:

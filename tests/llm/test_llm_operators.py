@@ -660,6 +660,43 @@ def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+PARAGRAPHS = [f"Paragraph {i} has enough words, commas and text to read like an article about what matters to people." for i in range(6)]
+NAMES = "social-science search-engines side-effects banner-year comment-on-law header-compression skip-list login-security promo-code-review related-work tags".split()
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_names_of_an_article_are_no_proof(name):
+    body, want = "".join(f"<p>{p}</p>" for p in PARAGRAPHS), " ".join(PARAGRAPHS)
+    for own in ("class", "id"):
+        assert html.main_text(f'<body><div {own}="{name}">{body}</div><div class="box">Something of 24 charact</div></body>') == want
+    got = html.main_text(f'<body><nav><a href="x">menu</a></nav><article><h1>T</h1>{body}<section id="{name}"><h2>Sub</h2><p>More of it.</p></section></article><footer>foot</footer></body>')
+    assert got == f"T {want} Sub More of it."
+
+
+def test_references_are_kept_and_menus_are_not():
+    body, want = "".join(f"<p>{p}</p>" for p in PARAGRAPHS), " ".join(PARAGRAPHS)
+    titles = [f"Smith and others, a study of things, part {i}" for i in range(5)]
+    long_list = "<ul>" + "".join(f'<li><a href="/{i}">{t}</a></li>' for i, t in enumerate(titles)) + "</ul>"
+    short = "<ul><li><a>One</a></li><li><a>Two</a></li><li><a>Three</a></li></ul>"
+    assert html.main_text(f"<article>{body}{long_list}</article>") == want + " " + " ".join(titles)
+    assert html.main_text(f"<article>{body}<h2>See also</h2>{short}</article>") == want + " See also One Two Three"
+    assert html.main_text(f"<article>{body}{short}</article>") == html.main_text(f"<article>{short}{body}</article>") == want
+
+
+@pytest.mark.parametrize(
+    "junk",
+    [
+        '<div class="comments"><h3>Comments</h3><div class="comment"><p>I disagree, really, with all of this.</p></div></div>', '<div id="comments"><p>I disagree, really.</p></div>', '<div class="share-buttons"><a>x</a></div>', '<div class="ad">Buy this now, please do.</div>', "<aside>Side</aside>",
+        '<div class="cookie-banner">We use cookies.</div>', '<div class="newsletter-signup"><p>Join us</p><input></div>', '<div id="sidebar"><p>Latest news, and others.</p></div>', '<div class="related-posts"><a>One more story of it</a></div>', "<ul><li><a>A</a></li><li><a>B</a></li><li><a>C</a></li></ul>",
+        '<div class="breadcrumb"><a>Home</a> &gt; <a>News</a></div>', '<div class="site-notice">Notice: this site, now.</div>', '<section class="comments">' + '<div class="comment"><p>I say a word, or two, of it all.</p></div>' * 60 + "</section>",
+    ],
+)
+def test_what_is_not_the_article(junk):
+    body, want = "".join(f"<p>{p}</p>" for p in PARAGRAPHS), "T " + " ".join(PARAGRAPHS)
+    for page in (f"<body><article><h1>T</h1>{body}</article>{junk}</body>", f"<body>{junk}<article><h1>T</h1>{body}</article></body>", f"<body><article><h1>T</h1>{body}{junk}</article></body>", f"<body><div class=wrap><div><h1>T</h1>{body}</div>{junk}</div></body>"):
+        assert html.main_text(page) == want
+
+
 def test_main_text_is_what_a_plain_reading_of_the_article_gives(spark, sf):
     import html as entities
 
@@ -669,7 +706,7 @@ def test_main_text_is_what_a_plain_reading_of_the_article_gives(spark, sf):
         assert html.main_text(r["html"]) == " ".join(entities.unescape(text).split())
 
 
-@pytest.mark.parametrize("page", ["<b>" * 30000 + "</i>" * 30000, "<i><div>" + "<b>" * 30000 + "</i>" * 30000, "<p><div>" + "<b>" * 20000 + "<p></p>" * 20000, "<div>" * 30000 + "x", "<a title='" * 3000])
+@pytest.mark.parametrize("page", ["<b>" * 30000 + "</i>" * 30000, "<i><div>" + "<b>" * 30000 + "</i>" * 30000, "<p><div>" + "<b>" * 20000 + "<p></p>" * 20000, "<div class=ad>" * 30000 + "x", "<article><div class=ad>" * 15000 + "x", "<div>" * 30000 + "x", "<a title='" * 3000])
 def test_parsing_is_linear(page):
     import time
 
