@@ -3,7 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.operators import frames as FR
 from folioforge.operators import reconstruct as R
+from folioforge.operators import structure as S
 from folioforge.plans.catalog import query, read
 
 #: What stands before a block of a cut document, by (place + doc_id) % 9.
@@ -112,3 +114,86 @@ def reconstructed_tables(spark: SparkSession, sf: str) -> DataFrame:
     none = {c: F.lit(None).cast(k) for c, k in (("y0", "double"), ("y1", "double"), ("page_height", "double"), ("font_size", "double"), ("bold", "boolean"))}
     blocks = R.content(rows.unionByName(heads).withColumn("block_no", F.col("block_no").cast("long")).withColumn("type", F.lit("table_row")).withColumns(none))
     return R.table_rows(blocks, R.boundaries(blocks)).select(F.col("doc").alias("o_custkey"), "table_no", "row_no", "values", "pages", "page_start", "page_end")
+
+
+# ---- outlines ---------------------------------------------------------------------------------------------------------
+
+_LEVEL = "CASE WHEN coalesce(length(text), 0) % 5 = 0 THEN NULL ELSE coalesce(length(text), 0) % 4 + 1 END"
+
+
+@query(
+    f"""WITH RECURSIVE r AS (SELECT conv_id, turn, ({_LEVEL})::INT AS level FROM conversations),
+p AS (SELECT a.conv_id, a.turn, a.level, max(b.turn) AS parent FROM r a LEFT JOIN r b ON a.conv_id = b.conv_id AND b.turn < a.turn AND b.level IS NOT NULL AND (a.level IS NULL OR b.level < a.level) GROUP BY 1, 2, 3),
+d AS (SELECT conv_id, turn, level, parent, (level IS NOT NULL)::INT AS depth FROM p WHERE parent IS NULL
+  UNION ALL SELECT p.conv_id, p.turn, p.level, p.parent, d.depth + (p.level IS NOT NULL)::INT FROM p JOIN d ON p.conv_id = d.conv_id AND p.parent = d.turn)
+SELECT d.conv_id, d.turn, d.parent, d.depth::INT AS depth, coalesce(d.level > coalesce(u.level, 0) + 1, false) AS skipped FROM d LEFT JOIN r u ON u.conv_id = d.conv_id AND u.turn = d.parent"""
+)
+def conversation_outlines(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as headings whose level their length gives; some are content."""
+    rows = read(spark, sf, "conversations").selectExpr("conv_id", "turn", f"{_LEVEL} AS level")
+    return S.outline(rows, ["conv_id"], "turn", "level").select("conv_id", F.col("turn").cast("int").alias("turn"), F.col("parent").cast("int").alias("parent"), "depth", "skipped")
+
+
+#: What a node of a cut document is labelled, by a hash of its place.
+LABELS = ["Điều 1. Giá", "Phụ lục 2 - Bảng giá", "Phụ lục 2 quy định giá", "Chương 3", "Khoản a", "Bên A", "Bảng", "Mục 4: Phạt"]
+
+
+def _nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """The turns of conversations as nodes of files: types, labels and parents follow from place and text; some files have no root, some several."""
+    c = read(spark, sf, "conversations").select("conv_id", "turn", F.coalesce(F.char_length("text"), F.lit(0)).alias("n"))
+    pick = F.pmod(F.col("n") * 7 + F.col("turn") * 3 + F.col("conv_id"), F.lit(11)).cast("int")
+    kind = F.when((F.col("turn") == 0) & (F.col("conv_id") % 3 > 0), "SECTION").when(pick < 4, "SECTION").when(pick < 6, "CLAUSE").when(pick == 6, "TABLE").when(pick < 9, "FIELD").otherwise("BLOCK")
+    label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), F.pmod(F.col("n") + F.col("turn"), F.lit(len(LABELS))).cast("int") + 1)
+    parent = F.when((F.col("turn") == 0) | (F.col("conv_id") % 9 == 8) & (pick == 3), None).otherwise(F.concat(F.lit("n"), F.floor(F.col("n") * F.col("turn") / 50) % (F.col("turn") + 2)))
+    return c.select(F.col("conv_id").alias("file"), F.concat(F.lit("n"), "turn").alias("node_id"), kind.alias("type"), label.alias("label"), parent.alias("parent_id"), F.floor(F.col("turn") / 3).alias("page"), F.col("turn").alias("ord"), F.when(F.col("n") % 2 == 0, "party_a").otherwise("price").alias("structured_key"))
+
+
+@query()
+def repaired_structure(spark: SparkSession, sf: str) -> DataFrame:
+    return S.repaired(_nodes(spark, sf))
+
+
+# ---- frames -----------------------------------------------------------------------------------------------------------
+
+_WHO, _MODE, _DOES = ["Bên A", "Bên B", "Hai bên"], [" phải ", " không được ", " được phép ", " "], ["thanh toán", "giao hàng", "bồi thường", "thông báo", "chấm dứt", "tiết lộ"]
+_PICK = lambda xs, n: "[" + ", ".join(f"'{x}'" for x in xs) + f"][doc_id % {n} + 1]"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, text, n_chars, {_PICK(["A", "B", "BOTH"], 3)} AS who, {_PICK(["REQUIRED", "PROHIBITED", "PERMITTED", "REQUIRED"], 4)} AS mode, {_PICK(["PAY", "DELIVER", "COMPENSATE", "NOTIFY", "TERMINATE", "DISCLOSE"], 6)} AS does FROM documents)
+SELECT doc_id, CASE mode WHEN 'PROHIBITED' THEN 'PROHIBITION' WHEN 'PERMITTED' THEN 'RIGHT' ELSE CASE WHEN does = 'COMPENSATE' THEN 'REMEDY' ELSE 'OBLIGATION' END END AS family, who AS actor, mode AS modality, does AS action,
+  CASE WHEN does IN ('PAY', 'DELIVER', 'COMPENSATE') THEN 'phần này' END AS object_scope, n_chars::VARCHAR AS amount, 'VND' AS currency, (doc_id % 50 + 1)::VARCHAR AS deadline, CASE WHEN doc_id % 2 = 0 THEN 'day' ELSE 'month' END AS deadline_unit,
+  CASE WHEN doc_id % 5 = 0 THEN 'bên kia chậm' END AS condition, (1 + len([x FOR x IN string_split(coalesce(text, ''), ';') IF trim(x, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') <> '']))::BIGINT AS n_frames FROM d"""
+)
+def clause_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """A clause of a planted grammar before each whole text, and the frames of both."""
+    d = read(spark, sf, "documents")
+    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("doc_id") % len(xs)).cast("int") + 1)
+    clause = F.concat(pick(_WHO), pick(_MODE), pick(_DOES), F.lit(" phần này "), F.col("n_chars").cast("string"), F.lit(" VND trong vòng "), (F.col("doc_id") % 50 + 1).cast("string"), F.when(F.col("doc_id") % 2 == 0, " ngày").otherwise(" tháng"), F.when(F.col("doc_id") % 5 == 0, " nếu bên kia chậm").otherwise(""))
+    frames = FR.extract_frames(d.select("doc_id", F.concat(clause, F.lit(";"), F.coalesce("text", F.lit(""))).alias("text")), ["doc_id"], {})
+    value = lambda s: F.max(F.when(F.col("at") == 0, F.col("slots")[s]["value"]))
+    names = {"actor": "actor", "modality_negation": "modality", "action": "action", "object_scope": "object_scope", "amount": "amount", "currency": "currency", "deadline": "deadline", "deadline_unit": "deadline_unit", "condition": "condition"}
+    return frames.groupBy("doc_id").agg(F.max(F.when(F.col("at") == 0, F.col("family"))).alias("family"), *[value(k).alias(v) for k, v in names.items()], F.count("*").alias("n_frames"))
+
+
+_SWEEP = """WITH p AS (SELECT l_suppkey, l_shipdate::DATE AS s, (l_shipdate::DATE + l_linenumber::INT)::DATE AS e FROM lineitem),
+t AS (SELECT l_suppkey, s AS day FROM p UNION SELECT l_suppkey, e FROM p),
+c AS (SELECT t.l_suppkey, t.day, (SELECT count(*) FROM p WHERE p.l_suppkey = t.l_suppkey AND p.s <= t.day AND t.day < p.e) AS n FROM t),
+k AS (SELECT * FROM c QUALIFY n IS DISTINCT FROM lag(n) OVER (PARTITION BY l_suppkey ORDER BY day)),
+o AS (SELECT l_suppkey, day AS "from", lead(day) OVER (PARTITION BY l_suppkey ORDER BY day) AS "to", n FROM k)
+"""
+
+
+def _shipping(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "lineitem").select("l_suppkey", F.col("l_shipdate").cast("date").alias("s"), F.date_add(F.col("l_shipdate").cast("date"), F.col("l_linenumber").cast("int")).alias("e"))
+
+
+@query(_SWEEP + """SELECT l_suppkey, "from", "to", n FROM o WHERE "to" IS NOT NULL""")
+def periods_in_force(spark: SparkSession, sf: str) -> DataFrame:
+    """How many line items of each supplier are under way, by stretches of time."""
+    return FR.coverage(_shipping(spark, sf), ["l_suppkey"], "s", "e")
+
+
+@query(_SWEEP + """SELECT l_suppkey, "from", "to" FROM o WHERE "to" IS NOT NULL AND n = 0""")
+def coverage_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    return FR.gaps(_shipping(spark, sf), ["l_suppkey"], "s", "e")
