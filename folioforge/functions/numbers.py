@@ -68,30 +68,38 @@ SILENT_WORDS = ("đồng", "chẵn", "chẳn")
 
 
 def vn_words_to_number(text: Column) -> Column:
-    """Number words as a number, by one fold over the words: the open group, its open digit (-1 for none), and the total.
+    """Number words as a number, by one fold over the words.
 
-    Null for a word that is none, for two digits in a row, for a digit before "mười" or "linh", for no digit before
-    "trăm" or "mươi", and for a scale without a number before it.
+    The state is the total, the open group of up to three places, its open digit (-1 for none), the lowest place that is
+    filled (3 for none, 2 hundreds, 1 tens), the last scale, and whether a zero word waits for its digit. Places fall
+    within a group, and scales from group to group. Null for what is no such number: an unknown word, two digits in a row,
+    a place or scale that doesn't fall or has no digit before it, a zero word without its digit.
     """
     words = F.filter(F.split(F.lower(F.trim(text)), r"[\s,]+"), lambda w: (w != "") & ~w.isin(*SILENT_WORDS))
     digit = F.create_map(*[F.lit(x) for k, v in DIGIT_WORDS.items() for x in (k, v)])
     scale = F.create_map(*[F.lit(x) for k, v in SCALE_WORDS.items() for x in (k, v)])
-    state = lambda total, group, open_, ok: F.struct(total.cast("decimal(38,0)").alias("total"), group.cast("long").alias("group"), open_.cast("long").alias("open"), ok.alias("ok"))
+    names = {"total": "decimal(38,0)", "group": "long", "open": "long", "place": "int", "scale": "long", "waits": "boolean", "ok": "boolean"}
+
+    def state(s: Column | None, **now) -> Column:
+        value = lambda k: now[k] if k in now else s[k]
+        return F.struct(*[(value(k) if isinstance(value(k), Column) else F.lit(value(k))).cast(t).alias(k) for k, t in names.items()])
 
     def step(s: Column, w: Column) -> Column:
-        none, has = F.lit(-1), s["open"] >= 0
-        now = s["group"] + F.greatest(s["open"], F.lit(0))
+        has = s["open"] >= 0
+        group = s["group"] + F.greatest(s["open"], F.lit(0))
+        big = scale[w]
         return (
-            F.when(scale[w].isNotNull(), state(s["total"] + now * scale[w], F.lit(0), none, s["ok"] & (has | (s["group"] > 0))))
-            .when(w == "trăm", state(s["total"], s["group"] + s["open"] * 100, none, s["ok"] & has))
-            .when(w == "mươi", state(s["total"], s["group"] + s["open"] * 10, none, s["ok"] & has))
-            .when(w == "mười", state(s["total"], s["group"] + 10, none, s["ok"] & ~has))
-            .when(w.isin("linh", "lẻ"), state(s["total"], s["group"], none, s["ok"] & ~has))
-            .when(digit[w].isNotNull(), state(s["total"], s["group"], digit[w], s["ok"] & ~has))
-            .otherwise(state(s["total"], s["group"], s["open"], F.lit(False)))
+            F.when(big.isNotNull(), state(s, total=s["total"] + group * big, group=0, open=-1, place=3, scale=big, ok=s["ok"] & (has | (s["group"] > 0)) & ~s["waits"] & (big < s["scale"])))
+            .when(w == "trăm", state(s, group=s["open"] * 100, open=-1, place=2, ok=s["ok"] & has & (s["place"] == 3)))
+            .when(w == "mươi", state(s, group=s["group"] + s["open"] * 10, open=-1, place=1, ok=s["ok"] & has & (s["place"] > 1)))
+            .when(w == "mười", state(s, group=s["group"] + 10, place=1, ok=s["ok"] & ~has & (s["place"] > 1)))
+            .when(w.isin("linh", "lẻ"), state(s, place=1, waits=True, ok=s["ok"] & ~has & (s["place"] > 1)))
+            .when(digit[w].isNotNull(), state(s, open=digit[w], waits=False, ok=s["ok"] & ~has))
+            .otherwise(state(s, ok=False))
         )
 
-    end = F.aggregate(words, state(F.lit(0), F.lit(0), F.lit(-1), F.lit(True)), step, lambda s: F.when(s["ok"], s["total"] + s["group"] + F.greatest(s["open"], F.lit(0))))
+    begin = state(None, total=0, group=0, open=-1, place=3, scale=10**18, waits=False, ok=True)
+    end = F.aggregate(words, begin, step, lambda s: F.when(s["ok"] & ~s["waits"], s["total"] + s["group"] + F.greatest(s["open"], F.lit(0))))
     return F.when(F.size(words) > 0, end)
 
 

@@ -3,10 +3,12 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.operators import context as CX
 from folioforge.operators import frames as FR
 from folioforge.operators import reconstruct as R
 from folioforge.operators import structure as S
 from folioforge.plans.catalog import query, read
+from folioforge.plans.scalars import fold_sql
 
 #: What stands before a block of a cut document, by (place + doc_id) % 9.
 _MARKS = {0: "Điều {n}. ", 2: "(a) ", 3: "(b) ", 5: "4.2 ", 6: "i) ", 7: "j) "}
@@ -197,3 +199,45 @@ def periods_in_force(spark: SparkSession, sf: str) -> DataFrame:
 @query(_SWEEP + """SELECT l_suppkey, "from", "to" FROM o WHERE "to" IS NOT NULL AND n = 0""")
 def coverage_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return FR.gaps(_shipping(spark, sf), ["l_suppkey"], "s", "e")
+
+
+# ---- context ----------------------------------------------------------------------------------------------------------
+
+#: What is planted before a document's text, in Spark's and DuckDB's SQL alike.
+_PLANTED = r"""(CASE WHEN doc_id % 7 = 0 THEN concat('PHỤ LỤC 0', doc_id % 5 + 1, chr(10)) ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN concat('theo phụ lục ', doc_id % 9 + 1, '. ') ELSE '' END
+  || CASE WHEN doc_id % 11 = 0 THEN 'hợp đồng kèm theo. ' ELSE '' END || CASE WHEN doc_id % 4 = 0 THEN concat('sửa đổi Điều ', doc_id % 6 + 1, ' ngày 1/2/2024. ') ELSE '' END || coalesce(text, ''))"""
+
+
+def _placed(spark: SparkSession, sf: str) -> DataFrame:
+    """Each source as a contract of one file whose pages are its documents."""
+    d = read(spark, sf, "documents").where("source IS NOT NULL").selectExpr("source AS dossier", "source AS file", "doc_id AS page", "doc_id AS ord", "CAST(doc_id AS string) AS node_id", f"{_PLANTED} AS text")
+    files = d.select("dossier", "file").distinct().withColumn("role", F.lit("body"))
+    return CX.placed(d, d.select("dossier", "file", "page", "text"), files)
+
+
+_CONTEXT = rf"""WITH d AS (SELECT source AS dossier, doc_id, {_PLANTED} AS t FROM documents WHERE source IS NOT NULL),
+m AS (SELECT *, {fold_sql('t')} AS f, regexp_extract({fold_sql('(string_split(t, chr(10))[1])')}, '^phu luc (?:so ?)?([0-9]+)(?:[^a-z0-9_]|$)', 1) AS mark FROM d),
+o AS (SELECT *, CASE WHEN mark <> '' AND row_number() OVER (PARTITION BY dossier, mark ORDER BY doc_id) = 1 THEN mark END AS opens FROM m),
+p AS (SELECT *, last_value(opens IGNORE NULLS) OVER (PARTITION BY dossier ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS annex FROM o),
+"""
+
+
+@query(_CONTEXT + """x AS (SELECT 1) SELECT dossier, coalesce('annex:' || annex, 'body') AS part, CASE WHEN annex IS NULL THEN 'BODY' ELSE 'ANNEX' END AS kind, annex, count(*) AS n_nodes, min(doc_id) AS first_page, max(doc_id) AS last_page FROM p GROUP BY dossier, annex""")
+def contract_parts(spark: SparkSession, sf: str) -> DataFrame:
+    return CX.parts(_placed(spark, sf))
+
+
+@query(
+    _CONTEXT
+    + r"""said AS (SELECT DISTINCT dossier, doc_id, unnest(regexp_extract_all(f, '(?:^|[^a-z0-9_])phu luc (?:so ?)?([0-9]+)', 1)) AS raw FROM p WHERE annex IS NULL),
+named AS (SELECT dossier, ltrim(raw, '0') AS k, list(DISTINCT doc_id ORDER BY doc_id) AS ids FROM said GROUP BY 1, 2),
+own AS (SELECT dossier, annex, min(doc_id) AS first, list(doc_id ORDER BY doc_id) AS ids, coalesce(list(doc_id ORDER BY doc_id) FILTER (contains(f, 'hop dong') AND (contains(f, 'kem theo') OR contains(f, 'so '))), []) AS tied,
+  bool_or(regexp_matches(f, '(?:^|[^a-z0-9_])(?:sua doi|thay the|dieu chinh|bo sung|cap nhat|amend)(?:[^a-z0-9_]|$)')) AS changes,
+  list_sort(list_distinct(flatten(list(regexp_extract_all(f, '(?:^|[^a-z0-9_])dieu ([0-9]+(?:\.[0-9]+)?)', 1))))) AS clauses FROM p WHERE annex IS NOT NULL GROUP BY 1, 2),
+met AS (SELECT own.*, list_concat(coalesce(named.ids, []), tied) AS refs FROM own LEFT JOIN named ON own.dossier = named.dossier AND ltrim(own.annex, '0') = named.k)
+SELECT dossier, CASE WHEN len(refs) > 0 THEN 'PART_LINK' ELSE 'CONTEXT_GAP' END AS kind, 'annex:' || annex AS subject, CASE WHEN len(refs) > 0 THEN 'PASS' ELSE 'NEEDS_REVIEW' END AS state, CASE WHEN len(refs) > 0 THEN 'REFERENCES' END AS relation, array_to_string(CASE WHEN len(refs) > 0 THEN refs ELSE [first] END, ',') AS nodes, '' AS clauses FROM met
+UNION ALL SELECT dossier, 'AMENDMENT_SIGNAL', 'annex:' || annex, 'NEEDS_REVIEW', 'AMENDS', array_to_string(ids, ','), array_to_string(clauses, ',') FROM own WHERE changes
+UNION ALL SELECT dossier, 'CONTEXT_GAP', 'annex:' || raw, 'NEEDS_REVIEW', NULL, min(doc_id)::VARCHAR, '' FROM said WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.dossier = said.dossier AND ltrim(own.annex, '0') = ltrim(said.raw, '0')) GROUP BY dossier, raw"""
+)
+def contract_context(spark: SparkSession, sf: str) -> DataFrame:
+    return CX.findings(_placed(spark, sf)).select("dossier", "kind", "subject", "state", "relation", F.array_join("nodes", ",").alias("nodes"), F.array_join("details.clauses", ",").alias("clauses"))

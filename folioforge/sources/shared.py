@@ -11,13 +11,18 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, the warehouse, or in local mode a temporary folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, in local mode a temporary folder, else the warehouse, which must then not be a folder of each machine."""
     sc = spark.sparkContext
     if found := sc.getConf().get("spark.checkpoint.dir"):
         return found.rstrip("/")
     if sc.applicationId not in _own_dir:
-        local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
-        _own_dir[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="folioforge-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/folioforge-" + sc.applicationId
+        if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+            _own_dir[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="folioforge-")
+        else:
+            warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+            if warehouse.startswith(("file:", "/")):
+                raise ValueError("set spark.checkpoint.dir: the warehouse is a local folder, of which each machine has its own")
+            _own_dir[sc.applicationId] = f"{warehouse}/folioforge-{sc.applicationId}"
     return _own_dir[sc.applicationId]
 
 

@@ -45,6 +45,13 @@ def test_number_words(spark, words, want):
     assert one(spark, words, N.vn_words_to_number) == want
 
 
+def test_what_is_no_number_in_words(spark):
+    bad = ["ba trăm hai trăm", "ba mươi hai mươi", "mười mười", "hai mươi ba trăm", "linh", "hai triệu ba triệu", "hai nghìn ba triệu", "năm trăm linh", "năm trăm linh nghìn", "trăm", "hai ba", "linh linh năm", "hai mươi mười", "năm linh hai mươi", "triệu", "x"]
+    good = {"năm trăm linh năm": 505, "một trăm mười": 110, "hai mươi mốt": 21, "không": 0, "một tỷ hai triệu ba nghìn bốn": 1_002_003_004, "linh năm": 5, "ba trăm hai mươi": 320, "mười hai nghìn": 12_000}
+    df = spark.createDataFrame([(b,) for b in [*bad, *good]], "t string").select(N.vn_words_to_number(F.col("t")).alias("n")).collect()
+    assert [r["n"] for r in df] == [None] * len(bad) + list(good.values())
+
+
 def test_amount_words(spark):
     assert one(spark, "1.286.400.000 đồng (Bằng chữ: Một tỷ hai trăm tám mươi sáu triệu bốn trăm nghìn đồng)", N.amount_words_mismatch) is False
     assert one(spark, "1.286.400.001 đồng (Bằng chữ: Một tỷ hai trăm tám mươi sáu triệu bốn trăm nghìn đồng)", N.amount_words_mismatch) is True
