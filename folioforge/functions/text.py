@@ -235,8 +235,11 @@ def scale_phrase(raw: Column) -> Column:
 
 def is_hyphenated_break(before: Column, after: Column) -> Column:
     """Whether a hyphen at a break only divides a word: it stands behind at least two characters with a letter, and a small letter follows."""
-    word = F.regexp_extract(F.regexp_replace(before, r"(?U)\s+$", ""), r"(?U)(\S+)\s*[-\u2010\u00AD]$", 1)
-    return F.coalesce((F.char_length(word) >= 2) & word.rlike(r"\p{L}") & F.regexp_replace(after, r"(?U)^\s+", "").rlike(r"^\p{Ll}"), F.lit(False))
+    left = F.regexp_replace(before, r"(?U)\s+$", "")
+    word = F.regexp_extract(left, r"(?U)(\S+)\s*[-\u2010\u00AD]$", 1)
+    # most texts end without a hyphen, which is the cheap thing to see
+    ends = F.right(left, F.lit(1)).isin("-", "\u2010", "\u00ad")
+    return F.coalesce(ends & (F.char_length(word) >= 2) & word.rlike(r"\p{L}") & F.regexp_replace(after, r"(?U)^\s+", "").rlike(r"^\p{Ll}"), F.lit(False))
 
 
 def merge_texts(before: Column, after: Column) -> Column:

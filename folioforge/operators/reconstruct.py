@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from folioforge.functions.text import fold, is_hyphenated_break
 from folioforge.operators.events import folded
 from folioforge.operators.facts import final_confidence
+from folioforge.sources.shared import written
 
 # Types without text of the document, weights of the signals, bars.
 FURNITURE = ("header", "footer", "page_number", "watermark", "figure")
@@ -176,11 +177,22 @@ def boundaries(marked: DataFrame) -> DataFrame:
     )
 
 
+def resolved_pages(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """blocks with is_content and their boundaries, both written: segments and tables read them more than once."""
+    marked = written(content(blocks), "reconstruct-blocks")
+    return marked, written(boundaries(marked), "reconstruct-breaks")
+
+
+#: Characters at the end of a text by which the next hyphen is judged.
+TAIL = 1000
+
+
 def segments(marked: DataFrame, found: DataFrame) -> DataFrame:
     """(doc, segment_no, text, page_start, page_end, was_merged, confidence, source): blocks of text in order, those that a break cut through made one again over as many pages as they run.
 
-    A page's first block goes on with the page before where the break between the two merges blocks; text and the spans
-    of its sources are folded over a segment's few blocks, as a hyphen is judged by the text so far.
+    A page's first block goes on with the page before where the break between the two merges blocks. A hyphen is judged
+    by the text so far, of which the fold over a segment's blocks carries the end alone, with its length; the text itself
+    is joined once, so a document that is one paragraph costs no more than another.
     """
     w = W.partitionBy("doc").orderBy("page", "block_no")
     text = marked.where(F.col("is_content") & (F.col("type") != "table_row")).select("doc", "page", "block_no", "text")
@@ -188,23 +200,30 @@ def segments(marked: DataFrame, found: DataFrame) -> DataFrame:
     merging = found.where("action = 'MERGE_BLOCKS'").select("doc", F.col("previous_page").alias("_page"), F.col("next_page").alias("page"), F.col("confidence").alias("_sure"))
     joined = text.join(merging, ["doc", "_page", "page"], "left")
     joined = joined.withColumn("segment_no", F.sum(F.when(F.col("_sure").isNull(), 1).otherwise(0)).over(w))
-    parts = joined.groupBy("doc", "segment_no").agg(F.array_sort(F.collect_list(F.struct("page", "block_no", "text"))).alias("parts"), F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.least(F.lit(1.0), F.coalesce(F.min("_sure"), F.lit(1.0))).alias("confidence"))
-    ref = lambda p, start, end: F.struct(p["page"].alias("page"), p["block_no"].alias("block_no"), start.cast("int").alias("char_start"), end.cast("int").alias("char_end"))
-    empty = F.struct(F.lit("").alias("text"), F.array().cast("array<struct<page:bigint,block_no:bigint,char_start:int,char_end:int>>").alias("refs"))
+    core = F.regexp_replace("text", r"(?U)^\s+", "")
+    joined = joined.withColumn("core", F.when(F.col("_sure").isNull(), strip(F.col("text"))).otherwise(core)).withColumn("trimmed", F.regexp_replace("core", r"(?U)\s+$", ""))
+    part = F.struct(F.col("page").cast("long").alias("page"), F.col("block_no").cast("long").alias("block_no"), "core", "trimmed", F.right("trimmed", F.lit(TAIL)).alias("tail"), F.left("core", F.lit(4)).alias("head"), F.char_length("core").alias("n"), F.char_length("trimmed").alias("m"))
+    parts = joined.groupBy("doc", "segment_no").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.least(F.lit(1.0), F.coalesce(F.min("_sure"), F.lit(1.0))).alias("confidence"))
+    place = "struct<cut:boolean,start:int,end:int>"
+    at = lambda cut, start, p: F.struct(cut.alias("cut"), start.cast("int").alias("start"), (start + p["n"]).cast("int").alias("end"))
+    begin = F.struct(F.lit("").alias("tail"), F.lit(0).alias("size"), F.array().cast(f"array<{place}>").alias("out"))
 
     def step(acc: Column, p: Column) -> Column:
-        first = F.size(acc["refs"]) == 0
-        before, after = F.regexp_replace(acc["text"], r"(?U)\s+$", ""), F.regexp_replace(p["text"], r"(?U)^\s+", "")
-        cut = is_hyphenated_break(before, after)
-        whole = F.when(first, strip(p["text"])).when(cut, F.concat(F.substring(before, F.lit(1), F.char_length(before) - 1), after)).otherwise(F.concat(before, F.lit(" "), after))
-        start = F.when(first, F.lit(0)).otherwise(F.char_length(whole) - F.char_length(after))
-        n = F.size(acc["refs"])
-        shorter = F.transform(acc["refs"], lambda r, i: F.when(cut & (i == n - 1), ref(r, r["char_start"], r["char_end"] - 1)).otherwise(r))
-        return F.struct(whole.alias("text"), F.concat(F.when(first, acc["refs"]).otherwise(shorter), F.array(ref(p, start, F.char_length(whole)))).alias("refs"))
-
-    typed = F.transform("parts", lambda p: F.struct(p["page"].cast("long").alias("page"), p["block_no"].cast("long").alias("block_no"), p["text"].alias("text")))
-    done = parts.withColumn("_f", F.aggregate(typed, empty, step))
-    return done.select("doc", "segment_no", F.col("_f.text").alias("text"), "page_start", "page_end", (F.size("parts") > 1).alias("was_merged"), "confidence", F.col("_f.refs").alias("source"))
+        first = F.size(acc["out"]) == 0
+        cut = ~first & is_hyphenated_break(acc["tail"], p["head"])
+        start = F.when(first, 0).otherwise(acc["size"] + F.when(cut, -1).otherwise(1))
+        before = F.when(first, "").when(cut, F.left(acc["tail"], F.char_length(acc["tail"]) - 1)).otherwise(F.concat(acc["tail"], F.lit(" ")))
+        return F.struct(F.right(F.concat(before, p["tail"]), F.lit(TAIL)).alias("tail"), (start + p["m"]).cast("int").alias("size"), F.concat(acc["out"], F.array(at(cut, start, p))).alias("out"))
+
+    one = F.transform("parts", lambda p: at(F.lit(False), F.lit(0), p))
+    done = parts.withColumn("_at", F.when(F.size("parts") > 1, F.aggregate("parts", begin, step, lambda acc: acc["out"])).otherwise(one))
+    last = F.size("parts") - 1
+    cut_after = lambda i: F.coalesce(F.get("_at", i + 1)["cut"], F.lit(False))
+    body = lambda p, i: F.when(i == last, p["core"]).when(cut_after(i), F.left(p["trimmed"], p["m"] - 1)).otherwise(p["trimmed"])
+    gap = lambda i: F.when((i == 0) | F.get("_at", i)["cut"], "").otherwise(" ")
+    whole = F.array_join(F.transform("parts", lambda p, i: F.concat(gap(i), body(p, i))), "")
+    source = F.transform("parts", lambda p, i: F.struct(p["page"].alias("page"), p["block_no"].alias("block_no"), F.get("_at", i)["start"].alias("char_start"), (F.get("_at", i)["end"] - F.when(cut_after(i), 1).otherwise(0)).alias("char_end")))
+    return done.select("doc", "segment_no", whole.alias("text"), "page_start", "page_end", (F.size("parts") > 1).alias("was_merged"), "confidence", source.alias("source"))
 
 
 class _Tree:

@@ -22,7 +22,7 @@ def _numbered(spark: SparkSession, sf: str) -> DataFrame:
     mark = F.lit("")
     for k, m in _MARKS.items():
         mark = F.when(phase == k, F.replace(F.lit(m), F.lit("{n}"), n)).otherwise(mark)
-    return R.content(b.withColumn("text", F.concat(mark, "text")))
+    return b.withColumn("text", F.concat(mark, "text"))
 
 
 def _case(pairs: list[tuple[str, str]], other: str) -> str:
@@ -74,7 +74,7 @@ WITH RECURSIVE words AS (
   CASE WHEN action IN ('CONTINUE_LIST', 'ATTACH_CHILD') THEN parent WHEN action = 'NEW_CLAUSE' OR (action = 'MERGE_BLOCKS' AND scoped) THEN section END AS parent_id FROM decided"""
 )
 def page_boundaries(spark: SparkSession, sf: str) -> DataFrame:
-    return R.boundaries(_numbered(spark, sf)).select(F.col("doc").alias("doc_id"), "previous_page", "action", "relationship", "entity_type", "node_id", "parent_id")
+    return R.resolved_pages(_numbered(spark, sf))[1].select(F.col("doc").alias("doc_id"), "previous_page", "action", "relationship", "entity_type", "node_id", "parent_id")
 
 
 @query(
@@ -91,15 +91,13 @@ SELECT doc_id, segment_no::BIGINT AS segment_no, min(page) AS page_start, max(pa
   md5(string_agg(CASE WHEN glued AND NOT hyphen THEN ' ' ELSE '' END || CASE WHEN loses THEN left(t, length(t) - 1) ELSE t END, '' ORDER BY pos)) AS text FROM numbered GROUP BY 1, 2"""
 )
 def reconstructed_segments(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = _numbered(spark, sf)
-    got = R.segments(blocks, R.boundaries(blocks))
+    got = R.segments(*R.resolved_pages(_numbered(spark, sf)))
     return got.select(F.col("doc").alias("doc_id"), "segment_no", "page_start", "page_end", "was_merged", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
 @query()
 def reconstructed_clauses(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = _numbered(spark, sf)
-    got = R.clauses(R.segments(blocks, R.boundaries(blocks)))
+    got = R.clauses(R.segments(*R.resolved_pages(_numbered(spark, sf))))
     return got.select(F.col("doc").alias("doc_id"), "node", "parent", "clause_id", "level", "marker", "title", "page_start", "page_end", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
@@ -114,8 +112,8 @@ def reconstructed_tables(spark: SparkSession, sf: str) -> DataFrame:
     rows = o.select(F.col("o_custkey").alias("doc"), F.floor(F.col("at") / 2).alias("page"), (F.col("at") % 2 + 1).alias("block_no"), row.alias("text"))
     heads = rows.select("doc", "page").distinct().withColumns({"block_no": F.lit(0).cast("long"), "text": F.lit("| order | date | status |")})
     none = {c: F.lit(None).cast(k) for c, k in (("y0", "double"), ("y1", "double"), ("page_height", "double"), ("font_size", "double"), ("bold", "boolean"))}
-    blocks = R.content(rows.unionByName(heads).withColumn("block_no", F.col("block_no").cast("long")).withColumn("type", F.lit("table_row")).withColumns(none))
-    return R.table_rows(blocks, R.boundaries(blocks)).select(F.col("doc").alias("o_custkey"), "table_no", "row_no", "values", "pages", "page_start", "page_end")
+    blocks = rows.unionByName(heads).withColumn("block_no", F.col("block_no").cast("long")).withColumn("type", F.lit("table_row")).withColumns(none)
+    return R.table_rows(*R.resolved_pages(blocks)).select(F.col("doc").alias("o_custkey"), "table_no", "row_no", "values", "pages", "page_start", "page_end")
 
 
 # ---- outlines ---------------------------------------------------------------------------------------------------------

@@ -19,11 +19,11 @@ def pages(spark, *texts, doc=1, kind="paragraph", **more):
         for k, t in enumerate(own):
             extra = more.get(f"at{p}_{k}", {})
             rows.append((doc, p, k, extra.get("type", "table_row" if (t or "").startswith("|") else kind), t, extra.get("y0"), extra.get("y1"), extra.get("h"), extra.get("size"), extra.get("bold")))
-    return rows if spark is None else R.content(spark.createDataFrame(rows, BLOCKS))
+    return rows if spark is None else R.resolved_pages(spark.createDataFrame(rows, BLOCKS))
 
 
 def broken(spark, *texts, **more):
-    return R.boundaries(pages(spark, *texts, **more)).orderBy("previous_page").collect()
+    return pages(spark, *texts, **more)[1].orderBy("previous_page").collect()
 
 
 # Texts of two pages, and what their break is: action, relationship, entity, node and parent.
@@ -52,7 +52,7 @@ CASES = [
 
 def test_rules_of_a_break(spark):
     rows = [r for k, (texts, _) in enumerate(CASES) for r in pages(None, *texts, doc=k)]
-    got = {r["doc"]: r for r in R.boundaries(R.content(spark.createDataFrame(rows, BLOCKS))).collect()}
+    got = {r["doc"]: r for r in R.resolved_pages(spark.createDataFrame(rows, BLOCKS))[1].collect()}
     for k, (texts, want) in enumerate(CASES):
         r = got[k]
         assert (r["action"], r["relationship"], r["entity_type"], r["node_id"], r["parent_id"]) == want, texts
@@ -71,12 +71,12 @@ def test_signals_of_a_break(spark):
     top = {"y0": 1.0, "y1": 5.0, "h": 100.0}
     many = broken(spark, ["Trang 1", "trong vòng", "  "], ["Trang 2", "ba ngày."], ["Trang 3"], ["Trang 4", "Câu mới."], at1_0=top, at2_0=top, at3_0=top, at4_0=top)
     assert [x["action"] for x in many] == ["MERGE_BLOCKS", "NEEDS_REVIEW", "NEEDS_REVIEW"]
-    assert broken(spark, ["một trang"]) == [] and R.boundaries(pages(spark, ["x"]).limit(0)).count() == 0
+    assert broken(spark, ["một trang"]) == [] and R.boundaries(pages(spark, ["x"])[0].limit(0)).count() == 0
 
 
 def test_a_paragraph_over_four_pages(spark):
     b = pages(spark, ["Đầu.", "Bên A giao hàng-"], ["hóa và dịch"], ["vụ trong "], ["ba ngày. ", "Xong."], [None, "Trang mới."])
-    got = R.segments(b, R.boundaries(b)).orderBy("segment_no").collect()
+    got = R.segments(*b).orderBy("segment_no").collect()
     assert [(r["text"], r["page_start"], r["page_end"], r["was_merged"]) for r in got] == [
         ("Đầu.", 1, 1, False), ("Bên A giao hànghóa và dịch vụ trong ba ngày. ", 1, 4, True), ("Xong.", 4, 4, False), ("Trang mới.", 5, 5, False),
     ]
@@ -129,9 +129,8 @@ def plain_clauses(found):
 
 
 def test_clauses_of_whole_documents(spark, sf):
-    b = structure._numbered(spark, sf)
     by = {}
-    for r in R.segments(b, R.boundaries(b)).orderBy("doc", "segment_no").collect():
+    for r in R.segments(*R.resolved_pages(structure._numbered(spark, sf))).orderBy("doc", "segment_no").collect():
         by.setdefault(r["doc"], []).append((r["segment_no"], r["text"]))
     want = {(d, no): v for d, found in by.items() for no, v in plain_clauses(found).items()}
     got = {(r["doc_id"], r["node"]): (r["parent"], r["clause_id"], r["level"], r["text"]) for r in catalog.QUERIES["reconstructed_clauses"](spark, sf).collect()}
@@ -140,7 +139,7 @@ def test_clauses_of_whole_documents(spark, sf):
 
 def test_clauses_by_hand(spark):
     b = pages(spark, ["Lời đầu.", "Điều 5 – Thanh toán.", "5.2 Đợt:", "(a) một;", "(i) nhỏ;", "(ii) nhỏ."], ["(b) hai.", "Thêm.", "5.10 Khác.", "Điều 6"])
-    got = R.clauses(R.segments(b, R.boundaries(b))).orderBy("node").collect()
+    got = R.clauses(R.segments(*b)).orderBy("node").collect()
     assert [(r["clause_id"], r["parent_id"], r["level"], r["title"], r["page_end"]) for r in got] == [
         ("_unnumbered_1", None, 1, None, 1), ("5", None, 1, "Thanh toán.", 1), ("5.2", "5", 2, None, 1), ("5.2.a", "5.2", 3, None, 1), ("5.2.a.i", "5.2.a", 4, None, 1), ("5.2.a.ii", "5.2.a", 4, None, 1),
         ("5.2.b", "5.2", 3, None, 2), ("5.10", "5", 2, None, 2), ("6", None, 1, None, 2),
@@ -171,6 +170,6 @@ def test_tables_of_whole_customers(spark, sf):
 
 def test_tables_by_hand(spark):
     b = pages(spark, ["| a | b |", "| 1 | |", "between", "| x | y | z |", "| 5 | 6 | 7 |"], ["| x | y | z |", "| 8 | | 9 |"], ["| x | y | z |", "| | k | |"], ["| x | y | z |", "| 3 | | |"], ["text"], ["| x | y | z |", "| 4 | 4 | 4 |"])
-    got = R.table_rows(b, R.boundaries(b)).orderBy("table_no", "row_no").collect()
+    got = R.table_rows(*b).orderBy("table_no", "row_no").collect()
     assert [(r["table_no"], r["values"], r["pages"]) for r in got] == [(1, ["1", ""], [1]), (2, ["5", "6", "7"], [1]), (2, ["8", "k", "9"], [2, 3]), (2, ["3", "", ""], [4]), (3, ["4", "4", "4"], [6])]
     assert {r["table_no"]: (r["page_start"], r["page_end"]) for r in got} == {1: (1, 1), 2: (1, 4), 3: (6, 6)}
