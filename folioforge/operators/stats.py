@@ -240,6 +240,19 @@ def word_error_rate(reference: Column, hypothesis: Column) -> Column:
     return F.levenshtein(coded(r), coded(h)) / F.greatest(F.size(r), F.lit(1))
 
 
+def mark_error_rates(pairs: DataFrame, reference: str, hypothesis: str, out: str = "marks") -> DataFrame:
+    """pairs with (errors, letters, rate): of the letters that a least-cost alignment without marks joins, those whose marks differ.
+
+    Null texts are empty; a pair without aligned letters has a null rate. Both texts are composed first, so the two ways
+    to write an accent are equal. A line is one task's row and costs its length and the square of its edits: cut pages
+    into lines, as one would for any edit distance.
+    """
+    from folioforge.functions.sequence import mark_errors
+
+    count = F.udf(lambda a, b: mark_errors(a or "", b or ""), "struct<errors:long,letters:long>", useArrow=True)
+    return pairs.withColumn("_m", count(reference, hypothesis)).withColumn(out, F.struct("_m.errors", "_m.letters", (F.col("_m.errors") / F.nullif(F.col("_m.letters"), F.lit(0))).alias("rate"))).drop("_m")
+
+
 def retained_tokens(truth: DataFrame, found: DataFrame, keys: Sequence[str], kind: str, value: str) -> DataFrame:
     """(keys, kind, n, n_kept): a multiset's tokens that a prediction keeps, each as often as it stands there."""
     n = lambda d, name: d.groupBy(*keys, kind, value).agg(F.count("*").alias(name))

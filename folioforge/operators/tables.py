@@ -200,3 +200,40 @@ def header_similarity(pairs: DataFrame, a: str, b: str, out: str = "header_simil
             yield pdf.assign(**{out: [100 * indel_ratio(x or "", y or "") for x, y in zip(pdf[a], pdf[b], strict=True)]})
 
     return pairs.mapInPandas(run, schema)
+
+
+# Words of folded headers that name a payment table, and the budget of one table.
+PAYMENT_HEADERS = ("thanh toan", "payment", "milestone")
+TABLE_ROWS, TABLE_CELLS, TABLE_PAGES = 200, 5000, 100
+
+
+def bounded_tables(tables: DataFrame, rows: DataFrame, terms: Sequence[str] = PAYMENT_HEADERS, max_rows: int = TABLE_ROWS, max_cells: int = TABLE_CELLS, max_pages: int = TABLE_PAGES) -> DataFrame:
+    """tables (table_id, header, n_rows, n_cols) whose folded header holds a term, with their rows as far as the budget reaches and a report of what it leaves out.
+
+    rows: table_id, row_index (places from 0), cells, pages (the page that each cell cites, or null). Whole rows are
+    taken in order: at most max_rows of them and max_cells cells, and none from the first row on whose cells bring the
+    table's distinct pages over max_pages. Cells beyond n_cols, and their pages, don't count; a table without columns
+    has no rows. Added: rows (array of row_index, cells, pages), processed_rows, source_cells, processed_cells, reason
+    ('page cap reached', 'row or cell cap reached' or null) and complete (no reason, and all stated rows are there).
+    Null counts are the header's width and no rows. The budget bounds what one table gathers; rows beyond it are
+    dropped before any shuffle of theirs but the one that brings the limits.
+    """
+    folded = F.array_join(F.transform("header", lambda h: fold(F.coalesce(h, F.lit("")))), " ")
+    wanted = F.lit(False)
+    for t in terms:
+        wanted = wanted | F.contains(folded, F.lit(t))
+    source, width = F.greatest(F.coalesce("n_rows", F.lit(0)), F.lit(0)), F.greatest(F.coalesce("n_cols", F.size("header")), F.lit(0))
+    asked = tables.where(wanted).withColumns({"n_rows": source.cast("long"), "n_cols": width.cast("long")})
+    fits = F.when(F.col("n_cols") > 0, F.least("n_rows", F.lit(max_rows), F.floor(F.lit(max_cells) / F.col("n_cols")))).otherwise(0).cast("long")
+    limits = asked.select("table_id", F.col("n_cols").alias("_width"), fits.alias("_limit"))
+    cut = lambda c: F.slice(c, F.lit(1), F.least(F.size("cells"), F.col("_width")).cast("int"))
+    taken = rows.join(limits, "table_id").where("row_index < _limit").select("table_id", "row_index", cut("cells").alias("cells"), cut("pages").alias("pages"))
+    first = taken.select("table_id", "row_index", F.explode("pages").alias("_page")).where("_page <> ''").groupBy("table_id", "_page").agg(F.min("row_index").alias("_first"))
+    over = first.withColumn("_n", F.row_number().over(W.partitionBy("table_id").orderBy("_first", "_page"))).where(F.col("_n") == max_pages + 1).select("table_id", F.col("_first").alias("_stop"))
+    kept = taken.join(over, "table_id", "left").where("_stop IS NULL OR row_index < _stop")
+    kept = kept.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row_index", "cells", "pages"))).alias("rows"), F.sum(F.size("cells")).alias("_cells"))
+    out = asked.withColumn("_limit", fits).join(kept, "table_id", "left").join(over, "table_id", "left")
+    n = F.when(F.col("rows").isNull(), 0).otherwise(F.size("rows")).cast("long")
+    reason = F.when(F.col("_stop").isNotNull(), "page cap reached").when(F.col("_limit") < F.col("n_rows"), "row or cell cap reached")
+    out = out.withColumns({"processed_rows": n, "source_cells": F.col("n_rows") * F.col("n_cols"), "processed_cells": F.coalesce("_cells", F.lit(0)), "reason": reason})
+    return out.withColumn("complete", F.col("reason").isNull() & (F.col("processed_rows") == F.col("n_rows"))).drop("_limit", "_stop", "_cells")
