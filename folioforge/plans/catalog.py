@@ -27,4 +27,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-from folioforge.plans import backend, compare, evaluation, evidence, graph, review, scalars, search, structure, tables, texts, trials  # noqa: E402, F401
+from folioforge.plans import backend, compare, evaluation, evidence, graph, lineage, review, scalars, search, structure, tables, texts, trials  # noqa: E402, F401
