@@ -87,3 +87,19 @@ def mark_errors(spark: SparkSession, sf: str) -> DataFrame:
     read_as = lines.withColumn("hypothesis", F.translate("text", "ax", "á"))
     got = S.mark_error_rates(read_as, "text", "hypothesis")
     return got.groupBy("doc_id").agg(F.sum("marks.errors").alias("errors"), F.sum("marks.letters").alias("letters"))
+
+
+_Z2 = "1.96 * 1.96"
+
+
+@query(
+    f"""WITH r AS (SELECT l_returnflag variant, l_linestatus trial, {_pick_sql(_LABELS[:4], "l_partkey")} lab, count(*) FILTER (l_discount < 0.09 OR l_returnflag = 'A') k, count(*) n, bool_or(l_tax > 1) b FROM lineitem GROUP BY 1, 2, 3),
+w AS (SELECT *, k / n::DOUBLE p, greatest(0, (k / n::DOUBLE + {_Z2} / (2 * n) - 1.96 * sqrt(k / n::DOUBLE * (1 - k / n::DOUBLE) / n + {_Z2} / (4.0 * n * n))) / (1 + {_Z2} / n)) low FROM r),
+g AS (SELECT variant, lab, min(n) n, min(low) low, bool_or(low < 0.85 OR n < 60) under FROM w GROUP BY 1, 2)
+SELECT variant, CASE WHEN min(n) < 60 OR count(*) < 4 THEN 'KEEP_OFF_INSUFFICIENT_N' WHEN bool_or(under) THEN 'KEEP_OFF_BELOW_THRESHOLD' ELSE 'ENABLE_CANDIDATE' END AS verdict, arg_min(lab, {{'low': low, 'lab': lab}}) AS worst FROM g GROUP BY 1"""
+)
+def trial_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Flags as variants, statuses as trials: lines of a label that pass by their discount, those of one flag always."""
+    li = read(spark, sf, "lineitem").select(F.col("l_returnflag").alias("variant"), F.col("l_linestatus").alias("trial"), _pick(_LABELS[:4], "l_partkey").alias("label"), F.expr("l_discount < 0.09 OR l_returnflag = 'A'").alias("ok"), F.expr("l_tax > 1").alias("b"))
+    got = li.groupBy("variant", "trial", "label").agg(F.count_if("ok").alias("passed"), F.count("*").alias("denominator"), F.bool_or("b").alias("over_budget"))
+    return TR.verdicts(got.withColumns({"weighted": F.lit(None).cast("double"), "cluster_lower": F.lit(1.0), "false_duplicates": F.lit(0)}))
