@@ -49,7 +49,7 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def with_columns(df: DataFrame, source: str, make: Callable[[], Callable[[list], list[list]]], fields: str) -> DataFrame:
+def with_columns(df: DataFrame, source: str, make: Callable[[], Callable[[list], list[list | pa.Array]]], fields: str) -> DataFrame:
     """df with new columns computed from one column, batch by batch in workers; columns of these names are replaced.
 
     make() gives a worker the function from a batch's values to the values of each field (a DDL string). All other
@@ -66,7 +66,7 @@ def with_columns(df: DataFrame, source: str, make: Callable[[], Callable[[list],
         step = make()
         for b in batches:
             made = step(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, k) for v, k in zip(made, kinds, strict=True))], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(v.cast(k) if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip(made, kinds, strict=True))], names=names)
 
     return base.mapInArrow(run, T.StructType([*base.schema.fields, *more.fields]))
 

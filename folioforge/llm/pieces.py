@@ -1,10 +1,10 @@
 """Operator 7: SentencePiece encoding and decoding over a lattice of words.
 
 A text is cut into words at the places that no piece crosses. The lattice of the distinct words is relational: all
-substrings up to the longest piece are exploded, equi-joined to the piece table and grouped by word, all under one
-exchange of the words. A fold over the edges by the higher-order aggregate gives a word's ids: Viterbi for unigram
-models, the merge order for BPE models, whose ranks are no probabilities. The encodings are kept as sorted arrays that
-workers map to turn texts into ids, so that no row is made for each word of each text.
+substrings that begin like a piece of their size are exploded, equi-joined to the piece table and grouped by word, all
+under one exchange of the words. A fold over the edges by the higher-order aggregate gives a word's ids: Viterbi for
+unigram models, the merge order for BPE models, whose ranks are no probabilities. The encodings are kept as sorted arrays
+that workers map to turn texts into ids, so that no row is made for each word of each text.
 """
 
 from __future__ import annotations
@@ -12,12 +12,12 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain as flat
+from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,9 +29,9 @@ from folioforge.llm.common import table, with_columns
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Code points of words that the lattice takes, whose cuts are bits of a 64-bit number; longer ones are encoded one by
-#: one in workers. Words kept by a worker. Characters of text for each shard of words, and shards at most; words of a
-#: task that are grouped in memory, beyond which Spark sorts them.
-LATTICE_CHARS, CACHE, SHARD_CHARS, SHARDS, GROUPED = 60, 300_000, 4_000_000, 4096, 100_000
+#: one in workers. Units (words and what follows them) kept by a worker. Characters of text for each shard of words, and
+#: shards at most; words of a task that are grouped in memory, beyond which Spark sorts them.
+LATTICE_CHARS, CACHE, SHARD_CHARS, SHARDS, GROUPED = 60, 500_000, 4_000_000, 4096, 100_000
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,8 @@ class Pieces:
     bytes_at: tuple[int, ...]  # ids of the 256 byte pieces, or none
     unknown: int
     unigram: bool
-    joined: str = field(default="", compare=False)  # characters of pieces of two or more
+    joined: tuple[str, ...] = field(default=(), compare=False)  # classes of characters: no piece holds neighbours of two
+    led: str = field(default="", compare=False)  # other characters that pieces have after white space
 
     @property
     def unknown_score(self) -> float:
@@ -54,6 +55,22 @@ class Pieces:
         order = {x: k for k, x in enumerate(sorted({-s for n, s in zip(self.names, self.scores, strict=True) if n}))}
         return {i: order[-s] for i, (n, s) in enumerate(zip(self.names, self.scores, strict=True)) if n}
 
+    def merges(self) -> dict[int, tuple[int, bool]]:
+        """For each piece that merging its own characters makes: where its last two parts meet, and whether one of them comes no earlier in the merge order than the piece.
+
+        A word's merges within a span that none crosses are those of the span alone, so a piece is made in any word of
+        the same two parts, or never.
+        """
+        rank, out = {self.names[i]: r for i, r in self.ranks().items()}, {}
+        for i, name in enumerate(self.names):
+            parts = list(name)
+            while len(parts) > 2 and (ready := [(rank[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in rank]):
+                k = min(ready)[1]
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            if len(parts) == 2:
+                out[i] = len(parts[0]), any(len(x) > 1 and rank[x] >= rank[name] for x in parts)
+        return out
+
     @property
     def longest(self) -> int:
         return max((len(n) for n in self.names), default=1)
@@ -84,42 +101,91 @@ def from_table(rows: list[tuple[str, float, str]], unknown: int, unigram: bool)
     names = tuple(n if kind == "piece" else "" for n, _, kind in rows)
     if any(SPACE in n.lstrip(SPACE) for n in names):
         raise ValueError("pieces with white space after other characters are not supported")
-    joined = "".join(sorted({c for n in names if len(n) > 1 for c in n}))
-    return Pieces(names, tuple(s for _, s, _ in rows), tuple(at[b] for b in range(256)) if len(at) == 256 else (), unknown, unigram, joined)
+    bare = [n.lstrip(SPACE) for n in names]
+    to: dict[str, str] = {}
+
+    def top(c: str) -> str:
+        while to.setdefault(c, c) != c:
+            c = to[c]
+        return c
+
+    for n in bare:
+        for a, b in zip(n, n[1:], strict=False):
+            to[top(a)] = top(b)
+    classes: dict[str, list[str]] = {}
+    for c in sorted(to):
+        classes.setdefault(top(c), []).append(c)
+    joined = tuple(sorted(("".join(x) for x in classes.values()), key=lambda x: (-len(x), x)))
+    led = "".join(sorted({b for n, b in zip(names, bare, strict=True) if len(b) == 1 < len(n)} - to.keys()))
+    return Pieces(names, tuple(s for _, s, _ in rows), tuple(at[b] for b in range(256)) if len(at) == 256 else (), unknown, unigram, joined, led)
 
 
 def word_pattern(p: Pieces) -> str:
     """Words of the escaped text: white space and then characters that pieces join, or one character that none joins."""
-    inner = "".join(re.escape(c) for c in p.joined if c != SPACE)
-    return f"{SPACE}+[{inner}]*|[{inner}]+|[^{inner}{SPACE}]" if inner else f"{SPACE}+|[^{SPACE}]"
+    runs = [f"[{re.escape(x)}]+" for x in p.joined]
+    after = "|".join(runs + ([f"[{re.escape(p.led)}]"] if p.led else []))
+    return "|".join([f"{SPACE}+(?:{after})?" if after else f"{SPACE}+", *runs, f"[^{re.escape(''.join(p.joined))}{SPACE}]"])
 
 
 def escaped(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
+def own_lines(p: Pieces) -> bool:
+    """Whether no piece has a new line beside other characters."""
+    return "\n" not in "".join(p.joined) + p.led
+
+
+def unit_cutter(p: Pieces) -> Callable[[str], list[str]]:
+    """The function from a text to its units: what follows a space, without that space, or begins with a new line.
+
+    Words don't cross units, and cutting at single characters is several times faster than finding words.
+    """
+    lines = own_lines(p)
+    runs = re.compile(" +[^ \n]*|\n[^ \n]*" if lines else " +[^ ]*").findall
+
+    def cut(text: str) -> list[str]:
+        if SPACE in text:
+            text = text.replace(SPACE, " ")
+        if "  " in text or text[0] == " ":
+            return [x[1:] if x[0] == " " else x for x in runs(" " + text)]
+        return (text.replace("\n", " \n") if lines else text).split(" ")
+
+    return cut
+
+
+def spelled(unit: str, lines: bool) -> str:
+    """The text of a unit with its space."""
+    return unit if lines and unit[:1] == "\n" else " " + unit
+
+
 # ---- the lattice of the distinct words -------------------------------------------------------------------------------
 
 
 def piece_table(spark: SparkSession, p: Pieces) -> DataFrame:
-    """(piece, id, score, rank): one row per piece that text can match."""
-    ranks = p.ranks()
-    return spark.createDataFrame([(n, i, float(s), ranks[i]) for i, (n, s) in enumerate(zip(p.names, p.scores, strict=True)) if n], "piece string, id int, score double, rank int")
+    """(piece, id, score, rank, meet, late): one row per piece that text can match; of BPE models those that merges make, with the place where the last two parts meet."""
+    ranks, made = p.ranks(), {} if p.unigram else p.merges()
+    rows = [(n, i, float(s), ranks[i], *made.get(i, (0, False))) for i, (n, s) in enumerate(zip(p.names, p.scores, strict=True)) if n and (p.unigram or i in made)]
+    return spark.createDataFrame(rows, "piece string, id int, score double, rank int, meet int, late boolean")
 
 
 def distinct_words(texts: DataFrame, p: Pieces, text: str, shards: int) -> DataFrame:
     """(shard, word): the distinct words of 2 to LATTICE_CHARS code points, dealt by shard. Workers drop repeats before the exchange."""
-    pattern = word_pattern(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen = re.compile(pattern).findall, set()
+        find, cut, lines, seen = re.compile(word_pattern(p)).findall, unit_cutter(p), own_lines(p), set()
+        alone = next(c for c in map(chr, range(0x110000)) if c not in f"{''.join(p.joined)}{p.led} {SPACE}")
 
         def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([w for w in seen if 1 < len(w) <= LATTICE_CHARS], pa.string())], names=["word"])
+            words, units = set(), list(seen)
+            for k in range(0, len(units), 50_000):  # as one text, between characters that are words of their own
+                words.update(find(alone.join([spelled(u, lines) for u in units[k : k + 50_000]]).replace(" ", SPACE)))
+            return pa.RecordBatch.from_arrays([pa.array([w for w in words if 1 < len(w) <= LATTICE_CHARS], pa.string())], names=["word"])
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                seen.update(find(escaped(t or "")))
+                if t:
+                    seen.update(cut(t))
                 if len(seen) > CACHE:
                     yield batch()
                     seen = set()
@@ -130,71 +196,70 @@ def distinct_words(texts: DataFrame, p: Pieces, text: str, shards: int) -> DataF
     return found.withColumn("shard", F.xxhash64("word").bitwiseAND(F.lit(shards - 1)).cast("int")).repartition(shards, "shard").select("shard", "word").distinct()
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int, edge: Column, least: int = 1) -> DataFrame:
-    """(shard, word, n_chars, edges): the sorted edges of each word of `least` characters or more, none for words without one.
+def lattice(words: DataFrame, pieces: DataFrame, edge: Column, least: int, *more: Column) -> DataFrame:
+    """(shard, word, edges, more): the sorted edges of each word of `least` characters or more, none for words without one.
 
-    An edge is made of word, start, size, span, id, score and rank. Edges of one character are there for every
-    character, with a null id if it is no piece. The piece table is a vocabulary of fixed size and is broadcast; it is
-    joined by hash and text, as Spark finds numbers faster than texts. Words are dealt by shard, so nothing else is exchanged.
+    An edge is made of word, start, size, span and the columns of its piece; more are further aggregates of these. Edges
+    of one character are there for every character, with a null id if it is no piece. A substring of more than `least`
+    characters is made only if some piece of its size begins with the same least + 1. The piece table is a vocabulary of
+    fixed size and is broadcast; it is joined by hash and text, as Spark finds numbers faster than texts. Words are dealt
+    by shard, so nothing else is exchanged.
     """
-    each = words.withColumn("n_chars", F.char_length("word"))
-    starts = each.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("n_chars") - least)))
-    spans = starts.withColumn("size", F.explode(F.sequence(F.lit(least), F.least(F.lit(max(longest, least)), F.col("n_chars") - F.col("start")))))
+    known = pieces.where(F.char_length("piece") >= least)
+    heads = known.where(F.char_length("piece") > least).groupBy(F.substring("piece", 1, least + 1).alias("begin")).agg(F.concat(F.array(F.lit(least)), F.array_sort(F.collect_set(F.char_length("piece")))).alias("sizes"))
+    heads = F.broadcast(heads.withColumn("begin_h", F.xxhash64("begin")))
+    starts = words.withColumn("start", F.explode(F.sequence(F.lit(0), F.char_length("word") - least))).withColumn("head", F.substring(F.col("word"), F.col("start") + 1, F.lit(least + 1)))
+    sized = starts.join(heads, (F.xxhash64("head") == F.col("begin_h")) & (F.col("head") == F.col("begin")), "left")
+    spans = sized.select("shard", "word", "start", F.explode(F.coalesce("sizes", F.array(F.lit(least)))).alias("size")).where(F.col("start") + F.col("size") <= F.char_length("word"))
     cut = spans.withColumn("span", F.substring(F.col("word"), F.col("start") + 1, F.col("size"))).withColumn("h", F.xxhash64("span"))
-    known = F.broadcast(pieces.where(F.char_length("piece") >= least).withColumn("piece_h", F.xxhash64("piece")))
-    met = cut.join(known, (F.col("h") == F.col("piece_h")) & (F.col("span") == F.col("piece")), "left" if least == 1 else "inner")
+    met = cut.join(F.broadcast(known.withColumn("piece_h", F.xxhash64("piece"))), (F.col("h") == F.col("piece_h")) & (F.col("span") == F.col("piece")), "left" if least == 1 else "inner")
     if least == 1:
         met = met.where("id IS NOT NULL OR size = 1")
-    return met.groupBy("shard", "word").agg(F.first("n_chars").alias("n_chars"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    return met.groupBy("shard", "word").agg(F.sort_array(F.collect_list(edge)).alias("edges"), *more)
 
 
 def _power(k: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), k)
 
 
-def merge_order(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+def merge_order(words: DataFrame, pieces: DataFrame) -> DataFrame:
     """(shard, word, ids) by merges: two neighbours that make a piece become one, the best-ranked piece first, the leftmost of equals; -1 - c for a character c that stays alone.
 
-    The cuts of a word are the bits of a number. An edge of two characters or more with both ends cut and one cut within
-    is a merge; edges come by rank and start, so the first is the next. Edges that a merge has made impossible leave the
-    state. Words without such edges are left out.
+    The cuts of a word are the bits of a number. An edge of two characters or more is a merge when the cuts within it
+    are its ends and the place where its parts meet. Edges come by rank and start. A merge offers only pieces of later
+    ranks, so one pass over the edges finds all merges in order; a word with a piece that comes no later than one of its
+    parts (runs of spaces of equal scores, in the given model) starts again from the first edge after each merge. Words
+    without such edges are left out.
     """
     shift = lambda c, n: F.shiftleft(c.cast("long"), n)
-    # an edge as one number that sorts by rank and start: rank, 6 bits of start, 6 of size, 21 of the id
-    number = shift(F.col("rank"), 33).bitwiseOR(shift(F.col("start"), 27)).bitwiseOR(shift(F.col("size"), 21)).bitwiseOR(F.col("id").cast("long"))
-    bits = lambda e, at, n: F.shiftright(e, at).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
-
-    def unpacked(e: Column) -> Column:
-        start, end = bits(e, 27, 6), bits(e, 27, 6) + bits(e, 21, 6)
-        return F.struct(e.alias("e"), _power(start).bitwiseOR(_power(end)).alias("ends"), (_power(end) - _power(start + 1)).alias("within"))
-
-    edges = lattice(words, pieces, longest, number, 2).withColumn("edges", F.transform("edges", unpacked))
-    none = F.array().cast("array<struct<e:bigint,ends:bigint,within:bigint>>")
-
-    def step(acc: Column, _: Column) -> Column:
-        within = F.get(F.filter(acc["left"], lambda e: F.bit_count(acc["cuts"].bitwiseAND(e["within"])) == 1), F.lit(0))["within"]
-        # one-element transforms name the next merge and the new cuts, so that they are found once
-        return F.get(F.transform(F.array(within), lambda w: F.when(w.isNull(), F.struct(acc["cuts"].alias("cuts"), none.alias("left"))).otherwise(merged(acc, acc["cuts"].bitwiseAND(F.bitwise_not(w))))), F.lit(0))
-
-    def merged(acc: Column, now: Column) -> Column:
-        return F.get(F.transform(F.array(now), lambda c: F.struct(c.alias("cuts"), F.filter(acc["left"], lambda e: (c.bitwiseAND(e["ends"]) == e["ends"]) & (c.bitwiseAND(e["within"]) != 0)).alias("left"))), F.lit(0))
-
-    begin = F.struct((_power(F.col("n_chars") + 1) - 1).alias("cuts"), F.col("edges").alias("left"))
-    done = edges.withColumn("cuts", F.aggregate(F.sequence(F.lit(2), F.col("n_chars")), begin, step, lambda acc: acc["cuts"]))
+    start, end = F.col("start"), F.col("start") + F.col("size")
+    # a number that sorts by rank and start: rank, 6 bits of start, 21 of the id
+    number = shift(F.col("rank"), 27).bitwiseOR(shift(start, 21)).bitwiseOR(F.col("id").cast("long"))
+    meet, ends = _power(start + F.col("meet")), _power(start).bitwiseOR(_power(end))
+    edge = F.struct(number.alias("n"), (_power(end) - _power(start)).bitwiseOR(_power(end)).alias("span"), ends.bitwiseOR(meet).alias("ready"), meet.alias("meet"))
+    edges = lattice(words, pieces, edge, 2, F.bool_or("late").alias("late"), F.max(F.char_length("word")).alias("n_chars"))
+
+    ready = lambda cuts, e: cuts.bitwiseAND(e["span"]) == e["ready"]
+    begin = _power(F.col("n_chars") + 1) - 1
+    once = F.aggregate("edges", begin, lambda cuts, e: F.when(ready(cuts, e), cuts.bitwiseXOR(e["meet"])).otherwise(cuts))
+    again = F.aggregate(F.sequence(F.lit(2), F.col("n_chars")), begin, lambda cuts, _: F.coalesce(cuts.bitwiseXOR(F.get(F.filter("edges", lambda e: ready(cuts, e)), F.lit(0))["meet"]), cuts))
+    done = edges.withColumn("cuts", F.when(F.col("late"), again).otherwise(once))
     cuts = F.col("cuts")
-    # by start: the edges that no cut parts, and the characters between two cuts
-    pieces_ = F.transform(F.filter("edges", lambda e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (cuts.bitwiseAND(e["within"]) == 0)), lambda e: F.struct(bits(e["e"], 27, 6).alias("at"), bits(e["e"], 0, 21).alias("id")))
+    # by start, as numbers of the start and 22 bits of the id: the edges that no cut parts, and the characters between two cuts
+    made = F.filter("edges", lambda e: cuts.bitwiseAND(e["span"]) == e["ready"].bitwiseXOR(e["meet"]))
+    placed = lambda at, i: shift(at, 22) + (i + F.lit(1 << 21))
+    joined = F.transform(made, lambda e: placed(F.shiftright(e["n"], 21).bitwiseAND(F.lit(63)), e["n"].bitwiseAND(F.lit((1 << 21) - 1))))
     alone = F.filter(F.sequence(F.lit(0), F.col("n_chars") - 1), lambda k: cuts.bitwiseAND(_power(k) * 3) == _power(k) * 3)
-    chars = F.transform(alone, lambda k: F.struct(k.alias("at"), (-1 - F.ascii(F.substring(F.col("word"), k + 1, F.lit(1)))).alias("id")))
-    return done.select("shard", "word", F.transform(F.sort_array(F.concat(pieces_, chars)), lambda x: x["id"]).alias("ids"))
+    chars = F.transform(alone, lambda k: placed(k, -1 - F.ascii(F.substring(F.col("word"), k + 1, F.lit(1))).cast("long")))
+    return done.select("shard", "word", F.transform(F.sort_array(F.concat(joined, chars)), lambda x: (x.bitwiseAND(F.lit((1 << 22) - 1)) - F.lit(1 << 21)).cast("int")).alias("ids"))
 
 
-def viterbi(words: DataFrame, pieces: DataFrame, longest: int, unknown_score: float) -> DataFrame:
+def viterbi(words: DataFrame, pieces: DataFrame, unknown_score: float) -> DataFrame:
     """(shard, word, ids) on the path of the greatest sum of scores, of equal sums the one with the longest last piece."""
     edge = F.struct("start", (F.col("start") + F.col("size")).alias("end"), F.coalesce("id", -1 - F.ascii("span")).alias("id"), F.coalesce("score", F.lit(unknown_score)).alias("score"))
     state = "array<struct<score:double,ids:array<int>>>"
     best = F.aggregate(
-        F.sequence(F.lit(1), F.col("n_chars")),
+        F.sequence(F.lit(1), F.char_length("word")),
         F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids"))).cast(state),
         lambda acc, end: F.concat(
             acc,
@@ -207,13 +272,13 @@ def viterbi(words: DataFrame, pieces: DataFrame, longest: int, unknown_score: fl
             ),
         ),
     )
-    return lattice(words, pieces, longest, edge).select("shard", "word", F.element_at(best, -1)["ids"].alias("ids"))
+    return lattice(words, pieces, edge, 1).select("shard", "word", F.element_at(best, -1)["ids"].alias("ids"))
 
 
 def encoded_words(words: DataFrame, p: Pieces) -> DataFrame:
     """(shard, word, ids) of distinct words; id -1 - c stands for the character c. BPE words that no two characters of make a piece are left out."""
     table_ = piece_table(words.sparkSession, p)
-    return viterbi(words, table_, p.longest, p.unknown_score) if p.unigram else merge_order(words, table_, p.longest)
+    return viterbi(words, table_, p.unknown_score) if p.unigram else merge_order(words, table_)
 
 
 def _kept(words: DataFrame, p: Pieces, shards: int) -> Store:
@@ -221,25 +286,29 @@ def _kept(words: DataFrame, p: Pieces, shards: int) -> Store:
     spark = words.sparkSession
     at = store(spark, "piece-words")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def put(shard: int, held: list[pd.DataFrame]) -> pd.DataFrame:
-            rows = pd.concat(held)
-            h = rows["h"].to_numpy(np.int64).view(np.uint64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def put(shard: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            h = rows["h"].to_numpy().view(np.uint64)
             order = np.argsort(h)
-            ids = rows["ids"].tolist()
-            ids = [ids[k] for k in order.tolist()]
-            ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))).astype(np.uint32)
-            arrays = [h[order], rows["c"].to_numpy(np.int64)[order].astype(np.uint32), ends, np.concatenate(ids).astype(np.int32).view(np.uint32)]
-            return pd.DataFrame([at.put(f"words-{shard}", bundle(arrays))], columns=["name", "data"])
+            ids = rows["ids"].combine_chunks().take(pa.array(order))
+            ends = np.cumsum(ids.value_lengths().to_numpy(), dtype=np.int64).astype(np.uint32)
+            arrays = [h[order], rows["c"].to_numpy()[order].astype(np.uint32), ends, ids.flatten().to_numpy().view(np.uint32)]
+            name, data = at.put(f"words-{shard}", bundle(arrays))
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], names=["name", "data"])
 
         now, held = None, []
-        for pdf in batches:
-            for shard, rows in pdf.groupby("shard", sort=True):
-                if held and shard != now:
+        for b in batches:
+            shard = b.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if lo == hi:
+                    continue
+                if held and shard[lo] != now:
                     yield put(now, held)
                     held = []
-                now = shard
-                held.append(rows)
+                now = int(shard[lo])
+                held.append(b.slice(lo, hi - lo))
         if held:
             yield put(now, held)
 
@@ -248,7 +317,7 @@ def _kept(words: DataFrame, p: Pieces, shards: int) -> Store:
     before = spark.conf.get(key)
     spark.conf.set(key, str(max(int(before), GROUPED)))
     try:
-        return filled(spark, found.mapInPandas(run, "name string, data binary"), at, "piece-words-rows")[1]
+        return filled(spark, found.mapInArrow(run, "name string, data binary"), at, "piece-words-rows")[1]
     finally:
         spark.conf.set(key, before)
 
@@ -256,24 +325,35 @@ def _kept(words: DataFrame, p: Pieces, shards: int) -> Store:
 # ---- texts to ids ----------------------------------------------------------------------------------------------------
 
 
+class Numbers(dict):
+    """Numbers of texts, from 0 in the order in which they are asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Encoder:
-    """Encodes texts in a worker: looks words up in the kept encodings, and keeps those of recent words."""
+    """Encodes texts in a worker: looks words up in the kept encodings, and keeps those of recent units."""
 
     def __init__(self, p: Pieces, kept: Store | None = None, shards: int = 1):
         self.p, self.kept, self.shards, self.longest = p, kept, shards, p.longest
-        self.find = re.compile(word_pattern(p)).findall
+        self.find, self.units, self.lines = re.compile(word_pattern(p)).findall, unit_cutter(p), own_lines(p)
         self.ids = {n: i for i, n in enumerate(p.names) if n}
         self.rank = p.ranks()
         self.chars = np.full(0x110000, -1, np.int32)
         for n, i in self.ids.items():
             if len(n) == 1:
                 self.chars[ord(n)] = i
+        self.names = piece_bytes(p)
+        self.n_bytes = np.fromiter(map(len, self.names), np.int64, len(self.names))
+        self.first_byte, self.all_bytes = np.cumsum(self.n_bytes) - self.n_bytes, np.frombuffer(b"".join(self.names), np.uint8)
         self._forget()
 
     def _forget(self) -> None:
-        """The encodings of words lie in one array; a word has a number, its start and its length there."""
-        self.rows: dict[str, int] = {}
-        self.start, self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+        """The encodings of units lie in one array; a unit has a number, its start and its length there, and whether its ids spell it."""
+        self.rows = Numbers()
+        self.start, self.size, self.flat, self.exact = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, bool)
 
     def _fallback(self, c: str) -> tuple[int, ...]:
         return tuple(self.p.bytes_at[b] for b in c.encode("utf-8", "surrogatepass")) if self.p.bytes_at else (self.p.unknown,)
@@ -363,33 +443,61 @@ class Encoder:
             odd += [words[k] for k in part[~hit].tolist()]
         return found, np.concatenate(sizes) if sizes else np.empty(0, np.int64), np.concatenate(flats) if flats else np.empty(0, np.int32), odd
 
-    def _learn(self, words: list[str]) -> None:
+    def _words(self, words: list[str]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+        """The number of each word, and by number the size of its encoding; all their ids."""
         short, middle, rest = [], [], []
         for w in words:
             (short if len(w) == 1 else middle if self.kept is not None and len(w) <= LATTICE_CHARS else rest).append(w)
         found, size, ids, odd = self._looked_up(middle) if middle else ([], np.empty(0, np.int64), np.empty(0, np.int32), [])
         rest += odd
         made = [(self.ids[w],) if w in self.ids else self._fallback(w) for w in short] + [self.one(w) for w in rest]
-        size = np.concatenate([size, np.fromiter(map(len, made), np.int64, len(made))])
-        n = len(self.rows)
-        self.rows.update(zip(found + short + rest, range(n, n + len(size)), strict=True))
+        names = found + short + rest
+        return dict(zip(names, range(len(names)), strict=True)), np.concatenate([size, np.fromiter(map(len, made), np.int64, len(made))]), np.concatenate([ids.astype(np.int32), np.fromiter(flat.from_iterable(made), np.int32)])
+
+    def _learn(self, units: list[str]) -> None:
+        """Encodes units by their words, and tells of each whether decoding gives it again."""
+        plain = [spelled(u, self.lines) for u in units]
+        cut = [self.find(x.replace(" ", SPACE)) for x in plain]
+        number, sizes, ids = self._words(list(set(flat.from_iterable(cut))))
+        row = np.fromiter(map(number.__getitem__, flat.from_iterable(cut)), np.int64)
+        ids = gathered(ids, (np.cumsum(sizes) - sizes)[row], sizes[row])
+        size = summed(sizes[row], np.fromiter(map(len, cut), np.int64, len(cut)))
+        raw = [x.encode("utf-8", "surrogatepass") for x in plain]
+        got = gathered(self.all_bytes, self.first_byte[ids], self.n_bytes[ids]).tobytes()
+        stop = np.cumsum(summed(self.n_bytes[ids], size)).tolist()
+        exact = np.fromiter((got[a:b] == x for a, b, x in zip([0, *stop], stop, raw, strict=False)), bool, len(raw))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, ids.astype(np.int32), np.fromiter(flat.from_iterable(made), np.int32)])
+        self.size, self.flat, self.exact = np.concatenate([self.size, size]), np.concatenate([self.flat, ids]), np.concatenate([self.exact, exact])
 
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [self.find(escaped(t)) if t else [] for t in texts]
-        seen = set(flat.from_iterable(cut))
-        new = seen - self.rows.keys()
-        if len(self.rows) + len(new) > CACHE:
+    def arrays(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the texts, how many each text has, and whether each text's units are spelled by their ids."""
+        if len(self.rows) > CACHE:
             self._forget()
-            new = seen
-        self._learn(list(new))
+        cut = [self.units(t) if t else [] for t in texts]
+        known = len(self.rows)
         row = np.fromiter(map(self.rows.__getitem__, flat.from_iterable(cut)), np.int64)
-        size = self.size[row]
-        end = np.cumsum(size)
-        out = self.flat[np.repeat(self.start[row] - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)]
-        stops = np.concatenate([[0], end])[np.cumsum([len(c) for c in cut])] if cut else []
-        return np.split(out, stops[:-1]) if len(cut) else []
+        if len(self.rows) > known:
+            self._learn(list(islice(self.rows, known, None)))
+        size, units = self.size[row], np.fromiter(map(len, cut), np.int64, len(cut))
+        return gathered(self.flat, self.start[row], size), summed(size, units), summed(~self.exact[row], units) == 0
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        ids, size, _ = self.arrays(texts)
+        return np.split(ids, np.cumsum(size)[:-1]) if len(texts) else []
+
+
+def gathered(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[start:start + size] of each start and size, one after the other."""
+    at = np.repeat(start - (np.cumsum(size) - size), size)
+    at += np.arange(len(at))
+    return values[at]
+
+
+def summed(values: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of consecutive groups of these sizes, which may be 0."""
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    end = np.cumsum(size)
+    return total[end] - total[end - size]
 
 
 def decode_ids(p: Pieces, names: list[bytes], ids) -> str:
@@ -405,7 +513,7 @@ def piece_bytes(p: Pieces) -> list[bytes]:
     return out
 
 
-def _slices(texts: list[str | None], chars: int = 4_000_000) -> Iterator[slice]:
+def _slices(texts: list[str | None], chars: int = 2_000_000) -> Iterator[slice]:
     lo, n = 0, 0
     for k, t in enumerate(texts):
         n += len(t or "")
@@ -430,13 +538,17 @@ def encode(df: DataFrame, pieces: Pieces, text: str = "text", out: str = "ids",
     shared = spark.sparkContext.broadcast(pieces)  # a vocabulary of fixed size
 
     def make():
-        encoder, names = Encoder(shared.value, kept, shards), piece_bytes(shared.value)
+        encoder = Encoder(shared.value, kept, shards)
 
-        def step(texts: list) -> list[list]:
-            ids = [x for part in _slices(texts) for x in encoder(texts[part])]
+        def step(texts: list) -> list[list | pa.Array]:
+            parts = [(texts[part], *encoder.arrays(texts[part])) for part in _slices(texts)]
+            sizes = np.concatenate([[0], *(size for _, _, size, _ in parts)])
+            ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *(x for _, x, _, _ in parts)]), pa.int32()))
             if not round_trip:
                 return [ids]
-            return [ids, [decode_ids(shared.value, names, x.tolist()) == (t or "") for x, t in zip(ids, texts, strict=True)]]
+            # ids that spell a text's units spell the text, unless it has the sign that white space is written as
+            same = [not t or SPACE not in t if ok else decode_ids(shared.value, encoder.names, x.tolist()) == t for values, x, size, exact in parts for t, ok, x in zip(values, exact.tolist(), np.split(x, np.cumsum(size)[:-1]), strict=True)]
+            return [ids, same]
 
         return step
 

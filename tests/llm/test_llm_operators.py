@@ -480,6 +480,42 @@ def test_like_the_library(spark):
     assert all(r["ids"] == library.encode(r["text"] or "") for r in pieces.encode(docs, p).collect())
 
 
+def test_words_and_units_of_any_text():
+    """Words don't cross units; the ids are the library's, and are known to spell the text again unless it has U+2581."""
+    import sentencepiece
+
+    p = pieces.load()
+    library, plain = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_FILE), pieces.Encoder(p)
+    odd = pieces.from_table([("<unk>", 0.0, "other"), ("a\nb", -1.0, "piece"), ("a", -2.0, "piece"), ("▁\t", -3.0, "piece")], 0, False)
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.text(st.sampled_from("  \n\t▁aébT.,(1日𝒳"), max_size=30))
+    def check(t):
+        for q in (p, odd):
+            cut, lines, find = pieces.unit_cutter(q), pieces.own_lines(q), re.compile(pieces.word_pattern(q)).findall
+            units = cut(t) if t else []
+            assert "".join(pieces.spelled(u, lines) for u in units) == pieces.escaped(t).replace(pieces.SPACE, " ")
+            assert [w for u in units for w in find(pieces.escaped(u) or pieces.SPACE if pieces.spelled(u, lines)[0] == " " else u)] == find(pieces.escaped(t))
+        ids, size, exact = plain.arrays([t])
+        assert ids.tolist() == library.encode(t) and size.tolist() == [len(ids)] and exact.tolist() == [True]
+        got = pieces.Encoder(odd)([t])[0].tolist()
+        assert not t or got == [i for w in find(pieces.escaped(t)) for i in pieces.Encoder(odd).one(w)]
+
+    check()
+
+
+def test_lattice_of_few_words(spark):
+    """Punctuation and digits, which no piece joins to letters, make no further words of the lattice; pieces that merges never make are no edges."""
+    p = pieces.load()
+    d = spark.createDataFrame([(1, "enst, enst. enst! enst1"), (2, "enst enst)")], TEXT)
+    assert [r["word"] for r in pieces.distinct_words(d, p, "text", 4).collect()] == ["▁enst"]
+    q = pieces.from_table([("<unk>", 0.0, "other"), ("ab", -1.0, "piece"), ("bc", -2.0, "piece"), ("abcd", -3.0, "piece"), ("abc", -4.0, "piece"), ("bcd", -5.0, "piece"), ("xyz", -6.0, "piece")], 0, False)
+    assert q.merges() == {1: (1, False), 2: (1, False), 3: (3, True), 4: (2, False), 5: (2, False)}
+    assert {r["piece"] for r in pieces.piece_table(spark, q).collect()} == {"ab", "bc", "abcd", "abc", "bcd"}
+    spaces = ["a" + " " * k + "b" for k in range(1, 45)]
+    assert encoded(spark, p, spaces) == [x.tolist() for x in pieces.Encoder(p)(spaces)]
+
+
 # ---- 8 ----------------------------------------------------------------------------------------------------------------
 
 
