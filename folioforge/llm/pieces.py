@@ -177,9 +177,9 @@ def distinct_words(texts: DataFrame, p: Pieces, text: str, shards: int) -> DataF
         alone = next(c for c in map(chr, range(0x110000)) if c not in f"{''.join(p.joined)}{p.led} {SPACE}")
 
         def batch() -> pa.RecordBatch:
-            words, units = set(), list(seen)
-            for k in range(0, len(units), 50_000):  # as one text, between characters that are words of their own
-                words.update(find(alone.join([spelled(u, lines) for u in units[k : k + 50_000]]).replace(" ", SPACE)))
+            words = set()
+            while seen:  # as one text, between characters that are words of their own; units leave as words come
+                words.update(find(alone.join([spelled(seen.pop(), lines) for _ in range(min(50_000, len(seen)))]).replace(" ", SPACE)))
             return pa.RecordBatch.from_arrays([pa.array([w for w in words if 1 < len(w) <= LATTICE_CHARS], pa.string())], names=["word"])
 
         for b in batches:
@@ -229,16 +229,21 @@ def merge_order(words: DataFrame, pieces: DataFrame) -> DataFrame:
     are its ends and the place where its parts meet. Edges come by rank and start. A merge offers only pieces of later
     ranks, so one pass over the edges finds all merges in order; a word with a piece that comes no later than one of its
     parts (runs of spaces of equal scores, in the given model) starts again from the first edge after each merge. Words
-    without such edges are left out.
+    without such edges are left out. A task groups the edges of all its words, so each is one number there, and becomes
+    the bits of its cuts in the fold, word by word.
     """
     shift = lambda c, n: F.shiftleft(c.cast("long"), n)
-    start, end = F.col("start"), F.col("start") + F.col("size")
-    # a number that sorts by rank and start: rank, 6 bits of start, 21 of the id
-    number = shift(F.col("rank"), 27).bitwiseOR(shift(start, 21)).bitwiseOR(F.col("id").cast("long"))
-    meet, ends = _power(start + F.col("meet")), _power(start).bitwiseOR(_power(end))
-    edge = F.struct(number.alias("n"), (_power(end) - _power(start)).bitwiseOR(_power(end)).alias("span"), ends.bitwiseOR(meet).alias("ready"), meet.alias("meet"))
+    bits = lambda n, at, width: F.shiftright(n, at).bitwiseAND(F.lit((1 << width) - 1))
+    # a number that sorts by rank and start: up to 24 bits of rank, 6 of start, 21 of the id, 6 of the size, 6 of the place where the parts meet
+    edge = shift(F.col("rank"), 39).bitwiseOR(shift(F.col("start"), 33)).bitwiseOR(shift(F.col("id"), 12)).bitwiseOR(shift(F.col("size"), 6)).bitwiseOR(F.col("meet").cast("long"))
     edges = lattice(words, pieces, edge, 2, F.bool_or("late").alias("late"), F.max(F.char_length("word")).alias("n_chars"))
 
+    def cut_bits(n: Column) -> Column:
+        start, size, meet = (bits(n, at, 6).cast("int") for at in (33, 6, 0))
+        first, last, middle = _power(start), _power(start + size), _power(start + meet)
+        return F.struct(n.alias("n"), (last - first).bitwiseOR(last).alias("span"), first.bitwiseOR(last).bitwiseOR(middle).alias("ready"), middle.alias("meet"))
+
+    edges = edges.withColumn("edges", F.transform("edges", cut_bits))
     ready = lambda cuts, e: cuts.bitwiseAND(e["span"]) == e["ready"]
     begin = _power(F.col("n_chars") + 1) - 1
     once = F.aggregate("edges", begin, lambda cuts, e: F.when(ready(cuts, e), cuts.bitwiseXOR(e["meet"])).otherwise(cuts))
@@ -248,7 +253,7 @@ def merge_order(words: DataFrame, pieces: DataFrame) -> DataFrame:
     # by start, as numbers of the start and 22 bits of the id: the edges that no cut parts, and the characters between two cuts
     made = F.filter("edges", lambda e: cuts.bitwiseAND(e["span"]) == e["ready"].bitwiseXOR(e["meet"]))
     placed = lambda at, i: shift(at, 22) + (i + F.lit(1 << 21))
-    joined = F.transform(made, lambda e: placed(F.shiftright(e["n"], 21).bitwiseAND(F.lit(63)), e["n"].bitwiseAND(F.lit((1 << 21) - 1))))
+    joined = F.transform(made, lambda e: placed(bits(e["n"], 33, 6), bits(e["n"], 12, 21)))
     alone = F.filter(F.sequence(F.lit(0), F.col("n_chars") - 1), lambda k: cuts.bitwiseAND(_power(k) * 3) == _power(k) * 3)
     chars = F.transform(alone, lambda k: placed(k, -1 - F.ascii(F.substring(F.col("word"), k + 1, F.lit(1))).cast("long")))
     return done.select("shard", "word", F.transform(F.sort_array(F.concat(joined, chars)), lambda x: (x.bitwiseAND(F.lit((1 << 22) - 1)) - F.lit(1 << 21)).cast("int")).alias("ids"))

@@ -516,6 +516,27 @@ def test_lattice_of_few_words(spark):
     assert encoded(spark, p, spaces) == [x.tolist() for x in pieces.Encoder(p)(spaces)]
 
 
+def test_edges_of_a_word_are_numbers(spark, monkeypatch):
+    """What a task holds for all its words is one number an edge, wide enough for the longest words, the last starts and the greatest ids."""
+    held, lattice = [], pieces.lattice
+
+    def seen(*args):
+        held.append(lattice(*args))
+        return held[-1]
+
+    monkeypatch.setattr(pieces, "lattice", seen)
+    chars = "".join(chr(0x4E00 + k) for k in range(pieces.LATTICE_CHARS))
+    for names in ([chars[: k + 2] for k in range(len(chars) - 1)], [chars[-k - 2 :] for k in range(len(chars) - 1)]):
+        p = pieces.from_table([("<unk>", 0.0, "other")] + [("", 0.0, "other")] * 70_000 + [(c, -1e6, "piece") for c in chars] + [(n, -float(k), "piece") for k, n in enumerate(names)], 0, False)
+        words = [chars, chars[1:], chars[:-1], chars[:30] + chars[:30], chars[58:] * 30, chars[:2] * 30]
+        got = pieces.encoded_words(spark.createDataFrame([(0, w) for w in words], "shard int, word string"), p).collect()
+        assert dict(held[-1].dtypes)["edges"] == "array<bigint>"
+        one = pieces.Encoder(p).one
+        known = {r["word"]: tuple(p.names.index(chr(-1 - i)) if i < 0 else i for i in r["ids"]) for r in got}
+        assert known == {w: one(w) for w in known} and chars in known and len(known[chars]) == 1
+        assert all(len(one(w)) == len(w) for w in words if w not in known)
+
+
 # ---- 8 ----------------------------------------------------------------------------------------------------------------
 
 
