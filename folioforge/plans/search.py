@@ -18,8 +18,7 @@ from folioforge.plans.scalars import fold_sql
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The documents nearest to each document whose id is divisible by 50, among all documents."""
     d = read(spark, sf, "documents")
-    scored = R.bm25(d, d.where("doc_id % 50 = 0").selectExpr("doc_id AS query_id", "text AS query")).withColumn("score", F.round("score", 5))
-    return R.top_k(scored, ["query_id"], "score", ["doc_id"], 20)
+    return R.bm25_top_k(d, d.where("doc_id % 50 = 0").selectExpr("doc_id AS query_id", "text AS query"), 20, 5)
 
 
 @query(
