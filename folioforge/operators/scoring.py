@@ -140,3 +140,77 @@ class WordQueries:
             first, last = int(base[lo]), int(base[hi - 1]) + len(self.ids)
             grid[first:last] += np.bincount(cell - first, np.repeat(w[lo:hi], m) * self.weight[from_], last - first)
             lo = hi
+
+
+# ---- vectors ----------------------------------------------------------------------------------------------------------
+
+
+def _sequential(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed from the first component on: the same digits wherever a row stands."""
+    total = np.zeros(len(a))
+    with np.errstate(all="ignore"):
+        for j in range(a.shape[1]):
+            total += a[:, j] * b[:, j]
+    return total
+
+
+def _vectors(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By length: places in the column, vectors as rows, their norms, and which of them hold a null."""
+    flat, n = lists(column)
+    void = column.flatten().is_null().to_numpy(zero_copy_only=False)
+    begin, there = np.cumsum(n) - n, ~column.is_null().to_numpy(zero_copy_only=False)
+    for d in np.unique(n[there]):
+        at = np.flatnonzero(there & (n == d))
+        cells = begin[at][:, None] + np.arange(d)
+        x = flat[cells].astype(np.float64) if d else np.zeros((len(at), 0))
+        yield at, x, np.sqrt(_sequential(x, x)), void[cells].any(1) if d else np.zeros(len(at), bool)
+
+
+class VectorQueries:
+    """A block of queries by the length of their vectors."""
+
+    #: Between these norms a product of matrices is as good as a sum in order but for its last digits.
+    SAFE, SLACK = (1e-100, 1e100), 1e-9
+
+    def __init__(self, table: pa.Table):
+        """table: query, vector (array of double)."""
+        column = table.column(1).combine_chunks()
+        self.ids = table.column(0).to_numpy().astype(np.int64)
+        self.by_length = {x.shape[1]: (at, x, norm, void, self._units(x, norm)) for at, x, norm, void in _vectors(column)}
+
+    @classmethod
+    def _units(cls, x: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        """Rows over their norms; not-a-number where a product of them says nothing."""
+        safe = (norm > cls.SAFE[0]) & (norm < cls.SAFE[1])
+        return np.where(safe[:, None], x / np.where(safe, norm, 1)[:, None], np.nan)
+
+    def best(self, batches: Iterator[pa.RecordBatch], k: int) -> Best:
+        """batches of (key, vector). A score is the cosine in double precision, -1 if a norm is zero; not-a-number comes first, a null (a vector that holds one) last."""
+        best = Best(len(self.ids), k, self.SLACK, every=True)
+        with np.errstate(all="ignore"):
+            for b in batches:
+                for at, x, norm, void in _vectors(b.column(1)):
+                    if x.shape[1] not in self.by_length:
+                        continue
+                    queries, q, q_norm, q_void, q_unit = self.by_length[x.shape[1]]
+                    ids, unit, step = b.column(0).to_numpy(zero_copy_only=False)[at], self._units(x, norm), max(1, GRID // len(queries))
+                    for lo in range(0, len(at), step):
+                        part = slice(lo, lo + step)
+                        grid = unit[part] @ q_unit.T if x.shape[1] else np.full((len(ids[part]), len(queries)), np.nan)
+                        grid[np.isnan(grid)] = np.inf
+                        grid[norm[part] == 0] = -1
+                        grid[:, q_norm == 0] = -1
+                        grid[void[part]] = -np.inf
+                        grid[:, q_void] = -np.inf
+
+                        def exact(r, c, x=x[part], norm=norm[part], void=void[part], q=q, q_norm=q_norm, q_void=q_void):
+                            out, step = np.empty(len(r)), 1 << 16
+                            for i in range(0, len(r), step):
+                                rr, cc = r[i : i + step], c[i : i + step]
+                                n = norm[rr] * q_norm[cc]
+                                out[i : i + step] = np.where(n == 0, -1.0, _sequential(x[rr], q[cc]) / n)
+                            none = void[r] | q_void[c]
+                            return out, np.where(none, -np.inf, np.where(np.isnan(out), np.inf, out))
+
+                        best.offer(ids[part], grid, queries, exact)
+        return best

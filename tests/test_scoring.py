@@ -2,6 +2,7 @@
 
 import math
 import random
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -44,8 +45,28 @@ def test_bm25_top_k_equals_all_pairs(spark, monkeypatch):
     assert Q.bm25_top_k(d, q.limit(0), 7, 5).count() == 0 and Q.bm25_top_k(d.limit(0), q, 7, 5).count() == 0
 
 
+def test_vector_top_k_equals_all_pairs(spark):
+    rng = random.Random(5)
+    vectors = {i: [rng.gauss(0, 1) for _ in range(6)] for i in range(80)}
+    vectors |= {i: vectors[i - 100] for i in range(100, 130)} | {200: [0.0] * 6, 201: [1e-170] * 6, 202: [float("nan")] * 6, 203: [1e200] * 6, 204: [1.0, None, 0.0, 0.0, 0.0, 0.0], 205: [1.0, 2.0], 206: [3.0, 1.0], 207: None, 210: []}
+
+    def cosine(a, b):
+        if any(x is None for x in a + b):
+            return None
+        dot = lambda x, y: reduce(lambda t, pq: t + pq[0] * pq[1], zip(x, y, strict=True), 0.0)  # noqa: E731  (sum() makes up for rounding)
+        norm = math.sqrt(dot(a, a)) * math.sqrt(dot(b, b))
+        return -1.0 if norm == 0 else dot(a, b) / norm
+
+    v = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").repartition(4)
+    q = v.where("vec_id % 5 = 0 OR vec_id >= 200").selectExpr("vec_id AS query_id", "embedding AS query_vector")
+    pairs = [(a, b, cosine(x, y)) for a, x in vectors.items() for b, y in vectors.items() if (a % 5 == 0 or a >= 200) and x is not None and y is not None and len(x) == len(y)]
+    assert got(Q.vector_top_k(v, q, 9), "vec_id") == ranked(pairs, 9)
+    exact = {(a, b): s for a, b, s in pairs}
+    assert all(r["score"] == s or math.isnan(s) for r in Q.vector_top_k(v, q, 9).collect() if (s := exact[r["query_id"], r["vec_id"]]) is not None)
+
+
 def test_rankings_make_no_row_for_a_pair(spark, sf):
-    for name in ("bm25_topk",):
+    for name in ("bm25_topk", "cosine_topk"):
         assert "Join" not in catalog.QUERIES[name](spark, sf)._jdf.queryExecution().toString()
 
 
