@@ -62,7 +62,7 @@ def canonical_urls(spark: SparkSession, sf: str) -> DataFrame:
 def reading_issues(spark: SparkSession, sf: str) -> DataFrame:
     """Reason codes and diacritic density of every line, by regular expressions that RE2 lacks."""
     d = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return d.select("doc_id", "line_no", T.line_issues(F.col("line")).alias("issues"), T.diacritic_density(F.col("line")).alias("density"), T.garbage_char_ratio(F.col("line")).alias("garbage"))
+    return T.line_quality(d, "line").drop("line")
 
 
 @query(None)
