@@ -1,5 +1,9 @@
 """What queries must not do as their tables grow, and that the shorter ways find the same."""
 
+import glob
+import os
+import tempfile
+
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
@@ -31,3 +35,15 @@ def test_line_quality_equals_its_parts(spark, sf):
     assert {x for r in got.select(F.explode("issues")).collect() for x in r} == {"FOREIGN_LETTERS", "LOW_DIACRITIC_DENSITY", "MISSING_VOWEL_MODIFIER", "INVALID_SYLLABLES"}
     # the line's words stand in the plan once, however often they are asked
     assert catalog.QUERIES["reading_issues"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count(r"(\p{L}{2,})") <= 3
+
+
+def test_written_tables_leave_no_shuffle_behind(spark):
+    from folioforge.sources import shared
+
+    def bytes_of_shuffles():
+        return sum(os.path.getsize(os.path.join(d, f)) for top in glob.glob(os.path.join(tempfile.gettempdir(), "blockmgr-*")) for d, _, names in os.walk(top) for f in names if f.startswith("shuffle_"))
+
+    before = spark.conf.get(shared.CLEANUP, None)
+    held = bytes_of_shuffles()
+    out = shared.written(spark.range(300_000).select(F.xxhash64("id").alias("k")).groupBy("k").count(), "shuffled")
+    assert bytes_of_shuffles() - held < 1_000_000 and spark.conf.get(shared.CLEANUP, None) == before and out.count() == 300_000
